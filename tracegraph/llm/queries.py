@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tracegraph.llm import mixing, packing
+from tracegraph.llm import langid, mixing, packing, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op4_mixing": mixing.op4,
+    "op6_warc": warc.op6,
+    "op7_language_id": langid.op7,
     "op8_packing": packing.op8,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_warc": warc.SQL}
