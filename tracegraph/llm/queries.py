@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegraph.llm import langid, mixing, packing, toxicity, warc
+from tracegraph.llm import jaccard, langid, mixing, packing, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_warc": warc.op6,
     "op7_language_id": langid.op7,
     "op8_packing": packing.op8,
+    "op10_jaccard": jaccard.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_warc": warc.SQL}
