@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import buffers, chunks, components, cut, mix64
+from tracegraph.llm.shared import bit_table, buffers, chunks, components, cut, has_bit, mix64
 
 #: Slots of the shingle frequency table (hashed, so its size does not grow), and of them in one shipped part.
 SLOTS, PART = 1 << 20, 1 << 14
 
-#: Bits of the set filter that keeps pass three from hashing texts that have no candidate.
-FILTER = 1 << 24
+#: Power of two of the bits of the set filter that keeps pass three from hashing texts that have no candidate.
+FILTER = 24
 
 #: Star rounds before the last, exhaustive one; another is run while more than this many pairs per entry are left.
 STARS, PAIRS_PER_ENTRY = 4, 4
@@ -200,10 +200,7 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, width: int, percent: int
 def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """Pass three. Node and set of every node in ``nodes`` (node). A bit table of fixed size spares most texts without a candidate."""
     spark = docs.sparkSession
-    bit = f"(node & {FILTER - 1})"
-    found = nodes.groupBy(F.expr(f"{bit} >> 5").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} & 31 as int)))").alias("v")).toPandas()
-    mask = np.zeros(FILTER >> 5, np.int64)
-    mask[found.w.to_numpy(np.int64)] = found.v.to_numpy(np.int64)
+    mask = bit_table(nodes.select(F.col("node").alias("key")), FILTER)
     shared = spark.sparkContext.broadcast(mask)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +211,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 if not len(s):
                     continue
                 node = key_of(s)
-                at = node & (FILTER - 1)
-                if node in seen or not int(shared.value[at >> 5]) >> (at & 31) & 1:
+                if node in seen or not has_bit(shared.value, np.array([node]))[0]:
                     continue
                 seen.add(node)
                 keys.append(node)

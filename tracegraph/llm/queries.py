@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracegraph.llm import jaccard, langid, mixing, packing, toxicity, warc
+from tracegraph.llm import jaccard, langid, mixing, packing, suffix, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op4_mixing": mixing.op4,
+    "op5_suffix_dedup": suffix.op5,
     "op6_warc": warc.op6,
     "op7_language_id": langid.op7,
     "op8_packing": packing.op8,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -75,6 +76,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2 ** ``bits`` bits, set at the low bits of each of ``keys`` (key long, well mixed): a filter of fixed size.
+
+    It has no false negatives, and as it fills up it lets more through, which costs work and never a result. At most
+    2 ** (bits - 5) rows come to the driver.
+    """
+    low = f"(key & {(1 << bits) - 1}L)"
+    found = keys.groupBy(F.expr(f"shiftright({low}, 5)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({low} & 31 as int)))").alias("v")).toPandas()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[found.w.to_numpy(np.int64)] = found.v.to_numpy(np.int64).astype(np.uint32)
+    return table
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the (unsigned or signed 64-bit) ``keys`` are set in ``table``."""
+    low = keys.view(np.uint64) & np.uint64(len(table) * 32 - 1)
+    return (table[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable over ``edges`` (a, b) for each row of ``vertices`` (id): columns id, component.
 
