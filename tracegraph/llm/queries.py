@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tracegraph.llm import jaccard, langid, mixing, packing, suffix, toxicity, warc
+from tracegraph.llm import ann, embedding_dedup, jaccard, langid, mixing, packing, suffix, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_embedding_dedup": embedding_dedup.op2,
     "op4_mixing": mixing.op4,
     "op5_suffix_dedup": suffix.op5,
     "op6_warc": warc.op6,
     "op7_language_id": langid.op7,
     "op8_packing": packing.op8,
+    "op9_ann": ann.op9,
     "op10_jaccard": jaccard.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op6_warc": warc.SQL}
