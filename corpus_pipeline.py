@@ -1,8 +1,90 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: language ID, near-duplicates, repeated passages, mixing to target weights, packing.
 
-STAGES = []
+Each stage is (name, function of (spark, docs, sf_dir)); all but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracegraph.llm import jaccard, langid, mixing, packing, suffix
+from tracegraph.llm.shared import cut, small
+
+
+def carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows as one column ``row``, beside which an operator may add columns of any name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null text and texts without a letter."""
+    model = langid.train(docs.where(langid.remainder("doc_id", 4) != 2).select("text", "lang"))
+    found = langid.identify(carried(docs, "text"), model)
+    # without any labelled document there is no language to tell, and only texts without a letter go
+    letters = F.col("text").rlike(r"\p{L}") if not model.langs else F.col("lang_pred") != langid.UNKNOWN
+    return found.where(letters).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component: the smallest id, of equal ids the smallest hash of the text, of equal rows one.
+
+    Documents without a word belong to no component and stay.
+    """
+    key = F.xxhash64("text")
+    found = cut(jaccard.jaccard_components(docs.select("doc_id", "text")))
+    named = found.where("n_shingles > 0").select("doc_id", "text_key", "group_key")
+    first = named.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("w")).select("group_key", F.col("w.doc_id").alias("w_id"), F.col("w.text_key").alias("w_text"))
+    judged = named.join(first, "group_key").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("text_key").eqNullSafe(F.col("w_text")))
+    per = judged.groupBy(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    per = cut(per.where("not stays or n > 1"))
+    match = lambda side: F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key").eqNullSafe(F.col("k_text")))
+    rows = carried(docs, "doc_id", key.alias("text_key"))
+    kept = rows.join(small(per.select("k_id", "k_text")), match(per), "left_anti")
+    again = per.where("stays")
+    if not again.isEmpty():
+        kept = kept.unionByName(rows.join(small(again.select("k_id", "k_text")), match(again), "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return kept.select("row.*")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 200 bytes and more that stand anywhere else; documents of which nothing is left go."""
+    found = suffix.remove_repeats(carried(docs, "text"), as_text=True).where("n_removed = 0 or n_removed < n_bytes")
+    cutoff = F.col("n_removed") > 0
+    new = {"text": F.when(cutoff, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cutoff, F.length("kept")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return found.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats, keeps or leaves out documents so that each source's words come near its target."""
+    mixed = mixing.pareto_mix(carried(docs, "doc_id", "text", "source"))
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens: one row per piece of a document, with its place."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", languages),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Hashes, shingles and tokenizers are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs

@@ -85,11 +85,11 @@ def sets_of(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def keyed(docs: DataFrame, width: int) -> DataFrame:
-    """Pass one. A row per document (doc_id, n, node; node null for empty sets), and rows (part, counts) of shingle frequencies."""
+    """Pass one. A row per document (doc_id, text_key, n, node; node null for empty sets), and rows (part, counts) of shingle frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.uint32)
-        names = ["doc_id", "n", "node", "part", "counts"]
+        names = ["doc_id", "text_key", "n", "node", "part", "counts"]
         for batch in batches:
             ns, nodes, held = [], [], []
             for _, s in sets_of(batch.column(1), width):
@@ -102,12 +102,12 @@ def keyed(docs: DataFrame, width: int) -> DataFrame:
             if held:
                 table += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         parts = [k for k in range(SLOTS // PART) if table[k * PART : (k + 1) * PART].any()]
         for k in parts:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([table[k * PART : (k + 1) * PART].tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([table[k * PART : (k + 1) * PART].tobytes()], pa.binary())], names)
 
-    return cut(docs.mapInArrow(run, "doc_id long, n long, node long, part int, counts binary"))
+    return cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, node long, part int, counts binary"))
 
 
 def frequencies(table: DataFrame) -> np.ndarray:
@@ -312,6 +312,8 @@ def linked_sets(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable over pairs with 100 * overlap >= ``percent`` * union) per document.
 
+    Also text_key, a hash of the text, and group_key, a key of the component that does not depend on ids (null for empty sets).
+
     Texts are read in three passes: sets are counted and keyed, the rare prefixes of distinct sets meet by token, and the sets
     that share one are made again for the check. Documents with equal sets are one node throughout, so copies cost one row each.
     Shingles are compared by 64-bit hashes and equal sets are recognised by a 64-bit key.
@@ -322,17 +324,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = keyed(rows, width)
-    per = table.where("part is null").select("doc_id", "n", "node")
+    per = table.where("part is null").select("doc_id", "text_key", "n", "node")
     entries = prefix_entries(rows, frequencies(table), width, percent)
     sets = candidate_sets(rows, entries.select("node").distinct(), width)
     comp = linked_sets(entries, sets, percent)
     ids = per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = cut(ids.join(names, "comp").select("node", "component_id"))
+    named = cut(ids.join(names, "comp").select("node", F.col("comp").alias("group_key"), "component_id"))
     out = per.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key", "group_key")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegraph.llm.shared import WORD, cut, small
@@ -32,28 +32,19 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap
     return t.select("key", "source_size", F.least("limit", F.col("level") * F.col("weight")).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
-    """Copies of each document so that every source's words come near its target: doc_id, source, size, source_size, target, copies, taken.
+def rank_key(u: Column, p: Column) -> Column:
+    """Pareto's ranking variable, random odds over inclusion odds, as q / (1 + q) between 0 and 1; null where nothing is to be drawn."""
+    q = (u / (1 - u)) / (p / (1 - p))
+    return F.when(p > 0, q / (1 + q))
 
-    A source whose target is r times its size takes floor(r) whole copies of every document for certain. The rest of its words
-    come from a Pareto order sample: with p = r - floor(r) and u uniform from a hash of id and text, documents are ranked by
-    (u / (1 - u)) / (p / (1 - p)) and taken in rank order until the words wanted are reached, the last one if that comes nearer;
-    so the sample's size is fixed in words, and p differs between sources.
 
-    The cut in rank order is found from histograms of the rank key, one of ``2 ** BITS`` bins per source and then one within the
-    bin that holds the cut; only documents of one bin in 2 ** (2 * BITS) meet in a window, so no source is gathered in a task.
+def sample_plan(rows: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """One row per source of ``rows`` (key, size, u): source_size, target, certain copies, inclusion probability p, and where the sample ends.
 
-    Null or empty text: size 0, taken 0. A null source is a source of its own, last in order. Repeated rows are sampled as
-    separate documents; equal keys go in order of id and size. An empty table gives no rows. Other columns are ignored.
+    The end in rank order is found from histograms of the rank key, one of 2 ** ``BITS`` bins per source and then one within the bin
+    where it lies; only documents of one bin in 2 ** (2 * ``BITS``) are ordered, so no source is gathered in a task. Words left
+    over are closed by the one document not yet drawn whose size comes nearest to them.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("key"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ((F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) + 0.5) / float(1 << 53)).alias("u"),
-    )
-    rows = cut(rows)
     sizes = cut(rows.groupBy("key").agg(F.sum("size").alias("source_size")))
     per = cut(
         source_targets(sizes, weights, cap)
@@ -61,33 +52,61 @@ def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .withColumn("wanted", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
         .withColumn("p", F.least(F.coalesce(F.try_divide("wanted", "source_size"), F.lit(0.0)), F.lit(1 - 1e-9)))
     )
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     bits = 2 * BITS
-    ranked = rows.join(small(per), "key").withColumn("rank_key", F.when(F.col("p") > 0, q / (1 + q)))
-    ranked = ranked.withColumn("bin", F.floor(F.col("rank_key") * float(1 << bits)).cast("long"))
+    drawn = rows.join(small(per.select("key", "wanted", "p")), "key").withColumn("rank_key", rank_key(F.col("u"), F.col("p"))).where("rank_key is not null")
+    drawn = drawn.withColumn("bin", F.floor(F.col("rank_key") * float(1 << bits)).cast("long"))
 
     def crossing(bins: DataFrame) -> DataFrame:
         """For each source the first bin (key, at) whose running words reach what is wanted, and the words before it."""
         running = F.sum("words").over(Window.partitionBy("key").orderBy("at"))
-        before = bins.withColumn("running", running + F.col("base")).where(F.col("running") >= F.col("wanted"))
-        return before.groupBy("key").agg(F.min_by(F.struct("at", (F.col("running") - F.col("words")).alias("base"), "wanted"), "at").alias("x")).select("key", "x.*")
+        reached = bins.withColumn("running", running + F.col("base")).where(F.col("running") >= F.col("wanted"))
+        return reached.groupBy("key").agg(F.min_by(F.struct("at", (F.col("running") - F.col("words")).alias("base")), "at").alias("x")).select("key", "x.*")
 
-    drawn = ranked.where("rank_key is not null")
     one = cut(crossing(drawn.groupBy("key", F.shiftright("bin", BITS).alias("at")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"), F.lit(0.0).alias("base"))))
-    inner = drawn.join(small(one.select("key", "at", F.col("base").alias("base_1"))), "key").where(F.shiftright("bin", BITS) == F.col("at"))
-    two = cut(crossing(inner.groupBy("key", F.col("bin").alias("at")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"), F.first("base_1").alias("base"))))
-    edge = ranked.join(small(two.select("key", F.col("at").alias("cut_bin"), "base")), "key", "left")
-    last = edge.where(F.col("bin") == F.col("cut_bin"))
-    order = Window.partitionBy("key").orderBy("rank_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    done = F.sum("size").over(order) + F.col("base")
-    last = last.withColumn("extra", ((done - F.col("wanted")) <= (F.col("wanted") - (done - F.col("size")))).cast("long"))
-    clear = edge.where((F.col("bin") == F.col("cut_bin")).eqNullSafe(True) == F.lit(False))
-    clear = clear.withColumn("extra", F.coalesce((F.col("bin") < F.coalesce("cut_bin", F.lit(1 << (bits + 1)))), F.lit(False)).cast("long"))
-    out = clear.unionByName(last.select(*clear.columns))
-    copies = F.col("certain") + F.col("extra")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    inner = drawn.join(small(one), "key").where(F.shiftright("bin", BITS) == F.col("at"))
+    two = cut(crossing(inner.groupBy("key", F.col("bin").alias("at")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"), F.first("base").alias("base"))))
+    last = drawn.join(small(two), "key").where("bin = at")
+    order = Window.partitionBy("key").orderBy("rank_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("done", F.sum("size").over(order) + F.col("base")).where(F.col("done") <= F.col("wanted"))
+    ends = last.groupBy("key").agg(F.max("rank_key").alias("last_key"), F.max("done").alias("done"))
+    ends = two.join(ends, "key", "left").select("key", F.col("at").alias("cut_bin"), "last_key", F.coalesce("done", "base").alias("done"))
+    per = cut(per.join(ends, "key", "left"))
+    open_ = drawn.join(small(per.where("cut_bin is not null").select("key", "cut_bin", "last_key", "done")), "key").where(~taken())
+    gap = F.abs(F.col("size") - (F.col("wanted") - F.col("done")))
+    closing = open_.where(gap < F.col("wanted") - F.col("done")).groupBy("key").agg(F.min_by("rank_key", F.struct(gap, "rank_key")).alias("close_key"))
+    return cut(per.join(closing, "key", "left"))
+
+
+def taken() -> Column:
+    """Whether rank order takes a row before the sample's end; without an end it takes all."""
+    return F.coalesce((F.col("bin") < F.col("cut_bin")) | (F.col("bin") == F.col("cut_bin")) & F.coalesce(F.col("rank_key") <= F.col("last_key"), F.lit(False)), F.lit(True))
+
+
+def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
+    """Adds size, source_size, target, copies and taken (copies * size) to every row, so that each source's words come near its target.
+
+    A source whose target is r times its size takes floor(r) whole copies of every document for certain. The rest of its words
+    come from a Pareto order sample: with p = r - floor(r) and u uniform from a hash of id and text, documents are ranked by
+    (u / (1 - u)) / (p / (1 - p)) and taken in rank order as long as they fit the words wanted; one more document closes the gap. So the
+    sample's size is fixed in words, and p differs between sources. Given the plan per source, a row's copies depend on the row
+    alone: nothing is shuffled to hand them out, and reruns agree.
+
+    Null or empty text: size 0, taken 0. A null source is a source of its own, last in order. Rows that agree in id, text and source are
+    drawn together. An empty table gives no rows. Other columns stay, but must not have the names of the new ones.
+    """
+    rows = docs.withColumns({
+        "key": F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))),
+        "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
+        "u": (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) + 0.5) / float(1 << 53),
+    })
+    per = sample_plan(cut(rows.select("key", "size", "u")), weights, cap).select("key", "source_size", "target", "certain", "p", "cut_bin", "last_key", "close_key")
+    out = rows.join(small(per), "key").withColumn("rank_key", rank_key(F.col("u"), F.col("p")))
+    out = out.withColumn("bin", F.floor(F.col("rank_key") * float(1 << 2 * BITS)).cast("long"))
+    extra = F.col("rank_key").isNotNull() & (taken() | (F.col("rank_key").eqNullSafe(F.col("close_key"))))
+    copies = (F.col("certain") + extra.cast("long")).cast("long")
+    return out.select(*[f"`{c}`" for c in docs.columns], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")

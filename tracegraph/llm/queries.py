@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracegraph.llm import ann, embedding_dedup, jaccard, langid, mixing, packing, suffix, toxicity, warc
+from tracegraph.llm import ann, embedding_dedup, jaccard, langid, mixing, packing, rollup, suffix, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_embedding_dedup": embedding_dedup.op2,
+    "op3_token_counts": rollup.op3,
     "op4_mixing": mixing.op4,
     "op5_suffix_dedup": suffix.op5,
     "op6_warc": warc.op6,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_jaccard": jaccard.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op6_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op3_token_counts": rollup.SQL, "op6_warc": warc.SQL}

@@ -195,9 +195,11 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     return hits.select("key", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.least("r.last", "more")).alias("last"))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text", as_text: bool = False) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans, spans (start, end of the removed bytes) and kept (the bytes left) to every row.
 
+    With ``as_text`` kept is a string, without the bytes of characters that a cut has split.
+
     A byte goes if a ``length``-byte string that covers it also starts anywhere else in the table, in the same text or another.
     Strings never run over the end of a text, and are judged on the input. Texts are known by a 64-bit hash and their length, and
     strings by 64-bit hashes. Texts are read three times and shuffled once, to meet their ranges.
@@ -212,7 +214,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
     ranges = repeated_ranges(texts, length).unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).withColumnRenamed("key", key)
     met = rows.join(cut(ranges), key, "left").drop(key)
     where = met.columns.index(text_col)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in met.drop('ranges').schema.fields)}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept binary"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in met.drop('ranges').schema.fields)}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}"
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +236,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
                     counts.append(len(runs))
                     spans.append([{"start": a, "stop": b} for a, b in runs])
                     kept.append(b"".join(d[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())]
+                new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*part.schema.names[:-1], "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return met.mapInArrow(run, schema)
