@@ -38,7 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so that its lineage ends there."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that no later step reads, and shuffle files with ``release``."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import bit_table, buffers, cut, has_bit, mix64, release
+from tracegraph.llm.shared import bit_table, buffers, cut, discard, has_bit, mix64, release
 
 #: Bytes of a trigger, and neighbouring strings whose common core is looked at first.
 K, CELL = 32, 11
@@ -30,6 +30,9 @@ STEP_BITS = 20
 #: Power of two of the bits of the filters for triggers and cores.
 FILTER = 26
 
+#: Bits of a mark that hold how many strings follow the first; the mark of a whole phrase or text.
+MORE, WHOLE = 12, -1
+
 _rng = np.random.default_rng(20240611)
 LETTER = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -126,12 +129,17 @@ def gathered(rows: Iterator[tuple[np.ndarray, ...]], names: list[str], most: int
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
 
+def mark(first: str, more: str | Column) -> Column:
+    """A range of strings as one number: its first start, and how many more follow."""
+    return (F.col(first).cast("long") * F.lit(1 << MORE) + (F.col(more) if isinstance(more, str) else more)).alias("mark")
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
-    """For (key, text) rows: (key, first, last), ranges of starts of ``length``-byte strings that start anywhere else too.
+    """For (key, text) rows: (key, mark), marks of ranges of starts of ``length``-byte strings that start anywhere else too.
 
     Strings of texts that are repeated whole may be missing; the caller knows those by their key.
     """
@@ -146,6 +154,8 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     release(spark)
     triggers = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = spark.sparkContext.broadcast(bit_table(triggers.select(F.col("trigger").alias("key")), FILTER))
+    full = cut(dictionary.where("n > 1").select("phrase", F.lit(WHOLE).cast("long").alias("mark")))
+    discard(spark, dictionary)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[Phrases]:
         """Phrases that share a trigger with another one, each once a task."""
@@ -166,11 +176,11 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
         yield from gathered(rows(), ["core", "cover", "phrase", "first", "last"])
 
     cell = cut(texts.mapInArrow(cells, "core long, cover long, phrase long, first int, last int"))
-    covers = cut(cell.groupBy("core", "cover").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")))
-    same_cells = cell.join(covers.where("p <> q").select("core", "cover"), ["core", "cover"]).select("phrase", "first", "last")
-    cores = covers.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cores = cell.groupBy("core").agg(F.min("cover").alias("p"), F.max("cover").alias("q")).where("p <> q")
     open_ = spark.sparkContext.broadcast(bit_table(cores.select(F.col("core").alias("key")), FILTER))
-    release(spark)
+    covers = cell.groupBy("cover").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p <> q")
+    same_cells = cut(cell.select("cover", "phrase", mark("first", F.col("last") - F.col("first"))).join(covers.select("cover"), "cover").select("phrase", "mark"))
+    discard(spark, cell)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[np.ndarray, ...]]:
@@ -187,12 +197,12 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
 
     string = cut(texts.mapInArrow(strings, "string long, phrase long, first int"))
     twice = string.groupBy("string").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p <> q").select("string")
-    same_strings = string.join(twice, "string").select("phrase", "first", F.col("first").alias("last"))
-    marks = dictionary.where("n > 1").select("phrase", F.lit(0).alias("first"), F.lit(1 << 30).alias("last")).unionByName(same_cells).unionByName(same_strings)
-    marks = cut(marks.groupBy("phrase").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
-    release(spark)
-    hits = parse_.join(marks, "phrase").select("key", "start", "more", F.explode("ranges").alias("r"))
-    return hits.select("key", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.least("r.last", "more")).alias("last"))
+    same_strings = cut(string.join(twice, "string").select("phrase", mark("first", F.lit(0))))
+    discard(spark, string)
+    marks = cut(full.unionByName(same_cells).unionByName(same_strings).groupBy("phrase").agg(F.collect_set("mark").alias("marks")))
+    discard(spark, full, same_cells, same_strings)
+    hits = parse_.join(marks, "phrase").select("key", "start", "more", F.explode("marks").alias("m"))
+    return hits.select("key", F.when(F.col("m") == WHOLE, mark("start", "more")).otherwise(F.col("start") * F.lit(1 << MORE) + F.col("m")).alias("mark"))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text", as_text: bool = False) -> DataFrame:
@@ -207,12 +217,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
     Null text: empty. Texts shorter than ``length`` bytes stay whole. Texts that occur twice go whole. An empty table gives no rows.
     Other columns stay as they are.
     """
+    if not K < length < 1 << MORE:
+        raise ValueError(f"length must be between {K} and {1 << MORE}")
     key = "key_of_text"
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(text_col, F.lit("")), F.octet_length(F.coalesce(text_col, F.lit("")))))
     texts = rows.where(F.octet_length(text_col) >= length).select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    whole = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(0).cast("long").alias("first"), F.lit(1 << 40).cast("long").alias("last"))
-    ranges = repeated_ranges(texts, length).unionByName(whole).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("ranges")).withColumnRenamed("key", key)
-    met = rows.join(cut(ranges), key, "left").drop(key)
+    whole = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(WHOLE).cast("long").alias("mark"))
+    ranges = repeated_ranges(texts, length).unionByName(whole).groupBy("key").agg(F.collect_set("mark").alias("ranges")).withColumnRenamed("key", key)
+    ranges = cut(ranges)
+    release(docs.sparkSession)
+    met = rows.join(ranges, key, "left").drop(key)
     where = met.columns.index(text_col)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in met.drop('ranges').schema.fields)}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}"
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -225,7 +239,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
                 for i, found in enumerate(part.column(part.num_columns - 1).to_pylist()):
                     d = data[offsets[i] : offsets[i + 1]]
                     runs: list[list[int]] = []
-                    for a, b in sorted((x["first"], min(x["last"] + length, len(d))) for x in found or ()):
+                    for a, b in sorted((0, len(d)) if m == WHOLE else (m >> MORE, (m >> MORE) + (m & (1 << MORE) - 1) + length) for m in found or ()):
                         if runs and a <= runs[-1][1]:
                             runs[-1][1] = max(runs[-1][1], b)
                         else:
