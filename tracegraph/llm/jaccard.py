@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import bit_table, buffers, chunks, components, cut, has_bit, mix64
+from tracegraph.llm.shared import bit_table, buffers, chunks, components, cut, has_bit, mix64, release
 
 #: Slots of the shingle frequency table (hashed, so its size does not grow), and of them in one shipped part.
 SLOTS, PART = 1 << 20, 1 << 14
@@ -20,8 +20,8 @@ FILTER = 24
 #: Star rounds before the last, exhaustive one; another is run while more than this many pairs per entry are left.
 STARS, PAIRS_PER_ENTRY = 4, 4
 
-#: Buckets of the suffix filter.
-SUFFIX = 64
+#: Items between two pivots of the suffix filter, on average.
+PER_BUCKET = 6
 
 _rng = np.random.default_rng(20240607)
 LETTER = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,6 +72,25 @@ def key_of(s: np.ndarray) -> int:
     return int(mix64(np.array([np.sum(mix64(s ^ BASE), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """How many items of a set lie in each of about n / ``PER_BUCKET`` equal parts of the hash space, a power of two; a byte each, at most 255."""
+    bits = max(0, int(np.ceil(np.log2(max(len(s), 1) / PER_BUCKET))))
+    at = (s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def far_apart(x: bytes, y: bytes, na: int, nb: int, least: int) -> bool:
+    """Suffix filter: whether the numbers of items between fixed pivots differ by more than the pair's items that may be unshared."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if a.max() == 255 or b.max() == 255:
+        return False
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(1)
+    elif len(b) > len(a):
+        b = b.reshape(len(a), -1).sum(1)
+    return int(np.abs(a - b).sum()) > na + nb - 2 * least
+
+
 def needed(n: int, percent: int) -> int:
     """Least overlap of a set of n with any set that reaches the similarity."""
     return -(-n * percent // 100)
@@ -85,16 +104,17 @@ def sets_of(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def keyed(docs: DataFrame, width: int) -> DataFrame:
-    """Pass one. A row per document (doc_id, text_key, n, node; node null for empty sets), and rows (part, counts) of shingle frequencies."""
+    """Pass one. A row per document (doc_id, text_key, n, node, sketch; node null for empty sets), and rows (part, counts) of shingle frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.uint32)
-        names = ["doc_id", "text_key", "n", "node", "part", "counts"]
+        names = ["doc_id", "text_key", "n", "node", "sketch", "part", "counts"]
         for batch in batches:
-            ns, nodes, held = [], [], []
+            ns, nodes, sketches, held = [], [], [], []
             for _, s in sets_of(batch.column(1), width):
                 ns.append(len(s))
                 nodes.append(key_of(s) if len(s) else None)
+                sketches.append(sketch_of(s) if len(s) else None)
                 held.append(s)
                 if len(held) == 2000:
                     table += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
@@ -102,12 +122,12 @@ def keyed(docs: DataFrame, width: int) -> DataFrame:
             if held:
                 table += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         parts = [k for k in range(SLOTS // PART) if table[k * PART : (k + 1) * PART].any()]
         for k in parts:
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([k], pa.int32()), pa.array([table[k * PART : (k + 1) * PART].tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([table[k * PART : (k + 1) * PART].tobytes()], pa.binary())], names)
 
-    return cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, node long, part int, counts binary"))
+    return cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch binary, part int, counts binary"))
 
 
 def frequencies(table: DataFrame) -> np.ndarray:
@@ -131,10 +151,11 @@ def frequencies(table: DataFrame) -> np.ndarray:
 
 
 def prefix_entries(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Pass two. Entries (token, node, pos, n) of the rarest shingles of each set, where another set has the token too.
+    """Pass two, over the rarest shingles of each set: pairs (a, b) and entries (token, node, pos, n), in one table.
 
-    Order of shingles: frequency by the table, then hash; a total order, the same for all. Tokens whose slot is far above the mean are dealt
-    over many tasks and all kept; the others meet by token, and those of one set only are dropped as the sorted rows go by.
+    Order of shingles: frequency by the table, then hash; a total order, the same for all. The entries meet by token, and as the sorted
+    rows go by, each set is paired with the first of its token if the filters allow it. Entries of one or two sets are then done with;
+    the others stay. Tokens whose slot is far above the mean are dealt over many tasks; all their entries stay and none is paired.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
@@ -171,47 +192,69 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, width: int, percent: int
                     out, size = [], 0
             yield flush()
 
-    def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last, linked = ["token", "node", "pos", "n", "salt"], None, False
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "node", "pos", "n", "salt"]
+        # of the token that the last batch ended with: its first entry, its second one while no third has come, and how many there were
+        kept: list[np.ndarray] | None = None
+        count, last_node = 0, None
         for batch in batches:
             cols = [np.asarray(batch.column(k)) for k in names]
             if not len(cols[0]):
                 continue
-            cols = cols if last is None else [np.concatenate(x) for x in zip(last, cols, strict=True)]
             fresh = np.ones(len(cols[0]), bool)  # not a set that two tasks gave out
             fresh[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            fresh[0] = kept is None or cols[0][0] != kept[0][0] or cols[1][0] != last_node
             cols = [c[fresh] for c in cols]
-            keep = cols[4] > 0
-            near = cols[0][1:] == cols[0][:-1]
-            keep[1:] |= near
-            keep[:-1] |= near
-            keep[0] |= linked
-            last, linked = [c[-1:] for c in cols], bool(keep[-1])
-            keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols[:4]], names[:4])
-        if linked:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last[:4]], names[:4])
+            if not len(cols[0]):
+                continue
+            old, before = (0, 0) if kept is None else (len(kept[0]), count)
+            token, node, pos, n, salt = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols, strict=True)]
+            first = np.concatenate(([True], token[1:] != token[:-1]))
+            run = np.cumsum(first) - 1
+            starts = np.flatnonzero(first)
+            size = np.diff(np.append(starts, len(token)))
+            if old:
+                size[0] += before - old
+            lead = starts[run]
+            new = np.arange(len(token)) >= old
+            pair = new & ~first & (salt == 0)
+            pair[pair] = close(pos[lead[pair]], n[lead[pair]], pos[pair], n[pair], percent)
+            stays = ((size[run] >= 3) | (salt > 0)) & (new | (run == 0) & (before < 3) & (salt == 0))
+            ab = np.unique(np.stack([np.minimum(node[lead[pair]], node[pair]), np.maximum(node[lead[pair]], node[pair])], 1), axis=0)
+            yield rows_of(ab[:, 0], ab[:, 1], None)
+            yield rows_of(None, None, [token[stays], node[stays], pos[stays], n[stays]])
+            a = int(starts[-1])
+            count, last_node = int(size[-1]), node[-1]
+            kept = [c[a : a + (2 if count == 2 else 1)] for c in (token, node, pos, n, salt)]
+
+    def rows_of(a, b, entry) -> pa.RecordBatch:
+        m = len(a) if entry is None else len(entry[0])
+        pair = [pa.array(a), pa.array(b)] if entry is None else [pa.nulls(m, pa.int64())] * 2
+        rest = [pa.nulls(m, pa.int64())] * 2 + [pa.nulls(m, pa.int32())] * 2 if entry is None else [pa.array(x) for x in entry]
+        return pa.RecordBatch.from_arrays([*pair, *rest], ["a", "b", "token", "node", "pos", "n"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = docs.select("text").mapInArrow(run, "token long, node long, pos int, n int, salt int")
-    return cut(entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "node").mapInArrow(shared_only, "token long, node long, pos int, n int"))
+    return cut(entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "node").mapInArrow(met, "a long, b long, token long, node long, pos int, n int"))
+
+
+def close(pa_: np.ndarray, na: np.ndarray, pb: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Length and positional filter on two entries of a token: what is left after it bounds the overlap."""
+    overlap = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1).astype(np.int64)
+    return (100 * np.minimum(na, nb).astype(np.int64) >= percent * np.maximum(na, nb)) & ((100 + percent) * overlap >= percent * (na + nb).astype(np.int64))
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Pass three. Node and set of every node in ``nodes`` (node). A bit table of fixed size spares most texts without a candidate."""
-    spark = docs.sparkSession
-    mask = bit_table(nodes.select(F.col("node").alias("key")), FILTER)
-    shared = spark.sparkContext.broadcast(mask)
+    """Pass three. Node and set of every row of ``nodes`` (node, text_key). A bit table of fixed size spares the other texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.col("text_key").alias("key")), FILTER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
+            batch = batch.filter(pa.array(has_bit(shared.value, np.asarray(batch.column(1)))))
             keys, rows, size = [], [], 0
             for _, s in sets_of(batch.column(0), width):
-                if not len(s):
-                    continue
-                node = key_of(s)
-                if node in seen or not has_bit(shared.value, np.array([node]))[0]:
+                if not len(s) or (node := key_of(s)) in seen:
                     continue
                 seen.add(node)
                 keys.append(node)
@@ -226,33 +269,36 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         at = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(at, np.concatenate(rows) if rows else np.zeros(0, np.int64))], ["node", "items"])
 
-    sets = docs.select("text").mapInArrow(run, "node long, items array<long>")
-    return cut(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    sets = docs.select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "node long, items array<long>")
+    return sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def unlike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the suffix filter leaves; it reads sketches of the sets, a hundredth of their size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                least = -(-(na + nb) * percent // (100 + percent))  # overlap o with 100 o >= percent (n - o)
+                keep.append(min(na, nb) >= least and not far_apart(x, y, na, nb, least))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    side = lambda s: reps.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach the similarity: a suffix filter first, then the exact overlap."""
+    """Those of ``pairs`` (a, b) whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = np.arange(1, SUFFIX, dtype=np.uint64) * np.uint64((1 << 64) // SUFFIX)
         for batch in batches:
+            (ao, av), (bo, bv) = ((np.asarray(c.offsets), np.asarray(c.values)) for c in (batch.column(2), batch.column(3)))
             keep = np.zeros(batch.num_rows, bool)
-            side = []
-            for k in (2, 3):
-                col = batch.column(k)
-                side.append((np.asarray(col.offsets), np.asarray(col.values).view(np.uint64)))
-            (ao, av), (bo, bv) = side
             for i in range(batch.num_rows):
                 x, y = av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]
-                n = len(x) + len(y)
-                least = -(-n * percent // (100 + percent))  # overlap o with 100 o >= percent (n - o)
-                if min(len(x), len(y)) < least:
-                    continue
-                if n > 4 * SUFFIX:  # elements in unequal numbers between pivots cannot be shared
-                    cx, cy = (np.diff(np.concatenate(([0], np.searchsorted(z, pivots), [len(z)]))) for z in (x, y))
-                    if np.abs(cx - cy).sum() > n - 2 * least:
-                        continue
-                keep[i] = len(np.intersect1d(x, y, assume_unique=True)) >= least
+                keep[i] = (100 + percent) * len(np.intersect1d(x, y, assume_unique=True)) >= percent * (len(x) + len(y))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
     left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
@@ -266,44 +312,55 @@ def may_link(percent: int):
     return (q * F.least("na", "nb") >= p * F.greatest("na", "nb")) & ((q + p) * overlap >= p * (F.col("na") + F.col("nb")))
 
 
-def linked_sets(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Component (node, comp) of every node of ``entries``, over all pairs of sets that reach the similarity.
+def linked_sets(docs: DataFrame, reps: DataFrame, met: DataFrame, width: int, percent: int) -> DataFrame:
+    """Component (node, comp) of every node of ``reps``, over all pairs of sets that reach the similarity.
 
-    A star round pairs the sets of a token with one of them, so its pairs are no more than its entries; what it links needs no
-    further pair. The last round takes every pair of a token's sets that are in different components by then: those outside the
-    token's largest component against all. So no link between components is missed, and sets that are copies of each other in
-    thousands do not meet in all pairs.
+    The first pairs are those of pass two. A star round pairs the sets of a token with one of them, so its pairs are no more than its
+    entries; what is linked needs no further pair. The last round takes every pair of a token's sets that are in different
+    components by then: those outside the token's largest component against all. So no link between components is missed, and
+    sets that are copies of each other in thousands do not meet in all pairs.
     """
     entry = lambda s: [F.col("node").alias(s), F.col("pos").alias(f"p{s}"), F.col("n").alias(f"n{s}")]
-    nodes = cut(entries.select("node").distinct())
-    comp = nodes.select("node", F.col("node").alias("comp"))
-    done = links = None
+    entries = met.where("a is null").select("token", "node", "pos", "n")
     size = entries.count()
+    nodes = reps.select(F.col("node").alias("id"))
+    sets = links = done = None
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs and returns the components over all links so far."""
+        nonlocal sets, links, done
+        pairs = pairs.select("a", "b").distinct()
+        pairs = cut(unlike(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), reps, percent))
+        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        need = need if sets is None else need.join(sets.select("node"), "node", "left_anti")
+        more = cut(candidate_sets(docs, cut(need.join(reps.select("node", "text_key"), "node")), width))
+        release(docs.sparkSession)
+        sets = more if sets is None else sets.unionByName(more)
+        found = cut(verify(pairs, sets, percent))
+        done = pairs if done is None else done.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        out = cut(components(nodes, links).where("id <> component").select(F.col("id").alias("node"), F.col("component").alias("comp")))
+        release(docs.sparkSession)
+        return out
+
+    comp = check(met.where("a is not null"))
     for star in range(STARS + 1):
-        now = entries.join(comp, "node")
+        now = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         per = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-        open_ = per.groupBy("token").agg(F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum(F.col("m") * F.col("m")).alias("same")).where("same < m * m")
-        open_ = cut(open_)
+        open_ = cut(per.groupBy("token").agg(F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum(F.col("m") * F.col("m")).alias("same")).where("same < m * m"))
         left = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("x")).first().x or 0
         if not left:
             break
         now = cut(now.join(open_.select("token", "main"), "token"))
-        last = star == STARS or star > 0 and left <= PAIRS_PER_ENTRY * size
+        last = star == STARS or left <= PAIRS_PER_ENTRY * size
         if last:
             few = now.where("comp <> main").select("token", *entry("a"), F.col("comp").alias("ca"))
             other = now.select("token", *entry("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("main"))
             pairs = few.join(other, "token").where("ca <> cb and (main or a < b)")
         else:
-            heads = now.groupBy("token").agg(F.min_by(F.struct(*entry("a"), F.col("comp").alias("ca")), F.xxhash64(F.lit(star), "node") if star else F.col("node")).alias("h")).select("token", "h.*")
+            heads = now.groupBy("token").agg(F.min_by(F.struct(*entry("a"), F.col("comp").alias("ca")), F.xxhash64(F.lit(star), "node")).alias("h")).select("token", "h.*")
             pairs = now.select("token", *entry("b"), F.col("comp").alias("cb")).join(heads, "token").where("ca <> cb")
-        pairs = pairs.where(may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(verify(pairs, sets, percent))
-        done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comp = cut(components(nodes.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), F.col("component").alias("comp")))
+        comp = check(pairs.where(may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if last:
             break
     return comp
@@ -324,10 +381,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = keyed(rows, width)
-    per = table.where("part is null").select("doc_id", "text_key", "n", "node")
+    per = table.where("part is null").select("doc_id", "text_key", "n", "node", "sketch")
     entries = prefix_entries(rows, frequencies(table), width, percent)
-    sets = candidate_sets(rows, entries.select("node").distinct(), width)
-    comp = linked_sets(entries, sets, percent)
+    reps = cut(per.where("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "n", "sketch")).alias("r")).select("node", "r.*"))
+    release(docs.sparkSession)
+    comp = linked_sets(rows, reps, entries, width, percent)
     ids = per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
