@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tracegraph.plans import graph_keys, score_keys  # noqa: F401  (the second one registers into the first one's tables)
+
 
 def queries() -> dict:
-    return {}
+    return dict(graph_keys.Q)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(graph_keys.SQL)
