@@ -25,12 +25,11 @@ def key(name: str, twin: str | None = None, *views: str):
 
 
 def pulses(t: Tables):
-    """Orders as reports whose indicators are their parts and suppliers; every ninth indicator is blank."""
+    """Orders as reports whose indicators are their parts; every ninth indicator is blank."""
     li = t.lineitem
-    blank = lambda c, p: F.when(F.col("l_partkey") % 9 == 0, F.lit("  ")).otherwise(F.concat(F.lit(p), F.col(c).cast("string")))
-    one = lambda c, p, k: F.struct(blank(c, p).alias("indicator"), F.lit(k).alias("type"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created"))
+    name = F.when(F.col("l_partkey") % 9 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" D"), "l_partkey"))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("domain", "hostname", "IPv4", "URL", "CVE")]), (F.col("l_linenumber") % 5 + 1).cast("int"))
-    ind = li.select(F.col("l_orderkey").alias("id"), F.struct(blank("l_partkey", " D").alias("indicator"), kind.alias("type"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created")).alias("i"))
+    ind = li.select(F.col("l_orderkey").alias("id"), F.struct(name.alias("indicator"), kind.alias("type"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created")).alias("i"))
     return t.orders.select(F.col("o_orderkey").alias("id")).join(ind.groupBy("id").agg(F.collect_list("i").alias("indicators")), "id", "left")
 
 
@@ -202,14 +201,13 @@ def edge_reverse(t):
 
 
 SCOPE = ["G0", "G1", "G2", "G3"]
-TARGET = 'fx_target AS (SELECT id, "group" AS target, nation AS target_nation FROM fx_tags JOIN fx_aliases ON tag = alias WHERE line = (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = id))'
-TARGET = 'fx_target AS (SELECT id, arg_min("group", line) AS target, arg_min(nation, line) AS target_nation, count(*) AS n_iocs, string_agg(p_name, \' \' ORDER BY line) AS text FROM fx_tags JOIN fx_aliases ON tag = alias GROUP BY id)'
+TARGET = 'fx_target AS (SELECT id, arg_min("group", line::VARCHAR || tag) AS target, arg_min(nation, line::VARCHAR || tag) AS target_nation, count(*) AS n_iocs, string_agg(p_name, \' \' ORDER BY line, p_name) AS text FROM fx_tags JOIN fx_aliases ON tag = alias GROUP BY id)'
 
 
 def reports(t: Tables):
     """Orders with lines as reports: the group of the first line as target, its nation, number of lines, names as text."""
     rows = t.tags().join(F.broadcast(t.aliases().withColumnRenamed("alias", "tag")), "tag")
-    first = F.min_by(F.struct("group", "nation"), "line")
+    first = F.min_by(F.struct("group", "nation"), F.struct("line", "tag"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "p_name"))), lambda x: x["p_name"]), " ")
     return rows.groupBy("id").agg(first.alias("f"), F.count(F.lit(1)).alias("n_iocs"), text.alias("text")).select("id", F.col("f.group").alias("target"), F.col("f.nation").alias("target_nation"), "n_iocs", "text")
 

@@ -10,7 +10,6 @@ from tracegraph.functions import text as T
 from tracegraph.operators import attribute, clean, features, link, propagate, rank, stats
 from tracegraph.operators.lineage import settled, shared_folder
 from tracegraph.plans.graph_keys import AS_OF, SCOPE, TARGET, _views, key, reports
-from tracegraph.plans.graph_keys import SQL as _SQL
 
 TAU = 900.0
 
@@ -71,9 +70,6 @@ def event_mean_pool(t):
     return pooled.select("id", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in (0, 1, 63)])
 
 
-ENTROPY = "(SELECT coalesce(sum(-(k / n) * log2(k / n)), 0) FROM (SELECT count(*)::DOUBLE AS k, length({c})::DOUBLE AS n FROM (SELECT unnest(string_split({c}, '')) AS ch) GROUP BY ch))"
-
-
 @key("entropy_url", "SELECT page_id, round(e, 4) AS entropy FROM (SELECT page_id, sum(-(k / n) * log2(k / n)) AS e FROM (SELECT page_id, ch, count(*)::DOUBLE AS k, any_value(n)::DOUBLE AS n FROM (SELECT page_id, unnest(string_split(url, '')) AS ch, length(url) AS n FROM pages) GROUP BY 1, 2) GROUP BY 1)")
 def entropy_url(t):
     return t.pages.select("page_id", F.round(T.shannon_entropy(F.col("url")), 4).alias("entropy"))
@@ -454,14 +450,11 @@ def label_prop_4(t):
     return lp(t, 4).withColumn("score", F.round("score", 5))
 
 
-@key("lp_predict", f"WITH {{V}}, {LP4} SELECT id, arg_min(label, (-round(score, 9))::VARCHAR || label) AS x_, label AS predicted, round(score, 4) AS confidence FROM pr WHERE false GROUP BY ALL UNION ALL SELECT NULL, NULL, NULL, NULL WHERE false")
+@key("lp_predict", f"WITH {{V}}, {LP4} SELECT id, label AS predicted, round(score, 4) AS confidence FROM pr WHERE id IN (SELECT id FROM fx_event WHERE apt IS NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1")
 def lp_predict(t):
     return propagate.lp_predict(lp(t, 4), t.event().where("apt is null")).select("id", "predicted", "confidence")
 
 
-_SQL["lp_predict"] = f"WITH {{V}}, {LP4} SELECT id, label AS predicted, round(score, 4) AS confidence FROM pr WHERE id IN (SELECT id FROM fx_event WHERE apt IS NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1"
-
-
 def neighbors(t):
     edges = t.in_report().select(F.col("id").alias("dst"), F.col("ioc_type").alias("rel"), F.col("ioc").alias("src"))
     vecs = t.node_vec().select(F.col("ioc_type").alias("rel"), F.col("ioc").alias("src"), "vec")
