@@ -164,7 +164,7 @@ def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:
     rows = picked.select("lang", "text", "h").mapInArrow(sparse, "lang string, h long, ids array<int>, tf array<double>").toPandas()
     rows = rows.sort_values(["h", "lang"], kind="stable")
     at = {k: i for i, k in enumerate(langs)}
-    return fit([(at[k], np.asarray(i), np.asarray(t)) for k, i, t in zip(rows.lang, rows.ids, rows.tf, strict=True)], langs, idf)
+    return fit([(at[k], np.asarray(i, np.int64), np.asarray(t, np.float64)) for k, i, t in zip(rows.lang, rows.ids, rows.tf, strict=True)], langs, idf)
 
 
 def vectors(col: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
