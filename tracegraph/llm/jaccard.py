@@ -17,12 +17,17 @@ SLOTS, PART = 1 << 20, 1 << 14
 #: Power of two of the bits of the set filter that keeps pass three from hashing texts that have no candidate.
 FILTER = 24
 
-#: Star rounds before the last, exhaustive one; another is run while more than this many pairs per entry are left.
-STARS, PAIRS_PER_ENTRY = 4, 4
+#: Pairs left per entry up to which the exhaustive round runs at once; beyond, star rounds go before it as long as each halves what is left.
+PAIRS_PER_ENTRY = 4
+
+#: Words of parity bits per set that pairs of entries are compared by.
+ODD = 8
 
 #: Items between two pivots of the suffix filter, on average.
 PER_BUCKET = 6
 
+WORDS = [f"odd_{k}" for k in range(ODD)]
+
 _rng = np.random.default_rng(20240607)
 LETTER = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE = _rng.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,6 +84,15 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * ``ODD`` parts of the hash space whether the set has an odd number of items there, as ``ODD`` words.
+
+    Two sets differ in at least as many items as their words differ in bits.
+    """
+    odd = np.bincount((s >> np.uint64(64 - int(np.log2(64 * ODD)))).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def far_apart(x: bytes, y: bytes, na: int, nb: int, least: int) -> bool:
     """Suffix filter: whether the numbers of items between fixed pivots differ by more than the pair's items that may be unshared."""
     a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
@@ -108,13 +122,14 @@ def keyed(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.uint32)
-        names = ["doc_id", "text_key", "n", "node", "sketch", "part", "counts"]
+        names = ["doc_id", "text_key", "n", "node", "sketch", "part", "counts", *WORDS]
         for batch in batches:
-            ns, nodes, sketches, held = [], [], [], []
+            ns, nodes, sketches, odds, held = [], [], [], [], []
             for _, s in sets_of(batch.column(1), width):
                 ns.append(len(s))
                 nodes.append(key_of(s) if len(s) else None)
                 sketches.append(sketch_of(s) if len(s) else None)
+                odds.append(parities(s))
                 held.append(s)
                 if len(held) == 2000:
                     table += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
@@ -122,12 +137,12 @@ def keyed(docs: DataFrame, width: int) -> DataFrame:
             if held:
                 table += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.array(c) for c in np.array(odds, np.int64).reshape(m, ODD).T.copy()]], names)
         parts = [k for k in range(SLOTS // PART) if table[k * PART : (k + 1) * PART].any()]
         for k in parts:
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([table[k * PART : (k + 1) * PART].tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([table[k * PART : (k + 1) * PART].tobytes()], pa.binary()), *[pa.nulls(1, pa.int64())] * ODD], names)
 
-    return cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch binary, part int, counts binary"))
+    return cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch binary, part int, counts binary, " + ", ".join(f"{w} long" for w in WORDS)))
 
 
 def frequencies(table: DataFrame) -> np.ndarray:
@@ -306,10 +321,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def may_link(percent: int):
-    """Length and positional filter on two entries (pa, na) and (pb, nb) of a token: what is left after it bounds the overlap."""
+    """Length, positional and parity filter on two entries of a token: what is left after it bounds the overlap, and differing bits the rest."""
     p, q = F.lit(percent), F.lit(100)
     overlap = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return (q * F.least("na", "nb") >= p * F.greatest("na", "nb")) & ((q + p) * overlap >= p * (F.col("na") + F.col("nb")))
+    total = F.col("na") + F.col("nb")
+    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS), F.lit(0))
+    return (q * F.least("na", "nb") >= p * F.greatest("na", "nb")) & ((q + p) * overlap >= p * total) & ((q + p) * (total - differ) >= 2 * p * total)
 
 
 def linked_sets(docs: DataFrame, reps: DataFrame, met: DataFrame, width: int, percent: int) -> DataFrame:
@@ -320,15 +337,15 @@ def linked_sets(docs: DataFrame, reps: DataFrame, met: DataFrame, width: int, pe
     components by then: those outside the token's largest component against all. So no link between components is missed, and
     sets that are copies of each other in thousands do not meet in all pairs.
     """
-    entry = lambda s: [F.col("node").alias(s), F.col("pos").alias(f"p{s}"), F.col("n").alias(f"n{s}")]
+    entry = lambda s: [F.col("node").alias(s), F.col("pos").alias(f"p{s}"), F.col("n").alias(f"n{s}"), *[F.col(w).alias(f"{s}{w}") for w in WORDS]]
     entries = met.where("a is null").select("token", "node", "pos", "n")
     size = entries.count()
     nodes = reps.select(F.col("node").alias("id"))
-    sets = links = done = None
+    sets = done = None
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """Verifies pairs and returns the components over all links so far."""
-        nonlocal sets, links, done
+    def check(pairs: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+        """Verifies pairs and returns the components over their links and the ones so far."""
+        nonlocal sets, done
         pairs = pairs.select("a", "b").distinct()
         pairs = cut(unlike(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), reps, percent))
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -338,21 +355,23 @@ def linked_sets(docs: DataFrame, reps: DataFrame, met: DataFrame, width: int, pe
         sets = more if sets is None else sets.unionByName(more)
         found = cut(verify(pairs, sets, percent))
         done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        links = found if comp is None else found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         out = cut(components(nodes, links).where("id <> component").select(F.col("id").alias("node"), F.col("component").alias("comp")))
         release(docs.sparkSession)
         return out
 
     comp = check(met.where("a is not null"))
-    for star in range(STARS + 1):
+    before, last, star = float("inf"), False, 0
+    while not last:
         now = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         per = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
         open_ = cut(per.groupBy("token").agg(F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum(F.col("m") * F.col("m")).alias("same")).where("same < m * m"))
         left = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("x")).first().x or 0
         if not left:
             break
-        now = cut(now.join(open_.select("token", "main"), "token"))
-        last = star == STARS or left <= PAIRS_PER_ENTRY * size
+        now = cut(now.join(open_.select("token", "main"), "token").join(reps.select("node", *WORDS), "node"))
+        last = left <= PAIRS_PER_ENTRY * size or left > before / 2
+        before, star = left, star + 1
         if last:
             few = now.where("comp <> main").select("token", *entry("a"), F.col("comp").alias("ca"))
             other = now.select("token", *entry("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("main"))
@@ -360,9 +379,7 @@ def linked_sets(docs: DataFrame, reps: DataFrame, met: DataFrame, width: int, pe
         else:
             heads = now.groupBy("token").agg(F.min_by(F.struct(*entry("a"), F.col("comp").alias("ca")), F.xxhash64(F.lit(star), "node")).alias("h")).select("token", "h.*")
             pairs = now.select("token", *entry("b"), F.col("comp").alias("cb")).join(heads, "token").where("ca <> cb")
-        comp = check(pairs.where(may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if last:
-            break
+        comp = check(pairs.where(may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), comp)
     return comp
 
 
@@ -381,9 +398,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = keyed(rows, width)
-    per = table.where("part is null").select("doc_id", "text_key", "n", "node", "sketch")
+    per = table.where("part is null").select("doc_id", "text_key", "n", "node", "sketch", *WORDS)
     entries = prefix_entries(rows, frequencies(table), width, percent)
-    reps = cut(per.where("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "n", "sketch")).alias("r")).select("node", "r.*"))
+    reps = cut(per.where("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "n", "sketch", *WORDS)).alias("r")).select("node", "r.*"))
     release(docs.sparkSession)
     comp = linked_sets(rows, reps, entries, width, percent)
     ids = per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
