@@ -13,8 +13,14 @@ from tracegraph.llm.shared import cut, small
 
 
 def carried(docs: DataFrame, *columns: str) -> DataFrame:
-    """The rows as one column ``row``, beside which an operator may add columns of any name."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+    """The named columns, and all others as one column ``row``, so that an operator may add columns of any name."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in columns]
+    return docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), *columns)
+
+
+def restored(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of ``docs`` in their order, after ``carried`` with the same names."""
+    return rows.select(*[F.col(c) if c in columns else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +29,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(carried(docs, "text"), model)
     # without any labelled document there is no language to tell, and only texts without a letter go
     letters = F.col("text").rlike(r"\p{L}") if not model.langs else F.col("lang_pred") != langid.UNKNOWN
-    return found.where(letters).select("row.*")
+    return restored(found.where(letters), docs, "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +45,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     per = judged.groupBy(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text")).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     per = cut(per.where("not stays or n > 1"))
     match = lambda side: F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key").eqNullSafe(F.col("k_text")))
-    rows = carried(docs, "doc_id", key.alias("text_key"))
+    rows = carried(docs, "doc_id", "text").withColumn("text_key", key)
     kept = rows.join(small(per.select("k_id", "k_text")), match(per), "left_anti")
     again = per.where("stays")
     if not again.isEmpty():
         kept = kept.unionByName(rows.join(small(again.select("k_id", "k_text")), match(again), "left_semi").dropDuplicates(["doc_id", "text_key"]))
-    return kept.select("row.*")
+    return restored(kept, docs, "doc_id", "text")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +64,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, keeps or leaves out documents so that each source's words come near its target."""
     mixed = mixing.pareto_mix(carried(docs, "doc_id", "text", "source"))
-    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    names = ("doc_id", "text", "source")
+    return restored(mixed.where("copies > 0").select("row", *names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), docs, *names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
