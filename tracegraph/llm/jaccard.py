@@ -18,7 +18,8 @@ SLOTS, PART = 1 << 20, 1 << 14
 FILTER = 24
 
 #: Pairs left per entry up to which the exhaustive round runs at once; beyond, star rounds go before it as long as each halves what is left.
-PAIRS_PER_ENTRY = 4
+#: Looking at a pair is a few machine instructions, so a hundred cost about as much as moving the entry.
+PAIRS_PER_ENTRY = 100
 
 #: Words of parity bits per set that pairs of entries are compared by.
 ODD = 8
@@ -369,8 +370,9 @@ def linked_sets(docs: DataFrame, reps: DataFrame, met: DataFrame, width: int, pe
         left = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("x")).first().x or 0
         if not left:
             break
-        now = cut(now.join(open_.select("token", "main"), "token").join(reps.select("node", *WORDS), "node"))
         last = left <= PAIRS_PER_ENTRY * size or left > before / 2
+        now = now.join(open_.select("token", "main"), "token") if last else now.join(open_.select("token"), "token", "left_semi")
+        now = cut(now.join(reps.select("node", *WORDS), "node"))
         before, star = left, star + 1
         if last:
             few = now.where("comp <> main").select("token", *entry("a"), F.col("comp").alias("ca"))
