@@ -69,15 +69,19 @@ def dense_product(df: DataFrame, column: str, weights: np.ndarray, to: str) -> D
 
 
 def activate(vec, last: bool = False, eps: float = 1e-5):
-    """Layer norm, ReLU and unit length of an array column; a last layer stays as it is."""
+    """Layer norm, ReLU and unit length of an array column, a batch at a time; a last layer stays as it is."""
     if last:
         return vec
-    n = F.size(vec)
-    mean = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(vec, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    relu = F.transform(vec, lambda x: F.greatest((x - mean) / F.sqrt(var + eps), F.lit(0.0)))
-    length = F.sqrt(F.aggregate(relu, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(relu, lambda x: x / F.greatest(length, F.lit(1e-12)))
+
+    @F.pandas_udf("array<double>")
+    def unit(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        z = np.stack(x.to_numpy())
+        z = np.maximum((z - z.mean(1, keepdims=True)) / np.sqrt(z.var(1, keepdims=True) + eps), 0.0)
+        return pd.Series(list(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)), index=x.index)
+
+    return unit(vec)
 
 
 def sage_layer(own: DataFrame, neighbors: DataFrame, w_self: np.ndarray | None = None, w_neighbor: np.ndarray | None = None, last: bool = False) -> DataFrame:
