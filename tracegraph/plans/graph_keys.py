@@ -261,6 +261,15 @@ def event_adjacency(t):
     return link.event_adjacency(t.in_report("domain"), t.event()).groupBy("i").agg(F.count(F.lit(1)).alias("degree"), F.sum("j").alias("sum_j"))
 
 
+PAIRS = "p AS (SELECT DISTINCT a.id AS i, b.id AS j FROM fx_in_report a JOIN fx_in_report b ON a.ioc_type = b.ioc_type AND a.ioc = b.ioc WHERE a.id <> b.id)"
+
+
+@key("event_adjacency_all", f"WITH {{V}}, {PAIRS} SELECT i, count(*) AS degree, sum(j)::BIGINT AS sum_j FROM (SELECT * FROM p UNION ALL SELECT o_orderkey, o_orderkey FROM orders) GROUP BY i")
+def event_adjacency_all(t):
+    """Adjacency over indicators of all types; ``event_adjacency`` is over domains, as its SQL is."""
+    return link.event_adjacency(t.in_report(), t.event()).groupBy("i").agg(F.count(F.lit(1)).alias("degree"), F.sum("j").alias("sum_j"))
+
+
 @key("label_nation", "SELECT id, apt, nation FROM fx_event LEFT JOIN fx_label_dim ON apt = label", "fx_event", "fx_label_dim")
 def label_nation(t):
     return link.with_nation(t.event(), t.label_dim(), "apt").select("id", "apt", "nation")
@@ -293,6 +302,12 @@ def hop2_share(t):
     return link.hop2_share(t.in_report("domain"), t.event())
 
 
+@key("hop2_share_all", "WITH {V}, s AS (SELECT ioc_type, ioc FROM fx_in_report GROUP BY ioc_type, ioc HAVING count(*) > 1), l AS (SELECT count(DISTINCT id) AS n FROM fx_in_report JOIN s USING (ioc_type, ioc)) SELECT count(*) AS n_events, (SELECT n FROM l) AS n_linked, round((SELECT n FROM l) / count(*), 6) AS share FROM orders")
+def hop2_share_all(t):
+    """Share over indicators of all types; ``hop2_share`` is over domains, as its SQL is."""
+    return link.hop2_share(t.in_report(), t.event())
+
+
 @key("hop4_share", "WITH e AS (SELECT DISTINCT l_orderkey AS id, s_nationkey AS asn FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), s AS (SELECT asn FROM e GROUP BY asn HAVING count(*) > 1), l AS (SELECT count(DISTINCT id) AS n FROM e WHERE asn IN (SELECT asn FROM s)) SELECT count(*) AS n_events, (SELECT n FROM l) AS n_linked, round((SELECT n FROM l) / count(*), 6) AS share FROM orders")
 def hop4_share(t):
     return link.hop4_share(t.in_report("ip"), t.in_group(), t.event())
@@ -338,5 +353,5 @@ def _views(name: str, *views: str) -> None:
     SQL[name] = body.replace("{V}", head)
 
 
-for _n, _v in {"unambiguous_label": ("fx_tags", "fx_aliases"), "ioc_match": ("fx_requests",), "node_temporal": ("fx_resolves_to",), "title_pairs": ("fx_title",), "asn_enrich": ("fx_in_group",), "pdns_expand": ("fx_in_report", "fx_resolves_to"), "adhoc_attach": ("fx_requests",), "per_ioc_events": ("fx_requests",)}.items():
+for _n, _v in {"unambiguous_label": ("fx_tags", "fx_aliases"), "ioc_match": ("fx_requests",), "node_temporal": ("fx_resolves_to",), "title_pairs": ("fx_title",), "event_adjacency_all": ("fx_in_report",), "hop2_share_all": ("fx_in_report",), "asn_enrich": ("fx_in_group",), "pdns_expand": ("fx_in_report", "fx_resolves_to"), "adhoc_attach": ("fx_requests",), "per_ioc_events": ("fx_requests",)}.items():
     _views(_n, *_v)

@@ -426,33 +426,34 @@ DENSE = "z AS (SELECT o_orderkey AS id, l.label, coalesce(score, 0) AS score FRO
 LP4 = ", ".join([ADJ, F0, *[STEP.format(n=k + 1, p=k) for k in range(4)], DENSE.format(n=4)])
 
 
-def weights(t):
-    return propagate.sym_normalize(settled(link.event_adjacency(t.in_report("domain"), t.event())))
+def weights(t, *kinds: str):
+    """Normalised adjacency over indicators of the types; of all without any."""
+    return propagate.sym_normalize(settled(link.event_adjacency(t.in_report(*kinds), t.event())))
 
 
-def lp(t, iters: int):
+def lp(t, iters: int, *kinds: str):
     seeds = t.event().where("apt is not null").select("id", F.col("apt").alias("label"))
-    return propagate.label_propagation(weights(t), seeds, t.label_dim(), iters)
+    return propagate.label_propagation(weights(t, *kinds), seeds, t.label_dim(), iters)
 
 
 @key("sym_normalize", f"WITH {ADJ} SELECT i, count(*) AS n, round(sum(w), 5) AS sum_w FROM w GROUP BY i")
 def sym_normalize(t):
-    return weights(t).groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 5).alias("sum_w"))
+    return weights(t, "domain").groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 5).alias("sum_w"))
 
 
 @key("label_prop_1", f"WITH {{V}}, {ADJ}, {F0}, {STEP.format(n=1, p=0)}, {DENSE.format(n=1)} SELECT id, label, round(score, 5) AS score FROM pr")
 def label_prop_1(t):
-    return lp(t, 1).withColumn("score", F.round("score", 5))
+    return lp(t, 1, "domain").withColumn("score", F.round("score", 5))
 
 
 @key("label_prop_4", f"WITH {{V}}, {LP4} SELECT id, label, round(score, 5) AS score FROM pr")
 def label_prop_4(t):
-    return lp(t, 4).withColumn("score", F.round("score", 5))
+    return lp(t, 4, "domain").withColumn("score", F.round("score", 5))
 
 
 @key("lp_predict", f"WITH {{V}}, {LP4} SELECT id, label AS predicted, round(score, 4) AS confidence FROM pr WHERE id IN (SELECT id FROM fx_event WHERE apt IS NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1")
 def lp_predict(t):
-    return propagate.lp_predict(lp(t, 4), t.event().where("apt is null")).select("id", "predicted", "confidence")
+    return propagate.lp_predict(lp(t, 4, "domain"), t.event().where("apt is null")).select("id", "predicted", "confidence")
 
 
 def neighbors(t):
@@ -475,13 +476,19 @@ def layer_relu_l2(t):
     return out.select(F.col("id").alias("vec_id"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.col("vec")[0], 5).alias("v0"))
 
 
+def near_and_far(t):
+    """Events' pooled vectors of indicators of all types, and the pooled means of the events that list those indicators."""
+    pooled = settled(stats.event_mean_pool(t.in_report(), t.node_vec(), t.event(), 64))
+    means = t.in_report().select("id", "ioc_type", "ioc").join(pooled, "id").groupBy("ioc_type", "ioc").agg(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(64)])
+    by_ioc = means.select("ioc_type", "ioc", F.array(*[f"m{i}" for i in range(64)]).alias("vec"))
+    return pooled, stats.event_mean_pool(t.in_report(), by_ioc, t.event(), 64)
+
+
 @key("train_cv_metrics")
 def train_cv_metrics(t):
     """Events' pooled indicator vectors with those of events one indicator away, under a weighted regression by folds."""
-    pooled = settled(stats.event_mean_pool(t.in_report("domain"), t.node_vec(), t.event(), 64))
-    edges = t.in_report("domain").select("id", "ioc")
-    by_ioc = edges.join(pooled, "id").groupBy("ioc").agg(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(64)]).select("ioc", F.array(*[f"m{i}" for i in range(64)]).alias("vec"), F.lit("domain").alias("ioc_type"))
-    far = stats.event_mean_pool(t.in_report("domain"), by_ioc, t.event(), 64).withColumnRenamed("vec", "far")
+    pooled, far = near_and_far(t)
+    far = far.withColumnRenamed("vec", "far")
     w = clean.sample_confidence(F.col("label_confidence"), F.lit(None).cast("double")) * T.decay_weight(F.col("age_days"), TAU)
     labeled = rank.stratified_folds(clean.encode_labels(aged(t), t.label_dim()).where("y >= 0"), "y")
     rows = labeled.join(pooled, "id").join(far, "id").select(array_to_vector(F.concat("vec", "far")).alias("features"), F.col("y").cast("double").alias("y"), w.alias("weight"), "fold")
