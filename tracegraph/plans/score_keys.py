@@ -565,7 +565,7 @@ def _stream(t):
 def stream_intake(t):
     intake, stream = _stream(t)
     landed, state = shared_folder(t.spark), shared_folder(t.spark)
-    intake.intake(stream, landed, state, "event_id", "ts", "3650 days")
+    intake.intake(stream, landed, state, "event_id", "ts")
     return t.spark.read.parquet(landed).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("timestamp_ntz").alias("first_ts"))
 
 
