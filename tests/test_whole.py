@@ -2,8 +2,10 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 
+from tracegraph.operators import features
 from tracegraph.plans import registry, score_keys
 from tracegraph.sources.fixtures import Tables
 
@@ -48,3 +50,17 @@ def test_pooled_neighbours_of_every_type(spark, folder):
     assert vec(near) == pytest.approx({1: (101 + 7 + 1) / 3, 2: (102 + 7) / 2, 3: (204 + 8 + 4) / 3, 4: (214 + 9 + 4) / 3, 5: (105 + 10) / 2})
     mid = ((101 + 7 + 1) / 3 + (102 + 7) / 2) / 2
     assert vec(far)[2] == pytest.approx(((102 + 7) / 2 + mid) / 2)
+
+
+def test_smote_neighbours_are_those_of_the_whole_class(spark):
+    rng = np.random.default_rng(3)
+    x = {i: [float(v) for v in rng.integers(0, 4, 3)] for i in range(90)}
+    of = lambda i: "a" if i < 50 else "b"
+    rows = spark.createDataFrame([(i, of(i), v, 1.0) for i, v in x.items()], "k int, y string, v array<double>, w double")
+    got = {}
+    for r in features.smote_neighbors(rows, "y", "v", "k", block=7).orderBy("a", "r").collect():
+        got.setdefault(r.a, []).append(r.b)
+    d = lambda i, j: sum((p - q) ** 2 for p, q in zip(x[i], x[j], strict=True))
+    assert got == {i: sorted((j for j in range(50, 90) if j != i), key=lambda j, i=i: (d(i, j), j))[:5] for i in range(50, 90)}
+    alone = spark.createDataFrame([(i, "a" if i < 6 else "b", [float(i)], 1.0) for i in range(9)], "k int, y string, v array<double>, w double")
+    assert features.smote(alone, "y", "v", "k", "w", block=1).count() == 3

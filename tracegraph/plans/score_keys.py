@@ -417,6 +417,15 @@ def smote_rows(t):
     return features.smote(rows, "label", "v", "vec_id", "w").groupBy("label").agg(F.count(F.lit(1)).alias("made"), F.max(F.size("vec")).alias("width"))
 
 
+@key("smote_neighbors", """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), k AS (SELECT label, (SELECT least(5, greatest(1, min(n) - 1)) FROM c) AS k FROM c WHERE n < (SELECT max(n) FROM c)),
+p AS (SELECT label, a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2 AS d FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id),
+r AS (SELECT * FROM p JOIN k USING (label) QUALIFY row_number() OVER (PARTITION BY label, a ORDER BY d, b) <= k) SELECT label, count(*) AS n, round(sum(d), 4) AS sum_d FROM r GROUP BY label""")
+def smote_neighbors(t):
+    """Number and squared distances of the neighbours that ``smote_rows`` draws from."""
+    rows = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return features.smote_neighbors(rows, "label", "v", "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d"), 4).alias("sum_d"))
+
+
 # propagation over events that share a part
 ADJ = """e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ioc FROM lineitem), adj AS MATERIALIZED (SELECT DISTINCT a.id AS i, b.id AS j FROM e a JOIN e b ON a.ioc = b.ioc UNION SELECT o_orderkey, o_orderkey FROM orders),
 deg AS (SELECT i, count(*) AS d FROM adj GROUP BY i), w AS MATERIALIZED (SELECT a.i, a.j, 1 / sqrt(x.d * y.d) AS w FROM adj a JOIN deg x ON x.i = a.i JOIN deg y ON y.i = a.j)"""
