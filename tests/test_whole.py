@@ -64,3 +64,12 @@ def test_smote_neighbours_are_those_of_the_whole_class(spark):
     assert got == {i: sorted((j for j in range(50, 90) if j != i), key=lambda j, i=i: (d(i, j), j))[:5] for i in range(50, 90)}
     alone = spark.createDataFrame([(i, "a" if i < 6 else "b", [float(i)], 1.0) for i in range(9)], "k int, y string, v array<double>, w double")
     assert features.smote(alone, "y", "v", "k", "w", block=1).count() == 3
+
+
+def test_node_temporal_takes_all_edges(spark, folder, tmp_path):
+    out = str(tmp_path)
+    lines = [(1, 7, datetime(1998, 1, 2)), (2, 7, datetime(1998, 1, 5)), (8, 8, datetime(1999, 5, 31))]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_shipdate timestamp").write.parquet(f"{out}/lineitem.parquet")
+    spark.read.parquet(f"{folder}/supplier.parquet").write.parquet(f"{out}/supplier.parquet")
+    got = {r.ip: (r.lifespan_days, r.recency_days) for r in registry.queries()["node_temporal_all"](spark, out).collect()}
+    assert got == {7: (3.0, 512.0), 8: (0.0, 1.0), 9: (0.0, 0.0), 10: (0.0, 0.0)}

@@ -243,6 +243,13 @@ def node_temporal(t):
     return link.attach_temporal(t.supplier.select(F.col("s_suppkey").alias("ip")), seen, "ip")
 
 
+@key("node_temporal_all", f"WITH {{V}} SELECT s_suppkey AS ip, round(coalesce(epoch_us(max(last_seen)) - epoch_us(min(first_seen)), 0) / 8.64e10, 4) AS lifespan_days, round(greatest(coalesce(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(last_seen)), 0) / 8.64e10, 0), 4) AS recency_days FROM supplier LEFT JOIN fx_resolves_to ON ip = s_suppkey GROUP BY 1")
+def node_temporal_all(t):
+    """Over all resolution edges; ``node_temporal`` is over every seventh domain's, as its SQL is."""
+    seen = stats.seen_span(t.resolves_to(), "ip", F.lit(AS_OF).cast("timestamp"))
+    return link.attach_temporal(t.supplier.select(F.col("s_suppkey").alias("ip")), seen, "ip")
+
+
 @key("title_pairs", """WITH {V}, s AS (SELECT doc_id, lang, list_distinct(list_transform(list_filter(regexp_extract_all(title, '[A-Za-z0-9]+'), lambda x: length(x) >= 3), lambda x: lower(x))) AS s FROM fx_title)
 SELECT * FROM (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity
  FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) WHERE similarity >= 0.92""")
@@ -353,5 +360,5 @@ def _views(name: str, *views: str) -> None:
     SQL[name] = body.replace("{V}", head)
 
 
-for _n, _v in {"unambiguous_label": ("fx_tags", "fx_aliases"), "ioc_match": ("fx_requests",), "node_temporal": ("fx_resolves_to",), "title_pairs": ("fx_title",), "event_adjacency_all": ("fx_in_report",), "hop2_share_all": ("fx_in_report",), "asn_enrich": ("fx_in_group",), "pdns_expand": ("fx_in_report", "fx_resolves_to"), "adhoc_attach": ("fx_requests",), "per_ioc_events": ("fx_requests",)}.items():
+for _n, _v in {"unambiguous_label": ("fx_tags", "fx_aliases"), "ioc_match": ("fx_requests",), "node_temporal": ("fx_resolves_to",), "node_temporal_all": ("fx_resolves_to",), "title_pairs": ("fx_title",), "event_adjacency_all": ("fx_in_report",), "hop2_share_all": ("fx_in_report",), "asn_enrich": ("fx_in_group",), "pdns_expand": ("fx_in_report", "fx_resolves_to"), "adhoc_attach": ("fx_requests",), "per_ioc_events": ("fx_requests",)}.items():
     _views(_n, *_v)
