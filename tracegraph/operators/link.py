@@ -78,8 +78,14 @@ def title_pairs(titles: DataFrame, key: str, label: str, text: str, threshold: f
 def title_dedup(titles: DataFrame, key: str, label: str, text: str, threshold: float = 0.92) -> DataFrame:
     """Keeps a title unless an earlier kept one of its label is a near-duplicate; dropped titles drop no other.
 
-    Each round decides the titles whose earlier matches are all decided, so there are as many rounds as the longest chain of matches.
+    Of titles with equal sets all but the first go at once: it is kept, or what drops it drops them too. Each round decides the titles
+    whose earlier matches are all decided, so there are as many rounds as the longest chain of matches.
     """
+    tokens = titles.select(F.col(key).alias("k"), F.col(label).alias("l"), F.array_sort(T.title_tokens(F.col(text))).alias("s")).where((F.size("s") > 0) & F.col("l").isNotNull())
+    rows = tokens.select("k", "l", F.xxhash64("l", "s").alias("set_id"))
+    firsts = rows.groupBy("l", "set_id").agg(F.min("k").alias("first"))
+    copies = rows.join(firsts, ["l", "set_id"]).where(F.col("k") > F.col("first")).select(F.col("k").alias(key))
+    titles = titles.join(copies, key, "left_anti")
     pairs = settled(title_pairs(titles, key, label, text, threshold).select("a", "b").distinct())
     decided = pairs.select(F.col("a").alias("k")).distinct().join(pairs.select(F.col("b").alias("k")), "k", "left_anti").withColumn("kept", F.lit(True))
     while True:

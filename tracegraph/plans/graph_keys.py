@@ -257,9 +257,17 @@ def title_pairs(t):
     return link.title_pairs(t.title(), "doc_id", "lang", "title").select("lang", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@key("text_pairs", """WITH s AS (SELECT doc_id, lang, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: length(x) >= 3), lambda x: lower(x))) AS s FROM documents)
+SELECT * FROM (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity
+ FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) WHERE similarity >= 0.92""")
+def text_pairs(t):
+    """Pairs of whole texts; ``title_pairs`` compares their first 12 words, as its SQL does."""
+    return link.title_pairs(t.whole_text(), "doc_id", "lang", "title").select("lang", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @key("title_dedup")
 def title_dedup(t):
-    return link.title_dedup(t.title(), "doc_id", "lang", "title")
+    return link.title_dedup(t.whole_text(), "doc_id", "lang", "title")
 
 
 @key("event_adjacency", """WITH e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ioc FROM lineitem), p AS (SELECT DISTINCT a.id AS i, b.id AS j FROM e a JOIN e b ON a.ioc = b.ioc WHERE a.id <> b.id)

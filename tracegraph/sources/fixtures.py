@@ -80,6 +80,10 @@ class Tables:
         words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda x: x != "")
         return self.documents.select("doc_id", "lang", F.array_join(F.slice(words, 1, 12), " ").alias("title"))
 
+    def whole_text(self) -> DataFrame:
+        """Texts to be compared whole, under the columns of ``title``."""
+        return self.documents.select("doc_id", "lang", F.col("text").alias("title"))
+
     def votes(self) -> DataFrame:
         return self.lineitem.select("l_orderkey", F.col("l_partkey").alias("ioc")).join(self.event().where("apt is not null").select(F.col("id").alias("l_orderkey"), "apt"), "l_orderkey").select("ioc", "apt")
 
