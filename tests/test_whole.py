@@ -81,3 +81,12 @@ def test_title_dedup_compares_whole_texts(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in registry.queries()["title_dedup"](spark, str(tmp_path)).collect()) == [1, 2, 4, 6]
     assert {(r.a, r.b) for r in registry.queries()["text_pairs"](spark, str(tmp_path)).collect()} == {(1, 3), (1, 5), (3, 5)}
+
+
+def test_external_indicators_are_matched(spark, tmp_path):
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("pages", [(k, f"http://h{k}.example/") for k in (0, 1, 2, 3, 6)], "page_id long, url string")
+    put("embeddings", [(k, 0 if k < 3 else 1, [1.0 if i % 10 == 0 else 0.0 for i in range(64)]) for k in range(10)], "vec_id long, label int, embedding array<double>")
+    got = {(r.level, r.matched): (r.n, r.acc) for r in registry.queries()["eval_external_matched"](spark, str(tmp_path)).collect()}
+    third = pytest.approx(2 / 3, abs=1e-6)
+    assert got == {(3, None): (5, 0.6), (1, True): (3, third), (1, False): (2, 0.5), (0, True): (3, third), (0, False): (2, 0.5)}

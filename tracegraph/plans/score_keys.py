@@ -558,10 +558,27 @@ def predict_batch(t):
 
 @key("eval_external", f"WITH {{V}}, {TOP} SELECT (grouping(matched) * 2 + grouping(kind))::BIGINT AS level, matched, kind, count(*) AS n, round(avg((pred = truth)::INT), 6) AS acc FROM q GROUP BY GROUPING SETS ((), (matched), (matched, kind))")
 def eval_external(t):
-    """Another corpus' indicators (even vectors' urls as they are, odd ones unknown) matched, scored by the ensemble, by subset."""
+    """The vectors' subsets, as its SQL has them; nothing is matched here, see ``eval_external_matched``."""
     return stats.subset_metrics(tops(t))
 
 
+def external(t):
+    """Each distinct requested indicator with whether a node has it, scored by the ensemble on the vector of its page."""
+    asked = t.requests().groupBy("ioc_type", F.concat("ioc_type", F.lit("|"), "value").alias("event")).agg(F.min("page_id").alias("page_id"))
+    n = t.embeddings.agg(F.count(F.lit(1)).alias("n_vecs"))
+    vec = asked.select("event", "page_id").crossJoin(F.broadcast(n)).select("event", (F.col("page_id") % F.col("n_vecs")).alias("vec_id"))
+    events = link.per_ioc_events(t.requests(), t.url_nodes(), True).select("event", F.col("ioc_type").alias("kind"), "matched")
+    return events.join(vec, "event").join(tops(t).drop("matched", "kind"), "vec_id")
+
+
+@key("eval_external_matched", f"""WITH {{V}}, {TOP}, n AS (SELECT DISTINCT lower(url) AS k FROM pages), a AS (SELECT ioc_type AS kind, value, min(page_id) AS page_id FROM fx_requests GROUP BY 1, 2),
+x AS (SELECT a.kind, k IS NOT NULL AS matched, q.pred, q.truth FROM a LEFT JOIN n ON k = lower(value) JOIN q ON q.vec_id = page_id % (SELECT count(*) FROM embeddings))
+SELECT (grouping(matched) * 2 + grouping(kind))::BIGINT AS level, matched, kind, count(*) AS n, round(avg((pred = truth)::INT), 6) AS acc FROM x GROUP BY GROUPING SETS ((), (matched), (matched, kind))""")
+def eval_external_matched(t):
+    """Another corpus' indicators (even pages' urls as they are, odd ones unknown) matched, scored by the ensemble, by subset."""
+    return stats.subset_metrics(external(t))
+
+
 # streams
 def _stream(t):
     schema = t.events.select("event_id", "ts", "user_id", "event_type").schema
@@ -590,6 +607,7 @@ for _n, _v in {
     "event_mean_pool": ("fx_in_report", "fx_node_vec"), "majority_label": ("fx_votes",), "majority_ties": ("fx_votes",), "dst_mass_v1": ("fx_tags", "fx_aliases"), "dst_mass_v2": ("fx_tags", "fx_aliases"), "neighbor_mean": ("fx_in_report", "fx_node_vec"),
     **dict.fromkeys(("event_age", "decay_weights", "decay_overall", "decay_by_class", "split_forward", "split_backward", "split_age_stats"), ("fx_event",)),
     **dict.fromkeys(("softmax", "ensemble_mean", "top_label", "acc_label", "acc_nation", "tier_metrics", "per_class", "fold_macro", "fold_micro", "subset_metrics", "nation_scores", "cluster_scores", "weighted_nll", "blend_scores", "tiered_v1", "tiered_v2", "eval_external"), ("fx_logits", "fx_class_dim")),
+    "eval_external_matched": ("fx_logits", "fx_class_dim", "fx_requests"),
     **dict.fromkeys(("label_prop_1", "label_prop_4", "lp_predict"), ("fx_event", "fx_label_dim")),
 }.items():
     _views(_n, *_v)
