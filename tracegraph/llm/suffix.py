@@ -4,9 +4,10 @@ Rolling hashes of ``K`` bytes trigger phrases: every ``length``-byte string belo
 belong to phrases with equal triggers, at equal places. A phrase holds whole all strings that belong to it, and so overlaps the
 next one by ``length`` - 1 bytes. The distinct phrases are the dictionary; which phrase stands where is the parse. A string repeats
 in the corpus just when its phrase occurs twice in the parse, or when the suffixes of two dictionary phrases that start at their
-strings agree for ``length`` bytes. Suffixes of phrases with one trigger are ordered by their common part first (cells of
-``CELL`` neighbouring strings share a core), then whole, so that equal ones meet; the parse carries what the dictionary shows
-back to the texts.
+strings agree for ``length`` bytes. Suffixes are not ordered: no suffix array of the dictionary or of the parse is built. Suffixes
+of phrases with one trigger are grouped by 64-bit hashes of their common part first (cells of ``CELL`` neighbouring strings share a
+core), then of the whole string, so that equal ones meet; only equality for ``length`` bytes is asked for, and groups spread
+over tasks where an order would need sorted ranges. The parse carries what the dictionary shows back to the texts.
 """
 
 from __future__ import annotations
