@@ -4,8 +4,9 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracegraph.operators import features
+from tracegraph.operators import features, rank
 from tracegraph.plans import registry, score_keys
 from tracegraph.sources.fixtures import Tables
 
@@ -90,3 +91,12 @@ def test_external_indicators_are_matched(spark, tmp_path):
     got = {(r.level, r.matched): (r.n, r.acc) for r in registry.queries()["eval_external_matched"](spark, str(tmp_path)).collect()}
     third = pytest.approx(2 / 3, abs=1e-6)
     assert got == {(3, None): (5, 0.6), (1, True): (3, third), (1, False): (2, 0.5), (0, True): (3, third), (0, False): (2, 0.5)}
+
+
+def test_ranks_within_a_class_come_from_several_ranges(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") < 390, "a").when(F.col("id") < 395, "b").alias("y"), F.lit(1).alias("x"))
+    got = rank.ranked(df, ["y"], [F.desc("id")], "r")
+    want = {i: 390 - i if i < 390 else 395 - i if i < 395 else 400 - i for i in range(400)}
+    assert {r.id: r.r for r in got.collect()} == want
+    plan = rank.stratified_folds(df, "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan

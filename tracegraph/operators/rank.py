@@ -14,25 +14,44 @@ def top_label(scores: DataFrame, key: str = "vec_id") -> DataFrame:
     return best.select(key, "pred", F.round("p", 4).alias("confidence"))
 
 
+def ranked(df: DataFrame, keys: list[str], order: list, to: str) -> DataFrame:
+    """Adds ``to``, the rank from 1 of each row within its keys, without gathering the rows of a key in one task.
+
+    Rows are sorted into ranges by keys and order; what comes before a range is a sum over ranges for each key. Null keys are a key.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", *keys, (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).alias("_before"))
+    before = before.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
+    at = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        at = at & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    return ranged.withColumn(to, inside).join(F.broadcast(before), at).select(*df.columns, (F.col(to) + F.col("_before")).alias(to))
+
+
 def chrono_split(aged: DataFrame, mode: str, share: float = 0.7, seed: int = 42) -> DataFrame:
     """Adds ``train`` per class: the oldest (forward), newest (backward) or a hashed (random) share, at least one row and not all; a class of one trains."""
     order = {"forward": [F.desc("age_days"), "id"], "backward": ["age_days", "id"], "random": [F.xxhash64("id", F.lit(seed)), "id"]}[mode]
-    n = F.count(F.lit(1)).over(Window.partitionBy("apt"))
+    n = F.col("_n")
     cut = F.greatest(F.least(F.bround(n * share), n - 1), F.lit(1))
-    return aged.where("apt is not null").withColumn("train", F.row_number().over(Window.partitionBy("apt").orderBy(*order)) <= cut)
+    rows = ranked(aged.where("apt is not null"), ["apt"], order, "_r")
+    sizes = rows.groupBy("apt").agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(F.broadcast(sizes), "apt").select(*aged.columns, (F.col("_r") <= cut).alias("train"))
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int | None = 42) -> DataFrame:
     """Adds ``fold``, 0 to k - 1, equal in number to one row per class; in order of a hash, or of the id without a seed."""
     order = [F.xxhash64("id", F.lit(seed)), "id"] if seed is not None else ["id"]
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1) % k)
+    return ranked(df, [label], order, "fold").withColumn("fold", (F.col("fold") - 1) % k)
 
 
 def nested_folds(df: DataFrame, label: str, k: int = 5) -> DataFrame:
     """Folds in order of id, and each fold's rows of a class in turn validation and test."""
     folds = stratified_folds(df, label, k, None)
-    turn = (F.row_number().over(Window.partitionBy("fold", label).orderBy("id")) - 1) % 2
-    return folds.withColumn("part", F.when(turn == 0, "val").otherwise("test"))
+    turn = (F.col("part") - 1) % 2
+    return ranked(folds, ["fold", label], ["id"], "part").withColumn("part", F.when(turn == 0, "val").otherwise("test"))
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
