@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import bit_table, buffers, chunks, components, cut, has_bit, mix64, release
+from tracegraph.llm.shared import bit_table, buffers, chunks, components, cut, has_bit, mix64, tidy
 
 #: Slots of the shingle frequency table (hashed, so its size does not grow), and of them in one shipped part.
 SLOTS, PART = 1 << 20, 1 << 14
@@ -17,12 +17,17 @@ SLOTS, PART = 1 << 20, 1 << 14
 #: Power of two of the bits of the set filter that keeps pass three from hashing texts that have no candidate.
 FILTER = 24
 
-#: Pairs left per entry up to which the exhaustive round runs at once; beyond, star rounds go before it as long as each halves what is left.
-#: Looking at a pair is a few machine instructions, so a hundred cost about as much as moving the entry.
-PAIRS_PER_ENTRY = 100
+#: Entries of a token that a task compares with as many others, on average; more are cut into blocks.
+BLOCK = 1000
+
+#: Pairs per entry that a group gives out at once; of a group with more, edges that span it first.
+GIVEN = 2
+
+#: Rounds after which all pairs that are left are given out; they are so before, if spanning edges hold less than this share of links.
+ROUNDS, LIKELY = 8, 0.9
 
 #: Words of parity bits per set that pairs of entries are compared by.
-ODD = 8
+ODD = 16
 
 #: Items between two pivots of the suffix filter, on average.
 PER_BUCKET = 6
@@ -73,9 +78,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
             yield np.unique(joined[a : b - width + 1])
 
 
-def key_of(s: np.ndarray) -> int:
-    """A signed 64-bit key of a set, by which equal sets are one node."""
-    return int(mix64(np.array([np.sum(mix64(s ^ BASE), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def hashed(s: np.ndarray, seed: int) -> int:
+    return int(mix64(np.array([np.sum(mix64(s ^ np.uint64(seed)), dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
+def key_of(s: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    """A signed 64-bit key of a set, by which equal sets are one node; for keys in ``clashes``, which different sets have, another one."""
+    key = hashed(s, 0x9E3779B97F4A7C15)
+    return key if key not in clashes else hashed(s, 0xD1B54A32D192ED03)
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -119,31 +129,40 @@ def sets_of(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def keyed(docs: DataFrame, width: int) -> DataFrame:
-    """Pass one. A row per document (doc_id, text_key, n, node, sketch; node null for empty sets), and rows (part, counts) of shingle frequencies."""
+    """Pass one. A row per document (doc_id, text_key, n, node, again, sketch; node null for empty sets), and rows (part, counts) of shingle frequencies.
+
+    ``again`` is a second key of the set; where it differs under one node, the node's sets do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(SLOTS, np.uint32)
-        names = ["doc_id", "text_key", "n", "node", "sketch", "part", "counts", *WORDS]
+        names = ["doc_id", "text_key", "n", "node", "again", "sketch", "part", "counts", *WORDS]
+
+        def count(held: list[np.ndarray]) -> None:
+            table[:] += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+
         for batch in batches:
-            ns, nodes, sketches, odds, held = [], [], [], [], []
+            ns, nodes, again, sketches, odds, held, size = [], [], [], [], [], [], 0
             for _, s in sets_of(batch.column(1), width):
                 ns.append(len(s))
                 nodes.append(key_of(s) if len(s) else None)
+                again.append(key_of(s, frozenset(nodes[-1:])) if len(s) else None)
                 sketches.append(sketch_of(s) if len(s) else None)
                 odds.append(parities(s))
                 held.append(s)
-                if len(held) == 2000:
-                    table += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-                    held = []
+                size += len(s)
+                if size > 1 << 20:
+                    count(held)
+                    held, size = [], 0
             if held:
-                table += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                count(held)
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.array(c) for c in np.array(odds, np.int64).reshape(m, ODD).T.copy()]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(again, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.array(c) for c in np.array(odds, np.int64).reshape(m, ODD).T.copy()]], names)
         parts = [k for k in range(SLOTS // PART) if table[k * PART : (k + 1) * PART].any()]
         for k in parts:
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([table[k * PART : (k + 1) * PART].tobytes()], pa.binary()), *[pa.nulls(1, pa.int64())] * ODD], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 5, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([table[k * PART : (k + 1) * PART].tobytes()], pa.binary()), *[pa.nulls(1, pa.int64())] * ODD], names)
 
-    return cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch binary, part int, counts binary, " + ", ".join(f"{w} long" for w in WORDS)))
+    return cut(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(run), "doc_id long, text_key long, n long, node long, again long, sketch binary, part int, counts binary, " + ", ".join(f"{w} long" for w in WORDS)))
 
 
 def frequencies(table: DataFrame) -> np.ndarray:
@@ -166,7 +185,7 @@ def frequencies(table: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_entries(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+def prefix_entries(docs: DataFrame, counts: np.ndarray, width: int, percent: int, clashes: frozenset[int]) -> DataFrame:
     """Pass two, over the rarest shingles of each set: pairs (a, b) and entries (token, node, pos, n), in one table.
 
     Order of shingles: frequency by the table, then hash; a total order, the same for all. The entries meet by token, and as the sorted
@@ -189,7 +208,7 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, width: int, percent: int
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "node", "pos", "n", "salt"])
 
             for _, s in sets_of(batch.column(0), width):
-                if not len(s) or (node := key_of(s)) in seen:
+                if not len(s) or (node := key_of(s, clashes)) in seen:
                     continue
                 seen.add(node)
                 n = len(s)
@@ -250,8 +269,10 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, width: int, percent: int
         return pa.RecordBatch.from_arrays([*pair, *rest], ["a", "b", "token", "node", "pos", "n"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = docs.select("text").mapInArrow(run, "token long, node long, pos int, n int, salt int")
-    return cut(entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "node").mapInArrow(met, "a long, b long, token long, node long, pos int, n int"))
+    entries = docs.select("text").mapInArrow(tidy(run), "token long, node long, pos int, n int, salt int")
+    out = cut(entries.repartition(parts, "token", "salt").sortWithinPartitions("token", "node").mapInArrow(tidy(met), "a long, b long, token long, node long, pos int, n int"))
+    shared.destroy()
+    return out
 
 
 def close(pa_: np.ndarray, na: np.ndarray, pb: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -260,7 +281,7 @@ def close(pa_: np.ndarray, na: np.ndarray, pb: np.ndarray, nb: np.ndarray, perce
     return (100 * np.minimum(na, nb).astype(np.int64) >= percent * np.maximum(na, nb)) & ((100 + percent) * overlap >= percent * (na + nb).astype(np.int64))
 
 
-def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int, clashes: frozenset[int]) -> DataFrame:
     """Pass three. Node and set of every row of ``nodes`` (node, text_key). A bit table of fixed size spares the other texts."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.col("text_key").alias("key")), FILTER))
 
@@ -270,7 +291,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             batch = batch.filter(pa.array(has_bit(shared.value, np.asarray(batch.column(1)))))
             keys, rows, size = [], [], 0
             for _, s in sets_of(batch.column(0), width):
-                if not len(s) or (node := key_of(s)) in seen:
+                if not len(s) or (node := key_of(s, clashes)) in seen:
                     continue
                 seen.add(node)
                 keys.append(node)
@@ -285,8 +306,10 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         at = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(at, np.concatenate(rows) if rows else np.zeros(0, np.int64))], ["node", "items"])
 
-    sets = docs.select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "node long, items array<long>")
-    return sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = docs.select("text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(run), "node long, items array<long>")
+    out = cut(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    shared.destroy()
+    return out
 
 
 def unlike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -321,67 +344,166 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def may_link(percent: int):
-    """Length, positional and parity filter on two entries of a token: what is left after it bounds the overlap, and differing bits the rest."""
-    p, q = F.lit(percent), F.lit(100)
-    overlap = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    total = F.col("na") + F.col("nb")
-    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS), F.lit(0))
-    return (q * F.least("na", "nb") >= p * F.greatest("na", "nb")) & ((q + p) * overlap >= p * total) & ((q + p) * (total - differ) >= 2 * p * total)
+def agree(pos: np.ndarray, n: np.ndarray, odd: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the entries j of a token that the length, positional and parity filters leave for its entry i, the likest first.
+
+    Differing parity bits bound the unshared items from below, and their share of all items orders the entries.
+    """
+    j = j[close(np.full(len(j), pos[i]), np.full(len(j), n[i]), pos[j], n[j], percent)]
+    total = n[i].astype(np.int64) + n[j]
+    differ = np.bitwise_count((odd[j] ^ odd[i]).view(np.uint64)).sum(1, dtype=np.int64)
+    ok = (100 + percent) * (total - differ) >= 2 * percent * total
+    return j[ok][np.argsort(differ[ok] / total[ok], kind="stable")]
+
+
+def group_pairs(node: np.ndarray, comp: np.ndarray, pos: np.ndarray, n: np.ndarray, odd: np.ndarray, side: np.ndarray, failed: set[tuple[int, int]], percent: int, every: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (a < b) of a token's entries that may link two components, and whether there are more.
 
+    All of them if they are at most ``GIVEN`` per entry (or ``every``), else edges that span what they connect. Only entries
+    outside the largest component look at the others, since a pair within it is linked already. With two sides, pairs are across.
+    """
+    sets = np.unique(comp, return_inverse=True)[1]
+    main = int(np.bincount(sets).argmax())
+    whole = len(np.unique(side)) == 1
+    most = GIVEN * len(node)
+
+    def fits(i: int, label: np.ndarray) -> np.ndarray:
+        j = np.flatnonzero(label != label[i] if whole else (label != label[i]) & (side != side[i]))
+        j = agree(pos, n, odd, i, j, percent)
+        if failed and len(j):
+            a = int(node[i])
+            j = j[[(min(a, b), max(a, b)) not in failed for b in node[j].tolist()]]
+        return j
+
+    outer = np.flatnonzero(sets != main)
+    found: list[tuple[int, int]] = []
+    for i in outer.tolist():
+        j = fits(i, sets)
+        found += [(i, k) for k in j[(sets[j] == main) | (j > i)].tolist()]
+        if not every and len(found) > most:
+            break
+    else:
+        return [pair(node, i, k) for i, k in found], False
+    found, label = [], sets.copy()
+    for i in outer.tolist():
+        if label[i] == main:
+            continue
+        j = fits(i, label)
+        if len(j):
+            seen, first = np.unique(label[j], return_index=True)
+            found += [(i, k) for k in j[first].tolist()]
+            label[np.isin(label, [*seen, label[i]])] = main if main in seen else label[i]
+    return [pair(node, i, k) for i, k in found], True
+
+
+def pair(node: np.ndarray, i: int, k: int) -> tuple[int, int]:
+    a, b = int(node[i]), int(node[k])
+    return (a, b) if a < b else (b, a)
+
+
+def compared(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (token, part, a, b) of groups (token, part), and a row without a pair for each group that has more.
+
+    ``rows`` are the entries (kind 1, or 2 for a second block) and pairs of the group that have failed before (kind 0: node, other).
+    """
+    names = ["token", "part", "kind", "node", "other", "comp", "pos", "n", *WORDS]
 
-def linked_sets(docs: DataFrame, reps: DataFrame, met: DataFrame, width: int, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        out: list[tuple] = []
+
+        def close_group() -> None:
+            if not held:
+                return
+            token, part, kind, node, other, comp, pos, n, *odd = (np.concatenate(c) for c in zip(*held, strict=True))
+            failed = set(zip(node[kind == 0].tolist(), other[kind == 0].tolist(), strict=True))
+            e = np.flatnonzero(kind > 0)
+            if len(e) < 2 or (comp[e] == comp[e[0]]).all():
+                return
+            pairs, more = group_pairs(node[e], comp[e], pos[e], n[e], np.stack([c[e] for c in odd], 1), kind[e], failed, percent, every)
+            key = int(token[0]), int(part[0])
+            out.extend((*key, a, b) for a, b in pairs)
+            if more:
+                out.append((*key, None, None))
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["token", "part", "a", "b"])
+
+        last = None
+        for batch in batches:
+            cols = [np.asarray(batch.column(k).fill_null(0)) for k in names]
+            if not len(cols[0]):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))).tolist()
+            for a, b in zip(starts, [*starts[1:], len(cols[0])], strict=True):
+                now = int(cols[0][a]), int(cols[1][a])
+                if now != last:
+                    close_group()
+                    held, last = [], now
+                held.append([c[a:b] for c in cols])
+            if len(out) > 50_000:
+                yield flush()
+        close_group()
+        yield flush()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*names).repartition(parts, "token", "part").sortWithinPartitions("token", "part", "kind", "node").mapInArrow(tidy(run), "token long, part int, a long, b long")
+
+
+def linked_sets(docs: DataFrame, reps: DataFrame, met: DataFrame, width: int, percent: int, clashes: frozenset[int]) -> DataFrame:
     """Component (node, comp) of every node of ``reps``, over all pairs of sets that reach the similarity.
 
-    The first pairs are those of pass two. A star round pairs the sets of a token with one of them, so its pairs are no more than its
-    entries; what is linked needs no further pair. The last round takes every pair of a token's sets that are in different
-    components by then: those outside the token's largest component against all. So no link between components is missed, and
-    sets that are copies of each other in thousands do not meet in all pairs.
+    The first pairs are those of pass two. Then the entries of each token that still has several components meet in a task, in blocks
+    if they are many, and are compared there by the filters; what passes is verified. A group gives out at most ``GIVEN`` pairs an
+    entry, or else the likest pairs that span it, and comes again with the components and failed pairs so far. When few such pairs
+    hold, what passes the filters between components is mostly no link, and all of it is verified. So no pair that could join
+    two components is left out, and copies of each other in thousands do not make all their pairs.
     """
-    entry = lambda s: [F.col("node").alias(s), F.col("pos").alias(f"p{s}"), F.col("n").alias(f"n{s}"), *[F.col(w).alias(f"{s}{w}") for w in WORDS]]
     entries = met.where("a is null").select("token", "node", "pos", "n")
-    size = entries.count()
     nodes = reps.select(F.col("node").alias("id"))
-    sets = done = None
-
-    def check(pairs: DataFrame, comp: DataFrame | None = None) -> DataFrame:
-        """Verifies pairs and returns the components over their links and the ones so far."""
-        nonlocal sets, done
-        pairs = pairs.select("a", "b").distinct()
-        pairs = cut(unlike(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), reps, percent))
+    sets = done = links = None
+    likely = True
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs and returns the components over all links so far."""
+        nonlocal sets, done, links, likely
+        asked = pairs.select("a", "b").distinct()
+        pairs = cut(unlike(asked if done is None else asked.join(done, ["a", "b"], "left_anti"), reps, percent))
         need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         need = need if sets is None else need.join(sets.select("node"), "node", "left_anti")
-        more = cut(candidate_sets(docs, cut(need.join(reps.select("node", "text_key"), "node")), width))
-        release(docs.sparkSession)
+        more = candidate_sets(docs, cut(need.join(reps.select("node", "text_key"), "node")), width, clashes)
         sets = more if sets is None else sets.unionByName(more)
         found = cut(verify(pairs, sets, percent))
+        likely = found.count() >= LIKELY * pairs.count()
         done = pairs if done is None else done.unionByName(pairs)
-        links = found if comp is None else found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        out = cut(components(nodes, links).where("id <> component").select(F.col("id").alias("node"), F.col("component").alias("comp")))
-        release(docs.sparkSession)
-        return out
+        links = found if links is None else links.unionByName(found)
+        return cut(components(nodes, links).where("id <> component").select(F.col("id").alias("node"), F.col("component").alias("comp")))
 
     comp = check(met.where("a is not null"))
-    before, last, star = float("inf"), False, 0
-    while not last:
-        now = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        per = now.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-        open_ = cut(per.groupBy("token").agg(F.sum("m").alias("m"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum(F.col("m") * F.col("m")).alias("same")).where("same < m * m"))
-        left = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("x")).first().x or 0
-        if not left:
+    groups = failed = None
+    for round_ in range(ROUNDS + 1):
+        now = entries if groups is None else entries.join(groups.select("token").distinct(), "token", "left_semi")
+        now = now.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = now.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        now = now.join(open_, "token").join(reps.select("node", *WORDS), "node")
+        block = F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        now = now.withColumn("own", block).withColumn("with", other).withColumn("part", (F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).cast("int"))
+        now = now.select("token", "part", F.when(F.col("own") > F.col("with"), 2).otherwise(1).alias("kind"), "node", F.lit(None).cast("long").alias("other"), "comp", "pos", "n", *WORDS)
+        if groups is not None:
+            now = now.join(groups, ["token", "part"], "left_semi").unionByName(failed.select("token", "part", F.lit(0).alias("kind"), F.col("a").alias("node"), F.col("b").alias("other")), allowMissingColumns=True)
+        found = cut(compared(now, percent, every=round_ == ROUNDS or round_ > 0 and not likely))
+        pairs = found.where("a is not null")
+        if pairs.isEmpty():
             break
-        last = left <= PAIRS_PER_ENTRY * size or left > before / 2
-        now = now.join(open_.select("token", "main"), "token") if last else now.join(open_.select("token"), "token", "left_semi")
-        now = cut(now.join(reps.select("node", *WORDS), "node"))
-        before, star = left, star + 1
-        if last:
-            few = now.where("comp <> main").select("token", *entry("a"), F.col("comp").alias("ca"))
-            other = now.select("token", *entry("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("main"))
-            pairs = few.join(other, "token").where("ca <> cb and (main or a < b)")
-        else:
-            heads = now.groupBy("token").agg(F.min_by(F.struct(*entry("a"), F.col("comp").alias("ca")), F.xxhash64(F.lit(star), "node")).alias("h")).select("token", "h.*")
-            pairs = now.select("token", *entry("b"), F.col("comp").alias("cb")).join(heads, "token").where("ca <> cb")
-        comp = check(pairs.where(may_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), comp)
+        comp = check(pairs)
+        groups = found.where("a is null").select("token", "part")
+        if groups.isEmpty():
+            break
+        tried = pairs.join(groups, ["token", "part"], "left_semi").join(links, ["a", "b"], "left_anti")
+        failed = cut(tried if failed is None else failed.unionByName(tried))
     return comp
 
 
@@ -392,7 +514,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Texts are read in three passes: sets are counted and keyed, the rare prefixes of distinct sets meet by token, and the sets
     that share one are made again for the check. Documents with equal sets are one node throughout, so copies cost one row each.
-    Shingles are compared by 64-bit hashes and equal sets are recognised by a 64-bit key.
+    Shingles are compared by 64-bit hashes, and only within a pair of sets. Equal sets are recognised by a 64-bit key; a second key tells
+    where different sets share one, and those (n ** 2 / 2 ** 65 of n sets are to be expected) get keys of their own.
 
     No word or null text: an empty set, linked with nothing. Fewer than ``width`` words: the whole sequence is the one shingle. A null
     id never names a component that has another id. Repeated rows are rows of their own; an empty table gives no rows; other
@@ -400,11 +523,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = keyed(rows, width)
-    per = table.where("part is null").select("doc_id", "text_key", "n", "node", "sketch", *WORDS)
-    entries = prefix_entries(rows, frequencies(table), width, percent)
-    reps = cut(per.where("node is not null").groupBy("node").agg(F.min(F.struct("text_key", "n", "sketch", *WORDS)).alias("r")).select("node", "r.*"))
-    release(docs.sparkSession)
-    comp = linked_sets(rows, reps, entries, width, percent)
+    per = table.where("part is null").select("doc_id", "text_key", "n", "node", "again", "sketch", *WORDS)
+    first = F.min(F.struct("text_key", "n", "sketch", *WORDS)).alias("r")
+    reps = cut(per.where("node is not null").groupBy("node").agg(first, F.min("again").alias("x"), F.max("again").alias("y")).select("node", "r.*", (F.col("x") != F.col("y")).alias("clash")))
+    clashes = frozenset(r.node for r in reps.where("clash").select("node").collect())
+    if clashes:
+        per = per.withColumn("node", F.when(F.col("node").isin(*clashes), F.col("again")).otherwise(F.col("node")))
+        reps = cut(per.where("node is not null").groupBy("node").agg(first).select("node", "r.*"))
+    entries = prefix_entries(rows, frequencies(table), width, percent, clashes)
+    comp = linked_sets(rows, reps, entries, width, percent, clashes)
     ids = per.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = ids.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a checked table is sent to every executor.
@@ -28,27 +30,59 @@ def scratch(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tracegraph-")
         atexit.register(shutil.rmtree, base[len("file://") :], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) that hold for the block."""
+    before = {k: spark.conf.get(k.replace("__", "."), None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k.replace("__", "."), v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k.replace("__", "."))
+            else:
+                spark.conf.set(k.replace("__", "."), v)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, so that its lineage ends there."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it back, so that its lineage ends there; Spark drops the shuffle files of the write as it ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables of ``cut`` that no later step reads, and shuffle files with ``release``."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that no later step reads."""
     for t in tables:
+        spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.cut_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
+
+
+def carried(docs: DataFrame, **columns: str) -> DataFrame:
+    """The given columns under new names, and all others as one column ``row``, so that columns of any name may be added beside it."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in columns.values()]
+    return docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), *[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
+
+
+def restored(rows: DataFrame, docs: DataFrame, columns: dict[str, str], new: Iterable[str | Column] = ()) -> DataFrame:
+    """The columns of ``docs`` in their order, after ``carried`` with the same ``columns``, then ``new`` ones, which replace any of their names."""
+    added = rows.select(*new).columns if new else []
+    held = {c: n for n, c in columns.items()}
+    return rows.select(*[(F.col(held[c]) if c in held else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in added], *new)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,6 +90,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; at the end of a task the worker, which lives on, gives unused memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim_heap()
+
+    return tidied
+
+
+def trim_heap() -> None:
+    """Returns what the C allocator holds free to the system, where it can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column (null: empty) and the n + 1 offsets of its rows, without copying texts."""
     if isinstance(col, pa.ChunkedArray):
@@ -105,16 +156,11 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(low >> np.uint64(5)).astype(np.int64)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest id reachable over ``edges`` (a, b) for each row of ``vertices`` (id): columns id, component.
 
-    Large-star and small-star steps in turn until the edge set stands still; each step is one aggregation and one join whose
+    Large-star and small-star steps in turn until the edge set stands still, which takes a number of rounds that grows with the logarithm of
+    the longest path (an error after ``rounds``, beyond any table's size); each step is one aggregation and one join whose
     skew Spark may split, and the edges of each round are written to the shared folder.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import bit_table, buffers, cut, discard, has_bit, mix64, release
+from tracegraph.llm.shared import bit_table, buffers, cut, discard, has_bit, mix64
 
 #: Bytes of a trigger, and neighbouring strings whose common core is looked at first.
 K, CELL = 32, 11
@@ -152,11 +152,10 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
 
     parse_ = cut(texts.mapInArrow(parse, "key long, start long, more int, phrase long, trigger long"))
     dictionary = cut(parse_.groupBy("phrase").agg(F.first("trigger").alias("trigger"), F.count(F.lit(1)).alias("n")))
-    release(spark)
     triggers = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = spark.sparkContext.broadcast(bit_table(triggers.select(F.col("trigger").alias("key")), FILTER))
     full = cut(dictionary.where("n > 1").select("phrase", F.lit(WHOLE).cast("long").alias("mark")))
-    discard(spark, dictionary)
+    discard(dictionary)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[Phrases]:
         """Phrases that share a trigger with another one, each once a task."""
@@ -181,7 +180,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     open_ = spark.sparkContext.broadcast(bit_table(cores.select(F.col("core").alias("key")), FILTER))
     covers = cell.groupBy("cover").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p <> q")
     same_cells = cut(cell.select("cover", "phrase", mark("first", F.col("last") - F.col("first"))).join(covers.select("cover"), "cover").select("phrase", "mark"))
-    discard(spark, cell)
+    discard(cell)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[np.ndarray, ...]]:
@@ -199,9 +198,9 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     string = cut(texts.mapInArrow(strings, "string long, phrase long, first int"))
     twice = string.groupBy("string").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p <> q").select("string")
     same_strings = cut(string.join(twice, "string").select("phrase", mark("first", F.lit(0))))
-    discard(spark, string)
+    discard(string)
     marks = cut(full.unionByName(same_cells).unionByName(same_strings).groupBy("phrase").agg(F.collect_set("mark").alias("marks")))
-    discard(spark, full, same_cells, same_strings)
+    discard(full, same_cells, same_strings)
     hits = parse_.join(marks, "phrase").select("key", "start", "more", F.explode("marks").alias("m"))
     return hits.select("key", F.when(F.col("m") == WHOLE, mark("start", "more")).otherwise(F.col("start") * F.lit(1 << MORE) + F.col("m")).alias("mark"))
 
@@ -226,7 +225,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
     whole = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(WHOLE).cast("long").alias("mark"))
     ranges = repeated_ranges(texts, length).unionByName(whole).groupBy("key").agg(F.collect_set("mark").alias("ranges")).withColumnRenamed("key", key)
     ranges = cut(ranges)
-    release(docs.sparkSession)
     met = rows.join(ranges, key, "left").drop(key)
     where = met.columns.index(text_col)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in met.drop('ranges').schema.fields)}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}"
