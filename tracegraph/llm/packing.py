@@ -11,20 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import cut, small
+from tracegraph.llm.shared import cut, small, tidy
 
 #: Pieces of one length that one ranking group holds at most, on average.
-RANKED = 20_000
+RANKED = 4_000
 
-PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, salt long"
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Packing patterns (number of packs, [(length, how many)] in order of place) for a histogram of lengths.
 
-    Lengths go longest first, each into the shortest packs that still have room, else into new packs. A pattern is a multiset of
-    lengths with the number of packs that have it; a placement moves a whole pattern or splits one, so there are at most two
-    new patterns for each length, however many pieces there are.
+    Lengths go longest first, each into the shortest packs that still have room, else into new packs, which are filled one after the
+    other. A pattern is a multiset of lengths with the number of packs that have it; a placement moves a whole pattern or splits one,
+    so each length brings a few new patterns, however many pieces there are.
     """
     done: list[tuple[int, list[tuple[int, int]]]] = []
     open_: list[tuple[int, int, int, list[tuple[int, int]]]] = []  # filled, tie-break, packs, pattern
@@ -53,10 +53,11 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                     put(filled, packs - take, pattern)
                 put(filled + fit * length, take, [*pattern, (length, fit)])
                 left -= take * fit
-            else:
-                fit = 1 if not open_ and left == 1 else 1
-                put(length * fit, left, [(length, fit)])
-                left = 0
+            else:  # a new pack is the shortest one until it is full, so full ones come first and one holds the rest
+                fit = min(left, capacity // length)
+                take = left // fit
+                put(length * fit, take, [(length, fit)])
+                left -= take * fit
     return done + [(packs, pattern) for _, _, packs, pattern in sorted(open_)]
 
 
@@ -80,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tracegraph.llm.tokens import word_ids
 
-        ids, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids, end, given = word_ids(tokenizer), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -90,11 +91,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                     n, view = len(raw) // 4, memoryview(raw)
                     for a in range(0, n, capacity):
                         b = min(n, a + capacity)
-                        out.append((doc, a, b - a, zlib.crc32(view[4 * a : 4 * b]), n))
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                        out.append((doc, a, b - a, zlib.crc32(view[4 * a : 4 * b]), n, given))
+                        given += 1
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +105,8 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
     A document is the ids of its text and ``end_id``; what is longer than ``capacity`` is cut into full pieces and a rest. The
     histogram of lengths (``capacity`` rows at most, whatever the corpus) comes to the driver, where packing patterns are counted;
     they go back as ranges of ranks, and each piece joins its pattern by its rank among the pieces of its length. Ranks are counted
-    in groups of about ``RANKED`` pieces, dealt by a hash, so that a common length is never ranked by one task.
+    in groups of about ``RANKED`` pieces, dealt by a hash of id, start and a running number of the task that is written with them, so
+    that neither a common length nor a row that repeats a million times is ranked by one task.
 
     Null or empty text: one piece that holds ``end_id`` alone. Null or repeated ids and repeated texts are documents of their own.
     An empty table gives no rows. Other columns are ignored.
@@ -113,11 +116,11 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
     histogram = {r.length: r.n for r in p.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = list(slots(shortest_pack_first(histogram, capacity)))
     groups = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length int, groups int")
-    p = p.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("groups")).cast("int"))
+    p = p.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.col("groups")).cast("int"))
     counts = p.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")
     counts = counts.select("length", "grp", before.alias("before"))
-    order = Window.partitionBy("length", "grp").orderBy("doc_id", "start", "ids_crc32")
+    order = Window.partitionBy("length", "grp").orderBy("doc_id", "start", "ids_crc32", "salt")
     ranked = p.withColumn("rank", F.row_number().over(order) - 1).join(small(cut(counts)), ["length", "grp"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranges = {}
     for length, first, n, many, base, at in places:

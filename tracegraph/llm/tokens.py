@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from functools import cache
-from itertools import pairwise
 
 import numpy as np
 
 #: White-space separated words whose ids a worker keeps; the cache starts anew beyond that.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+
+#: New words that the tokenizer gets in one call.
+TOGETHER = 200
 
 #: Texts with characters above this go to the tokenizer whole.
 PLAIN = 0x24F
@@ -19,71 +22,49 @@ PLAIN = 0x24F
 #: Control characters that Python splits words at and the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
-#: The mark of a word's end, as a byte that UTF-8 text never holds.
-END = b"\xff"
-
-
-def _of(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(PLAIN + 1) if unicodedata.category(chr(c)).startswith(kind))
-
-
-def _byte_of() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies, turned round."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
 
 class WordIds:
     """Ids as ``tokenizers``' ``encode(text, add_special_tokens=False)`` gives them, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and splits text into words before the merges, so ids of a white-space separated word do not
-    depend on what stands around it: each such word is encoded once and kept. Its pieces go through the same merges held as a rank table
-    (word end as a byte of its own), which the first words of every worker are checked against the tokenizer for; where they
-    differ, the tokenizer itself is used. Texts with characters above ``PLAIN``, with ``<|`` (special tokens), with control
+    depend on what stands around it: each such word is encoded once, by the tokenizer, and kept. New words are encoded many at a time,
+    joined by blanks; tokens stand for bytes, so the bytes that they stand for must end where each word ends, and where they do not
+    the words are encoded one by one. Texts with characters above ``PLAIN``, with ``<|`` (special tokens), with control
     characters that only some libraries call white space, or with a capital dotted I go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        import tiktoken
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        letter, number = _of("L"), _of("N")
-        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{letter}{number}]+").findall
         self.odd = re.compile(f"[^\\x00-{chr(PLAIN)}]|İ").search
         self.cache: dict[str, bytes] = {}
-        byte = _byte_of()
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + (END if t.endswith("</w>") else b""): i for t, i in vocab.items() if not t.startswith("<|")}
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.checked = False
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a character of a byte-level token is a byte
+        for t, i in vocab.items():
+            self.bytes_of[i] = len(t.removesuffix("</w>"))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def merged(self, words: list[str]) -> list[bytes]:
-        merge, ids, stops = self.merge, [], [0]
-        for w in words:
-            if w.isalpha():
-                ids += merge(w.encode() + END)
-            else:
-                for p in self.pieces(w):
-                    ids += merge(p.encode() + END)
-            stops.append(4 * len(ids))
-        raw = np.array(ids, "<u4").tobytes()
-        return [raw[a:b] for a, b in pairwise(stops)]
-
     def learn(self, words: set[str]) -> None:
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
         new = list(words)
-        if not self.checked:
-            self.checked = True
-            if self.merged(new[:2000]) != [self.whole(w) for w in new[:2000]]:
-                self.merged = lambda words: [self.whole(w) for w in words]
-        self.cache.update(zip(new, self.merged(new), strict=True))
+        parts = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        for part, found in zip(parts, self.tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            at, ends = np.cumsum(self.bytes_of[ids]), np.cumsum([len(w.encode()) for w in part])
+            stops = np.searchsorted(at, ends, "right")
+            if len(ids) and stops[0] and np.array_equal(at[stops - 1], ends) and stops[-1] == len(ids):
+                raw, a = ids.tobytes(), 0
+                for w, b in zip(part, (4 * stops).tolist(), strict=True):
+                    self.cache[w] = raw[a:b]
+                    a = b
+            else:
+                self.cache.update((w, self.whole(w)) for w in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts, new, get = [], set(), self.cache.get
