@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import zlib
 from collections import Counter
 
@@ -195,3 +196,47 @@ def test_pipeline(spark, tmp_path):
     assert out.count() > 0 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_embeddings(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the tables")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    data = rows.select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    x, ids = np.array(data.embedding.tolist(), float), data.vec_id.to_numpy()
+    found = {}
+    for r in ann.op9(spark, folder).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    queries = np.flatnonzero(ids % 20 == 0)
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        hit, total = hit + len(want & found[int(ids[q])]), total + len(want)
+    assert hit / total >= 0.9
+    # the share of pairs that the index verifies
+    d = ann.directions(64, 32, 11)
+    space = ann.Space(float((x * x).sum(1).max()), d, ann.chi_square_quantile(0.8, d.shape[1]), [], 0)
+    p = space.projected(x, False)
+    index = ann.Index(ids, x, p, ann.Tree.of(p, ann.LEAF))
+    scale = 2 * np.sqrt(space.top / (x[queries] ** 2).sum(1))
+    verified = index.search(ids[queries], x[queries], space.projected(x[queries], True), np.full(len(queries), 2 * space.top), scale, np.full(len(queries), np.inf), space.factor, 20)[3]
+    assert verified < (0.65 if len(ids) < 1000 else 0.45) * len(queries) * len(ids)
+
+
+def test_every_width_is_searched(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=3 if i % 3 else 9)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    x = {i: np.array(v) for i, v in rows}
+    hit = 0
+    for q in range(0, 300, 20):
+        want = [i for _, i in sorted((-float(x[i] @ x[q]), i) for i in x if i != q and len(x[i]) == len(x[q]))[:5]]
+        hit += len(set(want) & {i for _, i in got[q]})
+    assert hit >= 0.9 * 75
