@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import WORD, cut, small
+from tracegraph.llm.shared import WORD, carried, cut, restored, small
 
 #: Bits of the rank key that each of the two histogram levels resolves.
 BITS = 13
@@ -32,79 +32,109 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap
     return t.select("key", "source_size", F.least("limit", F.col("level") * F.col("weight")).alias("target"))
 
 
+def copies_wanted(classes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """One row per source and length class (key, class, words) with source_size, target, certain copies and inclusion probability p.
+
+    A document of class b weighs b + 1, and a source's documents are wanted in copies in proportion to their weights, ``cap`` at most, so
+    that the words wanted are the target: the level per weight is found like the sources' own. Whole copies are certain, and the
+    fraction is the probability of one more. Sources and classes (64 at most) are a small table.
+    """
+    per = classes.groupBy("key").agg(F.sum("words").alias("source_size"))
+    t = classes.join(small(source_targets(per, weights, cap)), "key").withColumn("w", F.col("class") + F.lit(1.0))
+    order = Window.partitionBy("key").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("key")
+    words, weight = F.col("words"), F.col("words") * F.col("w")
+    t = t.withColumn("rest", F.col("target") - cap * (F.sum(words).over(order) - words)).withColumn("rest_weight", F.sum(weight).over(own) - (F.sum(weight).over(order) - weight))
+    t = t.withColumn("level", F.coalesce(F.try_divide("rest", "rest_weight"), F.lit(0.0)))
+    fits = F.col("level") * F.col("w") <= cap * (1 + 1e-12)  # the heaviest classes reach the cap first
+    level = F.coalesce(F.max(F.when(fits, F.col("level"))).over(own), F.lit(0.0))
+    t = t.withColumn("wish", F.least(level * F.col("w"), F.lit(float(cap)))).withColumn("certain", F.floor(F.col("wish") + 1e-9))
+    p = F.greatest(F.col("wish") - F.col("certain"), F.lit(0.0))
+    return t.select("key", "class", "words", "source_size", "target", "certain", F.when(p > 1e-9, p).otherwise(0.0).alias("p"))
+
+
 def rank_key(u: Column, p: Column) -> Column:
     """Pareto's ranking variable, random odds over inclusion odds, as q / (1 + q) between 0 and 1; null where nothing is to be drawn."""
     q = (u / (1 - u)) / (p / (1 - p))
     return F.when(p > 0, q / (1 + q))
 
 
-def sample_plan(rows: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """One row per source of ``rows`` (key, size, u): source_size, target, certain copies, inclusion probability p, and where the sample ends.
+def sample_ends(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Where each source's sample ends in rank order: cut_bin, last_key, part_key with the share of its rows that is taken, close_key with its rows.
 
-    The end in rank order is found from histograms of the rank key, one of 2 ** ``BITS`` bins per source and then one within the bin
-    where it lies; only documents of one bin in 2 ** (2 * ``BITS``) are ordered, so no source is gathered in a task. Words left
-    over are closed by the one document not yet drawn whose size comes nearest to them.
+    ``drawn`` has the rows (key, size, rank_key) that may be drawn, ``wanted`` the words per source. The end is found from histograms of
+    the rank key, one of 2 ** ``BITS`` bins per source and then one within the bin where it lies; only distinct rank keys of one
+    bin in 2 ** (2 * ``BITS``) are ordered, so neither a source nor a row that repeats a million times is gathered in a task. Of
+    rows that repeat at the very end the share that fits is taken. Words left over are closed by the document whose size comes nearest.
     """
-    sizes = cut(rows.groupBy("key").agg(F.sum("size").alias("source_size")))
-    per = cut(
-        source_targets(sizes, weights, cap)
-        .withColumn("certain", F.coalesce(F.floor(F.try_divide("target", "source_size") + 1e-12), F.lit(0)))
-        .withColumn("wanted", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
-        .withColumn("p", F.least(F.coalesce(F.try_divide("wanted", "source_size"), F.lit(0.0)), F.lit(1 - 1e-9)))
-    )
-    bits = 2 * BITS
-    drawn = rows.join(small(per.select("key", "wanted", "p")), "key").withColumn("rank_key", rank_key(F.col("u"), F.col("p"))).where("rank_key is not null")
-    drawn = drawn.withColumn("bin", F.floor(F.col("rank_key") * float(1 << bits)).cast("long"))
-
-    def crossing(bins: DataFrame) -> DataFrame:
+    bins = drawn.withColumn("bin", F.floor(F.col("rank_key") * float(1 << 2 * BITS)).cast("long"))
+
+    def crossing(sums: DataFrame) -> DataFrame:
         """For each source the first bin (key, at) whose running words reach what is wanted, and the words before it."""
         running = F.sum("words").over(Window.partitionBy("key").orderBy("at"))
-        reached = bins.withColumn("running", running + F.col("base")).where(F.col("running") >= F.col("wanted"))
+        reached = sums.withColumn("running", running + F.col("base")).where(F.col("running") > F.col("wanted"))
         return reached.groupBy("key").agg(F.min_by(F.struct("at", (F.col("running") - F.col("words")).alias("base")), "at").alias("x")).select("key", "x.*")
 
-    one = cut(crossing(drawn.groupBy("key", F.shiftright("bin", BITS).alias("at")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"), F.lit(0.0).alias("base"))))
-    inner = drawn.join(small(one), "key").where(F.shiftright("bin", BITS) == F.col("at"))
-    two = cut(crossing(inner.groupBy("key", F.col("bin").alias("at")).agg(F.sum("size").alias("words"), F.first("wanted").alias("wanted"), F.first("base").alias("base"))))
-    last = drawn.join(small(two), "key").where("bin = at")
-    order = Window.partitionBy("key").orderBy("rank_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("done", F.sum("size").over(order) + F.col("base")).where(F.col("done") <= F.col("wanted"))
-    ends = last.groupBy("key").agg(F.max("rank_key").alias("last_key"), F.max("done").alias("done"))
-    ends = two.join(ends, "key", "left").select("key", F.col("at").alias("cut_bin"), "last_key", F.coalesce("done", "base").alias("done"))
-    per = cut(per.join(ends, "key", "left"))
-    open_ = drawn.join(small(per.where("cut_bin is not null").select("key", "cut_bin", "last_key", "done")), "key").where(~taken())
-    gap = F.abs(F.col("size") - (F.col("wanted") - F.col("done")))
-    closing = open_.where(gap < F.col("wanted") - F.col("done")).groupBy("key").agg(F.min_by("rank_key", F.struct(gap, "rank_key")).alias("close_key"))
-    return cut(per.join(closing, "key", "left"))
+    first = bins.groupBy("key", F.shiftright("bin", BITS).alias("at")).agg(F.sum("size").alias("words")).join(small(wanted), "key")
+    one = cut(crossing(first.withColumn("base", F.lit(0.0))))
+    inner = bins.join(small(one), "key").where(F.shiftright("bin", BITS) == F.col("at"))
+    second = inner.groupBy("key", F.col("bin").alias("at")).agg(F.sum("size").alias("words"), F.first("base").alias("base")).join(small(wanted), "key")
+    two = cut(crossing(second))
+    last = bins.join(small(two), "key").where("bin = at").groupBy("key", "rank_key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("base").alias("base"), F.first("at").alias("at"))
+    order = Window.partitionBy("key").orderBy("rank_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.join(small(wanted), "key").withColumn("done", F.sum("words").over(order) + F.col("base"))
+    fit, over = F.col("done") <= F.col("wanted"), F.col("done") > F.col("wanted")
+    ends = last.groupBy("key").agg(F.first("at").alias("cut_bin"), F.max(F.when(fit, F.col("rank_key"))).alias("last_key"), F.coalesce(F.max(F.when(fit, F.col("done"))), F.first("base")).alias("done"), F.min_by(F.struct("rank_key", "words", "rows"), F.when(over, F.col("rank_key"))).alias("x"), F.first("wanted").alias("wanted"))
+    whole = F.floor((F.col("wanted") - F.col("done")) * F.col("x.rows") / F.col("x.words"))
+    ends = ends.withColumn("part_rows", F.when(F.col("x.rows") > 1, F.coalesce(whole, F.lit(0))).otherwise(0))
+    ends = cut(ends.select("key", "cut_bin", "last_key", F.col("x.rank_key").alias("part_key"), (F.col("part_rows") / F.col("x.rows")).alias("share"), (F.col("wanted") - F.col("done") - F.col("part_rows") * F.col("x.words") / F.col("x.rows")).alias("left")))
+    gap = F.abs(F.col("size") - F.col("left"))
+    spare = bins.join(small(ends), "key").where(~taken() & (gap < F.col("left")) & ~(F.col("rank_key").eqNullSafe(F.col("part_key")) & (F.col("share") > 0)))
+    closing = spare.groupBy("key").agg(F.min_by("rank_key", F.struct(gap, "rank_key")).alias("close_key"))
+    rows = bins.join(small(cut(closing)), "key").where("rank_key = close_key").groupBy("key").agg(F.first("close_key").alias("close_key"), F.count(F.lit(1)).alias("close_rows"))
+    return ends.drop("left").join(rows, "key", "left")
 
 
 def taken() -> Column:
-    """Whether rank order takes a row before the sample's end; without an end it takes all."""
+    """Whether rank order takes a row whole before the sample's end; without an end it takes all."""
     return F.coalesce((F.col("bin") < F.col("cut_bin")) | (F.col("bin") == F.col("cut_bin")) & F.coalesce(F.col("rank_key") <= F.col("last_key"), F.lit(False)), F.lit(True))
 
 
 def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
     """Adds size, source_size, target, copies and taken (copies * size) to every row, so that each source's words come near its target.
 
-    A source whose target is r times its size takes floor(r) whole copies of every document for certain. The rest of its words
-    come from a Pareto order sample: with p = r - floor(r) and u uniform from a hash of id and text, documents are ranked by
-    (u / (1 - u)) / (p / (1 - p)) and taken in rank order as long as they fit the words wanted; one more document closes the gap. So the
-    sample's size is fixed in words, and p differs between sources. Given the plan per source, a row's copies depend on the row
-    alone: nothing is shuffled to hand them out, and reruns agree.
+    The number of copies wanted of a document rises with its length class, floor(log2(size)), and is ``cap`` at most; over a source
+    the words wanted are its target. The whole part is certain. With the fraction as inclusion probability p, which so differs from
+    document to document, and u uniform from a hash of id and text, documents are ranked by (u / (1 - u)) / (p / (1 - p)) and
+    taken in rank order as long as they fit the words wanted; one more document closes the gap. So the sample's size is fixed in
+    words. Given the plan per source, a row's copies depend on the row alone: nothing is shuffled to hand them out, and reruns agree.
 
     Null or empty text: size 0, taken 0. A null source is a source of its own, last in order. Rows that agree in id, text and source are
-    drawn together. An empty table gives no rows. Other columns stay, but must not have the names of the new ones.
+    drawn together, except where the end of the sample falls among them: there each is drawn by its place in the table, with the
+    share that fits. An empty table gives no rows. Other columns stay, but for those with the names of the new ones, which are replaced.
     """
-    rows = docs.withColumns({
-        "key": F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))),
-        "size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"),
-        "u": (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11) + 0.5) / float(1 << 53),
+    columns = {"doc": id_col, "body": text_col, "origin": source_col}
+    size = F.coalesce(F.regexp_count("body", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = carried(docs, **columns).withColumns({
+        "key": F.when(F.col("origin").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("origin"))),
+        "size": size,
+        "u": (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc", "body"), 11) + 0.5) / float(1 << 53),
     })
-    per = sample_plan(cut(rows.select("key", "size", "u")), weights, cap).select("key", "source_size", "target", "certain", "p", "cut_bin", "last_key", "close_key")
-    out = rows.join(small(per), "key").withColumn("rank_key", rank_key(F.col("u"), F.col("p")))
+    length = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) + 1e-12)).otherwise(0).cast("int")
+    slim = cut(rows.select("key", "size", "u"))
+    classes = cut(copies_wanted(slim.groupBy("key", length.alias("class")).agg(F.sum("size").alias("words")), weights, cap))
+    plan = cut(classes.select("key", "class", "source_size", "target", "certain", "p"))
+    drawn = slim.withColumn("class", length).join(small(plan.where("p > 0").select("key", "class", "p")), ["key", "class"])
+    drawn = drawn.select("key", "size", rank_key(F.col("u"), F.col("p")).alias("rank_key"))
+    wanted = cut(classes.groupBy("key").agg(F.sum(F.col("p") * F.col("words")).alias("wanted")))
+    ends = cut(sample_ends(drawn, wanted))
+    out = rows.withColumn("class", length).join(small(plan), ["key", "class"]).join(small(ends), "key", "left").withColumn("rank_key", rank_key(F.col("u"), F.col("p")))
     out = out.withColumn("bin", F.floor(F.col("rank_key") * float(1 << 2 * BITS)).cast("long"))
-    extra = F.col("rank_key").isNotNull() & (taken() | (F.col("rank_key").eqNullSafe(F.col("close_key"))))
-    copies = (F.col("certain") + extra.cast("long")).cast("long")
-    return out.select(*[f"`{c}`" for c in docs.columns], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    place = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 11) + 0.5) / float(1 << 53)
+    at = lambda key, share: F.coalesce((F.col("rank_key") == F.col(key)) & (place < share), F.lit(False))
+    extra = F.col("rank_key").isNotNull() & (taken() | at("part_key", F.col("share")) | at("close_key", 1 / F.col("close_rows")))
+    out = out.withColumn("copies", (F.col("certain") + extra.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    return restored(out, docs, columns, ["size", "source_size", "target", "copies", "taken"])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
