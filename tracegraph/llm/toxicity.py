@@ -1,19 +1,24 @@
-"""Toxicity: a weighted finite-state grammar over clauses; insult terms and the grammar's weights are learnt from labels."""
+"""Toxicity: a weighted finite-state grammar over clauses; insult terms and the grammar's weights are learnt from labels.
+
+The grammar is a composition of small transducers (threat, insult, negation, reported speech, target, weights) over word classes. A
+lexicon turns the tokens of a clause into classes; the composed machine reads them and puts out what the clause says, with weights.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracegraph.llm.langid import remainder
-from tracegraph.llm.shared import cut
+from tracegraph.llm.shared import carried, cut, restored, tidy
 
 #: Closed word classes of the grammar, in English, German, French and Spanish.
 TARGET = set("you your yours u he she him her they them their these those this that du dich dir ihr euch sie er dein deine tu toi te vous il elle ils elles ton ta usted ustedes ti él ella ellos tú".split())
@@ -33,35 +38,104 @@ SCOPE = 3
 #: What a clause can say, in order of the learnt weights.
 KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "reported threat")
 
+#: What the lexicon makes of a token: the input symbols of the grammar.
+SYMBOLS = ("other", "target", "negation", "report", "harm", "intent", "insult")
+
 PREFIXES = range(4, 8)
 
 
-class Modifiers:
-    """The negation, report and target transducers composed: reads word classes, keeps (tokens left of a negation, reported, aimed)
-    and rewrites an insult or threat to its kind. The state is finite, so a clause is one walk whatever its length."""
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic weighted transducer: arcs from (state, symbol) to (symbol put out, weight, state). State 0 is the start; every state
+    may end. The weight of a path is the sum of its arcs' weights."""
 
-    def __init__(self) -> None:
-        self.negated, self.reported, self.aimed, self.intent = 0, False, False, False
+    arcs: dict[tuple[int, str], tuple[str, float, int]]
 
-    def read(self, token: str, harm: bool, insult: bool) -> str | None:
-        out = None
-        if insult:
-            out = "reported insult" if self.reported else "negated insult" if self.negated else "aimed insult" if self.aimed else "insult"
-        elif harm and self.intent and not self.negated:
-            out = "reported threat" if self.reported else "threat"
-        self.negated = SCOPE if token in NEGATION else max(0, self.negated - 1)
-        self.reported |= token in REPORT or token in QUOTES
-        self.aimed |= token in TARGET
-        self.intent |= token in INTENT
+    def run(self, symbols: Iterable[str]) -> list[tuple[str, float]]:
+        """Symbols and weights along the one path that reads ``symbols``."""
+        state, out = 0, []
+        for x in symbols:
+            y, w, state = self.arcs[state, x]
+            out.append((y, w))
         return out
 
 
+def machine(states: int, symbols: Iterable[str], rules: dict[tuple[int | None, str], tuple[str, int | None]], rest: Callable[[int], int] = lambda s: s) -> Transducer:
+    """A transducer that passes symbols on and goes from state s to ``rest`` (s), but for ``rules``: (state or any, symbol) -> (output, next state or ``rest``)."""
+    arcs = {}
+    for s in range(states):
+        for x in symbols:
+            y, to = rules.get((s, x), rules.get((None, x), (x, None)))
+            arcs[s, x] = y, 0.0, rest(s) if to is None else to
+    return Transducer(arcs)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """What ``b`` makes of the output of ``a``, as one machine: the pairs of states that can be reached, weights added."""
+    number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
+    reads: dict[int, list[str]] = {}
+    for s, x in a.arcs:
+        reads.setdefault(s, []).append(x)
+    while todo:
+        p, q = pair = todo.pop()
+        for x in reads[p]:
+            y, w, p2 = a.arcs[p, x]
+            z, v, q2 = b.arcs[q, y]
+            if (p2, q2) not in number:
+                number[p2, q2] = len(number)
+                todo.append((p2, q2))
+            arcs[number[pair], x] = z, w + v, number[p2, q2]
+    return Transducer(arcs)
+
+
+def threats() -> Transducer:
+    """A word of harm after one of intent is a threat; without it, nothing."""
+    return machine(2, SYMBOLS, {(None, "intent"): ("intent", 1), (0, "harm"): ("other", 0), (1, "harm"): ("threat", 1)})
+
+
+def insults() -> Transducer:
+    """Every insult is one; the words that only threats need are no more than words from here on."""
+    return machine(1, (*SYMBOLS, "threat"), {(0, "intent"): ("other", 0), (0, "harm"): ("other", 0)})
+
+
+def negation(scope: int) -> Transducer:
+    """Within ``scope`` tokens of a negation an insult is a negated one, and a threat none. The state counts the tokens left."""
+    rules: dict = {(None, "negation"): ("other", scope)}
+    for s in range(1, scope + 1):
+        rules |= {(s, "insult"): ("negated insult", s - 1), (s, "threat"): ("other", s - 1)}
+    return machine(scope + 1, ("other", "target", "negation", "report", "insult", "threat"), rules, lambda s: max(0, s - 1))
+
+
+def reports() -> Transducer:
+    """After a verb of speech or a quotation mark what is said is reported."""
+    rules: dict = {(None, "report"): ("other", 1), (1, "insult"): ("reported insult", 1), (1, "negated insult"): ("reported insult", 1), (1, "threat"): ("reported threat", 1)}
+    return machine(2, ("other", "target", "report", "insult", "negated insult", "threat"), rules)
+
+
+def targets() -> Transducer:
+    """After a word for a person an insult is aimed."""
+    return machine(2, ("other", "target", *KINDS), {(None, "target"): ("other", 1), (1, "insult"): ("aimed insult", 1)})
+
+
+def weighed(weights: np.ndarray) -> Transducer:
+    """One state that gives each kind its weight."""
+    return Transducer({(0, "other"): ("other", 0.0, 0)} | {(0, k): (k, float(w), 0) for k, w in zip(KINDS, weights, strict=True)})
+
+
+def grammar_of(weights: np.ndarray) -> Transducer:
+    """The insult, threat, negation, reported-speech and target transducers composed, and weighed."""
+    out = threats()
+    for t in (insults(), negation(SCOPE), reports(), targets(), weighed(weights)):
+        out = compose(out, t)
+    return out
+
+
 @dataclass
 class Grammar:
-    """Insult terms with weights (a final * stands for any ending) and the logistic weights of ``KINDS`` with a bias."""
+    """Insult terms with weights (a final * stands for any ending), the logistic weights of ``KINDS`` with a bias, and the machine they make."""
 
     terms: dict[str, float]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(KINDS)))
+    weights: np.ndarray = field(default_factory=lambda: np.ones(len(KINDS)))
     bias: float = -4.0
 
     def __post_init__(self) -> None:
@@ -70,36 +144,36 @@ class Grammar:
         parts = sorted([re.escape(w) + r"\b" for w in {*words, *HARM}] + [re.escape(s) for s in self.stems])
         first = "".join(sorted({re.escape(p.lstrip("\\")[0]) for p in parts}))
         self.seek = re.compile(rf"\b(?=[{first}])(?:{'|'.join(parts)})").search
+        self.classes = {t: c for c, found in (("intent", INTENT), ("target", TARGET), ("report", REPORT | QUOTES), ("negation", NEGATION), ("harm", HARM)) for t in found}
+        self.machine = grammar_of(self.weights)
 
     def insult(self, token: str) -> float:
         w = self.terms.get(token, 0.0)
         return max([w, *(self.stems.get(token[:k], 0.0) for k in PREFIXES)]) if self.stems else w
 
-    def clauses(self, text: str) -> Iterator[tuple[str, list[tuple[str, float]]]]:
-        """Clauses of the lower-cased text that hold an insult or a threat, with what they say and its weight."""
+    def clauses(self, text: str) -> Iterator[tuple[str, list[tuple[str, float, float]]]]:
+        """Clauses of the lower-cased text that hold an insult or a threat: what they say, its term's weight and its arc's."""
         at = 0
         while hit := self.seek(text, at):
             start = max(text.rfind(c, at, hit.start()) for c in ".!?;:,\n") + 1
             clause = CLAUSE.match(text, max(at, start))
-            state, said = Modifiers(), []
-            for token in TOKEN.findall(clause[0]):
-                w = self.insult(token)
-                if kind := state.read(token, token in HARM, w > 0):
-                    said.append((kind, w or 1.0))
+            terms = [(t, self.insult(t)) for t in TOKEN.findall(clause[0])]
+            path = self.machine.run("insult" if w > 0 else self.classes.get(t, "other") for t, w in terms)
+            said = [(kind, w or 1.0, arc) for (kind, arc), (_, w) in zip(path, terms, strict=True) if kind != "other"]
             if said:
                 yield clause[0], said
             at = max(clause.end(), hit.end())
 
-    def features(self, text: str | None) -> np.ndarray:
-        """For each kind, the log of one plus the summed weights of all clauses."""
-        out = np.zeros(len(KINDS))
-        for _, said in self.clauses((text or "").lower()):
-            for kind, w in said:
-                out[KINDS.index(kind)] += w
-        return np.log1p(out)
-
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-(self.features(text) @ self.weights + self.bias))))
+    def read(self, text: str | None) -> tuple[np.ndarray, float, list[str]]:
+        """For each kind the log of one plus its terms' weights summed over clauses, the score, and the clauses with their kinds."""
+        sums, arcs, shown = dict.fromkeys(KINDS, 0.0), dict.fromkeys(KINDS, 0.0), []
+        for clause, said in self.clauses((text or "").lower()):
+            for kind, w, arc in said:
+                sums[kind] += w
+                arcs[kind] = arc
+            shown.append(f"{'+'.join(k for k, _, _ in said)}: {clause.strip()}")
+        x = np.log1p([sums[k] for k in KINDS])
+        return x, float(1 / (1 + np.exp(-(sum(arcs[k] * v for k, v in zip(KINDS, x, strict=True)) + self.bias)))), shown
 
 
 def keys(text: str) -> set[str]:
@@ -145,14 +219,16 @@ def learn(labelled: DataFrame, sample_rows: int = 4000, least: int = 8, ratio: f
     """Fits terms and weights to (text, toxic) rows: a sample of about ``sample_rows`` of each label, chosen by a hash of the text.
 
     A candidate term is a word or a beginning of 4 to 7 letters that occurs in at least ``least`` toxic documents and ``ratio`` times
-    as often in toxic as in other documents (``stem_ratio`` for a beginning, which also stands for words not seen). Texts never leave the executors; terms of the sampled toxic documents do.
+    as often in toxic as in other documents (``stem_ratio`` for a beginning, which also stands for words not seen). Texts never leave the
+    executors; candidate terms of the sample do, so their number is bounded by its size. Copies of a text are one row of the sample.
+    Without rows of both labels nothing is learnt.
     """
     known = labelled.where("text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Grammar({})
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_rows / counts[1]))).otherwise(F.lit(min(1.0, sample_rows / counts[0])))
-    rows = cut(known.where((F.shiftrightunsigned("h", 11) + 0.5) / float(1 << 53) < rate))
+    rows = cut(known.where((F.shiftrightunsigned("h", 11) + 0.5) / float(1 << 53) < rate).dropDuplicates(["h", "toxic"]))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -166,22 +242,22 @@ def learn(labelled: DataFrame, sample_rows: int = 4000, least: int = 8, ratio: f
 
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = lambda c, n: (F.col(c) + 0.5) / F.lit(n + 1.0)
-    odds = rows.select("text", "toxic").mapInArrow(tally, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    odds = rows.select("text", "toxic").mapInArrow(tidy(tally), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     best = odds.where(F.col("pos") >= least).withColumn("w", F.log(share("pos", size.get(1, 0)) / share("neg", size.get(0, 0)))).where(F.col("w") >= F.when(F.col("term").endswith("*"), float(np.log(stem_ratio))).otherwise(float(np.log(ratio))))
-    weight = {r.term: r.w for r in best.select("term", "w").orderBy(F.desc("pos"), "term").limit(200_000).collect()}
+    weight = {r.term: r.w for r in best.select("term", "w").collect()}
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(keys(t) & weight.keys()) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["terms"])
 
-    toxic = rows.where("toxic = 1").orderBy("h").select("text").mapInArrow(matched, "terms array<string>").collect()
+    toxic = rows.where("toxic = 1").orderBy("h").select("text").mapInArrow(tidy(matched), "terms array<string>").collect()
     grammar = Grammar(choose([(i, r.terms) for i, r in enumerate(toxic)], weight, least))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([grammar.features(t).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([grammar.read(t)[0].tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    seen = rows.select("text", "toxic").mapInArrow(measured, "x array<double>, toxic int").toPandas().sort_values("toxic", kind="stable")
+    seen = rows.select("text", "toxic").mapInArrow(tidy(measured), "x array<double>, toxic int").toPandas().sort_values("toxic", kind="stable")
     x, y = np.array(seen.x.tolist(), float).reshape(-1, len(KINDS)), seen.toxic.to_numpy(float)
     order = np.lexsort(x.T)
     w, b = fit_weights(x[order], y[order])
@@ -193,21 +269,20 @@ def learn(labelled: DataFrame, sample_rows: int = 4000, least: int = 8, ratio: f
 
 
 def score_rows(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
-    """Adds score, predicted and clauses (the matched clauses, each with its kinds) to every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    where = docs.columns.index(text_col)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, score double, predicted int, clauses array<string>"
+    """Adds score, predicted and clauses (the matched clauses, each with its kinds) to every row; input columns of these names are replaced.
+
+    Null or empty text: the score of a text without a match.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
         for batch in batches:
-            score, said = [], []
-            for text in batch.column(where).to_pylist():
-                score.append(g.score(text))
-                said.append([f"{'+'.join(k for k, _ in s)}: {c.strip()}" for c, s in g.clauses((text or "").lower())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(said, pa.list_(pa.string()))], [*batch.schema.names, "score", "predicted", "clauses"])
+            read = [grammar.read(text)[1:] for text in batch.column(1).to_pylist()]
+            score, said = [s for s, _ in read], [c for _, c in read]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(said, pa.list_(pa.string()))], ["row", "body", "score", "predicted", "clauses"])
 
-    return docs.mapInArrow(run, schema)
+    rows = carried(docs, body=text_col)
+    out = rows.mapInArrow(tidy(run), StructType([*rows.schema.fields, *StructType.fromDDL("score double, predicted int, clauses array<string>").fields]))
+    return restored(out, docs, {"body": text_col}, ["score", "predicted", "clauses"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000) -> DataFrame:
