@@ -1,6 +1,7 @@
 """Near-duplicates, repeated passages, languages, toxicity and mixing against brute force and on odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -155,9 +156,36 @@ def test_toxicity_learns_words_and_stems(spark):
 
 def test_grammar_reads_clauses():
     g = toxicity.Grammar({"idiot": 5.0, "blem*": 4.0}, toxicity.np.array([1.0, 1.2, 0.3, 0.3, 1.0, 0.3]), -4.0)
-    said = {c.strip(): [k for k, _ in s] for c, s in g.clauses("you idiot. he is not an idiot! she said idiot, i will kill you; blemish, idiots")}
+    said = {c.strip(): [k for k, *_ in s] for c, s in g.clauses("you idiot. he is not an idiot! she said idiot, i will kill you; blemish, idiots")}
     assert said == {"you idiot": ["aimed insult"], "he is not an idiot": ["negated insult"], "she said idiot": ["reported insult"], "i will kill you": ["threat"], "blemish": ["insult"]}
-    assert g.score("you idiot") > g.score("not an idiot") > g.score("fine") and g.score("") == g.score(None)
+    score = lambda t: g.read(t)[1]
+    assert score("you idiot") > score("not an idiot") > score("fine") and score("") == score(None)
+
+
+def test_composition_is_one_after_the_other():
+    weights = toxicity.np.arange(1.0, 7.0)
+    parts = [toxicity.threats(), toxicity.insults(), toxicity.negation(2), toxicity.reports(), toxicity.targets(), toxicity.weighed(weights)]
+    whole = parts[0]
+    for t in parts[1:]:
+        whole = toxicity.compose(whole, t)
+    for symbols in itertools.product(toxicity.SYMBOLS, repeat=4):
+        out, total = list(symbols), [0.0] * 4
+        for t in parts:
+            path = t.run(out)
+            out, total = [y for y, _ in path], [a + w for a, (_, w) in zip(total, path, strict=True)]
+        assert whole.run(symbols) == list(zip(out, total, strict=True))
+        # and what the grammar means, written out
+        reported = aimed = intent = False
+        negated = 0
+        for x, y in zip(symbols, out, strict=True):
+            want = "other"
+            if x == "insult":
+                want = "reported insult" if reported else "negated insult" if negated else "aimed insult" if aimed else "insult"
+            elif x == "harm" and intent and not negated:
+                want = "reported threat" if reported else "threat"
+            assert y == want
+            negated = 2 if x == "negation" else max(0, negated - 1)
+            reported, aimed, intent = reported or x == "report", aimed or x == "target", intent or x == "intent"
 
 
 def test_mixing_reaches_targets(spark):
@@ -199,6 +227,33 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert {tuple(x) for x in r.totals().collect()} == {("a", "en", "v1", 1, 7), (None, None, "v1", 1, 0)}
     with pytest.raises(Exception):
         r.commit("3", rows([("drop", "a", "en", "v1", None, 1)]))
-    assert not r.committed("batches/3") and r.totals().count() == 2 and r.commit("3", rows([]))
-    n = {x.tokenizer_version: x.tokens for x in rollup.token_counts(spark.createDataFrame([("a b, 12",)], "text string")).collect()}
-    assert n == {"words-1": 3, "pieces-1": 4}
+    assert not r.committed("3") and r.totals().count() == 2 and r.commit("3", rows([]))
+    # a revision may move a document to other keys, and what is compacted counts once
+    moved = spark.createDataFrame([("revise", "b", "de", "v2", 7, 9, "a", "en", "v1")], "op string, source string, lang string, tokenizer_version string, old_tokens long, tokens long, old_source string, old_lang string, old_tokenizer_version string")
+    want = {("b", "de", "v2", 1, 9), (None, None, "v1", 1, 0)}
+    assert r.compact() == 3 and r.names("batches") == [] and r.commit("4", moved) and not r.commit("2", first)
+    assert {tuple(x) for x in r.totals().collect()} == want
+    assert r.compact() == 1 and r.compact() == 0 and not r.commit("1", first) and not r.commit("4", moved)
+    assert {tuple(x) for x in r.totals().collect()} == want
+
+
+def test_tokens_are_those_of_the_tokenizers(spark):
+    public = pytest.importorskip("public_tokenizers")
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    texts = ["", None, "Plain words, 12 of them", "Größe ÉTÉ it's 1999", "日本 <|endoftext|> x", "word " * 3000]
+    docs = spark.createDataFrame([(i, t, t and t.replace("1", ""), "K") for i, t in enumerate(texts)], "row long, text string, clean string, counts string")
+    versions = {"word": (public.path("word_bpe_49k.json"), None), "byte": (public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)}
+    word = Tokenizer.from_file(versions["word"][0])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(versions["byte"][0], "rb"))}
+    byte = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    count = {"word": lambda t: len(word.encode(t, add_special_tokens=False).ids), "byte": lambda t: len(byte.encode_ordinary(t))}
+    for r in rollup.tokenizer_counts(docs, ["text", "clean"], versions).collect():
+        t = texts[r.row] or ""
+        assert {x.tokenizer_version: x.tokens for x in r.counts} == {v: [f(t), f(t.replace("1", ""))] for v, f in count.items()}
+    n = {x.tokenizer_version: x.tokens for x in rollup.pattern_counts(spark.createDataFrame([("a b, 12",)], "text string"), ["text"]).first().counts}
+    assert n == {"words-1": [3], "pieces-1": [4]}
+    assert rollup.tokenizer_counts(docs.limit(0), ["text"], versions).count() == 0

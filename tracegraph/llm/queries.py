@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.op8,
     "op9_ann": ann.op9,
     "op10_jaccard": jaccard.op10,
+    "token_counts_by_pattern": rollup.by_pattern,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op3_token_counts": rollup.SQL, "op6_warc": warc.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "token_counts_by_pattern": rollup.SQL, "op6_warc": warc.SQL}
