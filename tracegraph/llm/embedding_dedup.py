@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import components, cut, small
+from tracegraph.llm.shared import components, cut, small, tidy
 from tracegraph.llm.vectors import matrix, unit, usable
 
 #: Distinct vectors a cell has on average, and of a block of a cell at most on average.
@@ -84,7 +84,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
                 out = part.take(pa.array(who))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell), pa.array(home)], ["group", "copy", "v", "m", "cell", "home"])
 
-    placed = cut(distinct.select("group", "copy", "v", "m").mapInArrow(assign, "group long, copy long, v array<double>, m long, cell long, home boolean"))
+    placed = cut(distinct.select("group", "copy", "v", "m").mapInArrow(tidy(assign), "group long, copy long, v array<double>, m long, cell long, home boolean"))
     cells = placed.where("home").groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")).select("group", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(small(cut(cells)), ["group", "cell"])
     block = F.pmod(F.xxhash64("copy", F.lit(3)), F.col("blocks")).cast("int")
@@ -119,7 +119,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
                 held.append(mine)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut(sides.repartition(parts, "group", "cell", "block").sortWithinPartitions("group", "cell", "block", "visitor").select("group", "cell", "block", "copy", "v", "m", "visitor").mapInArrow(multiply, "a long, n long, b long"))
+    found = cut(sides.repartition(parts, "group", "cell", "block").sortWithinPartitions("group", "cell", "block", "visitor").select("group", "cell", "block", "copy", "v", "m", "visitor").mapInArrow(tidy(multiply), "a long, n long, b long"))
     counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     ids = keyed.groupBy("copy").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("m"))
     comp = components(ids.select(F.col("copy").alias("id")), found.where("a <> b").select("a", "b"))

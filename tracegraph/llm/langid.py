@@ -10,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tracegraph.llm.shared import buffers, chunks
+from tracegraph.llm.shared import buffers, carried, chunks, restored, tidy
 
 #: Hashed n-gram features; n-grams of these lengths.
 FEATURES, ORDERS = 1 << 16, (1, 2, 3)
@@ -119,8 +120,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], idf: n
 def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:
     """Fits on rows (text, lang): document frequencies over all of them, weights on a sample of about ``fit_rows``.
 
-    The sample takes up to ``fit_rows`` / languages rows of each language (20 at least), chosen by a hash of the text; its
-    rows are hashed sparse vectors of at most ``FEATURES`` numbers, which come to the driver.
+    The sample takes up to ``fit_rows`` / languages rows of each language (20 at least), chosen by a hash of the text, copies once; its
+    rows are hashed sparse vectors of at most ``FEATURES`` numbers, which come to the driver. Null texts and null languages are
+    left out; without any other row the model knows no language.
     """
     known = labelled.where("text is not null and lang is not null")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -142,7 +144,7 @@ def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:
         keep = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(found[keep])], ["id", "n"])
 
-    table = known.select("text").mapInArrow(frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    table = known.select("text").mapInArrow(tidy(frequencies), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     found = np.zeros(FEATURES + 1)
     found[table.id.to_numpy()] = table.n.to_numpy()
     idf = np.log((1 + found[FEATURES]) / (1 + found[:FEATURES])) + 1.0
@@ -160,8 +162,8 @@ def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:
     for k, n in counts.items():
         rate = F.when(F.col("lang") == k, F.lit(min(1.0, quota / n))).otherwise(rate)
     order = F.xxhash64("text", "lang")
-    picked = known.select("lang", "text", order.alias("h")).where((F.shiftrightunsigned("h", 11) + 0.5) / float(1 << 53) < rate)
-    rows = picked.select("lang", "text", "h").mapInArrow(sparse, "lang string, h long, ids array<int>, tf array<double>").toPandas()
+    picked = known.select("lang", "text", order.alias("h")).where((F.shiftrightunsigned("h", 11) + 0.5) / float(1 << 53) < rate).dropDuplicates(["h"])
+    rows = picked.select("lang", "text", "h").mapInArrow(tidy(sparse), "lang string, h long, ids array<int>, tf array<double>").toPandas()
     rows = rows.sort_values(["h", "lang"], kind="stable")
     at = {k: i for i, k in enumerate(langs)}
     return fit([(at[k], np.asarray(i, np.int64), np.asarray(t, np.float64)) for k, i, t in zip(rows.lang, rows.ids, rows.tf, strict=True)], langs, idf)
@@ -180,29 +182,33 @@ def vectors(col: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score (the calibrated probability) to every row; ``und`` with score 0 for null texts and texts without a letter."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, lang_pred string, score double"
-    where = docs.columns.index(text_col)
+    """Adds lang_pred and score (the calibrated probability) to every row; ``und`` with score 0 for null texts and texts without a letter.
+
+    Input columns of these two names are replaced, others stay. Without a learnt language every row is ``und``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            col = batch.column(where)
-            data, offsets = buffers(col)
-            lengths = np.asarray(pc.fill_null(pc.utf8_length(col), 0)).astype(np.int64)
-            letter = np.asarray(pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False))
-            pred, score = np.full(len(lengths), UNKNOWN, object), np.zeros(len(lengths))
-            for i, j in chunks(offsets) if m.langs else ():
-                p = m.scores(data[offsets[i] : offsets[j]], lengths[i:j])
-                best = p.argmax(1)
-                yes = letter[i:j]
-                pred[i:j][yes] = np.array(m.langs, object)[best[yes]]
-                score[i:j][yes] = p[np.arange(j - i), best][yes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                col = part.column(1)
+                data, offsets = buffers(col)
+                lengths = np.asarray(pc.fill_null(pc.utf8_length(col), 0)).astype(np.int64)
+                letter = np.asarray(pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False))
+                pred, score = np.full(len(lengths), UNKNOWN, object), np.zeros(len(lengths))
+                for i, j in chunks(offsets) if m.langs else ():
+                    p = m.scores(data[offsets[i] : offsets[j]], lengths[i:j])
+                    best = p.argmax(1)
+                    yes = letter[i:j]
+                    pred[i:j][yes] = np.array(m.langs, object)[best[yes]]
+                    score[i:j][yes] = p[np.arange(j - i), best][yes]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], ["row", "body", "lang_pred", "score"])
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = carried(docs, body=text_col)
+    out = rows.mapInArrow(tidy(run), StructType([*rows.schema.fields, *StructType.fromDDL("lang_pred string, score double").fields]))
+    return restored(out, docs, {"body": text_col}, ["lang_pred", "score"])
 
 
 def remainder(id_col: str, of: int):

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tracegraph.llm.shared import bit_table, buffers, cut, discard, has_bit, mix64
+from tracegraph.llm.shared import bit_table, buffers, carried, cut, discard, has_bit, mix64, restored, tidy
 
 #: Bytes of a trigger, and neighbouring strings whose common core is looked at first.
 K, CELL = 32, 11
@@ -150,7 +151,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
         rows = ((np.full(len(p.first), key), a + p.first, (p.last - p.first).astype(np.int32), signed(p.keys()), signed(p.trigger)) for key, a, p in parsed(batches, length))
         yield from gathered(rows, ["key", "start", "more", "phrase", "trigger"])
 
-    parse_ = cut(texts.mapInArrow(parse, "key long, start long, more int, phrase long, trigger long"))
+    parse_ = cut(texts.mapInArrow(tidy(parse), "key long, start long, more int, phrase long, trigger long"))
     dictionary = cut(parse_.groupBy("phrase").agg(F.first("trigger").alias("trigger"), F.count(F.lit(1)).alias("n")))
     triggers = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = spark.sparkContext.broadcast(bit_table(triggers.select(F.col("trigger").alias("key")), FILTER))
@@ -175,7 +176,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
 
         yield from gathered(rows(), ["core", "cover", "phrase", "first", "last"])
 
-    cell = cut(texts.mapInArrow(cells, "core long, cover long, phrase long, first int, last int"))
+    cell = cut(texts.mapInArrow(tidy(cells), "core long, cover long, phrase long, first int, last int"))
     cores = cell.groupBy("core").agg(F.min("cover").alias("p"), F.max("cover").alias("q")).where("p <> q")
     open_ = spark.sparkContext.broadcast(bit_table(cores.select(F.col("core").alias("key")), FILTER))
     covers = cell.groupBy("cover").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p <> q")
@@ -195,7 +196,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
 
         yield from gathered(rows(), ["string", "phrase", "first"])
 
-    string = cut(texts.mapInArrow(strings, "string long, phrase long, first int"))
+    string = cut(texts.mapInArrow(tidy(strings), "string long, phrase long, first int"))
     twice = string.groupBy("string").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p <> q").select("string")
     same_strings = cut(string.join(twice, "string").select("phrase", mark("first", F.lit(0))))
     discard(string)
@@ -215,27 +216,26 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
     strings by 64-bit hashes. Texts are read three times and shuffled once, to meet their ranges.
 
     Null text: empty. Texts shorter than ``length`` bytes stay whole. Texts that occur twice go whole. An empty table gives no rows.
-    Other columns stay as they are.
+    Other columns stay as they are, but for those with the names of the new ones, which are replaced.
     """
     if not K < length < 1 << MORE:
         raise ValueError(f"length must be between {K} and {1 << MORE}")
-    key = "key_of_text"
-    rows = docs.withColumn(key, F.xxhash64(F.coalesce(text_col, F.lit("")), F.octet_length(F.coalesce(text_col, F.lit("")))))
-    texts = rows.where(F.octet_length(text_col) >= length).select(F.col(key).alias("key"), F.col(text_col).alias("text"))
+    body = F.coalesce("body", F.lit(""))
+    rows = carried(docs, body=text_col).withColumn("key", F.xxhash64(body, F.octet_length(body)))
+    texts = rows.where(F.octet_length("body") >= length).select("key", F.col("body").alias("text"))
     whole = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(WHOLE).cast("long").alias("mark"))
-    ranges = repeated_ranges(texts, length).unionByName(whole).groupBy("key").agg(F.collect_set("mark").alias("ranges")).withColumnRenamed("key", key)
-    ranges = cut(ranges)
-    met = rows.join(ranges, key, "left").drop(key)
-    where = met.columns.index(text_col)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in met.drop('ranges').schema.fields)}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}"
+    ranges = cut(repeated_ranges(texts, length).unionByName(whole).groupBy("key").agg(F.collect_set("mark").alias("ranges")))
+    met = rows.join(ranges, "key", "left").select("row", "body", "ranges")
+    kind = "string" if as_text else "binary"
+    added = StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept {kind}")
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                data, offsets = buffers(part.column(where))
+                data, offsets = buffers(part.column(1))
                 sizes, removed, counts, spans, kept = [], [], [], [], []
-                for i, found in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                for i, found in enumerate(part.column(2).to_pylist()):
                     d = data[offsets[i] : offsets[i + 1]]
                     runs: list[list[int]] = []
                     for a, b in sorted((0, len(d)) if m == WHOLE else (m >> MORE, (m >> MORE) + (m & (1 << MORE) - 1) + length) for m in found or ()):
@@ -250,9 +250,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
                     spans.append([{"start": a, "stop": b} for a, b in runs])
                     kept.append(b"".join(d[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 new = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*part.schema.names[:-1], "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *new], ["row", "body", *added.names])
 
-    return met.mapInArrow(run, schema)
+    out = met.mapInArrow(tidy(run), StructType([*rows.select("row", "body").schema.fields, *added.fields]))
+    return restored(out, docs, {"body": text_col}, added.names)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

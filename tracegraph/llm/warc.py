@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegraph.llm.shared import cut, scratch, small
+from tracegraph.llm.shared import cut, scratch, small, tidy
 
 #: Bytes before compression after which a writer starts its next archive.
 ARCHIVE_BYTES = 64 << 20
@@ -183,7 +183,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["archive", "records"])
 
-    return cut(rows.mapInArrow(run, "archive string, records long"))
+    return cut(rows.mapInArrow(tidy(run), "archive string, records long"))
 
 
 def normalise_archives(archives: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([to] * len(rows), pa.string()), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [x.split()[0] for x in INDEX.split(", ")])
 
     spread = max(1, min(archives.count(), 100_000))
-    return cut(archives.select("archive").repartition(spread).mapInArrow(run, INDEX))
+    return cut(archives.select("archive").repartition(spread).mapInArrow(tidy(run), INDEX))
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def read_archives(index: DataFrame) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return index.select("archive", "offset", "length").mapInArrow(run, schema)
+    return index.select("archive", "offset", "length").mapInArrow(tidy(run), schema)
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
