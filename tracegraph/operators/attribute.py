@@ -19,11 +19,11 @@ def softmax(scores: DataFrame, keys: list[str], value: str = "logit") -> DataFra
 
 
 def _beliefs(rows: DataFrame) -> DataFrame:
-    """Masses from exclusivity, weight and coherence; belief in the nation includes that in the actor."""
+    """Masses from exclusivity, weight and coherence; belief in the nation includes that in the actor, which is the label's confidence."""
     product = F.col("weight") * F.col("coherence")
     named, nation = F.col("exclusivity") * product, (1 - F.col("exclusivity")) * product * 0.5
     four = lambda c, name: F.round(c, 4).alias(name)
-    return rows.select("id", four(named, "belief_named_actor"), four(named + nation, "belief_nation_state"), four(F.greatest(1 - named - nation, F.lit(0.0)), "uncertainty"),
+    return rows.select("id", four(named, "label_confidence"), four(named, "belief_named_actor"), four(named + nation, "belief_nation_state"), four(F.greatest(1 - named - nation, F.lit(0.0)), "uncertainty"),
                        four(F.col("exclusivity"), "tag_exclusivity"), four(F.col("weight"), "evidence_weight"), four(F.col("coherence"), "nation_coherence"), "activity_cluster")
 
 
@@ -31,9 +31,11 @@ def _evidence(n):
     return F.when(n > 0, F.least(F.lit(1.0), F.log2(1 + n) / F.log2(F.lit(float(FULL_EVIDENCE))))).otherwise(F.lit(0.0))
 
 
-def label_mass_v1(reports: DataFrame, tags: DataFrame, aliases: DataFrame, keywords: DataFrame, mentions: DataFrame) -> DataFrame:
+def label_mass_v1(reports: DataFrame, tags: DataFrame, aliases: DataFrame, keywords: DataFrame, mentions: DataFrame, criminal: str = "Cybercrime") -> DataFrame:
     """Evidence of each report (id, target, target_nation, text, n_iocs) for its label, as the collector weighs it.
 
+    Targets without a nation, or with that named ``criminal``, are cybercrime.
+
     Exclusivity: the squared share of tags of the target among all tags that name a group; without such tags 1 / (1 + groups mentioned in
     the text). Evidence grows with the logarithm of all indicators. Coherence: 1 if the target's nation is among those whose keywords the
     tags or the text hold, 0 if only others are, a half if none is. tags: (id, tag); keywords: (keyword, nation); mentions: (id, n_groups).
@@ -47,7 +49,8 @@ def label_mass_v1(reports: DataFrame, tags: DataFrame, aliases: DataFrame, keywo
     exclusivity = F.when(F.col("total") > 0, F.pow(F.col("mine") / F.col("total"), 2)).otherwise(1 / (1 + F.greatest(F.coalesce("n_groups", F.lit(0)), F.lit(1))))
     hit = F.col("hit").isNotNull()
     coherence = F.when(~hit, F.lit(NO_HINT)).when(F.col("hit") == 1, F.lit(1.0)).otherwise(F.lit(0.0))
-    cluster = F.when(F.col("target_nation").isNotNull(), "State-Sponsored").otherwise("Cybercrime")
+    state = F.col("target_nation").isNotNull() & (F.col("target_nation").cast("string") != criminal)
+    cluster = F.when(state, "State-Sponsored").otherwise("Cybercrime")
     return _beliefs(rows.select("id", exclusivity.alias("exclusivity"), _evidence(F.col("n_iocs")).alias("weight"), coherence.alias("coherence"), cluster.alias("activity_cluster")))
 
 
@@ -88,16 +91,21 @@ def _tops(scores: DataFrame, dim: DataFrame) -> DataFrame:
     return best.join(nations.select("vec_id", F.col("f.nation").alias("nation"), F.col("f.s").alias("nation_p"), "nation_scores"), "vec_id")
 
 
-def tiered_v1(scores: DataFrame, dim: DataFrame, states: list[str], tier3: float = 0.45, tier2: float = 0.30) -> DataFrame:
-    """Actor, nation and activity cluster of each key with confidence bands at the two thresholds, the tier to trust and a summary."""
+def tiered_v1(scores: DataFrame, dim: DataFrame, states: list[str], criminal: str = "Cybercrime", tier3: float = 0.45, tier2: float = 0.30) -> DataFrame:
+    """Actor, nation and activity cluster of each key with confidence bands at the two thresholds, the tier to trust and a summary.
+
+    The cluster is the largest of three sums over nations: those in ``states``, the one named ``criminal``, and all others with
+    classes that have none. Ties go to the first of the three.
+    """
     t = _tops(scores, dim)
-    state = F.coalesce(F.aggregate(F.filter(F.map_entries("nation_scores"), lambda e: e["key"].isin(states)), F.lit(0.0), lambda a, e: a + e["value"]), F.lit(0.0))
-    t = t.withColumn("state_p", state).withColumn("rest_p", F.aggregate(F.map_values("nation_scores"), F.lit(0.0), lambda a, x: a + x) - F.col("state_p"))
-    cluster_p = F.greatest("state_p", "rest_p")
-    cluster = F.when(F.col("state_p") >= F.col("rest_p"), "State-Sponsored").otherwise("Unknown")
+    share = lambda keep: F.coalesce(F.aggregate(F.filter(F.map_entries("nation_scores"), lambda e: keep(e["key"])), F.lit(0.0), lambda a, e: a + e["value"]), F.lit(0.0))
+    state, crime, rest = share(lambda k: k.isin(states)), share(lambda k: k == criminal), share(lambda k: ~k.isin(*states, criminal))
+    t = t.withColumns({"state_p": state, "crime_p": crime, "rest_p": rest})
+    cluster_p = F.greatest("state_p", "crime_p", "rest_p")
+    cluster = F.when(F.col("state_p") == cluster_p, "State-Sponsored").when(F.col("crime_p") == cluster_p, "Cybercrime").otherwise("Unknown")
     tier = F.when(F.col("top_p") >= tier3, 3).when(F.col("nation_p") >= tier2, 2).otherwise(1)
     summary = (F.when(tier == 3, F.format_string("High confidence: %s (%.0f%%)", F.col("top").cast("string"), F.col("top_p") * 100))
-               .when(tier == 2, F.format_string("Moderate confidence %s state-sponsored activity, possibly %s", "nation", F.col("top").cast("string"))).otherwise(F.concat(F.lit("Low confidence: activity cluster "), cluster)))
+               .when(tier == 2, F.format_string("Moderate confidence %s state-sponsored activity, possibly %s", "nation", F.col("top").cast("string"))).otherwise(F.concat(F.lit("Low confidence — activity cluster: "), cluster)))
     band = lambda p: T.confidence_band(p, tier3, tier2)
     level = lambda x, p: F.struct(x.cast("string").alias("prediction"), F.round(p, 4).alias("confidence"), band(p).alias("assessment"))
     return t.select("vec_id", level(F.col("top"), F.col("top_p")).alias("tier3"), level(F.col("nation"), F.col("nation_p")).alias("tier2"), level(cluster, cluster_p).alias("tier1"), tier.alias("recommended_tier"), summary.alias("summary"), "nation_scores")

@@ -98,7 +98,8 @@ def network_iocs(rows: DataFrame) -> DataFrame:
 
 def sample_confidence(a: Column, b: Column) -> Column:
     """a, or b where a is zero or absent; at least 0.1; 1 where neither is known."""
-    return F.coalesce(F.greatest(F.coalesce(F.nullif(a, F.lit(0.0)), b), F.lit(0.1)), F.lit(1.0))
+    known = F.coalesce(F.nullif(a, F.lit(0.0)), b)
+    return F.when(known.isNotNull(), F.greatest(known, F.lit(0.1))).otherwise(F.lit(1.0))
 
 
 def select_targets(events: DataFrame, ids: DataFrame | None = None, include_labeled: bool = False) -> DataFrame:

@@ -8,12 +8,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh name in the folder of ``spark.checkpoint.dir``; only a session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tracegraph-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
@@ -21,6 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Rows up to which a table is sent to every executor.
+BROADCAST_ROWS = 50_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks ``df`` for broadcast if a count that stops at ``limit`` shows it to be small; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and read back: the lineage ends there, and Spark knows its size."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df.checkpoint()``, in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -66,10 +66,11 @@ def event_age(events: DataFrame) -> DataFrame:
 
 
 def decay_overall(aged: DataFrame, tau: float) -> DataFrame:
+    """Ages and decay weights of the labelled events."""
     w = T.decay_weight(F.col("age_days"), tau)
     p = lambda c, q: F.percentile(c, F.lit(q))
     mid = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
-    rows = aged.withColumn("w", w)
+    rows = aged.where("apt is not null").withColumn("w", w)
     out = {"age_p05": p("age_days", 0.05), "age_median": mid("age_days"), "age_p95": p("age_days", 0.95), "w_min": F.min("w"), "w_median": mid("w"), "w_max": F.max("w"), "w_std": F.stddev_samp("w"), "share_half": F.avg((F.col("w") >= 0.5).cast("double"))}
     return rows.agg(F.count(F.lit(1)).alias("n"), *[F.round(v, 6).alias(k) for k, v in out.items()])
 

@@ -138,11 +138,11 @@ def in_vocab(t):
     return clean.in_vocab(t.event(), t.label_dim().where("nation is not null").select(F.lower("label").alias("label"))).select("id", "apt")
 
 
-@key("label_confidence", "SELECT id, round(coalesce(greatest(coalesce(nullif(CASE WHEN id % 3 = 0 THEN 0.0::DOUBLE WHEN id % 3 = 1 THEN label_confidence END, 0), CASE WHEN id % 5 <> 0 THEN label_confidence / 2 END), 0.1), 1.0), 6)::DOUBLE AS confidence FROM (SELECT * FROM fx_event) WHERE coalesce(nullif(CASE WHEN id % 3 = 0 THEN 0.0::DOUBLE WHEN id % 3 = 1 THEN label_confidence END, 0), CASE WHEN id % 5 <> 0 THEN label_confidence / 2 END) IS NOT NULL UNION ALL SELECT id, CASE WHEN id % 3 = 0 THEN 0.1::DOUBLE ELSE 0.1::DOUBLE END FROM fx_event WHERE coalesce(nullif(CASE WHEN id % 3 = 0 THEN 0.0::DOUBLE WHEN id % 3 = 1 THEN label_confidence END, 0), CASE WHEN id % 5 <> 0 THEN label_confidence / 2 END) IS NULL", "fx_event")
+@key("label_confidence", "SELECT id, CASE WHEN k IS NULL THEN 1.0::DOUBLE ELSE greatest(k, 0.1::DOUBLE) END AS confidence FROM (SELECT id, coalesce(nullif(CASE WHEN id % 3 = 0 THEN 0.0::DOUBLE WHEN id % 3 = 1 THEN label_confidence END, 0.0::DOUBLE), CASE WHEN id % 5 <> 0 THEN label_confidence / 2 END) AS k FROM fx_event)", "fx_event")
 def label_confidence(t):
     a = F.when(F.col("id") % 3 == 0, F.lit(0.0)).when(F.col("id") % 3 == 1, F.col("label_confidence"))
     b = F.when(F.col("id") % 5 != 0, F.col("label_confidence") / 2)
-    return t.event().select("id", F.round(clean.sample_confidence(a, b), 6).alias("confidence"))
+    return t.event().select("id", clean.sample_confidence(a, b).alias("confidence"))
 
 
 @key("asn_parse", "SELECT ip, asn AS asn_number, substr(asn_text, length('AS' || asn) + 2) AS asn_name FROM fx_in_group WHERE ip % 2 = 0 UNION ALL SELECT ip, NULL, '' FROM fx_in_group WHERE ip % 2 = 1", "fx_in_group")

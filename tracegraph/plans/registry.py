@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegraph.plans import graph_keys, score_keys  # noqa: F401  (the second one registers into the first one's tables)
+from tracegraph.plans import file_keys, graph_keys, score_keys  # noqa: F401  (all register into the tables of graph_keys)
 
 
 def queries() -> dict:

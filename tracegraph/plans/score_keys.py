@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
-from tracegraph.operators import attribute, clean, features, link, propagate, rank, stats
+from tracegraph.operators import attribute, clean, features, link, predict, propagate, rank, stats
 from tracegraph.operators.lineage import settled, shared_folder
 from tracegraph.plans.graph_keys import AS_OF, SCOPE, TARGET, _views, key, reports
 
@@ -88,7 +88,7 @@ def majority_ties(t):
     return stats.majority_ties(t.votes())
 
 
-@key("class_confidence", "SELECT apt, round(avg(greatest(label_confidence, 0.1::DOUBLE)), 6) AS mean_confidence, count(*) AS n FROM fx_event WHERE apt IS NOT NULL GROUP BY apt", "fx_event")
+@key("class_confidence", "SELECT apt, round(avg(CASE WHEN nullif(label_confidence, 0) IS NULL THEN 1.0::DOUBLE ELSE greatest(label_confidence, 0.1::DOUBLE) END), 6) AS mean_confidence, count(*) AS n FROM fx_event WHERE apt IS NOT NULL GROUP BY apt", "fx_event")
 def class_confidence(t):
     return stats.class_confidence(t.event().withColumn("confidence", clean.sample_confidence(F.col("label_confidence"), F.lit(None).cast("double"))))
 
@@ -117,7 +117,7 @@ def decay_weights(t):
     return aged(t).select("id", F.round(T.decay_weight(F.col("age_days"), TAU), 6).alias("weight"))
 
 
-@key("decay_overall", f"""WITH {{V}}, {AGED}, w AS (SELECT *, exp(-age_days / {TAU}) AS w FROM a) SELECT count(*) AS n, round(quantile_cont(age_days, 0.05), 6) AS age_p05, round(quantile_disc(age_days, 0.5), 6) AS age_median, round(quantile_cont(age_days, 0.95), 6) AS age_p95,
+@key("decay_overall", f"""WITH {{V}}, {AGED}, w AS (SELECT *, exp(-age_days / {TAU}) AS w FROM a WHERE apt IS NOT NULL) SELECT count(*) AS n, round(quantile_cont(age_days, 0.05), 6) AS age_p05, round(quantile_disc(age_days, 0.5), 6) AS age_median, round(quantile_cont(age_days, 0.95), 6) AS age_p95,
  round(min(w), 6) AS w_min, round(quantile_disc(w, 0.5), 6) AS w_median, round(max(w), 6) AS w_max, round(stddev_samp(w), 6) AS w_std, round(avg((w >= 0.5)::INT), 6) AS share_half FROM w""")
 def decay_overall(t):
     return stats.decay_overall(aged(t), TAU)
@@ -331,7 +331,7 @@ def ts_parse(t):
 # label evidence
 KEYWORDS = (("red", 0), ("blue", 1), ("small", 2))
 MASS = """x AS (SELECT id, target, target_nation, n_iocs, {ex} AS ex, {w} AS w, {co} AS co FROM fx_target {joins})
-SELECT id, round(ex * w * co, 4) AS belief_named_actor, round(ex * w * co + (1 - ex) * w * co * 0.5, 4) AS belief_nation_state, round(greatest(1 - (ex * w * co + (1 - ex) * w * co * 0.5), 0), 4) AS uncertainty,
+SELECT id, round(ex * w * co, 4) AS label_confidence, round(ex * w * co, 4) AS belief_named_actor, round(ex * w * co + (1 - ex) * w * co * 0.5, 4) AS belief_nation_state, round(greatest(1 - (ex * w * co + (1 - ex) * w * co * 0.5), 0), 4) AS uncertainty,
  round(ex, 4) AS tag_exclusivity, round(w, 4) AS evidence_weight, round(co, 4) AS nation_coherence, 'State-Sponsored' AS activity_cluster FROM x"""
 WEIGHT = "CASE WHEN {n} > 0 THEN least(1.0::DOUBLE, log2(1 + {n}) / log2(51)) ELSE 0.0::DOUBLE END"
 SCOPED = "sc AS (SELECT * FROM fx_aliases WHERE \"group\" IN ('G0', 'G1', 'G2', 'G3'))"
@@ -526,14 +526,14 @@ def blend_scores(t):
 
 
 TIERS = """n AS (SELECT vec_id, coalesce(nation, 'Unknown') AS nation, sum(score) AS s FROM b JOIN fx_class_dim USING (class) GROUP BY 1, 2), bn AS (SELECT vec_id, nation, s AS nation_p FROM n QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, nation) = 1),
-bc AS (SELECT vec_id, class AS top, score AS top_p FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) = 1), cl AS (SELECT vec_id, sum(CASE WHEN nation IN ('n0', 'n1') THEN round(s, 4) ELSE 0 END) AS st, sum(CASE WHEN nation IN ('n0', 'n1') THEN 0 ELSE round(s, 4) END) AS rest FROM n GROUP BY 1)"""
+bc AS (SELECT vec_id, class AS top, score AS top_p FROM b QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) = 1), cl AS (SELECT vec_id, sum(CASE WHEN nation IN ('n0', 'n1') THEN round(s, 4) ELSE 0 END) AS st, sum(CASE WHEN nation = 'n2' THEN round(s, 4) ELSE 0 END) AS cy, sum(CASE WHEN nation = 'Unknown' THEN round(s, 4) ELSE 0 END) AS un FROM n GROUP BY 1)"""
 BAND = "CASE WHEN {p} >= {h} THEN 'high_confidence' WHEN {p} >= {m} THEN 'moderate_confidence' ELSE 'low_confidence' END"
 
 
 @key("tiered_v1", f"""WITH {{V}}, {SOFT}, {BLEND}, {TIERS} SELECT vec_id, top::VARCHAR AS tier3_prediction, round(top_p, 4) AS tier3_confidence, {BAND.format(p='top_p', h=0.45, m=0.3)} AS tier3_assessment, nation AS tier2_prediction, round(nation_p, 4) AS tier2_confidence, {BAND.format(p='round(nation_p, 9)', h=0.45, m=0.3)} AS tier2_assessment,
- CASE WHEN st >= rest THEN 'State-Sponsored' ELSE 'Unknown' END AS tier1_prediction, round(greatest(st, rest), 4) AS tier1_confidence, {BAND.format(p='greatest(st, rest)', h=0.45, m=0.3)} AS tier1_assessment, CASE WHEN top_p >= 0.45 THEN 3 WHEN round(nation_p, 9) >= 0.3 THEN 2 ELSE 1 END AS recommended_tier FROM bc JOIN bn USING (vec_id) JOIN cl USING (vec_id)""")
+ CASE WHEN st >= greatest(cy, un) THEN 'State-Sponsored' WHEN cy >= un THEN 'Cybercrime' ELSE 'Unknown' END AS tier1_prediction, round(greatest(st, cy, un), 4) AS tier1_confidence, {BAND.format(p='greatest(st, cy, un)', h=0.45, m=0.3)} AS tier1_assessment, CASE WHEN top_p >= 0.45 THEN 3 WHEN round(nation_p, 9) >= 0.3 THEN 2 ELSE 1 END AS recommended_tier FROM bc JOIN bn USING (vec_id) JOIN cl USING (vec_id)""")
 def tiered_v1(t):
-    return attribute.flat(attribute.tiered_v1(blended(t), t.class_dim(), ["n0", "n1"]))
+    return attribute.flat(attribute.tiered_v1(blended(t), t.class_dim(), ["n0", "n1"], "n2"))
 
 
 @key("tiered_v2", f"""WITH {{V}}, {SOFT}, {BLEND}, {TIERS} SELECT vec_id, top::VARCHAR AS tier3_prediction, round(top_p, 4) AS tier3_confidence, {BAND.format(p='top_p', h=0.7, m=0.4)} AS tier3_assessment, nation AS tier2_prediction, round(nation_p, 4) AS tier2_confidence, {BAND.format(p='round(nation_p, 9)', h=0.7, m=0.4)} AS tier2_assessment,
@@ -550,16 +550,31 @@ def predict_batch(t):
     seen = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     prior = seen.where("o_orderstatus <> 'P'").groupBy("c_mktsegment", F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     prior = prior.withColumn("score", F.col("n") / F.sum("n").over(Window.partitionBy("c_mktsegment"))).join(F.broadcast(dim), "label").select("c_mktsegment", F.col("idx").alias("class"), "score")
-    open_ = clean.select_targets(t.event()).select(F.col("id").alias("vec_id"))
-    model = seen.select(F.col("o_orderkey").alias("vec_id"), "c_mktsegment").join(open_, "vec_id", "left_semi").join(F.broadcast(prior), "c_mktsegment").select("vec_id", "class", "score")
-    mixed = attribute.blend(model, graph.join(open_, "vec_id", "left_semi"))
-    return attribute.flat(attribute.tiered_v1(mixed, dim.select(F.col("idx").alias("class"), "nation"), ["expedite"]))
+    model = seen.select(F.col("o_orderkey").alias("vec_id"), "c_mktsegment").join(F.broadcast(prior), "c_mktsegment").select("vec_id", "class", "score")
+    return attribute.flat(predict.predict(t.event(), model, graph, dim.select(F.col("idx").alias("class"), "nation"), ["expedite"]))
 
 
-@key("eval_external", f"WITH {{V}}, {TOP} SELECT (grouping(matched) * 2 + grouping(kind))::BIGINT AS level, matched, kind, count(*) AS n, round(avg((pred = truth)::INT), 6) AS acc FROM q GROUP BY GROUPING SETS ((), (matched), (matched, kind))")
+def foreign(t):
+    """Requests as events of another corpus: indicators, true classes, and scores of the known nodes by the ensemble."""
+    n = t.embeddings.agg(F.count(F.lit(1)).alias("n_vecs"))
+    at = lambda ids, to: ids.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col(to) % F.col("n_vecs"))
+    asked = t.requests().withColumnRenamed("request_id", "event")
+    truth = at(asked.select("event").distinct(), "event").join(t.embeddings.select("vec_id", F.col("label").alias("truth")), "vec_id").select("event", "truth")
+    scores = at(t.url_nodes().select("node_id").distinct(), "node_id").join(mean_scores(t), "vec_id").select("node_id", "class", "score")
+    return asked, truth, scores
+
+
+@key("eval_external", f"""WITH {{V}}, {MEAN}, nd AS (SELECT lower(url) AS k, min(page_id) AS node_id FROM pages GROUP BY 1), i AS (SELECT DISTINCT request_id AS event, ioc_type, value FROM fx_requests), f AS (SELECT event, node_id FROM i LEFT JOIN nd ON k = lower(value)),
+c AS (SELECT event, count(*) AS n_iocs, count(node_id) AS n_matched FROM f GROUP BY 1), sc AS (SELECT event, class, round(avg(score), 9) AS score FROM f JOIN e ON vec_id = node_id % (SELECT count(*) FROM embeddings) GROUP BY 1, 2),
+b AS (SELECT event, class AS pred FROM sc QUALIFY row_number() OVER (PARTITION BY event ORDER BY score DESC, class) = 1),
+r AS (SELECT c.*, pred, label AS truth, x.nation AS truth_nation, y.nation AS pred_nation FROM c JOIN embeddings ON vec_id = event % (SELECT count(*) FROM embeddings) LEFT JOIN b USING (event) JOIN fx_class_dim x ON x.class = label LEFT JOIN fx_class_dim y ON y.class = pred),
+m AS (SELECT count(*) AS n_events, round(quantile_cont(n_matched, 0.5), 4) AS median, round(quantile_cont(n_matched, 0.9), 4) AS p90, max(n_matched) AS max FROM r),
+a AS (SELECT 'class' AS level, truth, count(*) AS n, sum(coalesce(pred = truth, false)::INT) AS hit FROM r WHERE n_matched > 0 GROUP BY truth), z AS (SELECT 'nation' AS level, truth_nation, count(*) AS n, sum(coalesce(pred_nation = truth_nation, false)::INT) AS hit FROM r WHERE n_matched > 0 AND truth_nation IS NOT NULL GROUP BY truth_nation),
+l AS (SELECT level, sum(n)::BIGINT AS n, round(sum(hit) / sum(n), 6) AS acc, round(avg(hit / n), 6) AS bacc FROM (SELECT level, n, hit FROM a UNION ALL SELECT level, n, hit FROM z) GROUP BY level) SELECT * FROM l, m""")
 def eval_external(t):
-    """The vectors' subsets, as its SQL has them; nothing is matched here, see ``eval_external_matched``."""
-    return stats.subset_metrics(tops(t))
+    """Requests of known and unknown urls matched to nodes, each request scored by its matched nodes, by class and nation."""
+    asked, truth, scores = foreign(t)
+    return predict.evaluate_external(asked, truth, t.url_nodes(), scores, t.class_dim())
 
 
 def external(t):
@@ -606,8 +621,8 @@ def stream_seen(t):
 for _n, _v in {
     "event_mean_pool": ("fx_in_report", "fx_node_vec"), "majority_label": ("fx_votes",), "majority_ties": ("fx_votes",), "dst_mass_v1": ("fx_tags", "fx_aliases"), "dst_mass_v2": ("fx_tags", "fx_aliases"), "neighbor_mean": ("fx_in_report", "fx_node_vec"),
     **dict.fromkeys(("event_age", "decay_weights", "decay_overall", "decay_by_class", "split_forward", "split_backward", "split_age_stats"), ("fx_event",)),
-    **dict.fromkeys(("softmax", "ensemble_mean", "top_label", "acc_label", "acc_nation", "tier_metrics", "per_class", "fold_macro", "fold_micro", "subset_metrics", "nation_scores", "cluster_scores", "weighted_nll", "blend_scores", "tiered_v1", "tiered_v2", "eval_external"), ("fx_logits", "fx_class_dim")),
-    "eval_external_matched": ("fx_logits", "fx_class_dim", "fx_requests"),
+    **dict.fromkeys(("softmax", "ensemble_mean", "top_label", "acc_label", "acc_nation", "tier_metrics", "per_class", "fold_macro", "fold_micro", "subset_metrics", "nation_scores", "cluster_scores", "weighted_nll", "blend_scores", "tiered_v1", "tiered_v2"), ("fx_logits", "fx_class_dim")),
+    **dict.fromkeys(("eval_external", "eval_external_matched"), ("fx_logits", "fx_class_dim", "fx_requests")),
     **dict.fromkeys(("label_prop_1", "label_prop_4", "lp_predict"), ("fx_event", "fx_label_dim")),
 }.items():
     _views(_n, *_v)
