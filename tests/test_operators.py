@@ -135,7 +135,7 @@ def test_tier_metrics_with_a_label_without_nation(spark):
 
 def test_propagation_on_a_path(spark):
     a = [(i, j) for i in range(4) for j in range(4) if abs(i - j) <= 1]
-    w = propagate.sym_normalize(spark.createDataFrame(a, "i int, j int"))
+    pairs = spark.createDataFrame(a, "i int, j int")
     m = np.array([[1.0 if abs(i - j) <= 1 else 0.0 for j in range(4)] for i in range(4)])
     d = m.sum(1)
     norm = m / np.sqrt(d[:, None] * d[None])
@@ -144,7 +144,8 @@ def test_propagation_on_a_path(spark):
         f = norm @ f
         f[0], f[3] = [1, 0], [0, 1]
     want = np.exp(f) / np.exp(f).sum(1, keepdims=True)
-    got = propagate.label_propagation(w, spark.createDataFrame([(0, "x"), (3, "y")], "id int, label string"), spark.createDataFrame([("x",), ("y",)], "label string"))
+    assert all(r.w == pytest.approx(norm[r.i, r.j]) for r in propagate.sym_normalize(pairs).collect())
+    got = propagate.label_propagation(pairs, spark.createDataFrame([(0, "x"), (3, "y")], "id int, label string"), spark.createDataFrame([("x",), ("y",)], "label string"))
     for r in got.collect():
         assert r.score == pytest.approx(want[r.id, "xy".index(r.label)], abs=1e-12)
 
@@ -195,6 +196,39 @@ def test_layer_matches_numpy(spark):
         assert np.allclose(r.vec, z[r.id])
 
 
+def test_mentions_are_substrings(spark):
+    aliases = spark.createDataFrame([("bear", "A"), ("fancy bear", "A"), ("apt-28", "B"), ("ear", "C"), ("++", "D"), ("y b", "E")], "alias string, group string")
+    texts = [(1, "The FANCY BEARS came"), (2, "by apt-281"), (3, "apt 28"), (4, None), (5, ""), (6, "c++ heart"), (7, "fancy  bear")]
+    got = dict(rows(link.alias_mentions(spark.createDataFrame(texts, "id int, text string"), aliases), "id", "n_groups"))
+    want = {i: len({g for a, g in map(tuple, aliases.collect()) if a in (t or "").lower()}) for i, t in texts}
+    assert got == want == {1: 3, 2: 1, 3: 0, 4: 0, 5: 0, 6: 2, 7: 2}
+    assert dict(rows(link.alias_mentions(spark.createDataFrame(texts, "id int, text string"), aliases, 3), "id", "n_groups"))[6] == 0
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_adjacency_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(link, "BLOCK", block)
+    edges = [(1, "ip", 7), (2, "ip", 7), (2, "ip", 7), (3, "ip", 7), (4, "ip", 7), (4, "url", 7), (5, "url", 7), (6, "ip", 9)]
+    events = spark.createDataFrame([(i,) for i in range(1, 8)], "id int")
+    got = rows(link.event_adjacency(spark.createDataFrame(edges, "id int, ioc_type string, ioc int"), events), "i", "j")
+    hub = [(i, j) for i in range(1, 5) for j in range(1, 5) if i != j]
+    assert got == sorted([*hub, (4, 5), (5, 4), *((i, i) for i in range(1, 8))])
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": [1.0], "b": [2.0, 2.0], None: list(rng.integers(0, 9, 40).astype(float)), "c": list(rng.normal(size=101))}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("d", None)], "k string, v double")
+    asks = {f"{how}{p}": (p, how) for p in (0.0, 0.05, 0.5, 0.9, 1.0) for how in ("disc", "cont")}
+    got = {r.k: r for r in rank.quantiles(df, "v", asks, ("k",)).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        for name, (p, how) in asks.items():
+            want = sorted(vs)[max(math.ceil(p * len(vs) - 1e-9), 1) - 1] if how == "disc" else np.quantile(vs, p)
+            assert got[k][name] == pytest.approx(want, abs=1e-12), (k, name)
+    assert rank.quantiles(df, "v", {"m": (0.5, "disc")}).count() == 1 and rank.quantiles(df.limit(0), "v", {"m": (0.5, "disc")}).first().m is None
+
+
 def test_blend_sums_to_one(spark):
     a = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.1)], "vec_id int, class int, score double")
     b = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5)], "vec_id int, class int, score double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
+from tracegraph.operators.lineage import small
 
 #: Indicators at which the evidence is full, and coherence without any hint of a nation.
 FULL_EVIDENCE, NO_HINT = 51, 0.5
@@ -40,9 +41,9 @@ def label_mass_v1(reports: DataFrame, tags: DataFrame, aliases: DataFrame, keywo
     the text). Evidence grows with the logarithm of all indicators. Coherence: 1 if the target's nation is among those whose keywords the
     tags or the text hold, 0 if only others are, a half if none is. tags: (id, tag); keywords: (keyword, nation); mentions: (id, n_groups).
     """
-    named = tags.join(F.broadcast(aliases.select(F.col("alias").alias("tag"), "group")), "tag").join(reports.select("id", "target"), "id")
+    named = tags.join(small(aliases.select(F.col("alias").alias("tag"), "group")), "tag").join(reports.select("id", "target"), "id")
     counts = named.groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("group") == F.col("target"), 1)).alias("mine"))
-    words = F.broadcast(keywords)
+    words = small(keywords)
     said = tags.select("id", F.col("tag").alias("s")).unionByName(reports.select("id", F.lower("text").alias("s"))).join(words, F.contains("s", "keyword")).select("id", F.col("nation").alias("found")).distinct()
     nations = said.join(reports.select("id", "target_nation"), "id").groupBy("id").agg(F.max((F.col("found") == F.col("target_nation")).cast("int")).alias("hit"))
     rows = reports.join(counts, "id", "left").join(nations, "id", "left").join(mentions, "id", "left")
@@ -57,7 +58,7 @@ def label_mass_v1(reports: DataFrame, tags: DataFrame, aliases: DataFrame, keywo
 def label_mass_v2(reports: DataFrame, tags: DataFrame, aliases: DataFrame, mentions: DataFrame) -> DataFrame:
     """The same as it is scored anew: aliases count once each, only network indicators are evidence, and a group of another nation among the tags
     refutes the label (of the same nation: a half). Without network indicators all is uncertain."""
-    matched = tags.select("id", "tag").distinct().join(F.broadcast(aliases.select(F.col("alias").alias("tag"), "group", "nation")), "tag").join(reports.select("id", "target", "target_nation"), "id")
+    matched = tags.select("id", "tag").distinct().join(small(aliases.select(F.col("alias").alias("tag"), "group", "nation")), "tag").join(reports.select("id", "target", "target_nation"), "id")
     other = F.col("group") != F.col("target")
     counts = matched.groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(~other, 1)).alias("mine"), F.max(other.cast("int")).alias("other"), F.max((other & ~F.col("nation").eqNullSafe(F.col("target_nation"))).cast("int")).alias("foreign"))
     rows = reports.join(counts, "id", "left").join(mentions, "id", "left")
@@ -85,7 +86,7 @@ def blend(a: DataFrame, b: DataFrame, wa: float = 0.6, wb: float = 0.4) -> DataF
 def _tops(scores: DataFrame, dim: DataFrame) -> DataFrame:
     """Best class and best nation of each key with their scores, and all nations' scores; ties go to the lower class and the lower name."""
     best = scores.groupBy("vec_id").agg(F.max_by("class", F.struct("score", -F.col("class"))).alias("top"), F.max("score").alias("top_p"))
-    named = scores.join(F.broadcast(dim), "class", "left").groupBy("vec_id", F.coalesce("nation", F.lit("Unknown")).alias("nation")).agg(F.sum("score").alias("s"))
+    named = scores.join(small(dim), "class", "left").groupBy("vec_id", F.coalesce("nation", F.lit("Unknown")).alias("nation")).agg(F.sum("score").alias("s"))
     first = F.array_min(F.collect_list(F.struct((-F.round("s", 9)).alias("neg"), "nation", "s")))
     nations = named.groupBy("vec_id").agg(first.alias("f"), F.map_from_entries(F.collect_list(F.struct("nation", F.round("s", 4)))).alias("nation_scores"))
     return best.join(nations.select("vec_id", F.col("f.nation").alias("nation"), F.col("f.s").alias("nation_p"), "nation_scores"), "vec_id")

@@ -33,16 +33,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a table and read back: the lineage ends there, and Spark knows its size."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def settled(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``, in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` as a table in the shared folder: computed once, the lineage ends there, and Spark knows its size. Shuffle files go as the write ends."""
+    spark, path, name = df.sparkSession, shared_folder(df.sparkSession), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
-from tracegraph.operators.lineage import settled
+from tracegraph.operators.lineage import settled, small
 
 
 def resolve_edges(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -23,19 +23,36 @@ def with_reverse(edges: DataFrame) -> DataFrame:
 
 def unambiguous(tags: DataFrame, targets: DataFrame, aliases: DataFrame, scope: list[str]) -> DataFrame:
     """Targets (id, target) whose tags (id, tag) name one group in scope, the target, or none but the target's own name."""
-    named = tags.join(F.broadcast(aliases.where(F.col("group").isin(scope)).select(F.col("alias").alias("tag"), "group")), "tag", "left")
+    named = tags.join(small(aliases.where(F.col("group").isin(scope)).select(F.col("alias").alias("tag"), "group")), "tag", "left")
     per = named.groupBy("id").agg(F.countDistinct("group").alias("n_groups"), F.min("group").alias("only"), F.collect_set("tag").alias("tags"))
     keep = F.when(F.coalesce("n_groups", F.lit(0)) == 0, F.array_contains(F.coalesce("tags", F.array().cast("array<string>")), F.lower("target"))).otherwise((F.col("n_groups") == 1) & (F.col("only") == F.col("target")))
     return targets.join(per, "id", "left").withColumn("keep", F.coalesce(keep, F.lit(False))).select("id", "target", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), "keep")
 
 
+#: A word of a text or an alias.
+TOKEN = r"[\p{L}\p{N}]+"
+
+
 def alias_mentions(texts: DataFrame, aliases: DataFrame, min_len: int = 0) -> DataFrame:
-    """Distinct groups with an alias of more than ``min_len`` characters in each text (id, text).
+    """Distinct groups with an alias of more than ``min_len`` characters somewhere in each text (id, text).
 
-    Aliases are a small dimension; a substring match has no key to join by, so they go to every executor.
+    A mention is a substring, so it need not begin or end with a word of the text. What texts and aliases can be joined by are the
+    texts' distinct words: an alias of letters and digits alone lies within one word, so it is looked for in the vocabulary of
+    the texts, once for each word of it, however many texts have the word. Other aliases (with blanks or hyphens) hold whole words or
+    parts of words; they are looked for in the texts that have a word with their longest part.
     """
-    a = F.broadcast(aliases.where(F.length("alias") > min_len).select("alias", "group"))
-    found = texts.join(a, F.contains(F.lower("text"), F.col("alias"))).groupBy("id").agg(F.countDistinct("group").alias("n_groups"))
+    known = aliases.where(F.length("alias") > min_len).select("alias", "group").distinct()
+    part = F.array_max(F.transform(F.regexp_extract_all("alias", F.lit(TOKEN), F.lit(0)), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    known = known.withColumn("part", part).withColumn("whole", F.col("part").eqNullSafe(F.col("alias")))
+    low = texts.select("id", F.lower("text").alias("text"))
+    words = low.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("word"))
+    vocabulary = words.select("word").distinct()
+    held = vocabulary.join(small(known.where("part is not null")), F.contains("word", "part")).select("word", "alias", "group", "whole")
+    met = words.join(held, "word")
+    sure = met.where("whole").select("id", "group")
+    asked = met.where(~F.col("whole")).select("id", "alias", "group").distinct().join(low, "id").where(F.contains("text", "alias")).select("id", "group")
+    odd = low.join(small(known.where("part is null")), F.contains("text", "alias")).select("id", "group")  # aliases without any letter or digit
+    found = sure.unionByName(asked).unionByName(odd).groupBy("id").agg(F.countDistinct("group").alias("n_groups"))
     return texts.select("id").join(found, "id", "left").select("id", F.coalesce("n_groups", F.lit(0)).alias("n_groups"))
 
 
@@ -98,18 +115,25 @@ def title_dedup(titles: DataFrame, key: str, label: str, text: str, threshold: f
     return titles.join(decided.where("not kept").select(F.col("k").alias(key)), key, "left_anti")
 
 
+#: Events of an indicator that one task pairs with as many, on average; those of more are dealt to tasks in blocks.
+BLOCK = 4096
+
+
 def event_adjacency(edges: DataFrame, events: DataFrame, max_degree: int | None = None) -> DataFrame:
     """(i, j): events that share an indicator of one type, both ways, and every event with itself.
 
     edges: (id, ioc_type, ioc). With ``max_degree`` indicators of more events than that are left out; ``skipped_hubs`` tells which.
-    Indicators of one event pair nothing, so they are dropped before the self-join.
+    Indicators of one event pair nothing, so they are dropped before the self-join. The events of a hub are cut into blocks, each of which
+    meets all of them, so its pairs are made by many tasks.
     """
     e = edges.select("id", "ioc_type", "ioc").distinct()
     degree = e.groupBy("ioc_type", "ioc").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
     if max_degree is not None:
         degree = degree.where(F.col("d") <= max_degree)
-    e = e.join(degree, ["ioc_type", "ioc"], "left_semi")
-    pairs = e.withColumnRenamed("id", "i").join(e.withColumnRenamed("id", "j"), ["ioc_type", "ioc"]).where("i <> j").select("i", "j").distinct()
+    e = e.join(degree.select("ioc_type", "ioc", F.ceil(F.col("d") / BLOCK).cast("int").alias("blocks")), ["ioc_type", "ioc"])
+    one = e.select("ioc_type", "ioc", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("i"))
+    all_ = e.select("ioc_type", "ioc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("j"))
+    pairs = one.join(all_, ["ioc_type", "ioc", "block"]).where("i <> j").select("i", "j").distinct()
     return pairs.unionByName(events.select(F.col("id").alias("i"), F.col("id").alias("j")))
 
 
@@ -119,7 +143,7 @@ def skipped_hubs(edges: DataFrame, max_degree: int) -> DataFrame:
 
 def with_nation(df: DataFrame, dim: DataFrame, label: str = "label") -> DataFrame:
     """Adds the label's nation, null for labels without one."""
-    return df.join(F.broadcast(dim.select(F.col("label").alias(label), "nation")), label, "left")
+    return df.join(small(dim.select(F.col("label").alias(label), "nation")), label, "left")
 
 
 def enrich_asn(ips: DataFrame, lookups: DataFrame, as_of: Column, ttl_days: float = 1.0) -> DataFrame:

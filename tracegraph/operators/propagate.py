@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegraph.operators.lineage import settled
@@ -19,23 +21,26 @@ def sym_normalize(adjacency: DataFrame) -> DataFrame:
     return adjacency.join(one, "i").join(two, "j").select("i", "j", (1 / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
 
 
-def label_propagation(weights: DataFrame, seeds: DataFrame, labels: DataFrame, iters: int = 4, normalize: str = "softmax") -> DataFrame:
-    """(id, label, score) after ``iters`` rounds of passing scores along (i, j, w), seeds (id, label) set back to one each round.
+def label_propagation(adjacency: DataFrame, seeds: DataFrame, labels: DataFrame, iters: int = 4, normalize: str = "softmax") -> DataFrame:
+    """(id, label, score) after ``iters`` rounds of passing scores along (i, j), seeds (id, label) set back to one each round.
 
-    Scores stay sparse: a row per event and label that has any. At the end every event has every label, under a softmax over all
-    labels (seeds keep e / (e + labels - 1)), or with "l1" as shares.
+    ``adjacency`` holds both directions and the diagonal. Its symmetric normalisation is done on scores, which are divided by the root of
+    the sender's degree before and of the receiver's after each sum, so no weight is kept for a pair. Scores stay sparse: a row per
+    event and label that has any. At the end every event has every label, under a softmax over all labels (seeds keep
+    e / (e + labels - 1)), or with "l1" as shares.
     """
-    w = settled(weights)
-    start = seeds.select("id", "label", F.lit(1.0).alias("score"))
+    pairs = settled(adjacency.select("i", "j"))
+    degree = settled(pairs.groupBy(F.col("i").alias("id")).agg((1 / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("root")))
+    start = seeds.select("id", "label").join(degree, "id").select("id", "label", F.lit(1.0).alias("score"), F.col("root").alias("sent"))
     now = start
     for _ in range(iters):
-        passed = w.join(now, w.j == now.id).groupBy(F.col("i"), "label").agg(F.sum(F.col("w") * F.col("score")).alias("score")).withColumnRenamed("i", "id")
-        now = settled(passed.join(seeds.select("id"), "id", "left_anti").unionByName(start))
-    events = w.select(F.col("i").alias("id")).distinct()
-    dense = events.crossJoin(F.broadcast(labels.select("label"))).join(now, ["id", "label"], "left").fillna(0.0, ["score"])
-    size = dense.groupBy("id").agg(F.sum(F.exp("score") if normalize == "softmax" else F.col("score")).alias("z"))
+        passed = pairs.join(now.select(F.col("id").alias("j"), "label", "sent"), "j").groupBy(F.col("i").alias("id"), "label").agg(F.sum("sent").alias("sum"))
+        fresh = passed.join(seeds.select("id"), "id", "left_anti").join(degree, "id").select("id", "label", (F.col("sum") * F.col("root")).alias("score"), (F.col("sum") * F.col("root") * F.col("root")).alias("sent"))
+        now = settled(fresh.unionByName(start))
+    dense = degree.select("id").crossJoin(F.broadcast(labels.select("label"))).join(now.select("id", "label", "score"), ["id", "label"], "left").fillna(0.0, ["score"])
     value = F.exp("score") if normalize == "softmax" else F.col("score")
-    return dense.join(size, "id").select("id", "label", F.coalesce(F.try_divide(value, F.col("z")), F.lit(0.0)).alias("score"))
+    size = F.sum(value).over(Window.partitionBy("id"))
+    return dense.select("id", "label", F.coalesce(F.try_divide(value, size), F.lit(0.0)).alias("score"))
 
 
 def lp_predict(scores: DataFrame, unlabeled: DataFrame) -> DataFrame:
@@ -46,14 +51,14 @@ def lp_predict(scores: DataFrame, unlabeled: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(best.alias("b"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", four)))).alias("all_scores")).select("id", F.col("b.label").alias("predicted"), F.col("b.score").alias("confidence"), "all_scores")
 
 
-def neighbor_mean(edges: DataFrame, vecs: DataFrame, width: int) -> DataFrame:
+def neighbor_mean(edges: DataFrame, vecs: DataFrame) -> DataFrame:
     """(dst, vec): for each node the mean over its relations of the mean over the relation's neighbours.
 
-    edges: (dst, rel, src); vecs: (rel, src, vec), the neighbours' vectors by relation.
+    edges: (dst, rel, src); vecs: (rel, src, vec), the neighbours' vectors by relation, of one width. A mean is one buffer per node
+    and task, whatever the width.
     """
-    slots = [F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(width)]
-    per = edges.join(vecs, ["rel", "src"]).groupBy("dst", "rel").agg(*slots)
-    return per.groupBy("dst").agg(*[F.avg(f"m{i}").alias(f"m{i}") for i in range(width)]).select("dst", F.array(*[f"m{i}" for i in range(width)]).alias("vec"))
+    per = edges.join(vecs.select("rel", "src", array_to_vector("vec").alias("v")), ["rel", "src"]).groupBy("dst", "rel").agg(Summarizer.mean(F.col("v")).alias("v"))
+    return per.groupBy("dst").agg(Summarizer.mean(F.col("v")).alias("v")).select("dst", vector_to_array("v").alias("vec"))
 
 
 def dense_product(df: DataFrame, column: str, weights: np.ndarray, to: str) -> DataFrame:
@@ -68,20 +73,15 @@ def dense_product(df: DataFrame, column: str, weights: np.ndarray, to: str) -> D
     return df.withColumn(to, product(column))
 
 
-def activate(vec, last: bool = False, eps: float = 1e-5):
-    """Layer norm, ReLU and unit length of an array column, a batch at a time; a last layer stays as it is."""
+def activate(vec: Column, last: bool = False, eps: float = 1e-5) -> Column:
+    """Layer norm, ReLU and unit length of an array column; a last layer stays as it is."""
     if last:
         return vec
-
-    @F.pandas_udf("array<double>")
-    def unit(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        z = np.stack(x.to_numpy())
-        z = np.maximum((z - z.mean(1, keepdims=True)) / np.sqrt(z.var(1, keepdims=True) + eps), 0.0)
-        return pd.Series(list(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)), index=x.index)
-
-    return unit(vec)
+    total = lambda c, f=lambda x: x: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
+    n = F.size(vec).cast("double")
+    centred = F.transform(F.array(F.struct(vec.alias("v"), (total(vec) / n).alias("mean"))), lambda s: F.transform(s["v"], lambda x: x - s["mean"]))[0]
+    scaled = F.transform(F.array(F.struct(centred.alias("v"))), lambda s: F.transform(s["v"], lambda x: F.greatest(x / F.sqrt(total(s["v"], lambda y: y * y) / n + eps), F.lit(0.0))))[0]
+    return F.transform(F.array(F.struct(scaled.alias("v"))), lambda s: F.transform(s["v"], lambda x: x / F.greatest(F.sqrt(total(s["v"], lambda y: y * y)), F.lit(1e-12))))[0]
 
 
 def sage_layer(own: DataFrame, neighbors: DataFrame, w_self: np.ndarray | None = None, w_neighbor: np.ndarray | None = None, last: bool = False) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
+from tracegraph.operators.lineage import small
+from tracegraph.operators.rank import quantiles
 
 DNS_TYPES = ["A", "AAAA", "MX", "NS", "SOA", "TXT", "CNAME", "PTR", "SRV"]
 
@@ -27,12 +31,12 @@ def top_k_vocab(df: DataFrame, column: str, k: int) -> DataFrame:
 def event_mean_pool(edges: DataFrame, vecs: DataFrame, events: DataFrame, width: int) -> DataFrame:
     """Mean vector of an event's indicators over all its edges of all types; zeros for events without any.
 
-    One aggregate per slot, so partial sums stay one row per event and task.
+    Vectors are summed as they are, so partial sums are one buffer per event and task.
     """
-    met = edges.select("id", "ioc_type", "ioc").join(vecs, ["ioc_type", "ioc"])
-    means = met.groupBy("id").agg(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(width)])
-    mean = F.array(*[F.coalesce(f"m{i}", F.lit(0.0)) for i in range(width)])
-    return events.select("id").join(means, "id", "left").select("id", mean.alias("vec"))
+    met = edges.select("id", "ioc_type", "ioc").join(vecs.select("ioc_type", "ioc", array_to_vector("vec").alias("v")), ["ioc_type", "ioc"])
+    means = met.groupBy("id").agg(Summarizer.mean(F.col("v")).alias("v")).select("id", vector_to_array("v").alias("vec"))
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return events.select("id").join(means, "id", "left").select("id", F.coalesce("vec", zeros).alias("vec"))
 
 
 def majority_label(votes: DataFrame) -> DataFrame:
@@ -61,28 +65,30 @@ def event_age(events: DataFrame) -> DataFrame:
     """Adds age_days against the newest event; events without a date get the lower middle age."""
     newest = events.agg(F.max("created").alias("newest"))
     aged = events.crossJoin(F.broadcast(newest)).withColumn("age", F.greatest(T.days_between(F.col("newest"), F.col("created")), F.lit(0.0)))
-    middle = aged.agg(F.expr("percentile_disc(0.5) within group (order by age)").alias("middle"))
+    middle = quantiles(aged, "age", {"middle": (0.5, "disc")})
     return aged.crossJoin(F.broadcast(middle)).withColumn("age_days", F.coalesce("age", "middle", F.lit(0.0))).drop("newest", "age", "middle")
 
 
 def decay_overall(aged: DataFrame, tau: float) -> DataFrame:
     """Ages and decay weights of the labelled events."""
-    w = T.decay_weight(F.col("age_days"), tau)
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    mid = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
-    rows = aged.where("apt is not null").withColumn("w", w)
-    out = {"age_p05": p("age_days", 0.05), "age_median": mid("age_days"), "age_p95": p("age_days", 0.95), "w_min": F.min("w"), "w_median": mid("w"), "w_max": F.max("w"), "w_std": F.stddev_samp("w"), "share_half": F.avg((F.col("w") >= 0.5).cast("double"))}
-    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.round(v, 6).alias(k) for k, v in out.items()])
+    rows = aged.where("apt is not null").withColumn("w", T.decay_weight(F.col("age_days"), tau))
+    ages = quantiles(rows, "age_days", {"age_p05": (0.05, "cont"), "age_median": (0.5, "disc"), "age_p95": (0.95, "cont")})
+    middle = quantiles(rows, "w", {"w_median": (0.5, "disc")})
+    rest = rows.agg(F.count(F.lit(1)).alias("n"), F.min("w").alias("w_min"), F.max("w").alias("w_max"), F.stddev_samp("w").alias("w_std"), F.avg((F.col("w") >= 0.5).cast("double")).alias("share_half"))
+    all_ = rest.join(F.broadcast(ages), F.lit(True), "left").join(F.broadcast(middle), F.lit(True), "left")  # single rows
+    return all_.select("n", *[F.round(c, 6).alias(c) for c in ("age_p05", "age_median", "age_p95", "w_min", "w_median", "w_max", "w_std", "share_half")])
 
 
 def decay_by_class(aged: DataFrame, tau: float) -> DataFrame:
     rows = aged.where("apt is not null").withColumn("w", T.decay_weight(F.col("age_days"), tau))
-    return rows.groupBy("apt").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("sum_w"), F.round(F.avg("w"), 6).alias("mean_w"), F.round(F.expr("percentile_disc(0.5) within group (order by age_days)"), 6).alias("median_age"))
+    sums = rows.groupBy("apt").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("sum_w"), F.round(F.avg("w"), 6).alias("mean_w"))
+    return sums.join(quantiles(rows, "age_days", {"median_age": (0.5, "disc")}, ("apt",)), "apt", "left").select("apt", "n", "sum_w", "mean_w", F.round("median_age", 6).alias("median_age"))
 
 
 def age_stats(aged: DataFrame, by: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile("age_days", F.lit(q)), 6)
-    return aged.groupBy(by).agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("median"), p(0.05).alias("p05"), p(0.95).alias("p95"))
+    ages = quantiles(aged, "age_days", {"median": (0.5, "cont"), "p05": (0.05, "cont"), "p95": (0.95, "cont")}, (by,))
+    n = aged.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(ages, by, "left").select(by, "n", *[F.round(c, 6).alias(c) for c in ("median", "p05", "p95")])
 
 
 def accuracy(rows: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
@@ -132,12 +138,14 @@ def subset_metrics(rows: DataFrame) -> DataFrame:
 
 
 def match_stats(counts: DataFrame) -> DataFrame:
-    return counts.agg(F.round(F.percentile("n", F.lit(0.5)), 4).alias("median"), F.round(F.percentile("n", F.lit(0.9)), 4).alias("p90"), F.max("n").alias("max"))
+    """Median, ninetieth percentile (both between rows) and maximum of ``n``."""
+    at = quantiles(counts, "n", {"median": (0.5, "cont"), "p90": (0.9, "cont")})
+    return counts.agg(F.max("n").alias("max")).join(F.broadcast(at), F.lit(True), "left").select(F.round("median", 4).alias("median"), F.round("p90", 4).alias("p90"), "max")
 
 
 def rollup_scores(scores: DataFrame, dim: DataFrame, by: str = "nation") -> DataFrame:
     """Class scores summed per nation or cluster; classes without one form a bucket of their own."""
-    return scores.join(F.broadcast(dim.select("class", by)), "class", "left").groupBy("vec_id", by).agg(F.round(F.sum("score"), 5).alias("score"))
+    return scores.join(small(dim.select("class", by)), "class", "left").groupBy("vec_id", by).agg(F.round(F.sum("score"), 5).alias("score"))
 
 
 def ensemble_mean(scores: DataFrame) -> DataFrame:

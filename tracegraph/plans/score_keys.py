@@ -442,7 +442,7 @@ def weights(t, *kinds: str):
 
 def lp(t, iters: int, *kinds: str):
     seeds = t.event().where("apt is not null").select("id", F.col("apt").alias("label"))
-    return propagate.label_propagation(weights(t, *kinds), seeds, t.label_dim(), iters)
+    return propagate.label_propagation(link.event_adjacency(t.in_report(*kinds), t.event()), seeds, t.label_dim(), iters)
 
 
 @key("sym_normalize", f"WITH {ADJ} SELECT i, count(*) AS n, round(sum(w), 5) AS sum_w FROM w GROUP BY i")
@@ -468,7 +468,7 @@ def lp_predict(t):
 def neighbors(t):
     edges = t.in_report().select(F.col("id").alias("dst"), F.col("ioc_type").alias("rel"), F.col("ioc").alias("src"))
     vecs = t.node_vec().select(F.col("ioc_type").alias("rel"), F.col("ioc").alias("src"), "vec")
-    return propagate.neighbor_mean(edges, vecs, 64)
+    return propagate.neighbor_mean(edges, vecs)
 
 
 @key("neighbor_mean", """WITH {V}, m AS (SELECT id, ioc_type, avg(vec[1]) AS a, avg(vec[2]) AS b, avg(vec[64]) AS c FROM fx_in_report JOIN fx_node_vec USING (ioc_type, ioc) GROUP BY 1, 2)
