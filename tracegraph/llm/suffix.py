@@ -1,13 +1,16 @@
 """Removal of repeated passages by prefix-free parsing.
 
-Rolling hashes of ``K`` bytes trigger phrases: every ``length``-byte string belongs to the phrase of its least hash, so equal strings
-belong to phrases with equal triggers, at equal places. A phrase holds whole all strings that belong to it, and so overlaps the
-next one by ``length`` - 1 bytes. The distinct phrases are the dictionary; which phrase stands where is the parse. A string repeats
-in the corpus just when its phrase occurs twice in the parse, or when the suffixes of two dictionary phrases that start at their
-strings agree for ``length`` bytes. Suffixes are not ordered: no suffix array of the dictionary or of the parse is built. Suffixes
-of phrases with one trigger are grouped by 64-bit hashes of their common part first (cells of ``CELL`` neighbouring strings share a
-core), then of the whole string, so that equal ones meet; only equality for ``length`` bytes is asked for, and groups spread
-over tasks where an order would need sorted ranges. The parse carries what the dictionary shows back to the texts.
+Rolling hashes of ``K`` bytes trigger phrases: every ``length``-byte string is anchored at the first of its windows whose hash meets the trigger
+condition (in a string without any, at its window of least hash), so equal strings are anchored at equal places. The strings of
+one anchor are a phrase: it holds them whole, from the bytes before the trigger to those after it. The distinct phrases are the
+dictionary; which phrase stands where is the parse.
+
+Phrases that occur twice in the parse hold only strings that repeat. For the others two suffix arrays are made, of those phrases whose
+trigger has several: the dictionary's, of what ends in a trigger, read backwards, and the parse's, of what goes on from a trigger. Both
+are sorts of bytes into ranges over all tasks, and the common lengths of neighbours tell for every phrase and length the first
+one in order with which it agrees so far. A string is its part up to the trigger and its part from there, so the two
+ranks combined are its place in corpus order: equal pairs of ranks are equal strings, by their bytes and not by a hash. The
+parse carries what the dictionary shows back to the texts.
 """
 
 from __future__ import annotations
@@ -23,75 +26,74 @@ from pyspark.sql.types import StructType
 
 from tracegraph.llm.shared import bit_table, buffers, carried, cut, discard, has_bit, mix64, restored, tidy
 
-#: Bytes of a trigger, and neighbouring strings whose common core is looked at first.
-K, CELL = 32, 11
+#: Bytes of a trigger, and low bits of its hash that are zero: a trigger comes every 2 ** ``SPARSE`` bytes on average.
+K, SPARSE = 32, 6
 
-#: Text positions hashed at a time; the low bits of a trigger's key hold a position among them.
-STEP_BITS = 20
+#: Text positions hashed at a time; the low bits of a window's key hold a position among them.
+STEP_BITS = 18
 
-#: Power of two of the bits of the filters for triggers and cores.
+#: Power of two of the bits of the filter for triggers.
 FILTER = 26
 
 #: Bits of a mark that hold how many strings follow the first; the mark of a whole phrase or text.
-MORE, WHOLE = 12, -1
+MORE, WHOLE = 20, -1
 
 _rng = np.random.default_rng(20240611)
-LETTER = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-POWERS: list[np.ndarray] = []
+LETTERS = [_rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+POWERS: list[list[np.ndarray]] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, n of them at least."""
-    if not POWERS or len(POWERS[0]) < n:
+def powers(n: int) -> list[list[np.ndarray]]:
+    """For each base its powers and those of its inverse modulo 2 ** 64, n of them at least."""
+    if not POWERS or len(POWERS[0][0]) < n:
         size = max(n, 1 << 16)
-        POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (BASE, pow(BASE, -1, 1 << 64))]
-    return POWERS[0], POWERS[1]
+        POWERS[:] = [[np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64)))) for b in (base, pow(base, -1, 1 << 64))] for base in BASES]
+    return POWERS
 
 
 @dataclass
 class Phrases:
     """Phrases of one stretch of text: strings ``first`` to ``last`` (their starts) with the trigger at ``at``."""
 
-    sums: np.ndarray
+    sums: list[np.ndarray]
     length: int
     first: np.ndarray
     last: np.ndarray
     at: np.ndarray
     trigger: np.ndarray
 
-    def hash(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        """Hashes of the bytes from a to b."""
-        return mix64((self.sums[b] - self.sums[a]) * powers(len(self.sums))[1][a] + np.asarray(salt).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each phrase's bytes, strings and place of the trigger, as two numbers."""
+        a, b = self.first, self.last + self.length
+        salt = (self.at - self.first + ((self.last - self.first) << 16)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        one, two = (mix64((s[b] - s[a]) * p[1][a] + salt).view(np.int64) for s, p in zip(self.sums, powers(len(self.sums[0])), strict=True))
+        return one, two
 
-    def keys(self) -> np.ndarray:
-        return self.hash(self.first, self.last + self.length, self.at - self.first + ((self.last - self.first) << 16))
-
-    def cells(self) -> tuple[np.ndarray, ...]:
-        """For each phrase and cell of its strings: phrase, first and last string, hash of the core, hash of all bytes they span."""
-        low, high = (self.at - self.last) // CELL, (self.at - self.first) // CELL
-        many = high - low + 1
-        i = np.repeat(np.arange(len(many)), many)
-        g = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-        p = self.at[i]
-        a, b = np.maximum(p - (g + 1) * CELL + 1, self.first[i]), np.minimum(p - g * CELL, self.last[i])
-        core = self.hash(p - g * CELL, p - (g + 1) * CELL + 1 + self.length, g)
-        return i, a, b, core, self.hash(a, b + self.length, (p - a) + ((b - a) << 16) + (1 << 40))
+    def pick(self, which: np.ndarray) -> Phrases:
+        return Phrases(self.sums, self.length, self.first[which], self.last[which], self.at[which], self.trigger[which])
 
 
 def phrases(d: np.ndarray, length: int) -> Phrases:
     """Cuts at most 2 ** ``STEP_BITS`` bytes, ``length`` at least, into phrases."""
-    up, down = powers(len(d) + 1)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(LETTER[d] * up[: len(d)])))
+    tables = powers(len(d) + 1)
+    sums = [np.concatenate(([np.uint64(0)], np.cumsum(letter[d] * up[: len(d)]))) for letter, (up, _) in zip(LETTERS, tables, strict=True)]
     m, w, n = len(d) - K + 1, length - K + 1, len(d) - length + 1
-    h = mix64((sums[K:] - sums[:-K]) * down[:m])
-    low = np.uint64((1 << STEP_BITS) - 1)
-    key = np.full(-(-m // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    key[:m] = (h & ~low) | np.arange(m, dtype=np.uint64)
-    rows = key.reshape(-1, w)
-    before = np.minimum.accumulate(rows, 1).ravel()
-    after = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
-    at = (np.minimum(after[:n], before[w - 1 : w - 1 + n]) & low).astype(np.int64)
+    h = mix64((sums[0][K:] - sums[0][:-K]) * tables[0][1][:m])
+    place = np.arange(m)
+    # the next window from each place on that meets the condition
+    after = np.where(h & np.uint64((1 << SPARSE) - 1) == 0, place, m + w)
+    at = np.minimum.accumulate(after[::-1])[::-1][:n]
+    none = np.flatnonzero(at >= place[:n] + w)
+    if len(none):  # the least hash among the string's windows
+        low = np.uint64((1 << STEP_BITS) - 1)
+        key = np.full(-(-m // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+        key[:m] = (h & ~low) | place.astype(np.uint64)
+        rows = key.reshape(-1, w)
+        before = np.minimum.accumulate(rows, 1).ravel()
+        behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+        at = at.copy()
+        at[none] = (np.minimum(behind[none], before[none + w - 1]) & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return Phrases(sums, length, first, np.append(first[1:], n) - 1, at[first], h[at[first]])
 
@@ -103,18 +105,19 @@ def stretches(size: int, length: int) -> Iterator[tuple[int, int]]:
         yield a, min(size, a + step)
 
 
-def parsed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, Phrases]]:
-    """For batches of (key, text): key, start of the stretch, phrases. A text that a task has seen is not parsed again."""
-    seen: set[int] = set()
+def parsed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[tuple[int, int], int, np.ndarray, Phrases]]:
+    """For batches of (key, also, text): the text's keys, start of the stretch, its bytes, phrases. A text that a task has seen is not parsed again."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        data, offsets = buffers(batch.column(1))
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        data, offsets = buffers(batch.column(2))
         for i, key in enumerate(keys):
             if offsets[i + 1] - offsets[i] < length or key in seen:
                 continue
             seen.add(key)
             for a, b in stretches(int(offsets[i + 1] - offsets[i]), length):
-                yield key, a, phrases(data[offsets[i] + a : offsets[i] + b], length)
+                d = data[offsets[i] + a : offsets[i] + b]
+                yield key, a, d, phrases(d, length)
 
 
 def gathered(rows: Iterator[tuple[np.ndarray, ...]], names: list[str], most: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -131,79 +134,180 @@ def gathered(rows: Iterator[tuple[np.ndarray, ...]], names: list[str], most: int
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
 
-def mark(first: str, more: str | Column) -> Column:
+def mark(first: str | Column, more: str | Column) -> Column:
     """A range of strings as one number: its first start, and how many more follow."""
-    return (F.col(first).cast("long") * F.lit(1 << MORE) + (F.col(more) if isinstance(more, str) else more)).alias("mark")
+    first, more = (F.col(c) if isinstance(c, str) else c for c in (first, more))
+    return (first.cast("long") * F.lit(1 << MORE) + more.cast("long")).alias("mark")
+
+
+def common(rows: list[bytes], width: int) -> np.ndarray:
+    """Common length of each row but the first with the one before it."""
+    sizes = np.array([len(r) for r in rows])
+    m = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(-1, width)
+    same = m[1:] == m[:-1]
+    out = np.where(same.all(1), width, same.argmin(1)) if width else np.zeros(len(rows) - 1, np.int64)
+    return np.minimum(out, np.minimum(sizes[1:], sizes[:-1]))
+
+
+def suffix_array(rows: DataFrame, width: int) -> DataFrame:
+    """Sorts (p, q, bytes) of at most ``width`` bytes, and tells for each row and each depth the first row in order that agrees with it so far.
+
+    p, q, part, most, depths, leaders: from depths[i] on the leader is number leaders[i] of range ``part``; ``most`` is the depth up to which
+    the row agrees with a neighbour. Rows that agree may lie in several ranges; leader 0 of a range may so have one before it,
+    for which each range gives one more row (p null) with its first and last bytes and its last row's leaders (see ``Chain``).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        part = TaskContext.get().partitionId()
+        first = last = None
+        depths: list[int] = []
+        leaders: list[int] = []
+        number, held = 0, None  # held: the row whose next neighbour has not come
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*made[:2], pa.array(np.full(len(out), part, np.int32)), *made[2:]], ["p", "q", "part", "most", "depths", "leaders", "first", "last"])
+
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            if not raw:
+                continue
+            first = raw[0] if first is None else first
+            agree = common([raw[0] if last is None else last, *raw], width)
+            if last is None:
+                agree[0] = 0
+            out = []
+            for p, q, x, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw, agree.tolist(), strict=True):
+                while depths and depths[-1] > c:
+                    depths.pop()
+                    leaders.pop()
+                if c < len(x):
+                    depths.append(c + 1)
+                    leaders.append(number)
+                if held is not None:
+                    out.append((*held[:2], max(held[2], c), *held[3:], None, None))
+                held = (p, q, c if number else len(x), depths[:], leaders[:])  # what comes before the range may agree with all of its first row
+                number += 1
+                last = x
+            yield batch_of(out)
+        if held is not None:
+            yield batch_of([(*held[:2], len(last), *held[3:], None, None), (None, None, 0, depths, leaders, first, last)])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, "bytes", "p").sortWithinPartitions("bytes", "p").select("p", "q", "bytes")
+    return cut(ranged.mapInArrow(tidy(run), "p long, q long, part int, most int, depths array<int>, leaders array<long>, first binary, last binary"))
+
+
+class Chain:
+    """Which class leader 0 of each range belongs to at each depth: a table of (ranges, ``width`` + 1), as one number for range and leader."""
+
+    def __init__(self, table: DataFrame, width: int):
+        ends = sorted(table.where("p is null").select("part", "depths", "leaders", "first", "last").collect(), key=lambda r: r.part)
+        self.row = {r.part: i for i, r in enumerate(ends)}
+        self.of = np.zeros((len(ends), width + 1), np.int64)
+        for i, r in enumerate(ends):
+            self.of[i] = r.part << 40
+            if i:
+                before = ends[i - 1]
+                agree = int(common([bytes(before.last), bytes(r.first)], width)[0])
+                d = np.arange(1, agree + 1)
+                self.of[i, 1 : agree + 1] = self.number(before.part, np.array(before.depths), np.array(before.leaders), d)
+
+    def number(self, part: int, depths: np.ndarray, leaders: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Class of a row at the depths ``at``."""
+        own = leaders[np.searchsorted(depths, at, "right") - 1]
+        return np.where(own == 0, self.of[self.row[part], at], (part << 40) + own)
 
 
 def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
-    """For (key, text) rows: (key, mark), marks of ranges of starts of ``length``-byte strings that start anywhere else too.
+    """For (key, also, text) rows: (key, also, mark), marks of ranges of starts of ``length``-byte strings that start anywhere else too.
 
-    Strings of texts that are repeated whole may be missing; the caller knows those by their key.
+    Strings of texts that are repeated whole may be missing; the caller knows those by their keys.
     """
     spark = texts.sparkSession
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((np.full(len(p.first), key), a + p.first, (p.last - p.first).astype(np.int32), signed(p.keys()), signed(p.trigger)) for key, a, p in parsed(batches, length))
-        yield from gathered(rows, ["key", "start", "more", "phrase", "trigger"])
-
-    parse_ = cut(texts.mapInArrow(tidy(parse), "key long, start long, more int, phrase long, trigger long"))
-    dictionary = cut(parse_.groupBy("phrase").agg(F.first("trigger").alias("trigger"), F.count(F.lit(1)).alias("n")))
+        def rows() -> Iterator[tuple[np.ndarray, ...]]:
+            for (key, also), a, _, p in parsed(batches, length):
+                one, two = p.keys()
+                more = p.last - p.first
+                # equal phrases in a row, as in a text of one letter, are one row
+                new = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+                run = np.diff(np.append(new, len(one)))
+                yield np.full(len(new), key), np.full(len(new), also, np.int32), a + p.first[new], more[new].astype(np.int32), run, one[new], two[new], p.trigger[new].view(np.int64)
+
+        yield from gathered(rows(), ["key", "also", "start", "more", "run", "p", "q", "trigger"])
+
+    parse_ = cut(texts.mapInArrow(tidy(parse), "key long, also int, start long, more int, run long, p long, q long, trigger long"))
+    dictionary = cut(parse_.groupBy("p", "q").agg(F.first("trigger").alias("trigger"), F.sum("run").alias("n")))
     triggers = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = spark.sparkContext.broadcast(bit_table(triggers.select(F.col("trigger").alias("key")), FILTER))
-    full = cut(dictionary.where("n > 1").select("phrase", F.lit(WHOLE).cast("long").alias("mark")))
+    full = cut(dictionary.where("n > 1").select("p", "q", F.lit(WHOLE).cast("long").alias("mark")))
     discard(dictionary)
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[Phrases]:
-        """Phrases that share a trigger with another one, each once a task."""
-        seen: set[int] = set()
-        for _, _, p in parsed(batches, length):
-            pick = np.flatnonzero(has_bit(several.value, p.trigger))
-            if len(pick):
-                keys = p.keys()[pick].tolist()
-                fresh = [i for i, k in zip(pick.tolist(), keys, strict=True) if not (k in seen or seen.add(k))]
-                yield Phrases(p.sums, length, p.first[fresh], p.last[fresh], p.at[fresh], p.trigger[fresh])
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[np.ndarray, ...]]:
-            for p in edges(batches):
-                i, a, b, core, cover = p.cells()
-                yield signed(core), signed(cover), signed(p.keys())[i], (a - p.first[i]).astype(np.int32), (b - p.first[i]).astype(np.int32)
-
-        yield from gathered(rows(), ["core", "cover", "phrase", "first", "last"])
-
-    cell = cut(texts.mapInArrow(tidy(cells), "core long, cover long, phrase long, first int, last int"))
-    cores = cell.groupBy("core").agg(F.min("cover").alias("p"), F.max("cover").alias("q")).where("p <> q")
-    open_ = spark.sparkContext.broadcast(bit_table(cores.select(F.col("core").alias("key")), FILTER))
-    covers = cell.groupBy("cover").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p <> q")
-    same_cells = cut(cell.select("cover", "phrase", mark("first", F.col("last") - F.col("first"))).join(covers.select("cover"), "cover").select("phrase", "mark"))
-    discard(cell)
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases that share a trigger with another one, each once a task: their bytes up to the trigger, backwards, and from it on."""
+        seen: set[tuple[int, int]] = set()
+        out: list[tuple] = []
+        names = ["p", "q", "least", "left", "right"]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        for _, _, d, p in parsed(batches, length):
+            which = np.flatnonzero(has_bit(several.value, p.trigger))
+            if len(which):
+                p = p.pick(which)
+                raw = d.tobytes()
+                for one, two, first, last, at in zip(*(c.tolist() for c in (*p.keys(), p.first, p.last, p.at)), strict=True):
+                    if (one, two) not in seen:
+                        seen.add((one, two))
+                        out.append((one, two, at - last, raw[first : at + K][::-1], raw[at : last + length]))
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    entry = cut(texts.mapInArrow(tidy(entries), "p long, q long, least int, left binary, right binary").dropDuplicates(["p", "q"]))
+    several.destroy()
+    left, right = suffix_array(entry.select("p", "q", F.col("left").alias("bytes")), length), suffix_array(entry.select("p", "q", F.col("right").alias("bytes")), length)
+    chains = spark.sparkContext.broadcast((Chain(left, length), Chain(right, length)))
+    side = lambda t, s: t.where("p is not null").select("p", "q", *[F.col(c).alias(f"{s}_{c}") for c in ("part", "most", "depths", "leaders")])
+    both = entry.select("p", "q", "least", (F.length("left") - K).alias("top")).join(side(left, "l"), ["p", "q"]).join(side(right, "r"), ["p", "q"])
+    # bytes before the trigger that a string of the phrase has, and that some other phrase may share with it
+    both = both.withColumn("low", F.greatest(F.col("least"), length - F.col("r_most"))).withColumn("high", F.least(F.col("top"), F.col("l_most") - K)).where("low <= high")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, behind = chains.value
+
         def rows() -> Iterator[tuple[np.ndarray, ...]]:
-            for p in edges(batches):
-                i, a, b, core, _ = p.cells()
-                keep = has_bit(open_.value, core)
-                i, a, b = i[keep], a[keep], b[keep]
-                many = b - a + 1
-                j = np.repeat(np.arange(len(many)), many)
-                x = a[j] + np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many)
-                yield signed(p.hash(x, x + length)), signed(p.keys())[i[j]], (x - p.first[i[j]]).astype(np.int32)
-
-        yield from gathered(rows(), ["string", "phrase", "first"])
-
-    string = cut(texts.mapInArrow(tidy(strings), "string long, phrase long, first int"))
-    twice = string.groupBy("string").agg(F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("p <> q").select("string")
-    same_strings = cut(string.join(twice, "string").select("phrase", mark("first", F.lit(0))))
+            for batch in batches:
+                of = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+                flat = {c: (np.asarray(of[c].offsets), np.asarray(of[c].values)) for c in ("l_depths", "l_leaders", "r_depths", "r_leaders")}
+                cut_ = lambda c, i: flat[c][1][flat[c][0][i] : flat[c][0][i + 1]]
+                for i, (p, q, low, high, top, lp, rp) in enumerate(zip(*(of[c].to_pylist() for c in ("p", "q", "low", "high", "top", "l_part", "r_part")), strict=True)):
+                    a = np.arange(low, high + 1)
+                    x = before.number(lp, cut_("l_depths", i), cut_("l_leaders", i), a + K)
+                    y = behind.number(rp, cut_("r_depths", i), cut_("r_leaders", i), length - a)
+                    yield x, y, a.astype(np.int32), np.full(len(a), p), np.full(len(a), q), (top - a).astype(np.int32)
+
+        yield from gathered(rows(), ["x", "y", "a", "p", "q", "first"])
+
+    cols = ["p", "q", "low", "high", "top", *[f"{s}_{c}" for s in "lr" for c in ("part", "depths", "leaders")]]
+    string = cut(both.select(*cols).mapInArrow(tidy(strings), "x long, y long, a int, p long, q long, first int"))
+    chains.destroy()
+    discard(entry, left, right)
+    twice = string.groupBy("x", "y", "a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y", "a")
+    same = cut(string.join(twice, ["x", "y", "a"], "left_semi").select("p", "q", mark("first", F.lit(0))))
     discard(string)
-    marks = cut(full.unionByName(same_cells).unionByName(same_strings).groupBy("phrase").agg(F.collect_set("mark").alias("marks")))
-    discard(full, same_cells, same_strings)
-    hits = parse_.join(marks, "phrase").select("key", "start", "more", F.explode("marks").alias("m"))
-    return hits.select("key", F.when(F.col("m") == WHOLE, mark("start", "more")).otherwise(F.col("start") * F.lit(1 << MORE) + F.col("m")).alias("mark"))
+    marks = cut(full.unionByName(same).groupBy("p", "q").agg(F.collect_set("mark").alias("marks")))
+    discard(full, same)
+    hits = parse_.join(marks, ["p", "q"]).select("key", "also", "start", "more", "run", F.explode("marks").alias("m"))
+    # equal phrases in a row end where the last of them does
+    all_ = mark("start", F.col("run") * (F.col("more") + 1) - 1)
+    return hits.select("key", "also", F.when(F.col("m") == WHOLE, all_).otherwise(F.col("start") * F.lit(1 << MORE) + F.col("m")).alias("mark"))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text", as_text: bool = False) -> DataFrame:
@@ -212,20 +316,20 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
     With ``as_text`` kept is a string, without the bytes of characters that a cut has split.
 
     A byte goes if a ``length``-byte string that covers it also starts anywhere else in the table, in the same text or another.
-    Strings never run over the end of a text, and are judged on the input. Texts are known by a 64-bit hash and their length, and
-    strings by 64-bit hashes. Texts are read three times and shuffled once, to meet their ranges.
+    Strings never run over the end of a text, and are judged on the input. Texts are known by 96 bits of hashes and phrases by 128;
+    strings of different phrases are compared by their bytes. Texts are read three times and shuffled once, to meet their ranges.
 
-    Null text: empty. Texts shorter than ``length`` bytes stay whole. Texts that occur twice go whole. An empty table gives no rows.
-    Other columns stay as they are, but for those with the names of the new ones, which are replaced.
+    Null text: empty. Texts shorter than ``length`` bytes stay whole. Texts that occur twice go whole. Rows that repeat are texts
+    that do. An empty table gives no rows. Other columns stay as they are, but for those with the names of the new ones, which are replaced.
     """
-    if not K < length < 1 << MORE:
-        raise ValueError(f"length must be between {K} and {1 << MORE}")
+    if not K < length < 1 << 12:
+        raise ValueError(f"length must be between {K} and {1 << 12}")
     body = F.coalesce("body", F.lit(""))
-    rows = carried(docs, body=text_col).withColumn("key", F.xxhash64(body, F.octet_length(body)))
-    texts = rows.where(F.octet_length("body") >= length).select("key", F.col("body").alias("text"))
-    whole = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(WHOLE).cast("long").alias("mark"))
-    ranges = cut(repeated_ranges(texts, length).unionByName(whole).groupBy("key").agg(F.collect_set("mark").alias("ranges")))
-    met = rows.join(ranges, "key", "left").select("row", "body", "ranges")
+    rows = carried(docs, body=text_col).withColumn("key", F.xxhash64(body, F.octet_length(body))).withColumn("also", F.hash(body))
+    texts = rows.where(F.octet_length("body") >= length).select("key", "also", F.col("body").alias("text"))
+    whole = texts.groupBy("key", "also").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "also", F.lit(WHOLE).cast("long").alias("mark"))
+    ranges = cut(repeated_ranges(texts, length).unionByName(whole).groupBy("key", "also").agg(F.collect_set("mark").alias("ranges")))
+    met = rows.join(ranges, ["key", "also"], "left").select("row", "body", "ranges")
     kind = "string" if as_text else "binary"
     added = StructType.fromDDL(f"n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>, kept {kind}")
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
