@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import math
+import os
 import random
 import re
 from collections import Counter
@@ -257,3 +259,147 @@ def test_tokens_are_those_of_the_tokenizers(spark):
     n = {x.tokenizer_version: x.tokens for x in rollup.pattern_counts(spark.createDataFrame([("a b, 12",)], "text string"), ["text"]).first().counts}
     assert n == {"words-1": [3], "pieces-1": [4]}
     assert rollup.tokenizer_counts(docs.limit(0), ["text"], versions).count() == 0
+
+
+def test_repeats_of_real_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = Counter((d.doc_id, *x) for d, x in zip(docs, brute_repeats([d.text for d in docs], 200), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.op5(spark, folder).collect()) == want
+
+
+def test_phrases_of_one_letter_are_one_row(spark):
+    text = "a" * 300_000
+    p = suffix.phrases(suffix.np.frombuffer(text[:4000].encode(), suffix.np.uint8), 200)
+    one, two = p.keys()
+    assert len(p.first) > 3000 and len({*zip(one.tolist(), two.tolist(), strict=True)}) == 1
+    got = suffix.remove_repeats(spark.createDataFrame([(1, text), (2, "b" * 100 + text[:250])], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_removed, r.n_spans) for r in got} == {(1, 300_000, 1), (2, 250, 1)}
+
+
+def test_the_sample_is_paretos(spark):
+    """Copies of every document by a second, plain version of the plan."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 90)), "xx", f"s{i % 3}", 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, DOCS)
+    u = {r.doc_id: r.u for r in docs.select("doc_id", ((F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text"), 11) + 0.5) / float(1 << 53)).alias("u")).collect()}
+    got = {r.doc_id: r for r in mixing.pareto_mix(docs).collect()}
+    for source in ("s0", "s1", "s2"):
+        own = [(i, len(t.split())) for i, t, _, s, _ in rows if s == source]
+        target = got[own[0][0]].target
+        weight = {i: 1 + (int(math.log2(n)) if n else 0) for i, n in own}
+        low, high = 0.0, 10.0
+        for _ in range(200):  # the level at which copies in proportion to weight, 3 at most, make the target
+            level = (low + high) / 2
+            low, high = (level, high) if sum(n * min(3.0, level * weight[i]) for i, n in own) < target else (low, level)
+        wish = {i: min(3.0, high * weight[i]) for i, _ in own}
+        certain = {i: math.floor(w + 1e-9) for i, w in wish.items()}
+        p = {i: max(0.0, wish[i] - certain[i]) for i in wish}
+        assert len({round(x, 6) for x in p.values()}) > 2  # inclusion probabilities differ from document to document
+        left = target - sum(certain[i] * n for i, n in own)
+        size, copies = dict(own), dict(certain)
+        drawn = sorted(((u[i] / (1 - u[i])) / (p[i] / (1 - p[i])), i) for i in p if p[i] > 1e-9)
+        rest = []
+        for k, (_, i) in enumerate(drawn):
+            if size[i] > left + 1e-6:
+                rest = drawn[k:]
+                break
+            copies[i] += 1
+            left -= size[i]
+        more = {i: got[i].copies - copies[i] for i, _ in own if got[i].copies != copies[i]}
+        gaps = [abs(size[i] - left) for _, i in rest if abs(size[i] - left) < left]
+        # one more document closes the gap, and none comes nearer to it
+        assert list(more.values()) == [1] * bool(gaps) and all(abs(size[i] - left) == pytest.approx(min(gaps), abs=1e-6) for i in more)
+        copies |= {i: copies[i] + 1 for i in more}
+        assert abs(sum(copies[i] * n for i, n in own) - target) <= 60
+
+
+def test_a_large_group_of_repeated_rows_does_not_overshoot(spark):
+    rows = [(1, "a b c d e f g h", None, "s0", 1)] * 4000 + [(i, "w " * (i % 40), None, "s0" if i % 2 else "s1", 1) for i in range(2, 1500)]
+    got = mixing.pareto_mix(spark.createDataFrame(rows, DOCS)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.expr("taken - 3 * size")).alias("over")).collect()
+    for r in got:
+        assert r.over <= 0 and abs(r.taken - r.target) <= 0.03 * r.target
+
+
+def test_toxicity_scores_a_second_way():
+    g = toxicity.Grammar({"zark": 3.0, "blem*": 2.0, "mudface": 4.0}, toxicity.np.array([0.9, 1.3, 0.2, 0.3, 1.1, 0.4]), -2.0)
+    rng = random.Random(9)
+    pool = ["zark", "zarks", "blemish", "blem", "mudface", "you", "not", "said", "kill", "will", "\u201c", "der", "x", ".", ",", "!", "ne", "tu"]
+    for _ in range(400):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
+        sums = dict.fromkeys(toxicity.KINDS, 0.0)
+        for clause in re.split(r"[.!?;:,\n]", text.lower()):
+            reported = aimed = intent = False
+            negated = 0
+            for t in re.findall(r"[^\W\d_]+|\u201c", clause):
+                w = {"zark": 3.0, "mudface": 4.0}.get(t, 2.0 if t.startswith("blem") and len(t) >= 4 else 0.0)
+                if w:
+                    sums["reported insult" if reported else "negated insult" if negated else "aimed insult" if aimed else "insult"] += w
+                elif t == "kill" and intent and not negated:
+                    sums["reported threat" if reported else "threat"] += 1.0
+                negated = 3 if t in ("not", "ne") else max(0, negated - 1)
+                reported, aimed, intent = reported or t in ("said", "\u201c"), aimed or t in ("you", "der", "tu") and t != "der", intent or t == "will"
+        x = [math.log1p(sums[k]) for k in toxicity.KINDS]
+        want = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, g.weights, strict=True)) - 2.0)))
+        assert g.read(text)[1] == pytest.approx(want, abs=1e-12), text
+
+
+def test_language_scores_a_second_way():
+    np = langid.np
+    rng = np.random.default_rng(3)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.FEATURES + 1, 3)), rng.normal(size=3), 1.7)
+    model.weights[langid.FEATURES] = 0
+    texts = ["Straße É x", "a", "", "日本 ab", "x" * 50]
+    data, lengths = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
+    got = model.scores(data, lengths)
+
+    def feature(gram):
+        c = [int(langid.LOWER[0][ord(x)]) for x in gram]
+        m = 0xFFFFFFFF
+        h = (c[0] * 0x9E3779B1 + len(c)) & m
+        for x in c[1:]:
+            h = (((h ^ (h >> 15)) * 0x85EBCA6B & m) + x * 0xC2B2AE35) & m
+        h ^= h >> 16
+        return (h * 0x7FEB352D & m) >> 16
+
+    for t, p in zip(texts, got, strict=True):
+        grams = [t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)]
+        logits = langid.SCALE * sum((model.weights[feature(g)] for g in grams), np.zeros(3)) / max(len(grams), 1)
+        e = np.exp((logits + model.bias) / 1.7)
+        assert np.allclose(p, e / e.sum())
+
+
+#: Names that operators use inside or add, as columns of the input.
+CLASH = ["row", "body", "key", "also", "size", "u", "bin", "p", "kept", "spans", "n_bytes", "score", "predicted", "lang_pred", "copies", "taken", "target", "class", "rank_key", "x", "counts", "node", "token", "ranges"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, very long, equal and repeated texts under columns of any name."""
+    texts = [None, "", " \t\n", "a", "word " * 30_000, "Ein kleiner Satz.", "Ein kleiner Satz.", "éé" * 400, "\x00 \U0001f600"]
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s") for i, t in enumerate(texts)] + [(None, None, None, None), (5, "Ein kleiner Satz.", "en", None)]
+    return spark.createDataFrame([(*r, *(f"{c}!" for c in CLASH)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+def test_odd_rows(spark, odd):
+    n, held = odd.count(), [c for c in CLASH]
+    model = langid.train(odd.select("text", "lang"))
+    outs = {
+        "score": toxicity.score_rows(odd, toxicity.Grammar({"satz": 2.0})),
+        "lang_pred": langid.identify(odd, model),
+        "copies": mixing.pareto_mix(odd),
+        "kept": suffix.remove_repeats(odd),
+        "counts": rollup.pattern_counts(odd, ["text"]),
+    }
+    for name, df in outs.items():
+        got = df.collect()
+        assert len(got) == n and name in df.columns and len(set(df.columns)) == len(df.columns)
+        new = set(df.columns) - {*held, "doc_id", "text", "lang", "source"} | {"score", "predicted", "clauses", "lang_pred", "size", "source_size", "target", "copies", "taken", "n_bytes", "n_removed", "n_spans", "spans", "kept", "counts"}
+        for c in set(held) & set(df.columns) - new:
+            assert {r[c] for r in got} == {f"{c}!"}, (name, c)
+    plain = odd.select("doc_id", "text", "lang", "source")
+    for f in (lambda d: jaccard.jaccard_components(d), lambda d: toxicity.toxicity(d, spark.createDataFrame([(5, 1), (None, 0), (4, 0)], "doc_id long, toxic int")), lambda d: langid.language_of(d)):
+        assert Counter(r.doc_id for r in f(odd).collect()) == Counter(r.doc_id for r in plain.collect())
+        assert f(odd.limit(0)).count() == 0
