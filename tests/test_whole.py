@@ -46,11 +46,42 @@ def test_predict_batch_reads_ips_and_urls(spark, folder):
 
 
 def test_pooled_neighbours_of_every_type(spark, folder):
-    near, far = score_keys.near_and_far(Tables(spark, folder))
-    vec = lambda df: {r.id: r.vec[0] for r in df.collect()}
-    assert vec(near) == pytest.approx({1: (101 + 7 + 1) / 3, 2: (102 + 7) / 2, 3: (204 + 8 + 4) / 3, 4: (214 + 9 + 4) / 3, 5: (105 + 10) / 2})
+    t = Tables(spark, folder)
+    got = {r.id: r.vec for r in features.hop_means(t.in_report(), t.node_vec(), t.event(), 64, 2).collect()}
+    near = {1: (101 + 7 + 1) / 3, 2: (102 + 7) / 2, 3: (204 + 8 + 4) / 3, 4: (214 + 9 + 4) / 3, 5: (105 + 10) / 2}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(near) and all(len(v) == 192 for v in got.values())
     mid = ((101 + 7 + 1) / 3 + (102 + 7) / 2) / 2
-    assert vec(far)[2] == pytest.approx(((102 + 7) / 2 + mid) / 2)
+    assert got[2][64] == pytest.approx(((102 + 7) / 2 + mid) / 2)
+    far = {1: (2 * near[1] + mid) / 3, 2: (near[2] + mid) / 2}
+    assert got[1][128] == pytest.approx((2 * far[1] + (far[1] + far[2]) / 2) / 3) and got[5][128] == pytest.approx(near[5])
+
+
+def test_compression_keeps_what_axes_span(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 2)) @ rng.normal(size=(2, 6))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k int, vec array<double>")
+    code, error = features.compress(rows, "k", 2)
+    assert {len(r.code) for r in code.collect()} == {2} and error.first().n == 60 and error.first().mse == pytest.approx(0, abs=1e-9)
+    few = features.compress(rows, "k", 1)[1].first().mse
+    axes = np.linalg.svd(x - x.mean(0))[2][:1]
+    assert few == pytest.approx(float(np.mean((x * x).sum(1) - ((x @ axes.T) ** 2).sum(1)) / 6), rel=1e-6)
+    assert features.compress(rows.limit(0), "k")[0].count() == 0
+
+
+def test_regression_by_folds(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.createDataFrame([([float(i % 2), 1.0], float(i % 2), 1.0, i % 5) for i in range(60)], "v array<double>, y double, weight double, fold int")
+    out = features.train_cv(rows.select(array_to_vector("v").alias("features"), "y", "weight", "fold")).collect()
+    assert sorted(r.fold for r in out) == [0, 1, 2, 3, 4] and all(r.acc == r.bacc == 1.0 and r.n == 12 for r in out) and sum(r.best for r in out) == 1
+
+
+def test_public_suffixes(spark):
+    from tracegraph.operators import clean
+
+    hosts = spark.createDataFrame([(1, "a.b.co.uk"), (2, "co.uk"), (3, "x.notco.uk"), (4, "lone"), (5, None), (6, "y.uk")], "k int, host string")
+    given = spark.createDataFrame([("co.uk",), ("uk",), ("b.co.uk",), ("uk",)], "s string")
+    assert {r.k: r.suffix for r in clean.public_suffix(hosts, "k", "host", given).collect()} == {1: "b.co.uk", 2: "co.uk", 3: "uk", 4: "lone", 5: None, 6: "uk"}
 
 
 def test_smote_neighbours_are_those_of_the_whole_class(spark):

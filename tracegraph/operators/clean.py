@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
+from tracegraph.operators.lineage import small
 
 
 def explode_indicators(pulses: DataFrame) -> DataFrame:
@@ -92,6 +93,14 @@ def in_vocab(events: DataFrame, dim: DataFrame) -> DataFrame:
     return events.withColumn("k", F.upper("apt")).join(dim.select(F.upper("label").alias("k")).distinct(), "k", "left_semi").drop("k")
 
 
+def public_suffix(df: DataFrame, key: str, host: str, suffixes: DataFrame) -> DataFrame:
+    """Adds ``suffix``: the longest of the supplied suffixes (s) that the host ends with at a dot or is; else its last label; null for no host."""
+    parts = F.split(host, r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    found = df.where(F.col(host).isNotNull()).select(key, F.explode(tails).alias("s")).join(small(suffixes.select("s").distinct()), "s").groupBy(key).agg(F.max_by("s", F.length("s")).alias("hit"))
+    return df.join(found, key, "left").withColumn("suffix", F.coalesce("hit", F.element_at(parts, -1))).drop("hit")
+
+
 def network_iocs(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("type").isin("domain", "hostname", "IPv4", "URL"))
 

@@ -182,11 +182,10 @@ def supervised_mask(t):
     return clean.supervised(clean.encode_labels(t.event(), t.label_dim()), "F").select("id", "y")
 
 
-@key("zero_temporal", "SELECT vec_id, round(list_sum(embedding[1:62])::DOUBLE, 4) AS kept, 0.0::DOUBLE AS zeroed FROM embeddings")
+@key("zero_temporal", "SELECT vec_id, i::INT AS slot, CASE WHEN i >= 62 THEN 0::DOUBLE ELSE embedding[i + 1]::DOUBLE END AS value FROM embeddings, range(64) r(i)")
 def zero_temporal(t):
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     v = t.embeddings.select("vec_id", clean.zero_slots(F.col("embedding").cast("array<double>"), [(62, 64)]).alias("v"))
-    return v.select("vec_id", F.round(total("v"), 4).alias("kept"), total(F.slice("v", 63, 2)).alias("zeroed"))
+    return v.select("vec_id", F.posexplode("v").alias("slot", "value"))
 
 
 @key("edge_resolve", "SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25)")

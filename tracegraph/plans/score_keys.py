@@ -10,6 +10,7 @@ from tracegraph.functions import text as T
 from tracegraph.operators import attribute, clean, features, link, predict, propagate, rank, stats
 from tracegraph.operators.lineage import settled, shared_folder
 from tracegraph.plans.graph_keys import AS_OF, SCOPE, TARGET, _views, key, reports
+from tracegraph.sources.fixtures import SQL as FX
 
 TAU = 900.0
 
@@ -272,22 +273,24 @@ def ioc_counts(t):
     return stats.ioc_counts(t.in_report())
 
 
+def entropy_sql(column: str, table: str, to: str) -> str:
+    """(page_id, ``to``): bits a character of a column; 0 for empty strings."""
+    return f"(SELECT page_id, round(coalesce(sum(-(k / n) * log2(k / n)), 0), 4) AS {to} FROM (SELECT page_id, ch, count(*)::DOUBLE AS k, any_value(n)::DOUBLE AS n FROM (SELECT page_id, unnest(string_split({column}, '')) AS ch, length({column}) AS n FROM {table} WHERE {column} <> '') GROUP BY 1, 2) GROUP BY 1)"
+
+
 # strings
-@key("lex_domain", "SELECT page_id, length(host) AS length, length(regexp_replace(host, '[^0-9]', '', 'g')) AS digit_count, length(regexp_replace(host, '[^.]', '', 'g')) AS period_count FROM fx_hosted_on", "fx_hosted_on")
+@key("lex_domain", "SELECT page_id, length(host) AS length, length(regexp_replace(host, '[^0-9]', '', 'g')) AS digit_count, length(regexp_replace(host, '[^.]', '', 'g')) AS period_count, coalesce(entropy, 0) AS entropy FROM fx_hosted_on LEFT JOIN " + entropy_sql("host", "fx_hosted_on", "entropy") + " USING (page_id)", "fx_hosted_on")
 def lex_domain(t):
-    cols = T.domain_lexical(F.col("host"))
-    return t.hosted_on().select("page_id", *[cols[c].alias(c) for c in ("length", "digit_count", "period_count")])
+    return t.hosted_on().select("page_id", *[v.alias(k) for k, v in T.domain_lexical(F.col("host")).items()])
 
 
 PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 QUERY, FRAGMENT = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)", "regexp_extract(url, '^[^#]*#(.*)$', 1)"
 
 
-@key("lex_url", f"SELECT page_id, length(url) AS length, length(regexp_replace(url, '[^0-9]', '', 'g')) AS digit_count, length(regexp_replace(url, '[\\p{{L}}\\p{{N}}._/:?-]', '', 'g')) AS special_char_count, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) AS path_depth, {QUERY} <> '' AS has_query, {FRAGMENT} <> '' AS has_fragment FROM pages")
+@key("lex_url", f"SELECT page_id, length(url) AS length, length(regexp_replace(url, '[^0-9]', '', 'g')) AS digit_count, length(regexp_replace(url, '[\\p{{L}}\\p{{N}}._/:?-]', '', 'g')) AS special_char_count, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) AS path_depth, {QUERY} <> '' AS has_query, {FRAGMENT} <> '' AS has_fragment, coalesce(entropy, 0) AS entropy FROM pages LEFT JOIN " + entropy_sql("url", "pages", "entropy") + " USING (page_id)")
 def lex_url(t):
-    cols = T.url_lexical(F.col("url"))
-    cols.pop("entropy")
-    return t.pages.select("page_id", *[v.alias(k) for k, v in cols.items()])
+    return t.pages.select("page_id", *[v.alias(k) for k, v in T.url_lexical(F.col("url")).items()])
 
 
 @key("url_ext", f"SELECT page_id, CASE WHEN length(regexp_extract({PATH}, '\\.([^.]*)$', 1)) <= 10 THEN lower(regexp_extract({PATH}, '\\.([^.]*)$', 1)) ELSE '' END AS ext FROM pages")
@@ -295,10 +298,9 @@ def url_ext(t):
     return t.pages.select("page_id", T.file_extension(T.url_path(F.col("url"))).alias("ext"))
 
 
-@key("lex_url_v2", f"SELECT page_id, length(url) AS url_length, length(regexp_replace(url, '[^.]', '', 'g')) AS num_periods, length(regexp_replace({PATH}, '[^/]', '', 'g')) AS num_subdir, length(regexp_replace(url, '[^0-9]', '', 'g')) AS num_digits, ({FRAGMENT} <> '')::INT AS num_frag, length(regexp_replace(url, '[^&]', '', 'g')) + ({QUERY} <> '')::INT AS num_params, length({PATH}) AS url_path_length, length(host) AS url_host_length, false AS has_port, upper(regexp_extract(host, '([^.]+)$', 1)) AS host_label FROM fx_hosted_on", "fx_hosted_on")
+@key("lex_url_v2", f"SELECT page_id, length(url) AS url_length, length(regexp_replace(url, '[^.]', '', 'g')) AS num_periods, length(regexp_replace({PATH}, '[^/]', '', 'g')) AS num_subdir, length(regexp_replace(url, '[^0-9]', '', 'g')) AS num_digits, ({FRAGMENT} <> '')::INT AS num_frag, length(regexp_replace(url, '[^&]', '', 'g')) + ({QUERY} <> '')::INT AS num_params, length({PATH}) AS url_path_length, length(host) AS url_host_length, false AS has_port, upper(regexp_extract(host, '([^.]+)$', 1)) AS host_label, coalesce(url_entropy, 0) AS url_entropy, coalesce(url_path_entropy, 0) AS url_path_entropy FROM fx_hosted_on LEFT JOIN " + entropy_sql("url", "pages", "url_entropy") + " USING (page_id) LEFT JOIN " + entropy_sql("path", f"(SELECT page_id, {PATH} AS path FROM pages)", "url_path_entropy") + " USING (page_id)", "fx_hosted_on")
 def lex_url_v2(t):
-    cols = T.url_lexical_v2(F.col("url"))
-    return t.pages.select("page_id", *[v.alias(k) for k, v in cols.items() if "entropy" not in k])
+    return t.pages.select("page_id", *[v.alias(k) for k, v in T.url_lexical_v2(F.col("url")).items()])
 
 
 @key("lex_domain_v2", "SELECT page_id, greatest(len(string_split(host, '.')) - 2, 0) AS subdomains, upper(regexp_extract(host, '([^.]+)$', 1)) AS last_label, length(host) AS domain_length, length(regexp_replace(host, '[^0-9]', '', 'g')) AS num_digits FROM fx_hosted_on", "fx_hosted_on")
@@ -311,14 +313,7 @@ def public_suffix(t):
     """Longest suffix of the host among those supplied, here the hosts' last two labels under example; else the last label."""
     hosts = t.hosted_on().select("page_id", "host")
     supplied = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("s")).where("s like 'example.%'").distinct()
-    return suffix_of(hosts, "page_id", "host", supplied).select("page_id", "suffix")
-
-
-def suffix_of(df, id_col: str, host: str, suffixes):
-    parts = F.split(host, r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    found = df.select(id_col, F.explode(tails).alias("s")).join(F.broadcast(suffixes.select("s").distinct()), "s").groupBy(id_col).agg(F.max_by("s", F.length("s")).alias("hit"))
-    return df.join(found, id_col, "left").withColumn("suffix", F.coalesce("hit", F.element_at(parts, -1)))
+    return clean.public_suffix(hosts, "page_id", "host", supplied).select("page_id", "suffix")
 
 
 @key("ts_parse", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('second', ts) - INTERVAL 9 HOUR END AS parsed FROM events""")
@@ -367,33 +362,49 @@ def one_hot_index(t):
     return features.one_hot_index(t.part.select("p_partkey", "p_brand"), "p_brand", stats.top_k_vocab(t.part, "p_brand", 10), 10, "idx").select("p_partkey", "idx")
 
 
-def digest(df, key_col: str):
-    """Width and sum of a feature vector, by which vectors can be compared."""
-    x = vector_to_array("features")
-    return df.select(key_col, F.size(x).alias("width"), F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+def vocab_sql(column: str, table: str, k: int) -> str:
+    return f"(SELECT value, (row_number() OVER (ORDER BY n DESC, value))::INT AS idx FROM (SELECT {column} AS value, count(*) AS n FROM {table} GROUP BY 1 HAVING value <> '' ORDER BY n DESC, value LIMIT {k - 1}))"
+
+
+def slots_sql(head: str, *parts: str) -> str:
+    """Rows (id, slot, value) of the parts whose value is not 0."""
+    return f"WITH {head} SELECT id, slot::INT AS slot, value::DOUBLE AS value FROM ({' UNION ALL '.join(parts)}) WHERE value <> 0"
 
 
-@key("vec_domain", "SELECT p_partkey AS id, 117 AS width, round(1 + length(p_brand) + length(regexp_replace(p_brand, '[^0-9]', '', 'g')) + p_size, 4)::DOUBLE AS total FROM part")
+def slots(df):
+    """The slots of a feature vector that are not 0, a row for each."""
+    each = df.select("id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return each.where("value <> 0").select("id", "slot", F.round("value", 4).alias("value"))
+
+
+@key("vec_domain", slots_sql(f"v AS {vocab_sql('p_brand', 'part', 100)}", "SELECT p_partkey AS id, coalesce(idx, 0) AS slot, 1 AS value FROM part LEFT JOIN v ON value = p_brand", "SELECT p_partkey, 110, length(p_brand) FROM part", "SELECT p_partkey, 111, length(regexp_replace(p_brand, '[^0-9]', '', 'g')) FROM part", "SELECT p_partkey, 114, p_size FROM part"))
 def vec_domain(t):
     lex = T.domain_lexical(F.col("p_brand"))
     d = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("suffix"), lex["length"].alias("length"), lex["digit_count"].alias("digit_count"), F.lit(0).alias("period_count"), F.lit(0.0).alias("entropy"), F.col("p_size").alias("active_period_days"), F.lit(0).alias("is_nxdomain"), F.lit(0.0).alias("lifespan_days"), F.lit(0.0).alias("recency_days"), *[F.lit(0).alias(f"{x}_count") for x in ("a", "aaaa", "mx", "ns", "soa", "txt", "cname", "ptr", "srv")])
-    return digest(features.domain_vector(d, stats.top_k_vocab(t.part, "p_brand", 100)), "id")
+    return slots(features.domain_vector(d, stats.top_k_vocab(t.part, "p_brand", 100)))
 
 
-@key("vec_ip", "SELECT s_suppkey AS id, 509 AS width, 2.0::DOUBLE AS total FROM supplier")
+@key("vec_ip", slots_sql(f"g AS (SELECT ip, asn::VARCHAR AS country, asn_text FROM ({FX['fx_in_group'][1]})), c AS {vocab_sql('country', 'g', 249)}, i AS {vocab_sql('asn_text', 'g', 258)}, s AS (SELECT ip, days FROM (SELECT l_suppkey AS ip, round((epoch_us(max(l_shipdate)) - epoch_us(min(l_shipdate))) / 8.64e10, 4) AS days FROM lineitem GROUP BY 1))",
+                         "SELECT ip AS id, coalesce(idx, 0) AS slot, 1 AS value FROM g LEFT JOIN c ON value = country", "SELECT ip, 249 + coalesce(idx, 0), 1 FROM g LEFT JOIN i ON value = asn_text", "SELECT ip, 507, coalesce(days, 0) FROM g LEFT JOIN s USING (ip)"))
 def vec_ip(t):
-    names = t.in_group().select("asn_text")
-    d = t.in_group().select(F.col("ip").alias("id"), F.col("asn").cast("string").alias("country"), F.col("asn_text").alias("issuer"), F.lit(0.0).alias("lifespan_days"), F.lit(0.0).alias("recency_days"))
-    return digest(features.ip_vector(d, stats.top_k_vocab(d, "country", 249), stats.top_k_vocab(names, "asn_text", 258)), "id")
+    spans = stats.seen_span(t.resolves_to(), "ip", F.lit(AS_OF).cast("timestamp")).select("ip", "lifespan_days")
+    d = t.in_group().select("ip", F.col("asn").cast("string").alias("country"), F.col("asn_text").alias("issuer")).join(spans, "ip", "left").select(F.col("ip").alias("id"), "country", "issuer", "lifespan_days", F.lit(0.0).alias("recency_days"))
+    return slots(features.ip_vector(d, stats.top_k_vocab(d, "country", 249), stats.top_k_vocab(d, "issuer", 258)))
+
 
+EXT = f"CASE WHEN length(regexp_extract({PATH}, '\\.([^.]*)$', 1)) <= 10 THEN lower(regexp_extract({PATH}, '\\.([^.]*)$', 1)) ELSE '' END"
 
-@key("vec_url", f"SELECT page_id AS id, 1517 AS width, (4 + length(url) + length(regexp_replace(url, '[^0-9]', '', 'g')) + length(regexp_replace(url, '[\\p{{L}}\\p{{N}}._/:?-]', '', 'g')) + len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) + ({QUERY} <> '')::INT + ({FRAGMENT} <> '')::INT + 1)::DOUBLE AS total FROM pages")
+
+@key("vec_url", slots_sql(f"u AS (SELECT page_id AS id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, {EXT} AS ext FROM pages), b AS (SELECT *, regexp_extract(host, '([^.]+)$', 1) AS suffix FROM u), h AS {vocab_sql('host', 'b', 106)}, x AS {vocab_sql('ext', 'b', 68)}, f AS {vocab_sql('suffix', 'b', 944)}",
+                          "SELECT id, coalesce(idx, 0) AS slot, 1 AS value FROM b LEFT JOIN h ON value = host", "SELECT id, 106 + coalesce(idx, 0), 1 FROM b LEFT JOIN x ON value = ext", "SELECT id, 175, 1 FROM b", "SELECT id, 186 + coalesce(idx, 0), 1 FROM b LEFT JOIN f ON value = suffix",
+                          "SELECT id, 1130, length(url) FROM b", "SELECT id, 1131, length(regexp_replace(url, '[^0-9]', '', 'g')) FROM b", "SELECT id, 1132, length(regexp_replace(url, '[\\p{L}\\p{N}._/:?-]', '', 'g')) FROM b",
+                          f"SELECT id, 1133, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) FROM b", f"SELECT id, 1134, ({QUERY} <> '')::INT FROM b", f"SELECT id, 1135, ({FRAGMENT} <> '')::INT FROM b", "SELECT id, 1136, 1 FROM b"))
 def vec_url(t):
     lex = T.url_lexical(F.col("url"))
     host = T.url_host(F.col("url"))
     d = t.pages.select(F.col("page_id").alias("id"), host.alias("server"), T.file_extension(T.url_path(F.col("url"))).alias("content_type"), F.lit("gzip").alias("encoding"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), *[v.alias(k) for k, v in lex.items() if k != "entropy"], F.lit(0.0).alias("entropy"), F.lit(1).alias("head_failed"), F.lit(0.0).alias("lifespan_days"), F.lit(0.0).alias("recency_days"))
     vocab_of = lambda c, k: stats.top_k_vocab(d, c, k)
-    return digest(features.url_vector(d, vocab_of("server", 106), vocab_of("content_type", 68), vocab_of("encoding", 12), vocab_of("suffix", 944)), "id")
+    return slots(features.url_vector(d, vocab_of("server", 106), vocab_of("content_type", 68), vocab_of("encoding", 12), vocab_of("suffix", 944)))
 
 
 @key("compress_pca")
@@ -485,22 +496,13 @@ def layer_relu_l2(t):
     return out.select(F.col("id").alias("vec_id"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.col("vec")[0], 5).alias("v0"))
 
 
-def near_and_far(t):
-    """Events' pooled vectors of indicators of all types, and the pooled means of the events that list those indicators."""
-    pooled = settled(stats.event_mean_pool(t.in_report(), t.node_vec(), t.event(), 64))
-    means = t.in_report().select("id", "ioc_type", "ioc").join(pooled, "id").groupBy("ioc_type", "ioc").agg(*[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(64)])
-    by_ioc = means.select("ioc_type", "ioc", F.array(*[f"m{i}" for i in range(64)]).alias("vec"))
-    return pooled, stats.event_mean_pool(t.in_report(), by_ioc, t.event(), 64)
-
-
 @key("train_cv_metrics")
 def train_cv_metrics(t):
-    """Events' pooled indicator vectors with those of events one indicator away, under a weighted regression by folds."""
-    pooled, far = near_and_far(t)
-    far = far.withColumnRenamed("vec", "far")
+    """Events' pooled indicator vectors with those of up to four hops over all indicators, under a weighted regression by folds."""
+    near = features.hop_means(t.in_report(), t.node_vec(), t.event(), 64)
     w = clean.sample_confidence(F.col("label_confidence"), F.lit(None).cast("double")) * T.decay_weight(F.col("age_days"), TAU)
     labeled = rank.stratified_folds(clean.encode_labels(aged(t), t.label_dim()).where("y >= 0"), "y")
-    rows = labeled.join(pooled, "id").join(far, "id").select(array_to_vector(F.concat("vec", "far")).alias("features"), F.col("y").cast("double").alias("y"), w.alias("weight"), "fold")
+    rows = labeled.join(near, "id").select(array_to_vector("vec").alias("features"), F.col("y").cast("double").alias("y"), w.alias("weight"), "fold")
     return features.train_cv(settled(rows), max_iter=10)
 
 
