@@ -356,5 +356,6 @@ def nearest(docs: DataFrame, queries: DataFrame, *, k: int = 20, dims: int = 32,
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """``nearest`` for every twentieth vector among all; unusable vectors, ties, repeated ids and an empty table as there."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(rows, rows.where("vec_id % 20 = 0"))

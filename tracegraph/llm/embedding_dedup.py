@@ -169,6 +169,7 @@ def forest(hit: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` over all embeddings; null labels, unusable vectors and repeated rows as there."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

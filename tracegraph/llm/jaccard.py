@@ -542,4 +542,5 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """``jaccard_components`` over all documents; null, empty and short texts, null ids and repeated rows as there."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

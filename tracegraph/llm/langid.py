@@ -228,4 +228,5 @@ def language_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """``language_of`` over all documents; null texts, ids and languages as there."""
     return language_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -138,5 +138,6 @@ def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """``pareto_mix`` over all documents; null texts and sources, repeated rows and an empty table as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")

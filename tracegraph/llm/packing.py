@@ -149,6 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int =
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """``pack`` over all documents; null, empty and repeated texts as there."""
     import public_tokenizers
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

@@ -361,5 +361,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, text_col: str = "text"
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """``remove_repeats`` over all documents, with a digest of what is left; null, empty and repeated texts as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

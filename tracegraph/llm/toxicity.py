@@ -305,5 +305,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """``toxicity`` over all documents and labels; null, empty, repeated and absent rows as there."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted", "clauses")

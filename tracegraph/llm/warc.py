@@ -257,6 +257,7 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: i
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """``archive_round_trip`` over all pages, without the payloads; null ids, urls and html and repeated rows as there."""
     return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("payload")
 
 
