@@ -24,7 +24,10 @@ def restored(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null text and texts without a letter."""
+    """Drops documents without a language: null and empty texts and texts without a letter, of whatever id.
+
+    Rows that repeat stay as often as they are there; null ids, languages and sources are no reason to go. An empty table gives no rows.
+    """
     model = langid.train(docs.where(langid.remainder("doc_id", 4) != 2).select("text", "lang"))
     found = langid.identify(carried(docs, "text"), model)
     # without any labelled document there is no language to tell, and only texts without a letter go
@@ -35,7 +38,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the smallest id, of equal ids the smallest hash of the text, of equal rows one.
 
-    Documents without a word belong to no component and stay.
+    Documents without a word (null and empty texts too) belong to no component and stay, repeated ones as often as they are there. A
+    null id is larger than any other. An empty table gives no rows.
     """
     key = F.xxhash64("text")
     found = cut(jaccard.jaccard_components(docs.select("doc_id", "text")))
@@ -54,7 +58,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 200 bytes and more that stand anywhere else; documents of which nothing is left go."""
+    """Cuts passages of 200 bytes and more that stand anywhere else; documents of which nothing is left go.
+
+    Null and empty texts stay as they are. Texts that occur twice, in rows that repeat or not, go whole. n_chars, where there is such a
+    column, is that of the new text; documents without a cut keep theirs. An empty table gives no rows.
+    """
     found = suffix.remove_repeats(carried(docs, "text"), as_text=True).where("n_removed = 0 or n_removed < n_bytes")
     cutoff = F.col("n_removed") > 0
     new = {"text": F.when(cutoff, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cutoff, F.length("kept")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
@@ -62,14 +70,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats, keeps or leaves out documents so that each source's words come near its target."""
+    """Repeats, keeps or leaves out documents so that each source's words come near its target.
+
+    Null and empty texts have no words: they come as often as whole copies of their source's shortest documents are certain. A null source is a
+    source. Rows that repeat are drawn together. An empty table gives no rows.
+    """
     mixed = mixing.pareto_mix(carried(docs, "doc_id", "text", "source"))
     names = ("doc_id", "text", "source")
     return restored(mixed.where("copies > 0").select("row", *names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), docs, *names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens: one row per piece of a document, with its place."""
+    """Sequences of 4096 tokens: one row per piece of a document, with its place.
+
+    A null or empty text is the closing token alone. Null ids and rows that repeat are documents of their own. An empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -83,12 +98,12 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Hashes, shingles and tokenizers are beyond SQL; tests hold each stage against a brute-force version.
+#: Hashes, shingles and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each written and read again before the next; odd rows as in the stages, any more columns are carried along."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
