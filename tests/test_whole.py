@@ -103,15 +103,18 @@ def test_node_temporal_takes_all_edges(spark, folder, tmp_path):
     lines = [(1, 7, datetime(1998, 1, 2)), (2, 7, datetime(1998, 1, 5)), (8, 8, datetime(1999, 5, 31))]
     spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_shipdate timestamp").write.parquet(f"{out}/lineitem.parquet")
     spark.read.parquet(f"{folder}/supplier.parquet").write.parquet(f"{out}/supplier.parquet")
-    got = {r.ip: (r.lifespan_days, r.recency_days) for r in registry.queries()["node_temporal_all"](spark, out).collect()}
+    got = {r.ip: (r.lifespan_days, r.recency_days) for r in registry.queries()["node_temporal"](spark, out).collect()}
     assert got == {7: (3.0, 512.0), 8: (0.0, 1.0), 9: (0.0, 0.0), 10: (0.0, 0.0)}
 
 
-def test_title_dedup_compares_whole_texts(spark, tmp_path):
+def test_titles_and_texts_are_compared_whole(spark, tmp_path):
     head, body, other = (" ".join(f"{c}{i:03d}" for i in range(n)) for c, n in (("head", 12), ("body", 60), ("other", 60)))
     texts = [(1, "en", f"{head} {body}"), (2, "en", f"{head} {other}"), (3, "en", f"early {body} {head}"), (4, "de", f"{head} {body}"), (5, "en", f"{body} {head}"), (6, "en", "")]
     spark.createDataFrame(texts, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(r.doc_id for r in registry.queries()["title_dedup"](spark, str(tmp_path)).collect()) == [1, 2, 4, 6]
+    pages = [(k, f'<!DOCTYPE html><html lang="{lang}"><head><title>{text}</title></head><body>x</body></html>') for k, lang, text in texts] + [(7, None), (8, "no title")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.doc_id for r in registry.queries()["title_dedup"](spark, str(tmp_path)).collect()) == [1, 2, 4, 6, 7, 8]
+    assert {(r.a, r.b) for r in registry.queries()["title_pairs"](spark, str(tmp_path)).collect()} == {(1, 3), (1, 5), (3, 5)}
     assert {(r.a, r.b) for r in registry.queries()["text_pairs"](spark, str(tmp_path)).collect()} == {(1, 3), (1, 5), (3, 5)}
 
 

@@ -236,17 +236,26 @@ def ioc_match(t):
 AS_OF = "1999-06-01"
 
 
-@key("node_temporal", f"WITH {{V}} SELECT s_suppkey AS ip, round(coalesce(epoch_us(max(last_seen)) - epoch_us(min(first_seen)), 0) / 8.64e10, 4) AS lifespan_days, round(greatest(coalesce(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(last_seen)), 0) / 8.64e10, 0), 4) AS recency_days FROM supplier LEFT JOIN (SELECT * FROM fx_resolves_to WHERE domain % 7 = 0) ON ip = s_suppkey GROUP BY 1")
+def node_spans(name: str, nodes: str, of: str, key_: str) -> str:
+    return f"SELECT {name}{nodes} AS {key_}, round(coalesce(epoch_us(max(last_seen)) - epoch_us(min(first_seen)), 0) / 8.64e10, 4) AS lifespan_days, round(greatest(coalesce(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(last_seen)), 0) / 8.64e10, 0), 4) AS recency_days FROM {of} LEFT JOIN fx_resolves_to ON {nodes} = fx_resolves_to.{'domain' if of == 'part' else 'ip'} GROUP BY {nodes}"
+
+
+def temporal(t, nodes, key_: str):
+    seen = stats.seen_span(t.resolves_to(), key_, F.lit(AS_OF).cast("timestamp"))
+    return link.attach_temporal(nodes, seen, key_)
+
+
+@key("node_temporal", "WITH {V} " + node_spans("", "s_suppkey", "supplier", "ip"))
 def node_temporal(t):
-    seen = stats.seen_span(t.resolves_to().where("domain % 7 = 0"), "ip", F.lit(AS_OF).cast("timestamp"))
-    return link.attach_temporal(t.supplier.select(F.col("s_suppkey").alias("ip")), seen, "ip")
+    """Spans of all ips, over all resolution edges."""
+    return temporal(t, t.supplier.select(F.col("s_suppkey").alias("ip")), "ip")
 
 
-@key("node_temporal_all", f"WITH {{V}} SELECT s_suppkey AS ip, round(coalesce(epoch_us(max(last_seen)) - epoch_us(min(first_seen)), 0) / 8.64e10, 4) AS lifespan_days, round(greatest(coalesce(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(last_seen)), 0) / 8.64e10, 0), 4) AS recency_days FROM supplier LEFT JOIN fx_resolves_to ON ip = s_suppkey GROUP BY 1")
+@key("node_temporal_all", "WITH {V} " + node_spans("'domain' AS kind, ", "p_partkey", "part", "id") + " UNION ALL " + node_spans("'ip' AS kind, ", "s_suppkey", "supplier", "id"))
 def node_temporal_all(t):
-    """Over all resolution edges; ``node_temporal`` is over every seventh domain's, as its SQL is."""
-    seen = stats.seen_span(t.resolves_to(), "ip", F.lit(AS_OF).cast("timestamp"))
-    return link.attach_temporal(t.supplier.select(F.col("s_suppkey").alias("ip")), seen, "ip")
+    """Spans of domains and ips."""
+    of = lambda nodes, k: temporal(t, nodes, k).select(F.lit(k).alias("kind"), F.col(k).alias("id"), "lifespan_days", "recency_days")
+    return of(t.part.select(F.col("p_partkey").alias("domain")), "domain").unionByName(of(t.supplier.select(F.col("s_suppkey").alias("ip")), "ip"))
 
 
 @key("title_pairs", """WITH {V}, s AS (SELECT doc_id, lang, list_distinct(list_transform(list_filter(regexp_extract_all(title, '[A-Za-z0-9]+'), lambda x: length(x) >= 3), lambda x: lower(x))) AS s FROM fx_title)
@@ -260,13 +269,13 @@ def title_pairs(t):
 SELECT * FROM (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity
  FROM s a JOIN s b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(a.s) > 0 AND len(b.s) > 0) WHERE similarity >= 0.92""")
 def text_pairs(t):
-    """Pairs of whole texts; ``title_pairs`` compares their first 12 words, as its SQL does."""
+    """Pairs of whole texts; ``title_pairs`` is over the titles of pages."""
     return link.title_pairs(t.whole_text(), "doc_id", "lang", "title").select("lang", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @key("title_dedup")
 def title_dedup(t):
-    return link.title_dedup(t.whole_text(), "doc_id", "lang", "title")
+    return link.title_dedup(t.title(), "doc_id", "lang", "title")
 
 
 @key("event_adjacency", """WITH e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ioc FROM lineitem), p AS (SELECT DISTINCT a.id AS i, b.id AS j FROM e a JOIN e b ON a.ioc = b.ioc WHERE a.id <> b.id)

@@ -58,7 +58,8 @@ class Tables:
         return keyed.join(self.embeddings.select("vec_id", "embedding"), "vec_id").select("ioc_type", "ioc", F.col("embedding").cast("array<double>").alias("vec"))
 
     def logits(self) -> DataFrame:
-        """A row per vector, model and class with the logit; truth, fold and subset columns of the vector."""
+        """A row per vector, model and class with the logit; truth, fold and subset columns of the vector. Five models of ten classes take the
+        first 50 components; the rest makes no whole model."""
         e = self.embeddings.select("vec_id", F.col("label").alias("truth"), (F.col("vec_id") % 5).alias("fold"), (F.col("vec_id") % 3 == 0).alias("matched"), F.when(F.col("vec_id") % 2 == 0, "domain").otherwise("url").alias("kind"), F.slice("embedding", 1, 50).alias("x"))
         long = e.select("vec_id", "truth", "fold", "matched", "kind", F.posexplode("x").alias("pos", "value"))
         return long.select("vec_id", "truth", "fold", "matched", "kind", F.expr("pos div 10").cast("int").alias("model"), (F.col("pos") % 10).cast("int").alias("class"), (F.col("value").cast("double") * 4).alias("logit"))
@@ -77,8 +78,9 @@ class Tables:
         return self.part.select(F.lower("p_brand").alias("alias"), F.concat(F.lit("G"), number % 8).alias("group")).distinct().withColumn("nation", (F.substring("group", 2, 1).cast("int") % 3))
 
     def title(self) -> DataFrame:
-        words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda x: x != "")
-        return self.documents.select("doc_id", "lang", F.array_join(F.slice(words, 1, 12), " ").alias("title"))
+        """Whole titles of pages, with the page's language."""
+        of = lambda pattern: F.regexp_extract("html", pattern, 1)
+        return self.pages.select(F.col("page_id").alias("doc_id"), of('<html lang="([^"]*)"').alias("lang"), of("<title>([^<]*)</title>").alias("title"))
 
     def whole_text(self) -> DataFrame:
         """Texts to be compared whole, under the columns of ``title``."""
@@ -110,7 +112,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_class_dim": ((), "SELECT c::INT AS class, CASE WHEN c < 9 THEN 'n' || (c % 3) END AS nation FROM range(10) r(c)"),
     "fx_tags": ((), "SELECT l_orderkey AS id, l_linenumber AS line, lower(p_brand) AS tag, p_name FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "fx_aliases": ((), "SELECT DISTINCT lower(p_brand) AS alias, 'G' || (regexp_extract(p_brand, '([0-9]+)$', 1)::INT % 8) AS \"group\", (regexp_extract(p_brand, '([0-9]+)$', 1)::INT % 8) % 3 AS nation FROM part"),
-    "fx_title": ((), r"SELECT doc_id, lang, array_to_string(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '')[1:12], ' ') AS title FROM documents"),
+    "fx_title": ((), """SELECT page_id AS doc_id, coalesce(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages"""),
     "fx_votes": (("fx_event",), "SELECT l_partkey AS ioc, apt FROM lineitem JOIN fx_event ON id = l_orderkey WHERE apt IS NOT NULL"),
     "fx_requests": ((), "SELECT page_id // 10 AS request_id, 'url' AS ioc_type, CASE WHEN page_id % 2 = 0 THEN url ELSE url || '/other' END AS value, page_id FROM pages"),
 }
