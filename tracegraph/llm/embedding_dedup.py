@@ -48,15 +48,14 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", usable("v") & F.col("label").isNotNull()))
     keyed = rows.where("ok").select("vec_id", F.xxhash64("label", "v").alias("copy"), "label", "v")
     distinct = cut(keyed.groupBy("copy").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("m")).withColumn("group", F.xxhash64(F.col("label"), F.size("v"))))
-    sizes = {r.group: r.n for r in distinct.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    many = {g: k for g, n in sizes.items() if (k := min(-(-n // CELL), CELLS * n // total)) > 1}
-    rate = F.lit(0.0)
-    for g, k in many.items():
-        rate = F.when(F.col("group") == g, F.lit(min(1.0, FIT * k / sizes[g]))).otherwise(rate)
+    total = distinct.count()
+    # groups of more than one cell: at most CELLS / 2 of them, however many labels there are
+    large = distinct.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > CELL) & (F.col("n") * CELLS >= 2 * total)).collect()
+    many = {r.group: min(-(-r.n // CELL), CELLS * r.n // total) for r in large}
+    rates = spark.createDataFrame([(r.group, min(1.0, FIT * many[r.group] / r.n)) for r in large], "group long, rate double")
     centroids: dict[int, np.ndarray] = {}
     if many:
-        picked = distinct.where((F.shiftrightunsigned(F.xxhash64("copy"), 11) + 0.5) / float(1 << 53) < rate).select("group", "copy", "v").toArrow().combine_chunks().sort_by("copy")
+        picked = distinct.join(F.broadcast(rates), "group").where((F.shiftrightunsigned(F.xxhash64("copy"), 11) + 0.5) / float(1 << 53) < F.col("rate")).select("group", "copy", "v").toArrow().combine_chunks().sort_by("copy")
         of = np.asarray(picked.column("group"))
         for g, k in many.items():
             x = picked.filter(pa.array(of == g)).column("v")
