@@ -105,6 +105,8 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
         index = [json.loads(x) for x in f.with_name(f.name + ".idx.json").read_text().splitlines()]
         data = f.read_bytes()
         assert sum(x["length"] for x in index) == len(data) and all(gzip.decompress(data[x["offset"] : x["offset"] + x["length"]]).startswith(b"WARC/1.1") for x in index)
+    again = warc.archive_round_trip(pages, folder)  # as after a lost task: names in use are written anew
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in again.collect()) == want
     small = warc.archive_round_trip(pages, f"{folder}2", min_bytes=10**9)
     assert {r.record_type for r in small.collect()} == {"response"}
     assert warc.archive_round_trip(pages.limit(0)).count() == 0

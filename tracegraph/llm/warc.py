@@ -107,6 +107,13 @@ class Inflated:
             yield part
 
 
+def put_in_place(filesystem: fs.FileSystem, trial: str, name: str) -> None:
+    """Gives a whole file its name; one that an earlier attempt of the task left goes first, as not every store moves onto a name in use."""
+    if filesystem.get_file_info(name).type != fs.FileType.NotFound:
+        filesystem.delete_file(name)
+    filesystem.move(trial, name)
+
+
 def normalise(filesystem: fs.FileSystem, path: str, to: str) -> list[tuple]:
     """Inflates ``path`` once and writes every record as a gzip member of its own to ``to``, with ``to``.idx.json beside it.
 
@@ -134,8 +141,8 @@ def normalise(filesystem: fs.FileSystem, path: str, to: str) -> list[tuple]:
     with filesystem.open_output_stream(f"{trial}.idx", compression=None) as sink:
         for r in rows:
             sink.write(json.dumps(dict(zip(names, r, strict=True))).encode() + b"\n")
-    filesystem.move(f"{trial}.idx", f"{to}.idx.json")
-    filesystem.move(trial, to)
+    put_in_place(filesystem, f"{trial}.idx", f"{to}.idx.json")
+    put_in_place(filesystem, trial, to)
     return rows
 
 
@@ -163,7 +170,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         def close() -> None:
             sink.write(pack.flush())
             sink.close()
-            filesystem.move(trial, name)
+            put_in_place(filesystem, trial, name)
             done.append((f"{folder}/{name.rpartition('/')[2]}", count))
 
         for batch in batches:
