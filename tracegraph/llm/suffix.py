@@ -6,7 +6,7 @@ one anchor are a phrase: it holds them whole, from the bytes before the trigger
 dictionary; which phrase stands where is the parse.
 
 Phrases that occur twice in the parse hold only strings that repeat. For the others two suffix arrays are made, of those phrases whose
-trigger has several: the dictionary's, of what ends in a trigger, read backwards, and the parse's, of what goes on from a trigger. Both
+bytes next to the trigger others have too: the dictionary's, of what ends in a trigger, read backwards, and the parse's, of what goes on from it. Both
 are sorts of bytes into ranges over all tasks, and the common lengths of neighbours tell for every phrase and length the first
 one in order with which it agrees so far. A string is its part up to the trigger and its part from there, so the two
 ranks combined are its place in corpus order: equal pairs of ranks are equal strings, by their bytes and not by a hash. The
@@ -32,7 +32,7 @@ K, SPARSE = 32, 6
 #: Text positions hashed at a time; the low bits of a window's key hold a position among them.
 STEP_BITS = 18
 
-#: Power of two of the bits of the filter for triggers.
+#: Power of two of the bits of the filter for cores.
 FILTER = 26
 
 #: Bits of a mark that hold how many strings follow the first; the mark of a whole phrase or text.
@@ -61,7 +61,6 @@ class Phrases:
     first: np.ndarray
     last: np.ndarray
     at: np.ndarray
-    trigger: np.ndarray
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each phrase's bytes, strings and place of the trigger, as two numbers."""
@@ -70,8 +69,20 @@ class Phrases:
         one, two = (mix64((s[b] - s[a]) * p[1][a] + salt).view(np.int64) for s, p in zip(self.sums, powers(len(self.sums[0])), strict=True))
         return one, two
 
+    def cores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the core behind and before the trigger, 0 where no string of the phrase has it.
+
+        A string reaches at least half of what it has besides the trigger to one of its sides, so it holds one of the two whole.
+        """
+        half = (self.length - K) // 2
+        out = []
+        for a, b, there in ((self.at, self.at + self.length - half, self.at - self.last <= half), (self.at - half - 1, self.at + K, self.at - self.first > half)):
+            a, b = np.where(there, a, 0), np.where(there, b, 0)
+            out.append(np.where(there, mix64((self.sums[0][b] - self.sums[0][a]) * powers(len(self.sums[0]))[0][1][a] + np.uint64(len(out) + 1)), np.uint64(0)).view(np.int64))
+        return out[0], out[1]
+
     def pick(self, which: np.ndarray) -> Phrases:
-        return Phrases(self.sums, self.length, self.first[which], self.last[which], self.at[which], self.trigger[which])
+        return Phrases(self.sums, self.length, self.first[which], self.last[which], self.at[which])
 
 
 def phrases(d: np.ndarray, length: int) -> Phrases:
@@ -95,7 +106,7 @@ def phrases(d: np.ndarray, length: int) -> Phrases:
         at = at.copy()
         at[none] = (np.minimum(behind[none], before[none + w - 1]) & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return Phrases(sums, length, first, np.append(first[1:], n) - 1, at[first], h[at[first]])
+    return Phrases(sums, length, first, np.append(first[1:], n) - 1, at[first])
 
 
 def stretches(size: int, length: int) -> Iterator[tuple[int, int]]:
@@ -238,25 +249,27 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
                 # equal phrases in a row, as in a text of one letter, are one row
                 new = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
                 run = np.diff(np.append(new, len(one)))
-                yield np.full(len(new), key), np.full(len(new), also, np.int32), a + p.first[new], more[new].astype(np.int32), run, one[new], two[new], p.trigger[new].view(np.int64)
+                behind, before = p.cores()
+                yield np.full(len(new), key), np.full(len(new), also, np.int32), a + p.first[new], more[new].astype(np.int32), run.astype(np.int32), one[new], two[new], behind[new], before[new]
 
-        yield from gathered(rows(), ["key", "also", "start", "more", "run", "p", "q", "trigger"])
+        yield from gathered(rows(), ["key", "also", "start", "more", "run", "p", "q", "behind", "before"])
 
-    parse_ = cut(texts.mapInArrow(tidy(parse), "key long, also int, start long, more int, run long, p long, q long, trigger long"))
-    dictionary = cut(parse_.groupBy("p", "q").agg(F.first("trigger").alias("trigger"), F.sum("run").alias("n")))
-    triggers = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = spark.sparkContext.broadcast(bit_table(triggers.select(F.col("trigger").alias("key")), FILTER))
+    parse_ = cut(texts.mapInArrow(tidy(parse), "key long, also int, start long, more int, run int, p long, q long, behind long, before long"))
+    dictionary = cut(parse_.groupBy("p", "q").agg(F.first("behind").alias("behind"), F.first("before").alias("before"), F.sum("run").alias("n")))
+    cores = dictionary.select(F.explode(F.array("behind", "before")).alias("key")).where("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = spark.sparkContext.broadcast(bit_table(cores.select("key"), FILTER))
     full = cut(dictionary.where("n > 1").select("p", "q", F.lit(WHOLE).cast("long").alias("mark")))
     discard(dictionary)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phrases that share a trigger with another one, each once a task: their bytes up to the trigger, backwards, and from it on."""
+        """Phrases that share a core with another one, each once a task: their bytes up to the trigger, backwards, and from it on."""
         seen: set[tuple[int, int]] = set()
         out: list[tuple] = []
         names = ["p", "q", "least", "left", "right"]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         for _, _, d, p in parsed(batches, length):
-            which = np.flatnonzero(has_bit(several.value, p.trigger))
+            behind, before = p.cores()
+            which = np.flatnonzero((behind != 0) & has_bit(several.value, behind) | (before != 0) & has_bit(several.value, before))
             if len(which):
                 p = p.pick(which)
                 raw = d.tobytes()
@@ -280,6 +293,7 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     both = both.withColumn("low", F.greatest(F.col("least"), length - F.col("r_most"))).withColumn("high", F.least(F.col("top"), F.col("l_most") - K)).where("low <= high")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of a phrase by their pairs of classes: a row for each run of strings (``low`` to ``high`` bytes before the trigger) with one pair."""
         before, behind = chains.value
 
         def rows() -> Iterator[tuple[np.ndarray, ...]]:
@@ -291,17 +305,54 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
                     a = np.arange(low, high + 1)
                     x = before.number(lp, cut_("l_depths", i), cut_("l_leaders", i), a + K)
                     y = behind.number(rp, cut_("r_depths", i), cut_("r_leaders", i), length - a)
-                    yield x, y, a.astype(np.int32), np.full(len(a), p), np.full(len(a), q), (top - a).astype(np.int32)
+                    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+                    n = len(new)
+                    yield x[new], y[new], a[new].astype(np.int32), np.append(a[new[1:]] - 1, high).astype(np.int32), np.full(n, p), np.full(n, q), np.full(n, top, np.int32)
+
+        yield from gathered(rows(), ["x", "y", "low", "high", "p", "q", "top"])
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For the runs of a pair of classes (at most length ** 2 different ones) the parts that two phrases at least have."""
+        last, held, out = None, [], []
+
+        def close() -> None:
+            if held and sum(n for *_, n in held) > 1:
+                many = np.zeros(length + 2, np.int64)
+                for low, high, n in held:
+                    many[low] += n
+                    many[high + 1] -= n
+                shared = np.flatnonzero(np.diff((np.cumsum(many) > 1).astype(np.int8), prepend=0))
+                for low, high, _ in held:
+                    for s, e in zip(shared[::2].tolist(), shared[1::2].tolist(), strict=True):
+                        if s <= high and e > low:
+                            out.append((*last, low, high, max(s, low), min(e - 1, high)))
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            out.clear()
+            types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["x", "y", "low", "high", "least", "most"])
 
-        yield from gathered(rows(), ["x", "y", "a", "p", "q", "first"])
+        for batch in batches:
+            for x, y, low, high, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (x, y) != last:
+                    close()
+                    last, held = (x, y), []
+                held.append((low, high, n))
+            if len(out) > 20_000:
+                yield flush()
+        close()
+        yield flush()
 
     cols = ["p", "q", "low", "high", "top", *[f"{s}_{c}" for s in "lr" for c in ("part", "depths", "leaders")]]
-    string = cut(both.select(*cols).mapInArrow(tidy(strings), "x long, y long, a int, p long, q long, first int"))
+    runs = cut(both.select(*cols).mapInArrow(tidy(strings), "x long, y long, low int, high int, p long, q long, top int"))
     chains.destroy()
     discard(entry, left, right)
-    twice = string.groupBy("x", "y", "a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y", "a")
-    same = cut(string.join(twice, ["x", "y", "a"], "left_semi").select("p", "q", mark("first", F.lit(0))))
-    discard(string)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = runs.groupBy("x", "y", "low", "high").agg(F.count(F.lit(1)).alias("n")).repartition(parts, "x", "y").sortWithinPartitions("x", "y", "low", "high")
+    shared = kinds.select("x", "y", "low", "high", "n").mapInArrow(tidy(twice), "x long, y long, low int, high int, least int, most int")
+    same = cut(runs.join(shared, ["x", "y", "low", "high"]).select("p", "q", mark(F.col("top") - F.col("most"), F.col("most") - F.col("least"))))
+    discard(runs)
     marks = cut(full.unionByName(same).groupBy("p", "q").agg(F.collect_set("mark").alias("marks")))
     discard(full, same)
     hits = parse_.join(marks, ["p", "q"]).select("key", "also", "start", "more", "run", F.explode("marks").alias("m"))
