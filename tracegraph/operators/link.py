@@ -17,7 +17,7 @@ def resolve_edges(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFrame
 def with_reverse(edges: DataFrame) -> DataFrame:
     """Adds the turned edges under ``rev_`` names; relations that have one already are not turned again."""
     there = edges.where(F.col("rel").startswith("rev_")).select(F.substring("rel", 5, 1000).alias("rel")).distinct()
-    turned = edges.where(~F.col("rel").startswith("rev_")).join(F.broadcast(there), "rel", "left_anti").select(F.col("dst").alias("src"), F.concat(F.lit("rev_"), "rel").alias("rel"), F.col("src").alias("dst"))
+    turned = edges.where(~F.col("rel").startswith("rev_")).join(there, "rel", "left_anti").select(F.col("dst").alias("src"), F.concat(F.lit("rev_"), "rel").alias("rel"), F.col("src").alias("dst"))
     return edges.select("src", "rel", "dst").unionByName(turned)
 
 

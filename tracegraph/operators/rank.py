@@ -28,7 +28,7 @@ def ranked(df: DataFrame, keys: list[str], order: list, to: str) -> DataFrame:
     for i, k in enumerate(keys):
         at = at & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     inside = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
-    return ranged.withColumn(to, inside).join(F.broadcast(before), at).select(*df.columns, (F.col(to) + F.col("_before")).alias(to))
+    return ranged.withColumn(to, inside).join(before, at).select(*df.columns, (F.col(to) + F.col("_before")).alias(to))
 
 
 def quantiles(df: DataFrame, column: str, asks: dict[str, tuple[float, str]], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -69,7 +69,7 @@ def chrono_split(aged: DataFrame, mode: str, share: float = 0.7, seed: int = 42)
     cut = F.greatest(F.least(F.bround(n * share), n - 1), F.lit(1))
     rows = ranked(aged.where("apt is not null"), ["apt"], order, "_r")
     sizes = rows.groupBy("apt").agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(F.broadcast(sizes), "apt").select(*aged.columns, (F.col("_r") <= cut).alias("train"))
+    return rows.join(sizes, "apt").select(*aged.columns, (F.col("_r") <= cut).alias("train"))
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int | None = 42) -> DataFrame:

@@ -205,7 +205,7 @@ TARGET = 'fx_target AS (SELECT id, arg_min("group", line::VARCHAR || tag) AS tar
 
 def reports(t: Tables):
     """Orders with lines as reports: the group of the first line as target, its nation, number of lines, names as text."""
-    rows = t.tags().join(F.broadcast(t.aliases().withColumnRenamed("alias", "tag")), "tag")
+    rows = t.tags().join(t.aliases().withColumnRenamed("alias", "tag"), "tag")
     first = F.min_by(F.struct("group", "nation"), F.struct("line", "tag"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "p_name"))), lambda x: x["p_name"]), " ")
     return rows.groupBy("id").agg(first.alias("f"), F.count(F.lit(1)).alias("n_iocs"), text.alias("text")).select("id", F.col("f.group").alias("target"), F.col("f.nation").alias("target_nation"), "n_iocs", "text")

@@ -186,8 +186,8 @@ def tops(t):
     best = mean_scores(t).groupBy("vec_id").agg(F.max_by("class", F.struct("score", -F.col("class"))).alias("pred"), F.max("score").alias("p"))
     e = t.embeddings.select("vec_id", F.col("label").alias("truth"), (F.col("vec_id") % 5).alias("fold"), (F.col("vec_id") % 3 == 0).alias("matched"), F.when(F.col("vec_id") % 2 == 0, "domain").otherwise("url").alias("kind"))
     dim = t.class_dim()
-    rows = best.join(e, "vec_id").join(F.broadcast(dim.select(F.col("class").alias("truth"), F.col("nation").alias("truth_nation"))), "truth", "left")
-    return rows.join(F.broadcast(dim.select(F.col("class").alias("pred"), F.col("nation").alias("pred_nation"))), "pred", "left")
+    rows = best.join(e, "vec_id").join(dim.select(F.col("class").alias("truth"), F.col("nation").alias("truth_nation")), "truth", "left")
+    return rows.join(dim.select(F.col("class").alias("pred"), F.col("nation").alias("pred_nation")), "pred", "left")
 
 
 @key("softmax", f"WITH {{V}}, {SOFT} SELECT vec_id, model, class, round(score, 6) AS score FROM s")
@@ -548,11 +548,11 @@ def tiered_v2(t):
 def predict_batch(t):
     """Unlabelled events: propagation blended with the class priors of their customers' segments, best label and tiers."""
     dim = t.label_dim()
-    graph = lp(t, 4).join(F.broadcast(dim.select("label", F.col("idx").alias("class"))), "label").select(F.col("id").alias("vec_id"), "class", "score")
+    graph = lp(t, 4).join(dim.select("label", F.col("idx").alias("class")), "label").select(F.col("id").alias("vec_id"), "class", "score")
     seen = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     prior = seen.where("o_orderstatus <> 'P'").groupBy("c_mktsegment", F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    prior = prior.withColumn("score", F.col("n") / F.sum("n").over(Window.partitionBy("c_mktsegment"))).join(F.broadcast(dim), "label").select("c_mktsegment", F.col("idx").alias("class"), "score")
-    model = seen.select(F.col("o_orderkey").alias("vec_id"), "c_mktsegment").join(F.broadcast(prior), "c_mktsegment").select("vec_id", "class", "score")
+    prior = prior.withColumn("score", F.col("n") / F.sum("n").over(Window.partitionBy("c_mktsegment"))).join(dim, "label").select("c_mktsegment", F.col("idx").alias("class"), "score")
+    model = seen.select(F.col("o_orderkey").alias("vec_id"), "c_mktsegment").join(prior, "c_mktsegment").select("vec_id", "class", "score")
     return attribute.flat(predict.predict(t.event(), model, graph, dim.select(F.col("idx").alias("class"), "nation"), ["expedite"]))
 
 

@@ -45,7 +45,7 @@ class Tables:
 
     def in_group(self) -> DataFrame:
         n = self.nation.select(F.col("n_nationkey").alias("asn"), F.concat(F.lit("AS"), F.col("n_nationkey"), F.lit(" "), F.col("n_name")).alias("asn_text"))
-        return self.supplier.select(F.col("s_suppkey").alias("ip"), F.col("s_nationkey").alias("asn")).join(F.broadcast(n), "asn").select("ip", "asn", "asn_text")
+        return self.supplier.select(F.col("s_suppkey").alias("ip"), F.col("s_nationkey").alias("asn")).join(n, "asn").select("ip", "asn", "asn_text")
 
     def hosted_on(self) -> DataFrame:
         return self.pages.select("page_id", "url", T.url_host(F.col("url")).alias("host"))
