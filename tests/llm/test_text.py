@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tracegraph.llm import jaccard, langid, mixing, rollup, suffix, toxicity
+from tracegraph.llm import jaccard, langid, mixing, rollup, shared, suffix, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, extra int"
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu", "re") for b in ("ta", "vo", "sel", "dro") for c in ("n", "s", "rim")]
@@ -323,6 +323,20 @@ def test_a_large_group_of_repeated_rows_does_not_overshoot(spark):
         assert r.over <= 0 and abs(r.taken - r.target) <= 0.03 * r.target
 
 
+def test_mixing_does_not_depend_on_how_a_table_is_split(spark, tmp_path):
+    """The end of a sample falls among rows that repeat; some of them differ in a column that is only carried along."""
+    rows = [(1, "a b c d e f g h", None, "s0", i % 3 if i < 2500 else 7) for i in range(4000)] + [(i, "w " * (i % 40), None, "s0" if i % 2 else "s1", 1) for i in range(2, 1500)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    found = []
+    for size, deal in (("128m", lambda d: d), ("8k", lambda d: d), ("128m", lambda d: d.repartition(7, "extra")), ("8k", lambda d: d.orderBy(F.desc("doc_id"), F.rand(3)))):
+        with shared.settings(spark, spark__sql__files__maxPartitionBytes=size, spark__sql__files__openCostInBytes="1k"):
+            found.append(Counter(tuple(r) for r in mixing.pareto_mix(deal(table)).select("doc_id", "extra", "size", "taken").collect()))
+    assert found[0] == found[1] == found[2] == found[3]
+    extra = {k: v for k, v in found[0].items() if k[0] == 1}
+    assert sum(extra.values()) == 4000 and len({k[3] for k in extra}) == 2  # some of the repeated rows are taken once more
+
+
 def test_toxicity_scores_a_second_way():
     g = toxicity.Grammar({"zark": 3.0, "blem*": 2.0, "mudface": 4.0}, toxicity.np.array([0.9, 1.3, 0.2, 0.3, 1.1, 0.4]), -2.0)
     rng = random.Random(9)

@@ -60,12 +60,12 @@ def rank_key(u: Column, p: Column) -> Column:
 
 
 def sample_ends(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Where each source's sample ends in rank order: cut_bin, last_key, part_key with the share of its rows that is taken, close_key with its rows.
+    """Where each source's sample ends in rank order: cut_bin, last_key, part_key with the part_rows of its rows that are taken, close_key with its rows.
 
     ``drawn`` has the rows (key, size, rank_key) that may be drawn, ``wanted`` the words per source. The end is found from histograms of
     the rank key, one of 2 ** ``BITS`` bins per source and then one within the bin where it lies; only distinct rank keys of one
     bin in 2 ** (2 * ``BITS``) are ordered, so neither a source nor a row that repeats a million times is gathered in a task. Of
-    rows that repeat at the very end the share that fits is taken. Words left over are closed by the document whose size comes nearest.
+    rows that repeat at the very end as many as fit are taken. Words left over are closed by the document whose size comes nearest.
     """
     bins = drawn.withColumn("bin", F.floor(F.col("rank_key") * float(1 << 2 * BITS)).cast("long"))
 
@@ -86,10 +86,10 @@ def sample_ends(drawn: DataFrame, wanted: DataFrame) -> DataFrame:
     fit, over = F.col("done") <= F.col("wanted"), F.col("done") > F.col("wanted")
     ends = last.groupBy("key").agg(F.first("at").alias("cut_bin"), F.max(F.when(fit, F.col("rank_key"))).alias("last_key"), F.coalesce(F.max(F.when(fit, F.col("done"))), F.first("base")).alias("done"), F.min_by(F.struct("rank_key", "words", "rows"), F.when(over, F.col("rank_key"))).alias("x"), F.first("wanted").alias("wanted"))
     whole = F.floor((F.col("wanted") - F.col("done")) * F.col("x.rows") / F.col("x.words"))
-    ends = ends.withColumn("part_rows", F.when(F.col("x.rows") > 1, F.coalesce(whole, F.lit(0))).otherwise(0))
-    ends = cut(ends.select("key", "cut_bin", "last_key", F.col("x.rank_key").alias("part_key"), (F.col("part_rows") / F.col("x.rows")).alias("share"), (F.col("wanted") - F.col("done") - F.col("part_rows") * F.col("x.words") / F.col("x.rows")).alias("left")))
+    ends = ends.withColumn("part_rows", F.when(F.col("x.rows") > 1, F.coalesce(whole, F.lit(0))).otherwise(0).cast("long"))
+    ends = cut(ends.select("key", "cut_bin", "last_key", F.col("x.rank_key").alias("part_key"), "part_rows", (F.col("wanted") - F.col("done") - F.col("part_rows") * F.col("x.words") / F.col("x.rows")).alias("left")))
     gap = F.abs(F.col("size") - F.col("left"))
-    spare = bins.join(small(ends), "key").where(~taken() & (gap < F.col("left")) & ~(F.col("rank_key").eqNullSafe(F.col("part_key")) & (F.col("share") > 0)))
+    spare = bins.join(small(ends), "key").where(~taken() & (gap < F.col("left")) & ~(F.col("rank_key").eqNullSafe(F.col("part_key")) & (F.col("part_rows") > 0)))
     closing = spare.groupBy("key").agg(F.min_by("rank_key", F.struct(gap, "rank_key")).alias("close_key"))
     rows = bins.join(small(cut(closing)), "key").where("rank_key = close_key").groupBy("key").agg(F.first("close_key").alias("close_key"), F.count(F.lit(1)).alias("close_rows"))
     return ends.drop("left").join(rows, "key", "left")
@@ -100,6 +100,29 @@ def taken() -> Column:
     return F.coalesce((F.col("bin") < F.col("cut_bin")) | (F.col("bin") == F.col("cut_bin")) & F.coalesce(F.col("rank_key") <= F.col("last_key"), F.lit(False)), F.lit(True))
 
 
+#: Repeated rows that one task brings back.
+TOGETHER = 1000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Adds ``dealt``: 1 for ``to_deal`` rows of those with one (key, u), 0 for the others.
+
+    Rows that agree in all columns are counted and come back as often as they were there, in blocks that any task may take, the first ones with a
+    1; which of them makes no difference. Rows that agree in id, text and source alone take turns by a hash of all columns, whose bins
+    are summed first, so that a task orders one bin in 2 ** ``BITS``.
+    """
+    names = rows.columns
+    others = F.to_json("row") if "map<" in rows.schema["row"].dataType.simpleString() else F.col("row")  # maps have no hash
+    counted = cut(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).withColumn("turn", F.xxhash64(others, "doc", "body", "origin")).withColumn("part", F.shiftright("turn", 64 - BITS)))
+    running = Window.partitionBy("key", "u").orderBy("part")
+    parts = counted.groupBy("key", "u", "part").agg(F.sum("n").alias("in_part")).withColumn("before", F.sum("in_part").over(running) - F.col("in_part")).drop("in_part")
+    order = Window.partitionBy("key", "u", "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.join(parts, ["key", "u", "part"]).withColumn("first", F.col("before") + F.sum("n").over(order) - F.col("n"))
+    blocks = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(TOGETHER).cast("long"))).alias("start")).repartition("key", "u", "turn", "start")
+    each = blocks.select("*", F.explode(F.sequence("start", F.least(F.col("start") + TOGETHER, F.col("n")) - 1)).alias("place"))
+    return each.select(*names, (F.col("first") + F.col("place") < F.col("to_deal")).cast("long").alias("dealt"))
+
+
 def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
     """Adds size, source_size, target, copies and taken (copies * size) to every row, so that each source's words come near its target.
 
@@ -110,8 +133,8 @@ def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     words. Given the plan per source, a row's copies depend on the row alone: nothing is shuffled to hand them out, and reruns agree.
 
     Null or empty text: size 0, taken 0. A null source is a source of its own, last in order. Rows that agree in id, text and source are
-    drawn together, except where the end of the sample falls among them: there each is drawn by its place in the table, with the
-    share that fits. An empty table gives no rows. Other columns stay, but for those with the names of the new ones, which are replaced.
+    drawn together, except where the end of the sample falls among them: there as many as fit get the copy, by an order of all columns (``dealt``). So the result is the same rows however the table is split or ordered. An empty table gives no rows. Other columns stay,
+    but for those with the names of the new ones, which are replaced.
     """
     columns = {"doc": id_col, "body": text_col, "origin": source_col}
     size = F.coalesce(F.regexp_count("body", F.lit(WORD)), F.lit(0)).cast("long")
@@ -125,16 +148,21 @@ def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     classes = cut(copies_wanted(slim.groupBy("key", length.alias("class")).agg(F.sum("size").alias("words")), weights, cap))
     plan = cut(classes.select("key", "class", "source_size", "target", "certain", "p"))
     drawn = slim.withColumn("class", length).join(small(plan.where("p > 0").select("key", "class", "p")), ["key", "class"])
-    drawn = drawn.select("key", "size", rank_key(F.col("u"), F.col("p")).alias("rank_key"))
-    wanted = cut(classes.groupBy("key").agg(F.sum(F.col("p") * F.col("words")).alias("wanted")))
+    drawn = drawn.select("key", "size", "u", rank_key(F.col("u"), F.col("p")).alias("rank_key"))
+    wanted = cut(classes.groupBy("key").agg(F.round(F.sum(F.col("p") * F.col("words")), 3).alias("wanted")))
     ends = cut(sample_ends(drawn, wanted))
+    fits = (F.col("part_rows") > 0) & (F.col("rank_key") == F.col("part_key"))
+    tied = F.coalesce(fits | (F.col("close_rows") > 1) & (F.col("rank_key") == F.col("close_key")), F.lit(False))
+    ties = cut(drawn.join(small(ends), "key").where(tied).select("key", "u", F.when(fits, F.col("part_rows")).otherwise(1).alias("to_deal")).distinct())
     out = rows.withColumn("class", length).join(small(plan), ["key", "class"]).join(small(ends), "key", "left").withColumn("rank_key", rank_key(F.col("u"), F.col("p")))
     out = out.withColumn("bin", F.floor(F.col("rank_key") * float(1 << 2 * BITS)).cast("long"))
-    place = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 11) + 0.5) / float(1 << 53)
-    at = lambda key, share: F.coalesce((F.col("rank_key") == F.col(key)) & (place < share), F.lit(False))
-    extra = F.col("rank_key").isNotNull() & (taken() | at("part_key", F.col("share")) | at("close_key", 1 / F.col("close_rows")))
-    out = out.withColumn("copies", (F.col("certain") + extra.cast("long")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return restored(out, docs, columns, ["size", "source_size", "target", "copies", "taken"])
+    extra = F.col("rank_key").isNotNull() & (taken() | F.coalesce((F.col("rank_key") == F.col("close_key")) & (F.col("close_rows") == 1), F.lit(False)))
+    out = out.where(~tied).withColumn("copies", (F.col("certain") + extra.cast("long")).cast("long"))
+    if not ties.isEmpty():  # only then are these rows read again
+        again = dealt(rows.drop("size").join(small(ties), ["key", "u"])).withColumn("size", size).withColumn("class", length)
+        again = again.join(small(plan), ["key", "class"]).withColumn("copies", (F.col("certain") + F.col("dealt")).cast("long"))
+        out = out.select(*(names := ["row", *columns, "size", "source_size", "target", "copies"])).unionByName(again.select(*names))
+    return restored(out.withColumn("taken", F.col("copies") * F.col("size")), docs, columns, ["size", "source_size", "target", "copies", "taken"])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
