@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
-from tracegraph.operators import clean, link, rank, stats
+from tracegraph.operators import clean, implicit, link, rank, stats
 from tracegraph.sources.fixtures import Tables, sql
 
 Q: dict = {}
@@ -289,8 +289,11 @@ PAIRS = "p AS (SELECT DISTINCT a.id AS i, b.id AS j FROM fx_in_report a JOIN fx_
 
 @key("event_adjacency_all", f"WITH {{V}}, {PAIRS} SELECT i, count(*) AS degree, sum(j)::BIGINT AS sum_j FROM (SELECT * FROM p UNION ALL SELECT o_orderkey, o_orderkey FROM orders) GROUP BY i")
 def event_adjacency_all(t):
-    """Adjacency over indicators of all types; ``event_adjacency`` is over domains, as its SQL is."""
-    return link.event_adjacency(t.in_report(), t.event()).groupBy("i").agg(F.count(F.lit(1)).alias("degree"), F.sum("j").alias("sum_j"))
+    """Adjacency over indicators of all types by products, without pairs; ``event_adjacency`` makes the pairs of domains."""
+    s = implicit.shared(t.in_report(), t.event())
+    ids = s.members.groupBy("node").agg(F.sum("id").alias("value"))
+    met = implicit.product(s, ids, []).join(implicit.degrees(s), "node").select("node", F.col("degree").cast("long").alias("degree"), F.col("value").alias("sum_j"))
+    return s.members.join(met, "node").select(F.col("id").alias("i"), "degree", "sum_j")
 
 
 @key("label_nation", "SELECT id, apt, nation FROM fx_event LEFT JOIN fx_label_dim ON apt = label", "fx_event", "fx_label_dim")

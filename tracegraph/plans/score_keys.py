@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
-from tracegraph.operators import attribute, clean, features, link, predict, propagate, rank, stats
+from tracegraph.operators import attribute, clean, features, implicit, link, predict, propagate, rank, stats
 from tracegraph.operators.lineage import settled, shared_folder
 from tracegraph.plans.graph_keys import AS_OF, SCOPE, TARGET, _views, key, reports
 from tracegraph.sources.fixtures import SQL as FX
@@ -437,43 +437,69 @@ def smote_neighbors(t):
     return features.smote_neighbors(rows, "label", "v", "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d"), 4).alias("sum_d"))
 
 
-# propagation over events that share a part
-ADJ = """e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ioc FROM lineitem), adj AS MATERIALIZED (SELECT DISTINCT a.id AS i, b.id AS j FROM e a JOIN e b ON a.ioc = b.ioc UNION SELECT o_orderkey, o_orderkey FROM orders),
+# propagation over events that share an indicator
+PAIRED = {"domain": "e AS (SELECT DISTINCT l_orderkey AS id, 'domain' AS ioc_type, l_partkey AS ioc FROM lineitem)", "url": "e AS (SELECT id, ioc_type, ioc FROM fx_in_report WHERE ioc_type = 'url')", "all": "e AS (SELECT id, ioc_type, ioc FROM fx_in_report)"}
+ADJ = """{e}, adj AS MATERIALIZED (SELECT DISTINCT a.id AS i, b.id AS j FROM e a JOIN e b ON a.ioc_type = b.ioc_type AND a.ioc = b.ioc UNION SELECT o_orderkey, o_orderkey FROM orders),
 deg AS (SELECT i, count(*) AS d FROM adj GROUP BY i), w AS MATERIALIZED (SELECT a.i, a.j, 1 / sqrt(x.d * y.d) AS w FROM adj a JOIN deg x ON x.i = a.i JOIN deg y ON y.i = a.j)"""
 F0 = "f0 AS MATERIALIZED (SELECT id, apt AS label, 1.0::DOUBLE AS score FROM fx_event WHERE apt IS NOT NULL)"
 STEP = "f{n} AS MATERIALIZED (SELECT i AS id, label, sum(w * score) AS score FROM w JOIN f{p} ON f{p}.id = w.j WHERE i NOT IN (SELECT id FROM f0) GROUP BY 1, 2 UNION ALL SELECT * FROM f0)"
 DENSE = "z AS (SELECT o_orderkey AS id, l.label, coalesce(score, 0) AS score FROM orders CROSS JOIN fx_label_dim l LEFT JOIN f{n} f ON f.id = o_orderkey AND f.label = l.label), pr AS (SELECT id, label, exp(score) / sum(exp(score)) OVER (PARTITION BY id) AS score FROM z)"
-LP4 = ", ".join([ADJ, F0, *[STEP.format(n=k + 1, p=k) for k in range(4)], DENSE.format(n=4)])
+
+
+def propagated(iters: int, of: str) -> str:
+    return ", ".join([ADJ.format(e=PAIRED[of]), F0, *[STEP.format(n=k + 1, p=k) for k in range(iters)], DENSE.format(n=iters)])
 
 
 def weights(t, *kinds: str):
-    """Normalised adjacency over indicators of the types; of all without any."""
-    return propagate.sym_normalize(settled(link.event_adjacency(t.in_report(*kinds), t.event())))
+    """Degree and row sum of the normalised adjacency over indicators of the types; of all without any."""
+    d = implicit.row_sums(implicit.shared(t.in_report(*kinds), t.event()))
+    return d.select(F.col("id").alias("i"), F.col("degree").alias("n"), F.round("weight", 5).alias("sum_w"))
+
+
+def seeds_of(t):
+    return t.event().where("apt is not null").select("id", F.col("apt").alias("label"))
 
 
 def lp(t, iters: int, *kinds: str):
-    seeds = t.event().where("apt is not null").select("id", F.col("apt").alias("label"))
-    return propagate.label_propagation(link.event_adjacency(t.in_report(*kinds), t.event()), seeds, t.label_dim(), iters)
+    """Scores over indicators of the types, of all without any."""
+    return implicit.label_propagation(implicit.shared(t.in_report(*kinds), t.event()), seeds_of(t), t.label_dim(), iters)
 
 
-@key("sym_normalize", f"WITH {ADJ} SELECT i, count(*) AS n, round(sum(w), 5) AS sum_w FROM w GROUP BY i")
+@key("sym_normalize", f"WITH {ADJ.format(e=PAIRED['domain'])} SELECT i, count(*) AS n, round(sum(w), 5) AS sum_w FROM w GROUP BY i")
 def sym_normalize(t):
-    return weights(t, "domain").groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 5).alias("sum_w"))
+    return weights(t, "domain")
+
 
+@key("sym_normalize_all", f"WITH {{V}}, {ADJ.format(e=PAIRED['all'])} SELECT i, count(*) AS n, round(sum(w), 5) AS sum_w FROM w GROUP BY i")
+def sym_normalize_all(t):
+    return weights(t)
 
-@key("label_prop_1", f"WITH {{V}}, {ADJ}, {F0}, {STEP.format(n=1, p=0)}, {DENSE.format(n=1)} SELECT id, label, round(score, 5) AS score FROM pr")
+
+@key("sym_normalize_pairs", f"WITH {{V}}, {ADJ.format(e=PAIRED['url'])} SELECT i, j, round(w, 6) AS w FROM w")
+def sym_normalize_pairs(t):
+    """The normalised pairs themselves, of events that share a url."""
+    return propagate.sym_normalize(settled(link.event_adjacency(t.in_report("url"), t.event()))).select("i", "j", F.round("w", 6).alias("w"))
+
+
+@key("label_prop_1", f"WITH {{V}}, {propagated(1, 'all')} SELECT id, label, round(score, 5) AS score FROM pr")
 def label_prop_1(t):
-    return lp(t, 1, "domain").withColumn("score", F.round("score", 5))
+    return lp(t, 1).withColumn("score", F.round("score", 5))
 
 
-@key("label_prop_4", f"WITH {{V}}, {LP4} SELECT id, label, round(score, 5) AS score FROM pr")
+@key("label_prop_4", f"WITH {{V}}, {propagated(4, 'all')} SELECT id, label, round(score, 5) AS score FROM pr")
 def label_prop_4(t):
-    return lp(t, 4, "domain").withColumn("score", F.round("score", 5))
+    return lp(t, 4).withColumn("score", F.round("score", 5))
+
+
+@key("label_prop_domains", f"WITH {{V}}, {propagated(4, 'domain')} SELECT id, label, round(score, 5) AS score FROM pr")
+def label_prop_domains(t):
+    """Over domains alone, from the table of pairs; ``label_prop_4`` makes none."""
+    return propagate.label_propagation(link.event_adjacency(t.in_report("domain"), t.event()), seeds_of(t), t.label_dim(), 4).withColumn("score", F.round("score", 5))
 
 
-@key("lp_predict", f"WITH {{V}}, {LP4} SELECT id, label AS predicted, round(score, 4) AS confidence FROM pr WHERE id IN (SELECT id FROM fx_event WHERE apt IS NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1")
+@key("lp_predict", f"WITH {{V}}, {propagated(4, 'all')} SELECT id, label AS predicted, round(score, 4) AS confidence FROM pr WHERE id IN (SELECT id FROM fx_event WHERE apt IS NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) = 1")
 def lp_predict(t):
-    return propagate.lp_predict(lp(t, 4, "domain"), t.event().where("apt is null")).select("id", "predicted", "confidence")
+    return propagate.lp_predict(lp(t, 4), t.event().where("apt is null")).select("id", "predicted", "confidence")
 
 
 def neighbors(t):
@@ -625,6 +651,7 @@ for _n, _v in {
     **dict.fromkeys(("event_age", "decay_weights", "decay_overall", "decay_by_class", "split_forward", "split_backward", "split_age_stats"), ("fx_event",)),
     **dict.fromkeys(("softmax", "ensemble_mean", "top_label", "acc_label", "acc_nation", "tier_metrics", "per_class", "fold_macro", "fold_micro", "subset_metrics", "nation_scores", "cluster_scores", "weighted_nll", "blend_scores", "tiered_v1", "tiered_v2"), ("fx_logits", "fx_class_dim")),
     **dict.fromkeys(("eval_external", "eval_external_matched"), ("fx_logits", "fx_class_dim", "fx_requests")),
-    **dict.fromkeys(("label_prop_1", "label_prop_4", "lp_predict"), ("fx_event", "fx_label_dim")),
+    **dict.fromkeys(("label_prop_1", "label_prop_4", "lp_predict"), ("fx_event", "fx_label_dim", "fx_in_report")), "label_prop_domains": ("fx_event", "fx_label_dim"),
+    **dict.fromkeys(("sym_normalize_all", "sym_normalize_pairs"), ("fx_in_report",)),
 }.items():
     _views(_n, *_v)
