@@ -55,9 +55,11 @@ def label_mass_v1(reports: DataFrame, tags: DataFrame, aliases: DataFrame, keywo
     return _beliefs(rows.select("id", exclusivity.alias("exclusivity"), _evidence(F.col("n_iocs")).alias("weight"), coherence.alias("coherence"), cluster.alias("activity_cluster")))
 
 
-def label_mass_v2(reports: DataFrame, tags: DataFrame, aliases: DataFrame, mentions: DataFrame) -> DataFrame:
+def label_mass_v2(reports: DataFrame, tags: DataFrame, aliases: DataFrame, mentions: DataFrame, states: list, criminal: str = "Cybercrime") -> DataFrame:
     """The same as it is scored anew: aliases count once each, only network indicators are evidence, and a group of another nation among the tags
-    refutes the label (of the same nation: a half). Without network indicators all is uncertain."""
+    refutes the label (of the same nation: a half). Without network indicators all is uncertain.
+
+    Only the nations of ``states`` sponsor; targets of any other nation, of ``criminal``, or of none are cybercrime."""
     matched = tags.select("id", "tag").distinct().join(small(aliases.select(F.col("alias").alias("tag"), "group", "nation")), "tag").join(reports.select("id", "target", "target_nation"), "id")
     other = F.col("group") != F.col("target")
     counts = matched.groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(~other, 1)).alias("mine"), F.max(other.cast("int")).alias("other"), F.max((other & ~F.col("nation").eqNullSafe(F.col("target_nation"))).cast("int")).alias("foreign"))
@@ -65,7 +67,9 @@ def label_mass_v2(reports: DataFrame, tags: DataFrame, aliases: DataFrame, menti
     exclusivity = F.when(F.col("total") > 0, F.pow(F.col("mine") / F.col("total"), 2)).otherwise(1 / (1 + F.greatest(F.coalesce("n_groups", F.lit(0)), F.lit(1))))
     coherence = F.when(F.col("foreign") == 1, F.lit(0.0)).when(F.col("other") == 1, F.lit(0.5)).otherwise(F.lit(1.0))
     none = F.col("n_network") == 0
-    cluster = F.when(F.col("target_nation").isNotNull(), "State-Sponsored").otherwise("Cybercrime")
+    nation = F.col("target_nation").cast("string")
+    state = F.coalesce(nation.isin(*[str(x) for x in states]) & (nation != criminal), F.lit(False))
+    cluster = F.when(state, "State-Sponsored").otherwise("Cybercrime")
     return _beliefs(rows.select("id", F.when(none, F.lit(0.0)).otherwise(exclusivity).alias("exclusivity"), _evidence(F.col("n_network")).alias("weight"), F.when(none, F.lit(1.0)).otherwise(coherence).alias("coherence"), cluster.alias("activity_cluster")))
 
 

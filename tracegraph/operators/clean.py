@@ -30,8 +30,8 @@ def clean_pdns(answers: DataFrame, direction: str) -> DataFrame:
 
 
 def alias_dimension(sets: DataFrame) -> DataFrame:
-    """alias -> group from (name, aliases, position); a set without aliases has its own name; the last set wins a clash."""
-    each = sets.withColumn("alias", F.explode(F.when(F.size(F.coalesce("aliases", F.array())) > 0, F.col("aliases")).otherwise(F.array("name"))))
+    """alias -> group from (name, aliases, position); a set whose aliases are null has its own name, one with an empty list none; the last set wins a clash."""
+    each = sets.withColumn("alias", F.explode(F.coalesce("aliases", F.array("name")))).where("alias is not null")
     return each.groupBy(F.lower("alias").alias("alias")).agg(F.max_by("name", "position").alias("group"))
 
 

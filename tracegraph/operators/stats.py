@@ -153,9 +153,27 @@ def ensemble_mean(scores: DataFrame) -> DataFrame:
     return scores.groupBy("vec_id", "class").agg(F.avg("score").alias("score"))
 
 
-def dns_counts(records: DataFrame, key: str, kind: str) -> DataFrame:
-    """Answers per key for each of the nine record types, 0 where there are none."""
-    return records.groupBy(key).pivot(kind, DNS_TYPES).count().fillna(0)
+def dns_counts(records: DataFrame, key: str, kind: str, nxdomain: str | None = None) -> DataFrame:
+    """Answers per key for each of the nine record types, 0 where there are none.
+
+    ``nxdomain`` names a column that tells whether the answer was that there is no such name: such rows are no answers, and ``is_nxdomain`` is
+    added, true if the name's A query was answered so. An A query without such an answer, a null or any other type says nothing.
+    """
+    absent = F.coalesce(F.col(nxdomain), F.lit(False)) if nxdomain else F.lit(False)
+    count = [F.count(F.when((F.col(kind) == t) & ~absent, 1)).alias(t) for t in DNS_TYPES]
+    flag = [F.coalesce(F.max((F.col(kind) == "A") & absent), F.lit(False)).alias("is_nxdomain")] if nxdomain else []
+    return records.groupBy(key).agg(*count, *flag)
+
+
+def ioc_sketches(edges: DataFrame, keys: list[str], lg_k: int = 12) -> DataFrame:
+    """(*keys, sketch): HyperLogLog sketches of the distinct indicators (ioc_type, ioc) of each key, of one size however many there are; 1.04 / sqrt(2 ** lg_k) is
+    their standard error. As a table they can be united over days, sources or reports without the indicators."""
+    return edges.groupBy(*keys).agg(F.hll_sketch_agg(F.concat_ws("|", F.col("ioc_type"), F.col("ioc").cast("string")), lg_k).alias("sketch"))
+
+
+def united(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, n_distinct): estimates from stored sketches, united by the keys; without keys one row of all."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch", True)).alias("n_distinct"))
 
 
 def ioc_counts(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracegraph.plans import file_keys, graph_keys, score_keys  # noqa: F401  (all register into the tables of graph_keys)
+from tracegraph.plans import file_keys, graph_keys, score_keys, source_keys  # noqa: F401  (all register into the tables of graph_keys)
 
 
 def queries() -> dict:

@@ -15,11 +15,28 @@ from tracegraph.sources.fixtures import SQL as FX
 TAU = 900.0
 
 
-@key("graph_stats", "SELECT 'node' AS what, 'event' AS name, count(*) AS n FROM orders UNION ALL SELECT 'node', 'domain', count(*) FROM part UNION ALL SELECT 'node', 'ip', count(*) FROM supplier UNION ALL SELECT 'edge', ioc_type, count(*) FROM fx_in_report GROUP BY ioc_type UNION ALL SELECT 'edge', 'resolves_to', count(*) FROM fx_resolves_to", "fx_in_report", "fx_resolves_to")
+NODE_TABLES = {"event": "orders", "domain": "part", "ip": "supplier", "url": "pages", "asn": "nation"}
+
+
+@key("graph_stats", " UNION ALL ".join(f"SELECT 'node' AS what, '{k}' AS name, count(*) AS n FROM {v}" for k, v in NODE_TABLES.items()) + " UNION ALL SELECT 'edge', 'in_report', count(*) FROM fx_in_report UNION ALL SELECT 'edge', 'resolves_to', count(*) FROM fx_resolves_to UNION ALL SELECT 'edge', 'hosted_on', count(*) FROM fx_hosted_on WHERE host <> '' UNION ALL SELECT 'edge', 'in_group', count(*) FROM fx_in_group", "fx_in_report", "fx_resolves_to", "fx_hosted_on", "fx_in_group")
 def graph_stats(t):
-    ids = t.orders.select(F.lit("node").alias("what"), F.lit("event").alias("name")).unionAll(t.part.select(F.lit("node"), F.lit("domain"))).unionAll(t.supplier.select(F.lit("node"), F.lit("ip")))
-    edges = t.in_report().select(F.lit("edge"), "ioc_type").unionAll(t.resolves_to().select(F.lit("edge"), F.lit("resolves_to")))
-    return ids.unionAll(edges).groupBy("what", "name").agg(F.count(F.lit(1)).alias("n"))
+    """Nodes of all five types and edges of all relations by name."""
+    edges = {"in_report": t.in_report(), "resolves_to": t.resolves_to(), "hosted_on": link.url_edges(t.pages.select("url")).where("edge is not null"), "in_group": t.in_group()}
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), F.lit(name).alias("name"), "n") for what, of in (("node", {k: getattr(t, v) for k, v in NODE_TABLES.items()}), ("edge", edges)) for name, df in of.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@key("ioc_sketch", "SELECT ioc_type, count(DISTINCT ioc) AS exact, true AS near FROM fx_in_report GROUP BY ioc_type UNION ALL SELECT 'all', count(*), true FROM (SELECT DISTINCT ioc_type, ioc FROM fx_in_report)", "fx_in_report")
+def ioc_sketch(t):
+    """Distinct indicators by type and in all: sketches of each report stored as a table and united, beside exact counts; near: within five standard errors."""
+    edges = t.in_report()
+    held = settled(stats.ioc_sketches(edges, ["id", "ioc_type"]))
+    estimate = stats.united(held, ["ioc_type"]).unionByName(stats.united(held, []).select(F.lit("all").alias("ioc_type"), "n_distinct"))
+    exact = edges.groupBy("ioc_type").agg(F.countDistinct("ioc").alias("exact")).unionByName(edges.agg(F.countDistinct("ioc_type", "ioc").alias("exact")).select(F.lit("all").alias("ioc_type"), "exact"))
+    return exact.join(estimate, "ioc_type").select("ioc_type", "exact", (F.abs(F.col("n_distinct") - F.col("exact")) <= 5 * 1.04 / 64 * F.col("exact")).alias("near"))
 
 
 @key("events_per_label", "SELECT apt, count(*) AS n FROM fx_event WHERE apt IS NOT NULL GROUP BY apt", "fx_event")
@@ -262,10 +279,10 @@ def cluster_scores(t):
     return stats.rollup_scores(mean_scores(t), dim, "cluster")
 
 
-@key("dns_counts", "SELECT user_id, " + ", ".join(f"count(*) FILTER (k = '{x}') AS \"{x}\"" for x in stats.DNS_TYPES) + " FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'AAAA' WHEN 'error' THEN 'MX' WHEN 'purchase' THEN 'NS' ELSE 'TXT' END AS k FROM events) GROUP BY user_id")
+@key("dns_counts", "SELECT user_id, " + ", ".join(f"count(*) FILTER (k = '{x}' AND NOT nx) AS \"{x}\"" for x in stats.DNS_TYPES) + ", max((k = 'A' AND nx)::INT) = 1 AS is_nxdomain FROM (SELECT user_id, event_id % 50 = 0 AS nx, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'AAAA' WHEN 'error' THEN 'MX' WHEN 'purchase' THEN 'NS' ELSE 'TXT' END AS k FROM events) GROUP BY user_id")
 def dns_counts(t):
     k = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "AAAA").when(F.col("event_type") == "error", "MX").when(F.col("event_type") == "purchase", "NS").otherwise("TXT")
-    return stats.dns_counts(t.events.select("user_id", k.alias("k")), "user_id", "k")
+    return stats.dns_counts(t.events.select("user_id", k.alias("k"), (F.col("event_id") % 50 == 0).alias("nx")), "user_id", "k", "nx")
 
 
 @key("ioc_counts", "SELECT id, count(*) FILTER (ioc_type = 'domain') AS n_domain, count(*) FILTER (ioc_type = 'ip') AS n_ip, count(*) FILTER (ioc_type = 'url') AS n_url, count(*) AS n_distinct FROM fx_in_report GROUP BY id", "fx_in_report")
@@ -323,37 +340,49 @@ def ts_parse(t):
     return t.events.select("event_id", T.parse_ts(raw).cast("timestamp_ntz").alias("parsed"))
 
 
-# label evidence
+# label evidence: every third report has no tags, and its text names its lines' brands
 KEYWORDS = (("red", 0), ("blue", 1), ("small", 2))
-MASS = """x AS (SELECT id, target, target_nation, n_iocs, {ex} AS ex, {w} AS w, {co} AS co FROM fx_target {joins})
-SELECT id, round(ex * w * co, 4) AS label_confidence, round(ex * w * co, 4) AS belief_named_actor, round(ex * w * co + (1 - ex) * w * co * 0.5, 4) AS belief_nation_state, round(greatest(1 - (ex * w * co + (1 - ex) * w * co * 0.5), 0), 4) AS uncertainty,
- round(ex, 4) AS tag_exclusivity, round(w, 4) AS evidence_weight, round(co, 4) AS nation_coherence, 'State-Sponsored' AS activity_cluster FROM x"""
+EVIDENCE = """fx_said AS (SELECT id, string_agg(tag, ' ' ORDER BY line, tag) AS brands FROM fx_tags GROUP BY id), ev AS (SELECT t.id, target, target_nation, n_iocs, CASE WHEN t.id % 3 = 0 THEN text || ' ' || brands ELSE text END AS text FROM fx_target t JOIN fx_said USING (id)),
+tg AS (SELECT id, tag FROM fx_tags WHERE id % 3 <> 0), mn AS (SELECT id, count(DISTINCT "group") AS n_groups FROM ev JOIN sc ON contains(lower(text), alias) AND length(alias) > {least} GROUP BY id)"""
+MASS = """x AS (SELECT ev.id, target, target_nation, n_iocs, {ex} AS ex, {w} AS w, {co} AS co FROM ev {joins} LEFT JOIN mn USING (id)),
+mass AS (SELECT id, round(ex * w * co, 4) AS label_confidence, round(ex * w * co, 4) AS belief_named_actor, round(ex * w * co + (1 - ex) * w * co * 0.5, 4) AS belief_nation_state, round(greatest(1 - (ex * w * co + (1 - ex) * w * co * 0.5), 0), 4) AS uncertainty,
+ round(ex, 4) AS tag_exclusivity, round(w, 4) AS evidence_weight, round(co, 4) AS nation_coherence, CASE WHEN target_nation IN {states} THEN 'State-Sponsored' ELSE 'Cybercrime' END AS activity_cluster FROM x)"""
 WEIGHT = "CASE WHEN {n} > 0 THEN least(1.0::DOUBLE, log2(1 + {n}) / log2(51)) ELSE 0.0::DOUBLE END"
 SCOPED = "sc AS (SELECT * FROM fx_aliases WHERE \"group\" IN ('G0', 'G1', 'G2', 'G3'))"
+EXCLUSIVE = "CASE WHEN total > 0 THEN (mine / total) ** 2 ELSE 1 / (1 + greatest(coalesce(n_groups, 0), 1))::DOUBLE END"
+HINTS = "CASE WHEN NOT (contains(text, 'red') OR contains(text, 'blue') OR contains(text, 'small')) THEN 0.5::DOUBLE WHEN (contains(text, 'red') AND target_nation = 0) OR (contains(text, 'blue') AND target_nation = 1) OR (contains(text, 'small') AND target_nation = 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+MASS_V1 = f"{TARGET}, {SCOPED}, {EVIDENCE.format(least=3)}, c AS (SELECT id, count(*) AS total, count(*) FILTER (\"group\" = target) AS mine FROM tg JOIN sc ON tag = alias JOIN fx_target USING (id) GROUP BY id), " + MASS.format(ex=EXCLUSIVE, w=WEIGHT.format(n="n_iocs"), joins="LEFT JOIN c USING (id)", co=HINTS, states="(0, 1)")
 
 
 def scoped(t):
     return t.aliases().where(F.col("group").isin(SCOPE))
 
 
-@key("dst_mass_v1", f"WITH {{V}}, {TARGET}, {SCOPED}, c AS (SELECT id, count(*) AS total, count(*) FILTER (\"group\" = target) AS mine FROM fx_tags JOIN sc ON tag = alias JOIN fx_target USING (id) GROUP BY id), "
-     + MASS.format(ex="CASE WHEN total > 0 THEN (mine / total) ** 2 ELSE 0.5::DOUBLE END", w=WEIGHT.format(n="n_iocs"), joins="LEFT JOIN c USING (id)",
-                   co="CASE WHEN NOT (contains(text, 'red') OR contains(text, 'blue') OR contains(text, 'small')) THEN 0.5::DOUBLE WHEN (contains(text, 'red') AND target_nation = 0) OR (contains(text, 'blue') AND target_nation = 1) OR (contains(text, 'small') AND target_nation = 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"))
+def evidence(t):
+    """Reports and their tags."""
+    brands = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "tag"))), lambda x: x["tag"]), " ")
+    named = settled(reports(t).join(t.tags().groupBy("id").agg(brands.alias("brands")), "id"))
+    text = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", "text", "brands")).otherwise(F.col("text"))
+    return named.withColumn("text", text).drop("brands"), t.tags().where("id % 3 <> 0").select("id", "tag")
+
+
+@key("dst_mass_v1", f"WITH {{V}}, {MASS_V1} SELECT * FROM mass")
 def dst_mass_v1(t):
-    r = reports(t)
+    r, tags = evidence(t)
     words = t.spark.createDataFrame(KEYWORDS, "keyword string, nation int")
-    mentions = link.alias_mentions(r.select("id", "text"), scoped(t), 3)
-    return attribute.label_mass_v1(r, t.tags().select("id", "tag"), scoped(t), words, mentions)
+    return attribute.label_mass_v1(r, tags, scoped(t), words, link.alias_mentions(r.select("id", "text"), scoped(t), 3), "2")
 
 
-@key("dst_mass_v2", f"WITH {{V}}, {TARGET}, {SCOPED}, nw AS (SELECT l_orderkey AS id, count(*) FILTER (l_linenumber % 5 <> 4) AS n_network FROM lineitem GROUP BY 1), c AS (SELECT id, count(*) AS total, count(*) FILTER (\"group\" = target) AS mine, max((\"group\" <> target)::INT) AS other, max((\"group\" <> target AND nation IS DISTINCT FROM target_nation)::INT) AS foreign_ FROM (SELECT DISTINCT id, tag FROM fx_tags) JOIN sc ON tag = alias JOIN fx_target USING (id) GROUP BY id), "
-     + MASS.format(ex="CASE WHEN n_network = 0 THEN 0.0::DOUBLE WHEN total > 0 THEN (mine / total) ** 2 ELSE 0.5::DOUBLE END", w=WEIGHT.format(n="n_network"), joins="JOIN nw USING (id) LEFT JOIN c USING (id)", co="CASE WHEN n_network = 0 THEN 1.0::DOUBLE WHEN foreign_ = 1 THEN 0.0::DOUBLE WHEN other = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END"))
+@key("dst_mass_v2", f"WITH {{V}}, {TARGET}, {SCOPED}, {EVIDENCE.format(least=0)}, nw AS (SELECT l_orderkey AS id, count(*) FILTER (l_linenumber % 5 <> 4) AS n_network FROM lineitem GROUP BY 1), c AS (SELECT id, count(*) AS total, count(*) FILTER (\"group\" = target) AS mine, max((\"group\" <> target)::INT) AS other, max((\"group\" <> target AND nation IS DISTINCT FROM target_nation)::INT) AS foreign_ FROM (SELECT DISTINCT id, tag FROM tg) JOIN sc ON tag = alias JOIN fx_target USING (id) GROUP BY id), "
+     + MASS.format(ex=f"CASE WHEN n_network = 0 THEN 0.0::DOUBLE ELSE {EXCLUSIVE} END", w=WEIGHT.format(n="n_network"), joins="JOIN nw USING (id) LEFT JOIN c USING (id)", co="CASE WHEN n_network = 0 THEN 1.0::DOUBLE WHEN foreign_ = 1 THEN 0.0::DOUBLE WHEN other = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END", states="(0)") + " SELECT * FROM mass")
 def dst_mass_v2(t):
+    """Nation 0 is a state, 1 no known one, 2 the criminal one."""
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("domain", "hostname", "IPv4", "URL", "CVE")]), (F.col("l_linenumber") % 5 + 1).cast("int"))
     ind = t.lineitem.select(F.col("l_orderkey").alias("id"), kinds.alias("type"))
     n = clean.network_iocs(ind).groupBy("id").agg(F.count(F.lit(1)).alias("n_network"))
-    r = reports(t).join(n, "id", "left").fillna(0, ["n_network"])
-    return attribute.label_mass_v2(r, t.tags().select("id", "tag"), scoped(t), link.alias_mentions(r.select("id", "text"), scoped(t), 0))
+    r, tags = evidence(t)
+    r = r.join(n, "id", "left").fillna(0, ["n_network"])
+    return attribute.label_mass_v2(r, tags, scoped(t), link.alias_mentions(r.select("id", "text"), scoped(t), 0), [0, 2], "2")
 
 
 # vectors
