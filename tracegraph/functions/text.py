@@ -10,14 +10,11 @@ ASN = r"(?i)^AS(\d+)\s*(.*)$"
 
 
 def shannon_entropy(c: Column) -> Column:
-    """Bits per character of a string; empty or null gives 0. Works on the sorted characters, whose runs are the counts."""
-    chars = F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    text = F.array_join(chars, "")
-    n = F.length(text).cast("double")
-    # a character's count is what its removal takes away
-    terms = F.transform(F.array_distinct(chars), lambda x: F.length(text) - F.length(F.replace(text, x, F.lit(""))))
-    bits = F.aggregate(terms, F.lit(0.0), lambda a, k: a - (k / n) * F.log2(k / n))
-    return F.when(n > 0, bits).otherwise(F.lit(0.0))
+    """Bits per character of a string; empty or null gives 0. Sorted, each character is one run, and the runs' lengths are the counts."""
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(c, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    n = F.length(c).cast("double")
+    weighed = F.aggregate(runs, F.lit(0.0), lambda a, x: a + F.length(x) * F.log2(F.length(x).cast("double")))
+    return F.when(n > 0, F.log2(n) - weighed / n).otherwise(F.lit(0.0))
 
 
 def refang(c: Column, kind: str) -> Column:

@@ -24,13 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: Rows up to which a table is sent to every executor.
-BROADCAST_ROWS = 50_000
+#: Rows, and bytes of them as JSON text, up to which a table is sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast if a count that stops at ``limit`` shows it to be small; else Spark chooses the join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks ``df`` for broadcast if a look at its first ``rows`` rows shows that there are no more and that they are not large; else Spark chooses the join.
+
+    The look runs ``df``, so give it something cheap or settled.
+    """
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()
+    return F.broadcast(df) if found.n <= rows and (found.size or 0) <= size else df
 
 
 def settled(df: DataFrame) -> DataFrame:

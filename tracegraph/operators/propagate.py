@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracegraph.operators.lineage import settled
+from tracegraph.operators.lineage import settled, small
+from tracegraph.operators.vectors import vector_means, vector_sums
 
 
 def sym_normalize(adjacency: DataFrame) -> DataFrame:
@@ -51,14 +51,14 @@ def lp_predict(scores: DataFrame, unlabeled: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(best.alias("b"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", four)))).alias("all_scores")).select("id", F.col("b.label").alias("predicted"), F.col("b.score").alias("confidence"), "all_scores")
 
 
-def neighbor_mean(edges: DataFrame, vecs: DataFrame) -> DataFrame:
+def neighbor_mean(edges: DataFrame, vecs: DataFrame, width: int) -> DataFrame:
     """(dst, vec): for each node the mean over its relations of the mean over the relation's neighbours.
 
-    edges: (dst, rel, src); vecs: (rel, src, vec), the neighbours' vectors by relation, of one width. A mean is one buffer per node
-    and task, whatever the width.
+    edges: (dst, rel, src); vecs: (rel, src, vec), the neighbours' vectors by relation, all of ``width``. Vectors that are few enough are sent to the
+    edges; of edges that lie by node neither mean moves anything.
     """
-    per = edges.join(vecs.select("rel", "src", array_to_vector("vec").alias("v")), ["rel", "src"]).groupBy("dst", "rel").agg(Summarizer.mean(F.col("v")).alias("v"))
-    return per.groupBy("dst").agg(Summarizer.mean(F.col("v")).alias("v")).select("dst", vector_to_array("v").alias("vec"))
+    met = edges.select("dst", "rel", "src").join(small(settled(vecs.select("rel", "src", "vec"))), ["rel", "src"])
+    return vector_means(vector_means(met, ["dst", "rel"], "vec", width), ["dst"], "vec", width)
 
 
 def dense_product(df: DataFrame, column: str, weights: np.ndarray, to: str) -> DataFrame:
@@ -73,14 +73,17 @@ def dense_product(df: DataFrame, column: str, weights: np.ndarray, to: str) -> D
     return df.withColumn(to, product(column))
 
 
-def activate(vec: Column, last: bool = False, eps: float = 1e-5) -> Column:
-    """Layer norm, ReLU and unit length of an array column; a last layer stays as it is."""
+def activate(vec: Column, last: bool = False, eps: float = 1e-5, scale: Column | None = None, shift: Column | None = None) -> Column:
+    """Layer norm (with arrays ``scale`` and ``shift`` where given), ReLU and unit length of an array column; a last layer stays as it is."""
     if last:
         return vec
     total = lambda c, f=lambda x: x: F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))
     n = F.size(vec).cast("double")
     centred = F.transform(F.array(F.struct(vec.alias("v"), (total(vec) / n).alias("mean"))), lambda s: F.transform(s["v"], lambda x: x - s["mean"]))[0]
-    scaled = F.transform(F.array(F.struct(centred.alias("v"))), lambda s: F.transform(s["v"], lambda x: F.greatest(x / F.sqrt(total(s["v"], lambda y: y * y) / n + eps), F.lit(0.0))))[0]
+    normed = F.transform(F.array(F.struct(centred.alias("v"))), lambda s: F.transform(s["v"], lambda x: x / F.sqrt(total(s["v"], lambda y: y * y) / n + eps)))[0]
+    for other, f in ((scale, lambda x, y: x * y), (shift, lambda x, y: x + y)):
+        normed = F.zip_with(normed, other, f) if other is not None else normed
+    scaled = F.transform(normed, lambda x: F.greatest(x, F.lit(0.0)))
     return F.transform(F.array(F.struct(scaled.alias("v"))), lambda s: F.transform(s["v"], lambda x: x / F.greatest(F.sqrt(total(s["v"], lambda y: y * y)), F.lit(1e-12))))[0]
 
 
@@ -91,3 +94,69 @@ def sage_layer(own: DataFrame, neighbors: DataFrame, w_self: np.ndarray | None =
     met = a.select("id", "x").join(b.select("id", "y"), "id", "left")
     total = F.when(F.col("y").isNull(), F.col("x")).otherwise(F.zip_with("x", "y", lambda p, q: p + q))
     return met.withColumn("z", total).select("id", activate(F.col("z"), last).alias("vec"))
+
+
+@dataclass
+class Layer:
+    """Weights of one layer of a relation-wise network; matrices are in x out.
+
+    neighbors: relation -> (matrix of the neighbours' mean, bias); own: relation -> matrix of the node itself; norms: node type -> (scale, shift) of the layer norm,
+    absent in a last layer, which stays linear.
+    """
+
+    neighbors: dict[str, tuple[np.ndarray, np.ndarray]]
+    own: dict[str, np.ndarray]
+    norms: dict[str, tuple[np.ndarray, np.ndarray]] | None = None
+
+
+def _by_kind(df: DataFrame, kind: str, column: str, matrices: dict[str, np.ndarray], shifts: dict[str, np.ndarray]) -> DataFrame:
+    """``df`` with ``column`` times the matrix of its ``kind`` and the shift added, a batch at a time; kinds without a matrix are left out."""
+    shared = df.sparkSession.sparkContext.broadcast((matrices, shifts))  # a model's weights, which do not grow with the data
+
+    @F.pandas_udf("array<double>")
+    def product(kinds: pd.Series, vecs: pd.Series) -> pd.Series:
+        of, more = shared.value
+        out = pd.Series([None] * len(kinds), dtype=object)
+        for k in kinds.unique():
+            at = np.flatnonzero((kinds == k).to_numpy())
+            made = np.stack(vecs.iloc[at].to_numpy()) @ of[k] + more[k]
+            for i, row in zip(at, made, strict=True):
+                out.iat[i] = row
+        return out
+
+    return df.where(F.col(kind).isin(*matrices)).withColumn(column, product(F.col(kind), F.col(column)))
+
+
+def relation_layer(nodes: DataFrame, edges: DataFrame, layer: Layer, targets: dict[str, str]) -> DataFrame:
+    """One layer for nodes (kind, id, vec) over edges (rel, src_kind, src, dst): (kind, id, vec).
+
+    targets: relation -> kind of its target. For each relation into a node's kind, the neighbours' mean (zero without neighbours) times the relation's matrix,
+    its bias, and the node times the relation's own matrix; the mean over those relations; then layer norm, ReLU and unit length, unless the
+    layer is the last. Means are taken before products, which is the same, so what is shuffled are means; kinds without a relation into them drop out.
+    """
+    into: dict[str, list[str]] = {}
+    for rel, kind in targets.items():
+        into.setdefault(kind, []).append(rel)
+    share = {r: 1.0 / len(into[k]) for r, k in targets.items()}
+    own = _by_kind(nodes, "kind", "vec", {k: sum(layer.own[r] for r in rs) / len(rs) for k, rs in into.items()}, {k: sum(layer.neighbors[r][1] for r in rs) / len(rs) for k, rs in into.items()})
+    sender = nodes.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), "vec")
+    inner, outer = next(iter(layer.own.values())).shape
+    means = vector_means(edges.join(sender, ["src_kind", "src"]), ["rel", "dst"], "vec", inner)
+    met = _by_kind(means, "rel", "vec", {r: layer.neighbors[r][0] * share[r] for r in targets}, {r: np.zeros(layer.neighbors[r][0].shape[1]) for r in targets})
+    kinds = F.create_map(*[x for r, k in targets.items() for x in (F.lit(r), F.lit(k))])
+    met = met.select(F.element_at(kinds, F.col("rel")).alias("kind"), F.col("dst").alias("id"), "vec")
+    total = vector_sums(own.select("kind", "id", "vec").unionByName(met.join(nodes.select("kind", "id"), ["kind", "id"], "left_semi")), ["kind", "id"], "vec", outer)
+    if layer.norms is None:
+        return total
+    return total.withColumn("vec", activate(F.col("vec"), scale=_of_kind(layer.norms, 0), shift=_of_kind(layer.norms, 1)))
+
+
+def _of_kind(norms: dict[str, tuple[np.ndarray, np.ndarray]], which: int) -> Column:
+    return F.element_at(F.create_map(*[x for k, v in norms.items() for x in (F.lit(k), F.lit([float(y) for y in v[which]]))]), F.col("kind"))
+
+
+def relation_network(nodes: DataFrame, edges: DataFrame, layers: list[Layer], targets: dict[str, str]) -> DataFrame:
+    """All layers in turn; the vectors of each are written before the next, as every one reads them twice."""
+    for layer in layers:
+        nodes = settled(relation_layer(nodes, edges, layer, targets))
+    return nodes

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
-from tracegraph.operators.lineage import small
+from tracegraph.operators.lineage import settled, small
 from tracegraph.operators.rank import quantiles
+from tracegraph.operators.vectors import vector_means
 
 DNS_TYPES = ["A", "AAAA", "MX", "NS", "SOA", "TXT", "CNAME", "PTR", "SRV"]
 
@@ -31,10 +30,10 @@ def top_k_vocab(df: DataFrame, column: str, k: int) -> DataFrame:
 def event_mean_pool(edges: DataFrame, vecs: DataFrame, events: DataFrame, width: int) -> DataFrame:
     """Mean vector of an event's indicators over all its edges of all types; zeros for events without any.
 
-    Vectors are summed as they are, so partial sums are one buffer per event and task.
+    Vectors that are few enough are sent to the edges, which then stay where they are by event; slots are summed as numbers.
     """
-    met = edges.select("id", "ioc_type", "ioc").join(vecs.select("ioc_type", "ioc", array_to_vector("vec").alias("v")), ["ioc_type", "ioc"])
-    means = met.groupBy("id").agg(Summarizer.mean(F.col("v")).alias("v")).select("id", vector_to_array("v").alias("vec"))
+    met = edges.select("id", "ioc_type", "ioc").join(small(settled(vecs.select("ioc_type", "ioc", "vec"))), ["ioc_type", "ioc"])
+    means = vector_means(met, ["id"], "vec", width)
     zeros = F.array_repeat(F.lit(0.0), width)
     return events.select("id").join(means, "id", "left").select("id", F.coalesce("vec", zeros).alias("vec"))
 
@@ -63,10 +62,12 @@ def class_weights(events: DataFrame) -> DataFrame:
 
 def event_age(events: DataFrame) -> DataFrame:
     """Adds age_days against the newest event; events without a date get the lower middle age."""
-    newest = events.agg(F.max("created").alias("newest"))
-    aged = events.crossJoin(F.broadcast(newest)).withColumn("age", F.greatest(T.days_between(F.col("newest"), F.col("created")), F.lit(0.0)))
+    found = events.agg(F.max("created").alias("newest"), F.count_if(F.col("created").isNull()).alias("undated")).first()
+    aged = events.withColumn("age", F.greatest(T.days_between(F.lit(found.newest).cast(events.schema["created"].dataType), F.col("created")), F.lit(0.0)))
+    if not found.undated:  # nothing to fill in
+        return aged.withColumn("age_days", F.coalesce("age", F.lit(0.0))).drop("age")
     middle = quantiles(aged, "age", {"middle": (0.5, "disc")})
-    return aged.crossJoin(F.broadcast(middle)).withColumn("age_days", F.coalesce("age", "middle", F.lit(0.0))).drop("newest", "age", "middle")
+    return aged.crossJoin(F.broadcast(middle)).withColumn("age_days", F.coalesce("age", "middle", F.lit(0.0))).drop("age", "middle")
 
 
 def decay_overall(aged: DataFrame, tau: float) -> DataFrame:

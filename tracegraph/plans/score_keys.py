@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
-from tracegraph.operators import attribute, clean, features, implicit, link, predict, propagate, rank, stats
+from tracegraph.operators import attribute, clean, features, implicit, link, models, predict, propagate, rank, stats
 from tracegraph.operators.lineage import settled, shared_folder
 from tracegraph.plans.graph_keys import AS_OF, SCOPE, TARGET, _views, key, reports
 from tracegraph.sources.fixtures import SQL as FX
@@ -81,11 +81,16 @@ for _name, _column, _table, _k in (("vocab_tld", "tld", "pages", 10), ("vocab_ho
     vocab(_name, _column, _table, _k)
 
 
-@key("event_mean_pool", """WITH {V}, m AS (SELECT id, avg(vec[1]) AS a, avg(vec[2]) AS b, avg(vec[64]) AS c, count(*) AS n FROM fx_in_report JOIN fx_node_vec USING (ioc_type, ioc) GROUP BY id)
-SELECT o_orderkey AS id, round(coalesce(a, 0), 5) AS v0, round(coalesce(b, 0), 5) AS v1, round(coalesce(c, 0), 5) AS v63 FROM orders LEFT JOIN m ON id = o_orderkey""")
+def slot_sum(vec):
+    """All slots in one number: each times its place."""
+    return F.round(F.aggregate(F.transform(vec, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias("all_slots")
+
+
+@key("event_mean_pool", """WITH {V}, m AS (SELECT id, i, avg(vec[i]) AS x FROM fx_in_report JOIN fx_node_vec USING (ioc_type, ioc), range(1, 65) r(i) GROUP BY id, i), s AS (SELECT id, sum(i * x) AS t, max(x) FILTER (i = 1) AS a, max(x) FILTER (i = 64) AS c FROM m GROUP BY id)
+SELECT o_orderkey AS id, round(coalesce(a, 0), 5) + 0 AS v0, round(coalesce(c, 0), 5) + 0 AS v63, round(coalesce(t, 0), 4) + 0 AS all_slots FROM orders LEFT JOIN s ON id = o_orderkey""")
 def event_mean_pool(t):
     pooled = stats.event_mean_pool(t.in_report(), t.node_vec(), t.event(), 64)
-    return pooled.select("id", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in (0, 1, 63)])
+    return pooled.select("id", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in (0, 63)], slot_sum("vec"))
 
 
 @key("entropy_url", "SELECT page_id, round(e, 4) AS entropy FROM (SELECT page_id, sum(-(k / n) * log2(k / n)) AS e FROM (SELECT page_id, ch, count(*)::DOUBLE AS k, any_value(n)::DOUBLE AS n FROM (SELECT page_id, unnest(string_split(url, '')) AS ch, length(url) AS n FROM pages) GROUP BY 1, 2) GROUP BY 1)")
@@ -534,13 +539,30 @@ def lp_predict(t):
 def neighbors(t):
     edges = t.in_report().select(F.col("id").alias("dst"), F.col("ioc_type").alias("rel"), F.col("ioc").alias("src"))
     vecs = t.node_vec().select(F.col("ioc_type").alias("rel"), F.col("ioc").alias("src"), "vec")
-    return propagate.neighbor_mean(edges, vecs)
+    return propagate.neighbor_mean(edges, vecs, 64)
 
 
-@key("neighbor_mean", """WITH {V}, m AS (SELECT id, ioc_type, avg(vec[1]) AS a, avg(vec[2]) AS b, avg(vec[64]) AS c FROM fx_in_report JOIN fx_node_vec USING (ioc_type, ioc) GROUP BY 1, 2)
-SELECT id AS dst, round(avg(a), 5) AS v0, round(avg(b), 5) AS v1, round(avg(c), 5) AS v63 FROM m GROUP BY id""")
+@key("neighbor_mean", """WITH {V}, m AS (SELECT id, ioc_type, i, avg(vec[i]) AS x FROM fx_in_report JOIN fx_node_vec USING (ioc_type, ioc), range(1, 65) r(i) GROUP BY 1, 2, 3), n AS (SELECT id, i, avg(x) AS x FROM m GROUP BY 1, 2)
+SELECT id AS dst, round(max(x) FILTER (i = 1), 5) + 0 AS v0, round(max(x) FILTER (i = 64), 5) + 0 AS v63, round(sum(i * x), 4) + 0 AS all_slots FROM n GROUP BY id""")
 def neighbor_mean(t):
-    return neighbors(t).select("dst", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in (0, 1, 63)])
+    return neighbors(t).select("dst", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in (0, 63)], slot_sum("vec"))
+
+
+@key("hetero_layer", """WITH {V}, m AS (SELECT id, ioc_type, i, avg(vec[i]) AS x FROM fx_in_report JOIN fx_node_vec USING (ioc_type, ioc), range(1, 65) r(i) GROUP BY 1, 2, 3),
+own AS (SELECT o_orderkey AS id, i, sin(o_orderkey % 100 + i) AS x FROM orders, range(1, 65) r(i)),
+z AS (SELECT own.id, own.i, any_value(own.x) * (0.5 + 0.25 + 0.125) / 3 + (0.1 + 0.2 + 0.3) / 3 + coalesce(sum(m.x * CASE ioc_type WHEN 'domain' THEN 1 WHEN 'ip' THEN 2 ELSE 3 END), 0) / 3 AS z FROM own LEFT JOIN m ON m.id = own.id AND m.i = own.i GROUP BY 1, 2),
+n AS (SELECT id, i, greatest((z - avg(z) OVER w) / sqrt(var_pop(z) OVER w + 1e-5) * 1.5 + 0.05, 0) AS r FROM z WINDOW w AS (PARTITION BY id)), u AS (SELECT id, i, r / greatest(sqrt(sum(r * r) OVER (PARTITION BY id)), 1e-12) AS u FROM n)
+SELECT id, round(max(u) FILTER (i = 1), 5) AS v0, round(max(u) FILTER (i = 64), 5) AS v63, round(sum(i * u), 4) AS all_slots FROM u GROUP BY id""")
+def hetero_layer(t):
+    """One relation-wise layer with fixed weights from the indicators of three types into events."""
+    eye = np.eye(64)
+    into = {"domain-rev_in_report-event": (1.0, 0.1, 0.5), "ip-rev_in_report-event": (2.0, 0.2, 0.25), "url-rev_in_report-event": (3.0, 0.3, 0.125)}
+    layer = propagate.Layer({r: (a * eye, np.full(64, b)) for r, (a, b, _) in into.items()}, {r: c * eye for r, (_, _, c) in into.items()}, {"event": (np.full(64, 1.5), np.full(64, 0.05))})
+    own = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin((F.col("o_orderkey") % 100 + i).cast("double")))
+    nodes = t.node_vec().select(F.col("ioc_type").alias("kind"), F.col("ioc").alias("id"), "vec").unionByName(t.orders.select(F.lit("event").alias("kind"), F.col("o_orderkey").alias("id"), own.alias("vec")))
+    edges = t.in_report().select(F.concat("ioc_type", F.lit("-rev_in_report-event")).alias("rel"), F.col("ioc_type").alias("src_kind"), F.col("ioc").alias("src"), F.col("id").alias("dst"))
+    out = propagate.relation_layer(settled(nodes), edges, layer, dict.fromkeys(into, "event"))
+    return out.select("id", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in (0, 63)], slot_sum("vec"))
 
 
 @key("layer_relu_l2", """WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: v * 2) AS v FROM embeddings), m AS (SELECT vec_id, v, list_avg(v) AS mu FROM x), s AS (SELECT vec_id, v, mu, list_avg(list_transform(v, lambda y: (y - mu) * (y - mu))) AS va FROM m),
@@ -551,14 +573,19 @@ def layer_relu_l2(t):
     return out.select(F.col("id").alias("vec_id"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.col("vec")[0], 5).alias("v0"))
 
 
-@key("train_cv_metrics")
-def train_cv_metrics(t):
-    """Events' pooled indicator vectors with those of up to four hops over all indicators, under a weighted regression by folds."""
-    near = features.hop_means(t.in_report(), t.node_vec(), t.event(), 64)
+def training_rows(t):
+    """(id, features, y, weight, fold) of the labelled events, and (id, features) of all: pooled vectors of up to four hops over all indicators."""
+    near = settled(features.hop_means(t.in_report(), t.node_vec(), t.event(), 64)).select("id", array_to_vector("vec").alias("features"))
     w = clean.sample_confidence(F.col("label_confidence"), F.lit(None).cast("double")) * T.decay_weight(F.col("age_days"), TAU)
     labeled = rank.stratified_folds(clean.encode_labels(aged(t), t.label_dim()).where("y >= 0"), "y")
-    rows = labeled.join(near, "id").select(array_to_vector("vec").alias("features"), F.col("y").cast("double").alias("y"), w.alias("weight"), "fold")
-    return features.train_cv(settled(rows), max_iter=10)
+    return labeled.join(near, "id").select("id", "features", F.col("y").cast("double").alias("y"), w.alias("weight"), "fold"), near
+
+
+@key("train_cv_metrics")
+def train_cv_metrics(t):
+    """A weighted regression by folds, whose models are kept."""
+    rows, _ = training_rows(t)
+    return models.ModelStore(t.spark, shared_folder(t.spark)).train(settled(rows), max_iter=10)
 
 
 @key("weighted_nll", f"WITH {{V}}, {MEAN}, l AS (SELECT -ln(score) * (vec_id % 7 + 1) AS l, (vec_id % 7 + 1) AS w FROM e WHERE class = truth) SELECT 'plain' AS variant, count(*) AS n, round(avg(l), 6) AS loss FROM l UNION ALL SELECT 'decay', count(*), round(sum(l) / greatest(sum(w), 1e-6), 6) FROM l")
@@ -599,16 +626,34 @@ def tiered_v2(t):
     return attribute.flat(attribute.tiered_v2(blended(t), t.class_dim(), ["n0", "n1"]))
 
 
-@key("predict_batch", None)
+@key("predict_batch")
 def predict_batch(t):
-    """Unlabelled events: propagation blended with the class priors of their customers' segments, best label and tiers."""
+    """Unlabelled events: propagation blended with the best fold's classifier, which is trained, kept and loaded; best label and tiers."""
     dim = t.label_dim()
     graph = lp(t, 4).join(dim.select("label", F.col("idx").alias("class")), "label").select(F.col("id").alias("vec_id"), "class", "score")
-    seen = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
-    prior = seen.where("o_orderstatus <> 'P'").groupBy("c_mktsegment", F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    prior = prior.withColumn("score", F.col("n") / F.sum("n").over(Window.partitionBy("c_mktsegment"))).join(dim, "label").select("c_mktsegment", F.col("idx").alias("class"), "score")
-    model = seen.select(F.col("o_orderkey").alias("vec_id"), "c_mktsegment").join(prior, "c_mktsegment").select("vec_id", "class", "score")
-    return attribute.flat(predict.predict(t.event(), model, graph, dim.select(F.col("idx").alias("class"), "nation"), ["expedite"]))
+    rows, near = training_rows(t)
+    store = models.ModelStore(t.spark, shared_folder(t.spark))
+    store.train(settled(rows), max_iter=10)
+    asked = near.join(t.event().where("apt is null").select("id"), "id", "left_semi")
+    scored = models.scores(store.load(), asked).select(F.col("id").alias("vec_id"), "class", "score")
+    return attribute.flat(predict.predict(t.event(), scored, graph, dim.select(F.col("idx").alias("class"), "nation"), ["expedite"]))
+
+
+#: Every tenth order asks for what it lists, and for a url that no report has.
+ASKED = "rq AS (SELECT id // 10 AS id, ioc_type, ioc FROM fx_in_report WHERE id % 10 = 3 UNION ALL SELECT DISTINCT id // 10, 'url', -1 FROM fx_in_report WHERE id % 10 = 3)"
+
+
+@key("request_scores", f"""WITH {{V}}, {propagated(3, 'all')}, {ASKED}, nb AS (SELECT DISTINCT rq.id, e.id AS j FROM rq JOIN e USING (ioc_type, ioc)), dg AS (SELECT id, count(*) + 1 AS d FROM nb GROUP BY id),
+""" + ", ".join(f"g{k} AS (SELECT nb.id, label, sum(score / sqrt(deg.d)) / sqrt(any_value(dg.d)) AS got FROM nb JOIN f{k} f ON f.id = nb.j JOIN deg ON deg.i = nb.j JOIN dg ON dg.id = nb.id GROUP BY 1, 2)" for k in range(4)) + """,
+a AS (SELECT id, label, sum(got / d ** (3 - k)) AS score FROM (""" + " UNION ALL ".join(f"SELECT *, {k} AS k FROM g{k}" for k in range(4)) + """) JOIN dg USING (id) GROUP BY 1, 2), y AS (SELECT r.id, l.label, exp(coalesce(score, 0)) AS v FROM (SELECT DISTINCT id FROM rq) r CROSS JOIN fx_label_dim l LEFT JOIN a ON a.id = r.id AND a.label = l.label)
+SELECT id, label, round(v / sum(v) OVER (PARTITION BY id), 5) AS score FROM y""")
+def request_scores(t):
+    """Requests scored against a graph that was propagated and saved before, without propagating it anew."""
+    folder = shared_folder(t.spark)
+    implicit.standing(implicit.shared(t.in_report(), t.event()), seeds_of(t)).save(folder)
+    own = t.in_report().where("id % 10 = 3").select(F.expr("id div 10").alias("id"), "ioc_type", "ioc")
+    asked = own.unionByName(own.select("id", F.lit("url").alias("ioc_type"), F.lit(-1).cast("long").alias("ioc")).distinct())
+    return implicit.score_requests(asked, implicit.Standing.load(t.spark, folder, 4), t.label_dim()).withColumn("score", F.round("score", 5))
 
 
 def foreign(t):
@@ -676,7 +721,7 @@ def stream_seen(t):
 
 
 for _n, _v in {
-    "event_mean_pool": ("fx_in_report", "fx_node_vec"), "majority_label": ("fx_votes",), "majority_ties": ("fx_votes",), "dst_mass_v1": ("fx_tags", "fx_aliases"), "dst_mass_v2": ("fx_tags", "fx_aliases"), "neighbor_mean": ("fx_in_report", "fx_node_vec"),
+    "event_mean_pool": ("fx_in_report", "fx_node_vec"), "majority_label": ("fx_votes",), "majority_ties": ("fx_votes",), "dst_mass_v1": ("fx_tags", "fx_aliases"), "dst_mass_v2": ("fx_tags", "fx_aliases"), "neighbor_mean": ("fx_in_report", "fx_node_vec"), "hetero_layer": ("fx_in_report", "fx_node_vec"), "request_scores": ("fx_event", "fx_label_dim", "fx_in_report"),
     **dict.fromkeys(("event_age", "decay_weights", "decay_overall", "decay_by_class", "split_forward", "split_backward", "split_age_stats"), ("fx_event",)),
     **dict.fromkeys(("softmax", "ensemble_mean", "top_label", "acc_label", "acc_nation", "tier_metrics", "per_class", "fold_macro", "fold_micro", "subset_metrics", "nation_scores", "cluster_scores", "weighted_nll", "blend_scores", "tiered_v1", "tiered_v2"), ("fx_logits", "fx_class_dim")),
     **dict.fromkeys(("eval_external", "eval_external_matched"), ("fx_logits", "fx_class_dim", "fx_requests")),

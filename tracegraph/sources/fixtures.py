@@ -38,7 +38,8 @@ class Tables:
             of["url"] = F.when(F.col("l_linenumber") == 1, F.col("l_partkey") % F.col("n_pages"))
         each = F.array(*[F.struct(F.lit(k).alias("ioc_type"), of[k].alias("ioc")) for k in kinds])
         rows = line.select(F.col("l_orderkey").alias("id"), "l_shipdate", F.explode(each).alias("x")).select("id", "x.ioc_type", "x.ioc", "l_shipdate").where("ioc is not null")
-        return rows.groupBy("id", "ioc_type", "ioc").agg(F.min("l_shipdate").alias("indicator_created"))
+        # repeats are few, so lines go to their event as they are, and what is done by event needs no second shuffle
+        return rows.repartition("id").groupBy("id", "ioc_type", "ioc").agg(F.min("l_shipdate").alias("indicator_created"))
 
     def resolves_to(self) -> DataFrame:
         return self.lineitem.groupBy(F.col("l_partkey").alias("domain"), F.col("l_suppkey").alias("ip")).agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
