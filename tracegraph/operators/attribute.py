@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegraph.functions import text as T
+from tracegraph.operators import link
 from tracegraph.operators.lineage import small
 
 #: Indicators at which the evidence is full, and coherence without any hint of a nation.
@@ -43,8 +44,8 @@ def label_mass_v1(reports: DataFrame, tags: DataFrame, aliases: DataFrame, keywo
     """
     named = tags.join(small(aliases.select(F.col("alias").alias("tag"), "group")), "tag").join(reports.select("id", "target"), "id")
     counts = named.groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("group") == F.col("target"), 1)).alias("mine"))
-    words = small(keywords)
-    said = tags.select("id", F.col("tag").alias("s")).unionByName(reports.select("id", F.lower("text").alias("s"))).join(words, F.contains("s", "keyword")).select("id", F.col("nation").alias("found")).distinct()
+    said = tags.select("id", F.col("tag").alias("text")).unionByName(reports.select("id", F.lower("text").alias("text")))
+    said = link.substring_mentions(said, keywords.select(F.col("keyword").alias("pattern"))).join(small(keywords), F.col("pattern") == F.col("keyword")).select("id", F.col("nation").alias("found")).distinct()
     nations = said.join(reports.select("id", "target_nation"), "id").groupBy("id").agg(F.max((F.col("found") == F.col("target_nation")).cast("int")).alias("hit"))
     rows = reports.join(counts, "id", "left").join(nations, "id", "left").join(mentions, "id", "left")
     exclusivity = F.when(F.col("total") > 0, F.pow(F.col("mine") / F.col("total"), 2)).otherwise(1 / (1 + F.greatest(F.coalesce("n_groups", F.lit(0)), F.lit(1))))

@@ -29,30 +29,42 @@ def unambiguous(tags: DataFrame, targets: DataFrame, aliases: DataFrame, scope:
     return targets.join(per, "id", "left").withColumn("keep", F.coalesce(keep, F.lit(False))).select("id", "target", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), "keep")
 
 
-#: A word of a text or an alias.
-TOKEN = r"[\p{L}\p{N}]+"
+#: Characters of the grams that patterns and texts are joined by.
+GRAM = 3
 
 
-def alias_mentions(texts: DataFrame, aliases: DataFrame, min_len: int = 0) -> DataFrame:
-    """Distinct groups with an alias of more than ``min_len`` characters somewhere in each text (id, text).
+def grams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def substring_mentions(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(id, pattern): which patterns (pattern) stand anywhere in the texts (id, text), letter for letter; empty patterns nowhere, null texts have none.
 
-    A mention is a substring, so it need not begin or end with a word of the text. What texts and aliases can be joined by are the
-    texts' distinct words: an alias of letters and digits alone lies within one word, so it is looked for in the vocabulary of
-    the texts, once for each word of it, however many texts have the word. Other aliases (with blanks or hyphens) hold whole words or
-    parts of words; they are looked for in the texts that have a word with their longest part.
+    A pattern is looked for where the rarest of its grams stands: of ``GRAM`` characters, or the pattern itself if it is shorter. So texts and patterns meet
+    by equal grams, whatever their number, and ``contains`` is asked of those alone; a pattern with a gram that no text has is never looked for. Texts are read
+    twice, and stay where they are while the chosen grams, one of each pattern, are few enough to be sent to them.
     """
-    known = aliases.where(F.length("alias") > min_len).select("alias", "group").distinct()
-    part = F.array_max(F.transform(F.regexp_extract_all("alias", F.lit(TOKEN), F.lit(0)), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    known = known.withColumn("part", part).withColumn("whole", F.col("part").eqNullSafe(F.col("alias")))
-    low = texts.select("id", F.lower("text").alias("text"))
-    words = low.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("word"))
-    vocabulary = words.select("word").distinct()
-    held = vocabulary.join(small(known.where("part is not null")), F.contains("word", "part")).select("word", "alias", "group", "whole")
-    met = words.join(held, "word")
-    sure = met.where("whole").select("id", "group")
-    asked = met.where(~F.col("whole")).select("id", "alias", "group").distinct().join(low, "id").where(F.contains("text", "alias")).select("id", "group")
-    odd = low.join(small(known.where("part is null")), F.contains("text", "alias")).select("id", "group")  # aliases without any letter or digit
-    found = sure.unionByName(asked).unionByName(odd).groupBy("id").agg(F.countDistinct("group").alias("n_groups"))
+    texts = texts.select("id", "text").where("text is not null")
+    known = settled(patterns.select("pattern").where("pattern <> ''").distinct().withColumn("n", F.least(F.length("pattern"), F.lit(GRAM))))
+    sizes = sorted(r.n for r in known.select("n").distinct().collect())  # at most GRAM numbers
+    out = texts.select("id", F.lit(None).cast("string").alias("pattern")).limit(0)
+    for n in sizes:
+        own = settled(known.where(F.col("n") == n).select("pattern", F.explode(grams(F.col("pattern"), n)).alias("gram")))
+        met = texts.select(F.explode(grams(F.col("text"), n)).alias("gram")).join(small(own.select("gram").distinct()), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+        rare = own.join(settled(met), "gram", "left").groupBy("pattern").agg(F.min_by(F.struct("gram", "often"), F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("x"))
+        rare = settled(rare.where("x.often is not null").select("pattern", F.col("x.gram").alias("gram")))
+        asked = texts.select("id", "text", F.explode(grams(F.col("text"), n)).alias("gram")).join(small(rare), "gram")
+        out = out.unionByName(asked.where(F.contains("text", "pattern")).select("id", "pattern"))
+    return out.distinct()
+
+
+def alias_mentions(texts: DataFrame, aliases: DataFrame, min_len: int = 0) -> DataFrame:
+    """(id, n_groups): distinct groups with an alias of more than ``min_len`` characters somewhere in each text (id, text), which is lower-cased; a mention need not
+    begin or end with a word."""
+    known = settled(aliases.where(F.length("alias") > min_len).select(F.col("alias").alias("pattern"), "group").distinct())
+    met = substring_mentions(texts.select("id", F.lower("text").alias("text")), known.select("pattern"))
+    found = met.join(small(known), "pattern").groupBy("id").agg(F.countDistinct("group").alias("n_groups"))
     return texts.select("id").join(found, "id", "left").select("id", F.coalesce("n_groups", F.lit(0)).alias("n_groups"))
 
 
@@ -154,22 +166,60 @@ def enrich_asn(ips: DataFrame, lookups: DataFrame, as_of: Column, ttl_days: floa
     return ips.join(last, "ip", "left").select("ip", T.asn_number(F.col("l.asn_text")).alias("asn_number"), T.asn_name(F.coalesce("l.asn_text", F.lit(""))).alias("asn_name"), F.upper("l.country").alias("country"))
 
 
+def as_of(rows: DataFrame, lookups: DataFrame, key: str, at: str, fetched: str, ttl_days: float) -> DataFrame:
+    """``rows`` with ``found``: of the lookups of their key the last one that was fetched by the row's own time ``at`` and not more than ``ttl_days`` before it, as a struct of the
+    other columns and the time; null without any, without a time, or without a key. Of lookups of one time the largest counts.
+
+    Both are sorted together, and a row takes the last lookup before it. As none holds for longer than the time to live, rows and lookups of a key meet within
+    spans of that length alone (a lookup in its own and the next one), so a key that most rows have is dealt to as many tasks as it has spans.
+    """
+    others = [c for c in lookups.columns if c not in (key, fetched)]
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    span = lambda c: F.floor(seconds(c) / (ttl_days * 86400.0)).cast("long")
+    left = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(key).alias("_key"), seconds(at).alias("_at"), F.when(F.col(key).isNotNull(), span(at)).alias("_span"), F.lit(None).cast(lookups.select(F.struct(*others, fetched)).schema[0].dataType).alias("_found"))
+    known = lookups.where(F.col(key).isNotNull() & F.col(fetched).isNotNull())
+    right = known.select(F.lit(None).cast(left.schema["row"].dataType).alias("row"), F.col(key).alias("_key"), seconds(fetched).alias("_at"), F.explode(F.array(span(fetched), span(fetched) + 1)).alias("_span"), F.struct(*others, fetched).alias("_found"))
+    timed = left.where("_span is not null").unionByName(right)
+    before = Window.partitionBy("_key", "_span").orderBy("_at", F.col("row").isNotNull(), "_found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = timed.withColumn("last", F.last("_found", ignorenulls=True).over(before)).where("row is not null")
+    held = F.when(F.col("_at") - F.col(f"last.{fetched}").cast("timestamp").cast("double") <= ttl_days * 86400.0, F.col("last"))
+    out = last.select("row", held.alias("found")).unionByName(left.where("_span is null").select("row", F.col("_found").alias("found")))
+    return out.select("row.*", "found")
+
+
 def top_n_per(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each key; Spark limits each group before it is shuffled."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def expand_pdns(iocs: DataFrame, pdns: DataFrame, caps: tuple[int, int, int] = (40, 20, 30)) -> DataFrame:
-    """Two hops of passive DNS from a report's domains: (id, hop, domain, ip).
+def report_hosts(iocs: DataFrame) -> DataFrame:
+    """Domains and ips of reports (id, ioc_type, ioc, pos) with the hosts of their urls: (id, ioc_type, ioc, pos). Hosts come after all that a report lists itself, in the
+    order of their urls; what is listed twice stands at its first place."""
+    own = iocs.where(F.col("ioc_type").isin("domain", "ip")).select("id", "ioc_type", "ioc", F.struct(F.lit(0).alias("later"), F.col("pos").cast("long").alias("pos")).alias("pos"))
+    hosts = url_edges(iocs.where("ioc_type = 'url'").select("id", F.col("ioc").alias("url"), "pos")).where("edge is not null")
+    hosts = hosts.select("id", F.col("edge").alias("ioc_type"), F.col("host").alias("ioc"), F.struct(F.lit(1).alias("later"), F.col("pos").cast("long").alias("pos")).alias("pos"))
+    return own.unionByName(hosts).groupBy("id", "ioc_type", "ioc").agg(F.min("pos").alias("pos"))
+
+
+def expand_pdns(iocs: DataFrame, pdns: DataFrame, caps: tuple[int, int, int] = (40, 20, 30), lookups: DataFrame | None = None, times: DataFrame | None = None, ttl_days: float = 1.0) -> DataFrame:
+    """Passive DNS and networks around a report's indicators (id, ioc_type, ioc, pos): (id, hop, domain, ip, asn_number).
 
-    The first ``caps[0]`` domains of a report lead to ``caps[1]`` ips each, and those ips to ``caps[2]`` domains each.
+    Hop 1: the first ``caps[0]`` domains of a report, in its order and with the hosts of its urls after them, lead to ``caps[1]`` ips each. Hop 2: those ips and the report's own
+    lead to ``caps[2]`` domains each. Hop 3, with ``lookups`` (ip, asn_text, fetched_at) and ``times`` (id, at): each of those ips has one network, as it was last looked up by the
+    report's own time within ``ttl_days``; ips without one are left out. pdns: (domain, ip), no pair twice.
     """
-    domains = top_n_per(iocs.where("ioc_type = 'domain'").select("id", F.col("ioc").alias("domain")).distinct(), ["id"], ["domain"], caps[0])
-    forward = top_n_per(pdns.select("domain", "ip").distinct(), ["domain"], ["ip"], caps[1]).select("domain", "ip")
-    one = domains.select("id", "domain").join(forward, "domain").select("id", F.lit(1).alias("hop"), "domain", "ip")
-    reverse = top_n_per(pdns.select("domain", "ip").distinct(), ["ip"], ["domain"], caps[2]).select("domain", "ip")
-    ips = one.select("id", "ip").unionByName(iocs.where("ioc_type = 'ip'").select("id", F.col("ioc").alias("ip"))).distinct()
-    return one.unionByName(ips.join(reverse, "ip").select("id", F.lit(2).alias("hop"), "domain", "ip"))
+    listed = settled(report_hosts(iocs))
+    domains = top_n_per(listed.where("ioc_type = 'domain'").select("id", "pos", F.col("ioc").alias("domain")), ["id"], ["pos", "domain"], caps[0])
+    forward = top_n_per(pdns.select("domain", "ip"), ["domain"], ["ip"], caps[1]).select("domain", "ip")
+    one = settled(domains.select("id", "domain").join(forward, "domain").select("id", F.lit(1).alias("hop"), "domain", "ip", F.lit(None).cast("int").alias("asn_number")))
+    reverse = top_n_per(pdns.select("domain", "ip"), ["ip"], ["domain"], caps[2]).select("domain", "ip")
+    ips = settled(one.select("id", "ip").unionByName(listed.where("ioc_type = 'ip'").select("id", F.col("ioc").alias("ip"))).distinct())
+    out = one.unionByName(ips.join(reverse, "ip").select("id", F.lit(2).alias("hop"), "domain", "ip", F.lit(None).cast("int").alias("asn_number")))
+    if lookups is None:
+        return out
+    numbered = lookups.where(T.asn_number(F.col("asn_text")).isNotNull()).select("ip", "asn_text", "fetched_at")
+    found = as_of(ips.join(times.select("id", "at"), "id"), numbered, "ip", "at", "fetched_at", ttl_days).where("found is not null")
+    return out.unionByName(found.select("id", F.lit(3).alias("hop"), F.lit(None).cast(out.schema["domain"].dataType).alias("domain"), "ip", T.asn_number(F.col("found.asn_text")).alias("asn_number")))
 
 
 def pending(reports: DataFrame, done: DataFrame) -> DataFrame:
