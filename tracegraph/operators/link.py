@@ -79,26 +79,53 @@ def attach_temporal(nodes: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return nodes.join(seen.select(key, "lifespan_days", "recency_days"), key, "left").fillna(0.0, ["lifespan_days", "recency_days"])
 
 
-def title_pairs(titles: DataFrame, key: str, label: str, text: str, threshold: float = 0.92) -> DataFrame:
-    """Pairs of one label with token-set Jaccard at the threshold or above: (label, a, b, similarity), a before b.
+def title_sets(titles: DataFrame, key: str, label: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Titles by what they say: members (k, l, rep), where rep is the least key of a label with the same set of tokens, and sets (l, rep, s). Titles without a token are in neither."""
+    tokens = titles.select(F.col(key).alias("k"), F.col(label).alias("l"), F.array_sort(T.title_tokens(F.col(text))).alias("s")).where(F.size("s") > 0)
+    tokens = settled(tokens.withColumn("digest", F.sha2(F.array_join("s", " "), 256)))
+    first = settled(tokens.groupBy("l", "digest").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m")))
+    same = F.col("l").eqNullSafe(F.col("fl")) & (F.col("digest") == F.col("fd"))
+    named = tokens.join(first.where("m > 1").select(F.col("l").alias("fl"), F.col("digest").alias("fd"), "rep"), same, "left")
+    members = settled(named.select("k", "l", F.coalesce("rep", "k").alias("rep"), "s"))
+    return members.select("k", "l", "rep"), members.where(F.col("k") == F.col("rep")).select("l", "rep", "s")
+
 
-    Prefix filter: sets that reach the threshold share one of their first |x| - ceil(t |x|) + 1 tokens in order of rarity, so only
-    those are joined. Sets that are equal meet once per distinct set, not once per pair of rows, until the end.
+def set_pairs(sets: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(l, x, y, similarity): pairs of sets (l, rep, s) of one label with Jaccard at the threshold or above, x before y.
+
+    Prefix filter: sets that reach the threshold share one of their first |x| - ceil(t |x|) + 1 tokens in order of rarity. Of sets that meet in one, those of too
+    different a length go, and those whose tokens after the place where they meet cannot bring enough in common. Sets of a token that many begin with are dealt to
+    tasks in blocks.
     """
-    tokens = titles.select(F.col(key).alias("k"), F.col(label).alias("l"), F.array_sort(T.title_tokens(F.col(text))).alias("s")).where(F.size("s") > 0)
-    sets = tokens.groupBy("l", "s").agg(F.count(F.lit(1)).alias("m")).withColumn("set_id", F.xxhash64("l", "s"))
-    each = sets.select("l", "set_id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    each = sets.where("l is not null").select("l", "rep", F.size("s").alias("n"), F.explode("s").alias("t"))
     often = each.groupBy("l", "t").agg(F.count(F.lit(1)).alias("f"))
-    rare = Window.partitionBy("set_id").orderBy("f", "t")
+    rare = Window.partitionBy("rep").orderBy("f", "t")
     prefix = each.join(often, ["l", "t"]).withColumn("r", F.row_number().over(rare)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    x, y = prefix.select("l", "t", F.col("set_id").alias("x"), F.col("n").alias("nx")), prefix.select("l", "t", F.col("set_id").alias("y"), F.col("n").alias("ny"))
-    near = (F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
-    met = x.join(y, ["l", "t"]).where(near).select("x", "y").distinct()
-    body = sets.select("set_id", "s")
-    checked = met.join(body.select(F.col("set_id").alias("x"), F.col("s").alias("sx")), "x").join(body.select(F.col("set_id").alias("y"), F.col("s").alias("sy")), "y")
-    checked = checked.select("x", "y", T.jaccard(F.col("sx"), F.col("sy")).alias("similarity")).where(F.col("similarity") >= threshold)
-    rows = tokens.select("k", "l", F.xxhash64("l", "s").alias("set_id"))
-    one, two = rows.select("l", F.col("k").alias("p"), F.col("set_id").alias("x")), rows.select(F.col("l").alias("l2"), F.col("k").alias("q"), F.col("set_id").alias("y"))
+    prefix = settled(prefix.select("l", "t", "rep", "n", "r"))
+    blocks = prefix.groupBy("l", "t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("l", "t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    met = prefix.join(blocks, ["l", "t"])
+    one = met.select("l", "t", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("b"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"))
+    two = met.select("l", "t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"))
+    long_enough = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9
+    # the first token in common stands at rx and ry, so at most the fewer of what follows is in common besides it
+    common = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) + F.least("rx", "ry")
+    enough = common >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-9
+    near = one.join(two, ["l", "t", "b"]).where((F.col("x") < F.col("y")) & long_enough & enough).select("l", "x", "y").distinct()
+    body = lambda at, to: sets.select(F.col("rep").alias(at), F.col("s").alias(to))
+    checked = near.join(body("x", "sx"), "x").join(body("y", "sy"), "y")
+    return checked.select("l", "x", "y", T.jaccard(F.col("sx"), F.col("sy")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def title_pairs(titles: DataFrame, key: str, label: str, text: str, threshold: float = 0.92) -> DataFrame:
+    """Pairs of titles of one label with token-set Jaccard at the threshold or above: (label, a, b, similarity), a before b.
+
+    Every pair of rows is written out, also of equal sets; ``title_sets`` and ``set_pairs`` say the same by representatives and members. Rows of null
+    labels pair with nothing.
+    """
+    members, sets = title_sets(titles, key, label, text)
+    members = members.where("l is not null")
+    checked = set_pairs(sets, threshold).select("x", "y", "similarity")
+    one, two = members.select("l", F.col("k").alias("p"), F.col("rep").alias("x")), members.select(F.col("k").alias("q"), F.col("rep").alias("y"))
     unequal = checked.join(one, "x").join(two, "y").select("l", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
     equal = one.join(two, one.x == two.y).where("p < q").select("l", F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("similarity"))
     return unequal.unionByName(equal).withColumnRenamed("l", label)
@@ -110,12 +137,10 @@ def title_dedup(titles: DataFrame, key: str, label: str, text: str, threshold: f
     Of titles with equal sets all but the first go at once: it is kept, or what drops it drops them too. Each round decides the titles
     whose earlier matches are all decided, so there are as many rounds as the longest chain of matches.
     """
-    tokens = titles.select(F.col(key).alias("k"), F.col(label).alias("l"), F.array_sort(T.title_tokens(F.col(text))).alias("s")).where((F.size("s") > 0) & F.col("l").isNotNull())
-    rows = tokens.select("k", "l", F.xxhash64("l", "s").alias("set_id"))
-    firsts = rows.groupBy("l", "set_id").agg(F.min("k").alias("first"))
-    copies = rows.join(firsts, ["l", "set_id"]).where(F.col("k") > F.col("first")).select(F.col("k").alias(key))
+    members, sets = title_sets(titles, key, label, text)
+    copies = members.where("l is not null and k > rep").select(F.col("k").alias(key))
     titles = titles.join(copies, key, "left_anti")
-    pairs = settled(title_pairs(titles, key, label, text, threshold).select("a", "b").distinct())
+    pairs = settled(set_pairs(sets, threshold).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     decided = pairs.select(F.col("a").alias("k")).distinct().join(pairs.select(F.col("b").alias("k")), "k", "left_anti").withColumn("kept", F.lit(True))
     while True:
         known = pairs.join(decided.select(F.col("k").alias("a"), "kept"), "a", "left").join(decided.select(F.col("k").alias("b")), "b", "left_anti")

@@ -273,6 +273,18 @@ def text_pairs(t):
     return link.title_pairs(t.whole_text(), "doc_id", "lang", "title").select("lang", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@key("text_sets", """WITH s AS (SELECT doc_id, lang, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: length(x) >= 3), lambda x: lower(x)))) AS s FROM documents),
+r AS (SELECT lang, s, min(doc_id) AS rep, count(*) AS members FROM s WHERE len(s) > 0 AND lang IS NOT NULL GROUP BY lang, s), p AS (SELECT a.rep AS x, b.rep AS y FROM r a JOIN r b ON a.lang = b.lang AND a.rep < b.rep WHERE round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) >= 0.92)
+SELECT rep, members, (SELECT count(*) FROM p WHERE x = rep OR y = rep) AS near FROM r""")
+def text_sets(t):
+    """Whole texts by representatives of equal token sets: their members and the representatives near them, without a row for each pair of texts."""
+    members, sets = link.title_sets(t.whole_text(), "doc_id", "lang", "title")
+    pairs = link.set_pairs(sets)
+    near = pairs.select(F.explode(F.array("x", "y")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("near"))
+    per = members.where("l is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("members"))
+    return per.join(near, "rep", "left").select("rep", "members", F.coalesce("near", F.lit(0)).alias("near"))
+
+
 @key("title_dedup")
 def title_dedup(t):
     return link.title_dedup(t.title(), "doc_id", "lang", "title")
