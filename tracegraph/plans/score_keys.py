@@ -596,12 +596,14 @@ def weighted_nll(t):
     return one(False, "plain").unionByName(one(True, "decay"))
 
 
-BLEND = "b AS (SELECT vec_id, class, round((0.6 * a.score + 0.4 * c.score) / sum(0.6 * a.score + 0.4 * c.score) OVER (PARTITION BY vec_id), 4) AS score FROM (SELECT vec_id, class, score FROM s WHERE model = 0) a JOIN (SELECT vec_id, class, score FROM s WHERE model = 1) c USING (vec_id, class))"
+BLEND = "b AS (SELECT vec_id, class, round((0.6 * a.score + 0.4 * c.score) / sum(0.6 * a.score + 0.4 * c.score) OVER (PARTITION BY vec_id), 4) AS score FROM (SELECT vec_id, class, round(avg(score), 9) AS score FROM s WHERE model % 2 = 0 GROUP BY 1, 2) a JOIN (SELECT vec_id, class, round(avg(score), 9) AS score FROM s WHERE model % 2 = 1 GROUP BY 1, 2) c USING (vec_id, class))"
 
 
 def blended(t):
+    """The mean of the even models with that of the odd ones."""
     s = soft(t)
-    return attribute.blend(s.where("model = 0"), s.where("model = 1"))
+    mean = lambda rows: stats.ensemble_mean(rows).withColumn("score", F.round("score", 9))
+    return attribute.blend(mean(s.where("model % 2 = 0")), mean(s.where("model % 2 = 1")))
 
 
 @key("blend_scores", f"WITH {{V}}, {SOFT}, {BLEND} SELECT * FROM b")

@@ -59,15 +59,16 @@ class Tables:
         return keyed.join(self.embeddings.select("vec_id", "embedding"), "vec_id").select("ioc_type", "ioc", F.col("embedding").cast("array<double>").alias("vec"))
 
     def logits(self) -> DataFrame:
-        """A row per vector, model and class with the logit; truth, fold and subset columns of the vector. Five models of ten classes take the
-        first 50 components; the rest makes no whole model."""
-        e = self.embeddings.select("vec_id", F.col("label").alias("truth"), (F.col("vec_id") % 5).alias("fold"), (F.col("vec_id") % 3 == 0).alias("matched"), F.when(F.col("vec_id") % 2 == 0, "domain").otherwise("url").alias("kind"), F.slice("embedding", 1, 50).alias("x"))
+        """A row per vector, model and class with the logit; truth, fold and subset columns of the vector. Seven models of ten classes take all 64 components in
+        turn, and the last one the first six again."""
+        take = F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: F.get("embedding", F.pmod(i, F.lit(64))))
+        e = self.embeddings.select("vec_id", F.col("label").alias("truth"), (F.col("vec_id") % 5).alias("fold"), (F.col("vec_id") % 3 == 0).alias("matched"), F.when(F.col("vec_id") % 2 == 0, "domain").otherwise("url").alias("kind"), take.alias("x"))
         long = e.select("vec_id", "truth", "fold", "matched", "kind", F.posexplode("x").alias("pos", "value"))
         return long.select("vec_id", "truth", "fold", "matched", "kind", F.expr("pos div 10").cast("int").alias("model"), (F.col("pos") % 10).cast("int").alias("class"), (F.col("value").cast("double") * 4).alias("logit"))
 
     def class_dim(self) -> DataFrame:
-        c = F.col("class")
-        return self.embeddings.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("class")).distinct().select(c, F.when(c < 9, F.concat(F.lit("n"), c % 3)).alias("nation"))
+        c = F.col("id").cast("int")
+        return self.spark.range(10).select(c.alias("class"), F.when(c < 9, F.concat(F.lit("n"), c % 3)).alias("nation"))
 
     # reports as text
     def tags(self) -> DataFrame:
@@ -109,7 +110,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_in_group": ((), "SELECT s_suppkey AS ip, s_nationkey AS asn, 'AS' || n_nationkey || ' ' || n_name AS asn_text FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "fx_hosted_on": ((), "SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages"),
     "fx_node_vec": ((), "SELECT ioc_type, ioc, embedding::DOUBLE[] AS vec FROM (SELECT 'domain' AS ioc_type, p_partkey AS ioc FROM part UNION ALL SELECT 'ip', s_suppkey FROM supplier UNION ALL SELECT 'url', page_id FROM pages) JOIN embeddings ON vec_id = ioc % (SELECT count(*) FROM embeddings)"),
-    "fx_logits": ((), "SELECT vec_id, label AS truth, vec_id % 5 AS fold, vec_id % 3 = 0 AS matched, CASE WHEN vec_id % 2 = 0 THEN 'domain' ELSE 'url' END AS kind, (i // 10)::INT AS model, (i % 10)::INT AS class, embedding[i + 1]::DOUBLE * 4 AS logit FROM embeddings, range(50) r(i)"),
+    "fx_logits": ((), "SELECT vec_id, label AS truth, vec_id % 5 AS fold, vec_id % 3 = 0 AS matched, CASE WHEN vec_id % 2 = 0 THEN 'domain' ELSE 'url' END AS kind, (i // 10)::INT AS model, (i % 10)::INT AS class, embedding[i % 64 + 1]::DOUBLE * 4 AS logit FROM embeddings, range(70) r(i)"),
     "fx_class_dim": ((), "SELECT c::INT AS class, CASE WHEN c < 9 THEN 'n' || (c % 3) END AS nation FROM range(10) r(c)"),
     "fx_tags": ((), "SELECT l_orderkey AS id, l_linenumber AS line, lower(p_brand) AS tag, p_name FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "fx_aliases": ((), "SELECT DISTINCT lower(p_brand) AS alias, 'G' || (regexp_extract(p_brand, '([0-9]+)$', 1)::INT % 8) AS \"group\", (regexp_extract(p_brand, '([0-9]+)$', 1)::INT % 8) % 3 AS nation FROM part"),
