@@ -411,32 +411,45 @@ def slots(df):
     return each.where("value <> 0").select("id", "slot", F.round("value", 4).alias("value"))
 
 
-@key("vec_domain", slots_sql(f"v AS {vocab_sql('p_brand', 'part', 100)}", "SELECT p_partkey AS id, coalesce(idx, 0) AS slot, 1 AS value FROM part LEFT JOIN v ON value = p_brand", "SELECT p_partkey, 110, length(p_brand) FROM part", "SELECT p_partkey, 111, length(regexp_replace(p_brand, '[^0-9]', '', 'g')) FROM part", "SELECT p_partkey, 114, p_size FROM part"))
+SPANS = "round(greatest(epoch_us(max({l})) - epoch_us(min({f})), 0) / 8.64e10, 4) AS lifespan, round(greatest(epoch_us(TIMESTAMP '" + AS_OF + "') - epoch_us(max({l})), 0) / 8.64e10, 4) AS recency"
+DOTTED = "dn AS (SELECT p_partkey AS page_id, replace(p_name, ' ', '.') || p_size AS host, p_brand, p_size FROM part)"
+
+
+@key("vec_domain", slots_sql(f"{DOTTED}, rt AS (SELECT domain, count(*) AS n, {SPANS.format(f='first_seen', l='last_seen')} FROM ({FX['fx_resolves_to'][1]}) GROUP BY domain), en AS {entropy_sql('host', 'dn', 'entropy')}, v AS {vocab_sql('p_brand', 'part', 100)}",
+                             "SELECT page_id AS id, coalesce(idx, 0) AS slot, 1 AS value FROM dn LEFT JOIN v ON value = p_brand", "SELECT page_id, 100, n FROM dn JOIN rt ON domain = page_id", "SELECT page_id, 109, 1 FROM dn WHERE page_id NOT IN (SELECT domain FROM rt)", "SELECT page_id, 110, length(host) FROM dn", "SELECT page_id, 111, length(regexp_replace(host, '[^0-9]', '', 'g')) FROM dn",
+                             "SELECT page_id, 112, length(regexp_replace(host, '[^.]', '', 'g')) FROM dn", "SELECT page_id, 113, entropy FROM en", "SELECT page_id, 114, p_size FROM dn", "SELECT domain, 115, lifespan FROM rt WHERE domain IN (SELECT page_id FROM dn)", "SELECT domain, 116, recency FROM rt WHERE domain IN (SELECT page_id FROM dn)"))
 def vec_domain(t):
-    lex = T.domain_lexical(F.col("p_brand"))
-    d = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("suffix"), lex["length"].alias("length"), lex["digit_count"].alias("digit_count"), F.lit(0).alias("period_count"), F.lit(0.0).alias("entropy"), F.col("p_size").alias("active_period_days"), F.lit(0).alias("is_nxdomain"), F.lit(0.0).alias("lifespan_days"), F.lit(0.0).alias("recency_days"), *[F.lit(0).alias(f"{x}_count") for x in ("a", "aaaa", "mx", "ns", "soa", "txt", "cname", "ptr", "srv")])
-    return slots(features.domain_vector(d, stats.top_k_vocab(t.part, "p_brand", 100)))
+    """Parts as domains: their names with dots, the ips that they resolve to as answers and spans; a name that resolves to none is absent."""
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), "p_size")
+    known = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("suffix"), name.alias("host"), F.col("p_size").alias("active_period_days"))
+    seen = stats.seen_span(t.resolves_to(), "domain", F.lit(AS_OF).cast("timestamp")).select(F.col("domain").alias("id"), "lifespan_days", "recency_days")
+    answers = t.resolves_to().groupBy(F.col("domain").alias("id")).agg(F.count(F.lit(1)).alias("a_count"))
+    d = known.join(seen, "id", "left").join(answers, "id", "left").withColumn("is_nxdomain", F.col("a_count").isNull())
+    return slots(features.domain_vector(d.select("*", *[v.alias(k) for k, v in T.domain_lexical(F.col("host")).items()]), stats.top_k_vocab(t.part, "p_brand", 100)))
 
 
-@key("vec_ip", slots_sql(f"g AS (SELECT ip, asn::VARCHAR AS country, asn_text FROM ({FX['fx_in_group'][1]})), c AS {vocab_sql('country', 'g', 249)}, i AS {vocab_sql('asn_text', 'g', 258)}, s AS (SELECT ip, days FROM (SELECT l_suppkey AS ip, round((epoch_us(max(l_shipdate)) - epoch_us(min(l_shipdate))) / 8.64e10, 4) AS days FROM lineitem GROUP BY 1))",
-                         "SELECT ip AS id, coalesce(idx, 0) AS slot, 1 AS value FROM g LEFT JOIN c ON value = country", "SELECT ip, 249 + coalesce(idx, 0), 1 FROM g LEFT JOIN i ON value = asn_text", "SELECT ip, 507, coalesce(days, 0) FROM g LEFT JOIN s USING (ip)"))
+@key("vec_ip", slots_sql(f"g AS (SELECT ip, asn::VARCHAR AS country, asn_text FROM ({FX['fx_in_group'][1]})), c AS {vocab_sql('country', 'g', 249)}, i AS {vocab_sql('asn_text', 'g', 258)}, s AS (SELECT ip, days, recency FROM (SELECT l_suppkey AS ip, round((epoch_us(max(l_shipdate)) - epoch_us(min(l_shipdate))) / 8.64e10, 4) AS days, round(greatest(epoch_us(TIMESTAMP '" + AS_OF + "') - epoch_us(max(l_shipdate)), 0) / 8.64e10, 4) AS recency FROM lineitem GROUP BY 1))",
+                         "SELECT ip AS id, coalesce(idx, 0) AS slot, 1 AS value FROM g LEFT JOIN c ON value = country", "SELECT ip, 249 + coalesce(idx, 0), 1 FROM g LEFT JOIN i ON value = asn_text", "SELECT ip, 507, coalesce(days, 0) FROM g LEFT JOIN s USING (ip)", "SELECT ip, 508, coalesce(recency, 0) FROM g LEFT JOIN s USING (ip)"))
 def vec_ip(t):
-    spans = stats.seen_span(t.resolves_to(), "ip", F.lit(AS_OF).cast("timestamp")).select("ip", "lifespan_days")
-    d = t.in_group().select("ip", F.col("asn").cast("string").alias("country"), F.col("asn_text").alias("issuer")).join(spans, "ip", "left").select(F.col("ip").alias("id"), "country", "issuer", "lifespan_days", F.lit(0.0).alias("recency_days"))
+    spans = stats.seen_span(t.resolves_to(), "ip", F.lit(AS_OF).cast("timestamp")).select("ip", "lifespan_days", "recency_days")
+    d = t.in_group().select("ip", F.col("asn").cast("string").alias("country"), F.col("asn_text").alias("issuer")).join(spans, "ip", "left").select(F.col("ip").alias("id"), "country", "issuer", "lifespan_days", "recency_days")
     return slots(features.ip_vector(d, stats.top_k_vocab(d, "country", 249), stats.top_k_vocab(d, "issuer", 258)))
 
 
 EXT = f"CASE WHEN length(regexp_extract({PATH}, '\\.([^.]*)$', 1)) <= 10 THEN lower(regexp_extract({PATH}, '\\.([^.]*)$', 1)) ELSE '' END"
 
 
-@key("vec_url", slots_sql(f"u AS (SELECT page_id AS id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, {EXT} AS ext FROM pages), b AS (SELECT *, regexp_extract(host, '([^.]+)$', 1) AS suffix FROM u), h AS {vocab_sql('host', 'b', 106)}, x AS {vocab_sql('ext', 'b', 68)}, f AS {vocab_sql('suffix', 'b', 944)}",
+@key("vec_url", slots_sql(f"us AS (SELECT l_partkey % (SELECT count(*) FROM pages) AS id, {SPANS.format(f='l_shipdate', l='l_shipdate')} FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), en AS {entropy_sql('url', 'pages', 'entropy')}, u AS (SELECT page_id AS id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, {EXT} AS ext FROM pages), b AS (SELECT *, regexp_extract(host, '([^.]+)$', 1) AS suffix FROM u), h AS {vocab_sql('host', 'b', 106)}, x AS {vocab_sql('ext', 'b', 68)}, f AS {vocab_sql('suffix', 'b', 944)}",
                           "SELECT id, coalesce(idx, 0) AS slot, 1 AS value FROM b LEFT JOIN h ON value = host", "SELECT id, 106 + coalesce(idx, 0), 1 FROM b LEFT JOIN x ON value = ext", "SELECT id, 175, 1 FROM b", "SELECT id, 186 + coalesce(idx, 0), 1 FROM b LEFT JOIN f ON value = suffix",
                           "SELECT id, 1130, length(url) FROM b", "SELECT id, 1131, length(regexp_replace(url, '[^0-9]', '', 'g')) FROM b", "SELECT id, 1132, length(regexp_replace(url, '[\\p{L}\\p{N}._/:?-]', '', 'g')) FROM b",
-                          f"SELECT id, 1133, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) FROM b", f"SELECT id, 1134, ({QUERY} <> '')::INT FROM b", f"SELECT id, 1135, ({FRAGMENT} <> '')::INT FROM b", "SELECT id, 1136, 1 FROM b"))
+                          f"SELECT id, 1133, len(list_filter(string_split({PATH}, '/'), lambda x: x <> '')) FROM b", f"SELECT id, 1134, ({QUERY} <> '')::INT FROM b", f"SELECT id, 1135, ({FRAGMENT} <> '')::INT FROM b", "SELECT id, 1136, 1 FROM b WHERE id % 3 <> 1", "SELECT page_id, 1137, entropy FROM en", "SELECT id, 1138, lifespan FROM us WHERE id IN (SELECT id FROM b)", "SELECT id, 1139, recency FROM us WHERE id IN (SELECT id FROM b)"))
 def vec_url(t):
-    lex = T.url_lexical(F.col("url"))
+    """Pages' urls with their spans; every third was asked for, every third failed, and of every third nothing is known."""
     host = T.url_host(F.col("url"))
-    d = t.pages.select(F.col("page_id").alias("id"), host.alias("server"), T.file_extension(T.url_path(F.col("url"))).alias("content_type"), F.lit("gzip").alias("encoding"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), *[v.alias(k) for k, v in lex.items() if k != "entropy"], F.lit(0.0).alias("entropy"), F.lit(1).alias("head_failed"), F.lit(0.0).alias("lifespan_days"), F.lit(0.0).alias("recency_days"))
+    asked = F.when(F.col("page_id") % 3 == 1, F.lit(False)).when(F.col("page_id") % 3 == 2, F.lit(True))
+    d = t.pages.select(F.col("page_id").alias("id"), host.alias("server"), T.file_extension(T.url_path(F.col("url"))).alias("content_type"), F.lit("gzip").alias("encoding"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), *[v.alias(k) for k, v in T.url_lexical(F.col("url")).items()], asked.alias("head_failed"))
+    seen = stats.seen_span(t.in_report("url").select(F.col("ioc").alias("id"), "indicator_created"), "id", F.lit(AS_OF).cast("timestamp"), "indicator_created", "indicator_created").select("id", "lifespan_days", "recency_days")
+    d = d.join(seen, "id", "left")
     vocab_of = lambda c, k: stats.top_k_vocab(d, c, k)
     return slots(features.url_vector(d, vocab_of("server", 106), vocab_of("content_type", 68), vocab_of("encoding", 12), vocab_of("suffix", 944)))
 
