@@ -15,6 +15,9 @@ from tracegraph.llm.vectors import matrix, unit, usable
 #: Distinct vectors a cell has on average, and of a block of a cell at most on average.
 CELL, BLOCK = 4000, 1000
 
+#: Numbers of a product of vectors and centroids that are held at a time.
+NUMBERS = 1 << 22
+
 #: Cells of all labels together, and vectors for each that centroids are fitted to; larger tables get larger cells of more blocks.
 CELLS, FIT = 4096, 32
 
@@ -22,8 +25,9 @@ CELLS, FIT = 4096, 32
 def spherical_kmeans(x: np.ndarray, k: int, seed: int, steps: int = 8) -> np.ndarray:
     """k unit centroids of unit vectors, each the direction of its vectors' sum; an empty cell keeps its centroid."""
     c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
+    rows = max(1, NUMBERS // len(c)) if len(c) else 1
     for _ in range(steps):
-        own = (x @ c.T).argmax(1)
+        own = np.concatenate([np.zeros(0, np.int64), *((x[i : i + rows] @ c.T).argmax(1) for i in range(0, len(x), rows))])
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -46,8 +50,14 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     """
     spark = vectors.sparkSession
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", usable("v") & F.col("label").isNotNull()))
-    keyed = rows.where("ok").select("vec_id", F.xxhash64("label", "v").alias("copy"), "label", "v")
-    distinct = cut(keyed.groupBy("copy").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("m")).withColumn("group", F.xxhash64(F.col("label"), F.size("v"))))
+    other = F.xxhash64("v", "label")  # a second key, which tells different vectors under one copy
+    for seed in range(4):  # and then keys are dealt anew
+        copy = F.xxhash64(F.lit(seed), "label", "v")
+        keyed = rows.where("ok").select("vec_id", copy.alias("copy"), "label", "v")
+        met = keyed.groupBy("copy").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("m"), F.min(other).alias("one"), F.max(other).alias("two"))
+        distinct = cut(met.withColumn("group", F.xxhash64(F.col("label"), F.size("v"))))
+        if distinct.where("one <> two").isEmpty():
+            break
     total = distinct.count()
     # groups of more than one cell: at most CELLS / 2 of them, however many labels there are
     large = distinct.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > CELL) & (F.col("n") * CELLS >= 2 * total)).collect()
@@ -64,24 +74,26 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per vector and cell: home rows and visits."""
+        """A row per vector and cell: home rows and visits. Vectors meet the centroids some rows at a time."""
+        gaps = {g: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)).astype(np.float32) for g, c in shared.value.items()}
         for batch in batches:
             group = np.asarray(batch.column(0))
             for g in np.unique(group):
-                mine = np.flatnonzero(group == g)
-                part = batch.take(pa.array(mine))
+                part = batch.take(pa.array(np.flatnonzero(group == g)))
                 c = shared.value.get(int(g))
-                who, cell, home = np.arange(len(mine)), np.zeros(len(mine), np.int64), np.ones(len(mine), bool)
+                who, cell, home = [np.arange(len(part))], [np.zeros(len(part), np.int64)], [np.ones(len(part), bool)]
                 if c is not None:
-                    dots = unit(matrix(part.column(2))) @ c.T
-                    own = dots.argmax(1)
-                    gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[own]
-                    across = dots[np.arange(len(own)), own][:, None] - dots <= reach * gap + 1e-7
-                    across &= np.arange(len(c))[None] < own[:, None]
-                    i, j = np.nonzero(across)
-                    who, cell, home = np.concatenate((who, i)), np.concatenate((own, j)), np.concatenate((home, np.zeros(len(i), bool)))
-                out = part.take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell), pa.array(home)], ["group", "copy", "v", "m", "cell", "home"])
+                    x, rows = unit(matrix(part.column(2))), max(1, NUMBERS // len(c))
+                    for at in range(0, len(x), rows):
+                        dots = x[at : at + rows] @ c.T
+                        own = dots.argmax(1)
+                        cell[0][at : at + rows] = own
+                        across = dots[np.arange(len(own)), own][:, None] - dots <= reach * gaps[int(g)][own] + 1e-5  # gaps are single, so rounded by less than that
+                        across &= np.arange(len(c))[None] < own[:, None]
+                        i, j = np.nonzero(across)
+                        who.append(i + at), cell.append(j), home.append(np.zeros(len(i), bool))
+                out = part.take(pa.array(np.concatenate(who)))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cell)), pa.array(np.concatenate(home))], ["group", "copy", "v", "m", "cell", "home"])
 
     placed = cut(distinct.select("group", "copy", "v", "m").mapInArrow(tidy(assign), "group long, copy long, v array<double>, m long, cell long, home boolean"))
     cells = placed.where("home").groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")).select("group", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -126,7 +138,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, id_col: str
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     per = named.join(names, "component").join(counts, F.col("copy") == F.col("a"), "left").select("copy", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
     per = cut(per)
-    out = rows.select("vec_id", F.when(F.col("ok"), F.xxhash64("label", "v")).alias("copy")).join(per, "copy", "left")
+    out = rows.select("vec_id", F.when(F.col("ok"), copy).alias("copy")).join(per, "copy", "left")
     component = F.when(F.col("copy").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 

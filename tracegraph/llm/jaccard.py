@@ -14,9 +14,6 @@ from tracegraph.llm.shared import bit_table, buffers, chunks, components, cut, h
 #: Slots of the shingle frequency table (hashed, so its size does not grow), and of them in one shipped part.
 SLOTS, PART = 1 << 20, 1 << 14
 
-#: Power of two of the bits of the set filter that keeps pass three from hashing texts that have no candidate.
-FILTER = 24
-
 #: Entries of a token that a task compares with as many others, on average; more are cut into blocks.
 BLOCK = 1000
 
@@ -282,8 +279,8 @@ def close(pa_: np.ndarray, na: np.ndarray, pb: np.ndarray, nb: np.ndarray, perce
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int, clashes: frozenset[int]) -> DataFrame:
-    """Pass three. Node and set of every row of ``nodes`` (node, text_key). A bit table of fixed size spares the other texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.col("text_key").alias("key")), FILTER))
+    """Pass three. Node and set of every row of ``nodes`` (node, text_key). A filter by their number spares the other texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.col("text_key").alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -32,9 +32,6 @@ K, SPARSE = 32, 6
 #: Text positions hashed at a time; the low bits of a window's key hold a position among them.
 STEP_BITS = 18
 
-#: Power of two of the bits of the filter for cores.
-FILTER = 26
-
 #: Bits of a mark that hold how many strings follow the first; the mark of a whole phrase or text.
 MORE, WHOLE = 20, -1
 
@@ -257,7 +254,9 @@ def repeated_ranges(texts: DataFrame, length: int) -> DataFrame:
     parse_ = cut(texts.mapInArrow(tidy(parse), "key long, also int, start long, more int, run int, p long, q long, behind long, before long"))
     dictionary = cut(parse_.groupBy("p", "q").agg(F.first("behind").alias("behind"), F.first("before").alias("before"), F.sum("run").alias("n")))
     cores = dictionary.select(F.explode(F.array("behind", "before")).alias("key")).where("key <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = spark.sparkContext.broadcast(bit_table(cores.select("key"), FILTER))
+    cores = cut(cores.select("key"))
+    several = spark.sparkContext.broadcast(bit_table(cores))
+    discard(cores)
     full = cut(dictionary.where("n > 1").select("p", "q", F.lit(WHOLE).cast("long").alias("mark")))
     discard(dictionary)
 
