@@ -36,7 +36,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the smallest id, of equal ids the smallest hash of the text, of equal rows one.
+    """Keeps one document of each component: the smallest id, of equal ids the smallest hash of the text, of rows equal in
+    both the least in the order of all other columns.
 
     Documents without a word (null and empty texts too) belong to no component and stay, repeated ones as often as they are there. A
     null id is larger than any other. An empty table gives no rows.
@@ -53,7 +54,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = rows.join(small(per.select("k_id", "k_text")), match(per), "left_anti")
     again = per.where("stays")
     if not again.isEmpty():
-        kept = kept.unionByName(rows.join(small(again.select("k_id", "k_text")), match(again), "left_semi").dropDuplicates(["doc_id", "text_key"]))
+        equal = rows.join(small(again.select("k_id", "k_text")), match(again), "left_semi")
+        one = equal.groupBy("doc_id", "text_key").agg(F.min_by(F.struct("row", "text"), F.to_json(F.struct("row"))).alias("x"))
+        kept = kept.unionByName(one.select("doc_id", "text_key", "x.row", "x.text").select(*kept.columns))
     return restored(kept, docs, "doc_id", "text")
 
 
