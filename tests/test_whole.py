@@ -154,6 +154,9 @@ def test_public_suffixes(spark):
     hosts = spark.createDataFrame([(1, "a.b.co.uk"), (2, "co.uk"), (3, "x.notco.uk"), (4, "lone"), (5, None), (6, "y.uk")], "k int, host string")
     given = spark.createDataFrame([("co.uk",), ("uk",), ("b.co.uk",), ("uk",)], "s string")
     assert {r.k: r.suffix for r in clean.public_suffix(hosts, "k", "host", given).collect()} == {1: "b.co.uk", 2: "co.uk", 3: "uk", 4: "lone", 5: None, 6: "uk"}
+    hosts = spark.createDataFrame([(1, "a.b.ck"), (2, "www.ck"), (3, "x.www.ck"), (4, "b.ck"), (5, "ck"), (6, "d.city.kobe.jp")], "k int, host string")
+    rules = spark.createDataFrame([("*.ck",), ("!www.ck",), ("jp",), ("*.kobe.jp",), ("!city.kobe.jp",)], "s string")
+    assert {r.k: r.suffix for r in clean.public_suffix(hosts, "k", "host", rules).collect()} == {1: "b.ck", 2: "ck", 3: "ck", 4: "b.ck", 5: "ck", 6: "kobe.jp"}
 
 
 def test_smote_neighbours_are_those_of_the_whole_class(spark):

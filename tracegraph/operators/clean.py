@@ -94,10 +94,17 @@ def in_vocab(events: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def public_suffix(df: DataFrame, key: str, host: str, suffixes: DataFrame) -> DataFrame:
-    """Adds ``suffix``: the longest of the supplied suffixes (s) that the host ends with at a dot or is; else its last label; null for no host."""
+    """Adds ``suffix``: of the supplied rules (s) the one that prevails for the host; else its last label; null for no host.
+
+    A rule fits a host that is it or ends with it after a dot. ``*.x`` stands for any one label before x, ``!y.x`` is an exception from that, whose suffix is x. An
+    exception prevails over all others, of which the one of most labels prevails.
+    """
     parts = F.split(host, r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    found = df.where(F.col(host).isNotNull()).select(key, F.explode(tails).alias("s")).join(small(suffixes.select("s").distinct()), "s").groupBy(key).agg(F.max_by("s", F.length("s")).alias("hit"))
+    tail = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    at = lambda rule, suffix, i, rank: F.struct(rule.alias("s"), suffix.alias("of"), F.struct(F.lit(rank).alias("exception"), (-i).alias("labels")).alias("rank"))
+    each = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array(at(tail(i), tail(i), i, 0), at(F.concat(F.lit("*."), tail(i + 1)), tail(i), i, 0), at(F.concat(F.lit("!"), tail(i)), tail(i + 1), i, 1))))
+    asked = df.where(F.col(host).isNotNull()).select(key, F.explode(each).alias("x")).select(key, "x.*")
+    found = asked.join(small(suffixes.select("s").distinct()), "s").groupBy(key).agg(F.max_by("of", "rank").alias("hit"))
     return df.join(found, key, "left").withColumn("suffix", F.coalesce("hit", F.element_at(parts, -1))).drop("hit")
 
 

@@ -334,23 +334,38 @@ def listed(t):
     return li.select("id", "pos", F.explode(each).alias("x")).select("id", "x.ioc_type", "x.ioc", "pos")
 
 
-@key("pdns_expand", f"""WITH {{V}}, {LISTED}, h AS (SELECT id, ioc_type, ioc, [0, pos] AS pos FROM li WHERE ioc_type <> 'url' UNION ALL SELECT id, CASE WHEN host LIKE '10.%' THEN 'ip' ELSE 'domain' END, host, [1, pos] FROM (SELECT id, pos, lower(regexp_extract(ioc, '//([^/]+)/', 1)) AS host FROM li WHERE ioc_type = 'url')),
+AROUND = f"""{LISTED}, h AS (SELECT id, ioc_type, ioc, [0, pos] AS pos FROM li WHERE ioc_type <> 'url' UNION ALL SELECT id, CASE WHEN host LIKE '10.%' THEN 'ip' ELSE 'domain' END, host, [1, pos] FROM (SELECT id, pos, lower(regexp_extract(ioc, '//([^/]+)/', 1)) AS host FROM li WHERE ioc_type = 'url')),
 u AS (SELECT id, ioc_type, ioc, min(pos) AS pos FROM h GROUP BY ALL), d AS (SELECT id, ioc AS domain FROM u WHERE ioc_type = 'domain' QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos, ioc) <= 3),
 p AS (SELECT 'd' || domain AS domain, '10.' || ip AS ip FROM fx_resolves_to), f AS (SELECT domain, ip FROM p QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ip) <= 20), r AS (SELECT domain, ip FROM p QUALIFY row_number() OVER (PARTITION BY ip ORDER BY domain) <= 30),
-one AS (SELECT id, 1 AS hop, domain, ip FROM d JOIN f USING (domain)), ips AS (SELECT id, ip FROM one UNION SELECT id, ioc FROM u WHERE ioc_type = 'ip'),
-l AS (SELECT '10.' || l_suppkey AS ip, l_shipdate AS fetched_at, max(asn) AS asn FROM lineitem JOIN fx_in_group g ON g.ip = l_suppkey WHERE l_linenumber = 1 AND asn % 7 <> 0 GROUP BY 1, 2), a AS (SELECT i.id, i.ip, o_orderdate AS at FROM ips i JOIN orders ON o_orderkey = i.id),
-n AS (SELECT a.id, a.ip, l.asn FROM a ASOF JOIN l ON a.ip = l.ip AND a.at >= l.fetched_at WHERE epoch_us(a.at) - epoch_us(l.fetched_at) <= 10 * 8.64e10),
-x AS (SELECT id, hop, domain, ip, NULL::INT AS asn FROM one UNION ALL SELECT id, 2, domain, ip, NULL FROM ips JOIN r USING (ip) UNION ALL SELECT id, 3, NULL, ip, asn FROM n)
-SELECT id, hop, count(*) AS n, sum(substr(domain, 2)::BIGINT)::BIGINT AS sum_domain, sum(substr(ip, 4)::BIGINT)::BIGINT AS sum_ip, sum(asn)::BIGINT AS sum_asn FROM x GROUP BY 1, 2""")
-def pdns_expand(t):
-    """Three domains of a report in its order, with its urls' hosts, over passive DNS to ips, domains and networks as of its date."""
+one AS (SELECT id, 1 AS hop, domain, ip FROM d JOIN f USING (domain)), ips AS (SELECT id, ip FROM one UNION SELECT id, ioc FROM u WHERE ioc_type = 'ip')"""
+
+
+def around(t, *more):
+    """Three domains of a report in its order, with its urls' hosts, over passive DNS."""
     pdns = t.resolves_to().select(F.concat(F.lit("d"), "domain").alias("domain"), F.concat(F.lit("10."), "ip").alias("ip"))
+    return link.expand_pdns(listed(t), pdns, (3, 20, 30), *more)
+
+
+def number(c: str, at: int):
+    return F.sum(F.substring(c, at, 20).cast("long"))
+
+
+@key("pdns_expand", f"""WITH {{V}}, {AROUND}, x AS (SELECT id, hop, domain, ip FROM one UNION ALL SELECT id, 2, domain, ip FROM ips JOIN r USING (ip))
+SELECT id, hop, count(*) AS n, sum(substr(domain, 2)::BIGINT)::BIGINT AS sum_domain, sum(substr(ip, 4)::BIGINT)::BIGINT AS sum_ip FROM x GROUP BY 1, 2""")
+def pdns_expand(t):
+    """To ips and domains."""
+    return around(t).groupBy("id", "hop").agg(F.count(F.lit(1)).alias("n"), number("domain", 2).alias("sum_domain"), number("ip", 4).alias("sum_ip"))
+
+
+@key("pdns_networks", f"""WITH {{V}}, {AROUND}, l AS (SELECT '10.' || l_suppkey AS ip, l_shipdate AS fetched_at, max(asn) AS asn FROM lineitem JOIN fx_in_group g ON g.ip = l_suppkey WHERE l_linenumber = 1 AND asn % 7 <> 0 GROUP BY 1, 2), a AS (SELECT i.id, i.ip, o_orderdate AS at FROM ips i JOIN orders ON o_orderkey = i.id)
+SELECT a.id, count(*) AS n, sum(substr(a.ip, 4)::BIGINT)::BIGINT AS sum_ip, sum(l.asn)::BIGINT AS sum_asn FROM a ASOF JOIN l ON a.ip = l.ip AND a.at >= l.fetched_at WHERE epoch_us(a.at) - epoch_us(l.fetched_at) <= 10 * 8.64e10 GROUP BY a.id""")
+def pdns_networks(t):
+    """To the ips' networks as they were looked up by the report's date."""
     name = F.when(F.col("asn") % 7 != 0, F.col("asn_text")).otherwise("unknown")
     looked = t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("ip"), F.col("l_shipdate").alias("fetched_at")).join(t.in_group().select("ip", name.alias("asn_text")), "ip")
     looked = looked.select(F.concat(F.lit("10."), "ip").alias("ip"), "asn_text", "fetched_at")
-    out = link.expand_pdns(listed(t), pdns, (3, 20, 30), looked, t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at")), 10.0)
-    number = lambda c, at: F.sum(F.substring(c, at, 20).cast("long"))
-    return out.groupBy("id", "hop").agg(F.count(F.lit(1)).alias("n"), number("domain", 2).alias("sum_domain"), number("ip", 4).alias("sum_ip"), F.sum(F.col("asn_number").cast("long")).alias("sum_asn"))
+    out = around(t, looked, t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at")), 10.0).where("hop = 3")
+    return out.groupBy("id").agg(F.count(F.lit(1)).alias("n"), number("ip", 4).alias("sum_ip"), F.sum(F.col("asn_number").cast("long")).alias("sum_asn"))
 
 
 @key("pending_reports", "SELECT id FROM fx_event WHERE id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)", "fx_event")
@@ -414,5 +429,5 @@ def _views(name: str, *views: str) -> None:
     SQL[name] = body.replace("{V}", head)
 
 
-for _n, _v in {"unambiguous_label": ("fx_tags", "fx_aliases"), "ioc_match": ("fx_requests",), "node_temporal": ("fx_resolves_to",), "node_temporal_all": ("fx_resolves_to",), "title_pairs": ("fx_title",), "event_adjacency_all": ("fx_in_report",), "hop2_share_all": ("fx_in_report",), "asn_enrich": ("fx_in_group",), "pdns_expand": ("fx_resolves_to", "fx_in_group"), "adhoc_attach": ("fx_requests",), "per_ioc_events": ("fx_requests",)}.items():
+for _n, _v in {"unambiguous_label": ("fx_tags", "fx_aliases"), "ioc_match": ("fx_requests",), "node_temporal": ("fx_resolves_to",), "node_temporal_all": ("fx_resolves_to",), "title_pairs": ("fx_title",), "event_adjacency_all": ("fx_in_report",), "hop2_share_all": ("fx_in_report",), "asn_enrich": ("fx_in_group",), "pdns_expand": ("fx_resolves_to",), "pdns_networks": ("fx_resolves_to", "fx_in_group"), "adhoc_attach": ("fx_requests",), "per_ioc_events": ("fx_requests",)}.items():
     _views(_n, *_v)

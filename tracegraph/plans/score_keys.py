@@ -561,6 +561,26 @@ def neighbor_mean(t):
     return neighbors(t).select("dst", *[F.round(F.col("vec")[i], 5).alias(f"v{i}") for i in (0, 63)], slot_sum("vec"))
 
 
+@key("request_counts", """WITH {V}, nd AS (SELECT lower(url) AS k, min(page_id) AS node_id FROM pages GROUP BY 1) SELECT request_id AS id, count(*) AS n_iocs, count(node_id) AS n_matched, count(*) - count(node_id) AS n_new FROM fx_requests LEFT JOIN nd ON k = lower(value) GROUP BY 1""")
+def request_counts(t):
+    return predict.request_counts(t.requests().withColumnRenamed("request_id", "id"), t.url_nodes())
+
+
+@key("request_new_urls", f"""WITH {{V}}, u AS (SELECT DISTINCT value AS url FROM fx_requests WHERE lower(value) NOT IN (SELECT lower(url) FROM pages)), en AS {entropy_sql('url', '(SELECT url, url AS page_id FROM u)', 'entropy')}
+SELECT url AS value, length(url)::DOUBLE AS length, length(regexp_replace(url, '[^0-9]', '', 'g'))::DOUBLE AS digit_count, len(list_filter(string_split({PATH}, '/'), lambda x: x <> ''))::DOUBLE AS path_depth, entropy, 1::DOUBLE AS head_failed, 0::DOUBLE AS lifespan_days, regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '([^.]+)$', 1) AS suffix FROM u JOIN en ON en.page_id = url""")
+def request_new_urls(t):
+    """Properties of requested urls that no node has."""
+    return predict.new_nodes(t.requests(), t.url_nodes(), "url").select("value", "length", "digit_count", "path_depth", "entropy", "head_failed", "lifespan_days", "suffix")
+
+
+@key("request_tiers")
+def request_tiers(t):
+    """Requests of urls through matching, scoring against the standing graph and tiers."""
+    graph = implicit.standing(implicit.shared(t.in_report(), t.event()), seeds_of(t))
+    dim = t.label_dim().select("label", F.col("idx").alias("class"), "nation")
+    return predict.attribute_requests(t.requests().withColumnRenamed("request_id", "id"), t.url_nodes(), graph, settled(dim), ["expedite"])
+
+
 @key("hetero_layer", """WITH {V}, m AS (SELECT id, ioc_type, i, avg(vec[i]) AS x FROM fx_in_report JOIN fx_node_vec USING (ioc_type, ioc), range(1, 65) r(i) GROUP BY 1, 2, 3),
 own AS (SELECT o_orderkey AS id, i, sin(o_orderkey % 100 + i) AS x FROM orders, range(1, 65) r(i)),
 z AS (SELECT own.id, own.i, any_value(own.x) * (0.5 + 0.25 + 0.125) / 3 + (0.1 + 0.2 + 0.3) / 3 + coalesce(sum(m.x * CASE ioc_type WHEN 'domain' THEN 1 WHEN 'ip' THEN 2 ELSE 3 END), 0) / 3 AS z FROM own LEFT JOIN m ON m.id = own.id AND m.i = own.i GROUP BY 1, 2),
@@ -736,7 +756,7 @@ def stream_seen(t):
 
 
 for _n, _v in {
-    "event_mean_pool": ("fx_in_report", "fx_node_vec"), "majority_label": ("fx_votes",), "majority_ties": ("fx_votes",), "dst_mass_v1": ("fx_tags", "fx_aliases"), "dst_mass_v2": ("fx_tags", "fx_aliases"), "neighbor_mean": ("fx_in_report", "fx_node_vec"), "hetero_layer": ("fx_in_report", "fx_node_vec"), "request_scores": ("fx_event", "fx_label_dim", "fx_in_report"),
+    "event_mean_pool": ("fx_in_report", "fx_node_vec"), "majority_label": ("fx_votes",), "majority_ties": ("fx_votes",), "dst_mass_v1": ("fx_tags", "fx_aliases"), "dst_mass_v2": ("fx_tags", "fx_aliases"), "neighbor_mean": ("fx_in_report", "fx_node_vec"), "hetero_layer": ("fx_in_report", "fx_node_vec"), "request_counts": ("fx_requests",), "request_new_urls": ("fx_requests",), "request_scores": ("fx_event", "fx_label_dim", "fx_in_report"),
     **dict.fromkeys(("event_age", "decay_weights", "decay_overall", "decay_by_class", "split_forward", "split_backward", "split_age_stats"), ("fx_event",)),
     **dict.fromkeys(("softmax", "ensemble_mean", "top_label", "acc_label", "acc_nation", "tier_metrics", "per_class", "fold_macro", "fold_micro", "subset_metrics", "nation_scores", "cluster_scores", "weighted_nll", "blend_scores", "tiered_v1", "tiered_v2"), ("fx_logits", "fx_class_dim")),
     **dict.fromkeys(("eval_external", "eval_external_matched"), ("fx_logits", "fx_class_dim", "fx_requests")),
