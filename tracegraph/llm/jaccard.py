@@ -280,7 +280,7 @@ def close(pa_: np.ndarray, na: np.ndarray, pb: np.ndarray, nb: np.ndarray, perce
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int, clashes: frozenset[int]) -> DataFrame:
     """Pass three. Node and set of every row of ``nodes`` (node, text_key). A filter by their number spares the other texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.col("text_key").alias("key"))))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(nodes.select(F.col("text_key").alias("key")), (24, 28)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

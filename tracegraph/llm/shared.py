@@ -137,20 +137,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Powers of two of the bits of a filter, the least and the most: 32 MB that every executor gets.
-FILTER_BITS = (20, 28)
+#: Powers of two of the bits of a filter, the least and the most: 8 to 32 MB that every executor gets.
+FILTER_BITS = (26, 28)
 
 
 def bit_table(keys: DataFrame, bits: tuple[int, int] = FILTER_BITS) -> np.ndarray:
-    """A table of bits, set at the low bits of each of ``keys`` (key long, well mixed, a written table): a filter of 16 bits a key within the powers of two ``bits``.
+    """A table of bits, set at the low bits of each of ``keys`` (key long, well mixed, a written table): a filter of 16 bits a key or more within the powers of two ``bits``.
 
     It has no false negatives; one key in 16 at most passes falsely while there are fewer than 2 ** (most - 4) keys, and more as it fills up beyond that, which
     costs work and never a result. At most 2 ** (most - 5) rows come to the driver.
     """
-    bits = min(max(bits[0], (16 * keys.count()).bit_length()), bits[1])
-    low = f"(key & {(1 << bits) - 1}L)"
+    size = min(max(bits[0], (16 * keys.count()).bit_length()), bits[1])
+    low = f"(key & {(1 << size) - 1}L)"
     found = keys.groupBy(F.expr(f"shiftright({low}, 5)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({low} & 31 as int)))").alias("v")).toPandas()
-    table = np.zeros(1 << (bits - 5), np.uint32)
+    table = np.zeros(1 << (size - 5), np.uint32)
     table[found.w.to_numpy(np.int64)] = found.v.to_numpy(np.int64).astype(np.uint32)
     return table
 
