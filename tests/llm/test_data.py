@@ -76,6 +76,25 @@ def test_nearest_recall(spark, vectors, monkeypatch, cell):
     assert ann.nearest(df.limit(0), df).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the tables")
+def test_nearest_recall_on_the_given_embeddings(spark):
+    """Every query of the 64-wide table against all of its rows."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = {}
+    for r in ann.op9(spark, sf).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hit = total = 0
+    assert sorted(found) == sorted(int(i) for i in ids if i % 20 == 0) and x.shape[1] == 64
+    for q, got in found.items():
+        own = x @ x[ids == q][0]
+        best = sorted((-v, i) for v, i in zip(own, ids, strict=True) if i != q)[:20]
+        assert sorted(g[0] for g in got) == list(range(1, 21)) and all(s == pytest.approx(float(own[ids == i][0]), abs=1e-9) for _, i, s in got)
+        hit, total = hit + len({i for _, i in best} & {i for _, i, _ in got}), total + 20
+    assert hit / total >= 0.9
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 2) == pytest.approx(5.9915, abs=1e-3) and ann.chi_square_quantile(0.95, 10) == pytest.approx(18.307, abs=1e-3)
 

@@ -239,6 +239,34 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert {tuple(x) for x in r.totals().collect()} == want
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the tables")
+def test_token_count_query(spark):
+    """The whole query against the tokenizers' own counts of the texts that are left in the end."""
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    words = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    from tiktoken.load import load_tiktoken_bpe
+
+    pieces = tiktoken.Encoding("given", pat_str=public.PATTERN, mergeable_ranks=load_tiktoken_bpe(public.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("source", "lang", "text").collect():
+        text = r.text or ""
+        if len(re.findall(r"[^\x20\x09-\x0D]+", text)) < 20:
+            continue
+        clean = re.sub("[0-9]+", "", text)
+        for version, n in (("word_bpe_49k", len(words.encode(clean, add_special_tokens=False).ids)), ("byte_bpe_multi_50k", len(pieces.encode_ordinary(clean)))):
+            want[r.source, r.lang, version, "docs"] += 1
+            want[r.source, r.lang, version, "tokens"] += n
+    got = Counter()
+    for r in rollup.op3(spark, sf).collect():
+        got[r.source, r.lang, r.tokenizer_version, "docs"] += r.n_docs
+        got[r.source, r.lang, r.tokenizer_version, "tokens"] += r.n_tokens
+    assert got == want and len(want) > 20
+
+
 def test_tokens_are_those_of_the_tokenizers(spark):
     public = pytest.importorskip("public_tokenizers")
     import base64

@@ -125,10 +125,16 @@ def order_report(survivors: DataFrame, names: str, marks: dict[str, str]) -> Dat
     )
 
 
+def side(table: DataFrame) -> DataFrame:
+    """The other side of a join: sent to all if its rows are few, else sorted and merged, whatever its files make Spark believe of its size."""
+    sent = small(table)
+    return sent if sent is not table else table.hint("merge")
+
+
 def with_repeat(rows: DataFrame, id_col: str = "doc_id", digest_col: str = "digest") -> DataFrame:
     """Adds ``repeat``: whether a smaller id has the same digest. ``rows`` is a written table, so that Spark may split a digest that many rows share."""
     first = rows.groupBy(digest_col).agg(F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id")).where("last_id > first_id").drop("last_id")
-    return rows.join(small(cut(first)), digest_col, "left").withColumn("repeat", F.coalesce(F.col(id_col) > F.col("first_id"), F.lit(False))).drop("first_id")
+    return rows.join(side(cut(first)), digest_col, "left").withColumn("repeat", F.coalesce(F.col(id_col) > F.col("first_id"), F.lit(False))).drop("first_id")
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
@@ -153,7 +159,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     ))
     any_of = lambda c: F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(c)
     known = cut(labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(any_of("quality"), any_of("toxic")).where("quality or toxic"))
-    judged = with_repeat(slim).drop("digest").join(small(known), "doc_id", "left")
+    judged = with_repeat(slim).drop("digest").join(side(known), "doc_id", "left")
     mark = F.coalesce(F.col("quality").cast("int") + 2 * F.col("toxic").cast("int"), F.lit(0))
     words = judged.select("part", survival_word([F.col(c) for c in ("a", "b", "c", "d", "repeat")]).alias("word"), mark.alias("mark"))
     return order_report(subset_survivors(words, 2), "ABCDE", {"quality": "good_lost", "toxic": "toxic_lost"})
