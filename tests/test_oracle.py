@@ -8,7 +8,8 @@ from conftest import SF
 
 from tracegraph.plans import registry
 
-KEYS = ["pulse_explode", "merge_edge_seen", "label_encode", "title_pairs", "hop2_share", "seen_ip", "vocab_tld", "decay_overall", "split_forward", "tier_metrics", "subset_metrics", "dst_mass_v2", "lex_url_v2", "vec_url", "lp_predict", "tiered_v1", "stream_seen"]
+KEYS = ["pulse_explode", "merge_edge_seen", "label_encode", "title_pairs", "hop2_share", "seen_ip", "vocab_tld", "decay_overall", "split_forward", "tier_metrics", "subset_metrics", "dst_mass_v2", "lex_url_v2", "vec_url", "lp_predict", "tiered_v1", "stream_seen",
+        "report_json", "report_json_bad", "alias_bundle", "graph_load", "merge_stored_edges", "merge_stored_nodes", "stream_attribution", "request_scores", "request_new_urls", "hetero_layer", "neighbor_mean", "pdns_networks", "ioc_sketch", "text_sets", "sym_normalize_all", "event_adjacency_all", "vec_domain", "dst_mass_v1", "graph_stats"]
 
 
 def canon(rows, names):
