@@ -166,7 +166,7 @@ def test_mass_cases(spark):
     assert (v1[1].tag_exclusivity, v1[1].evidence_weight, v1[1].nation_coherence, v1[1].belief_named_actor) == (1.0, 1.0, 0.5, 0.5)
     assert v1[2].belief_nation_state == 0 and v1[2].uncertainty == 1
     assert v1[3].tag_exclusivity == 0.5 and v1[3].activity_cluster == "Cybercrime" and v1[4].tag_exclusivity == 0.25
-    v2 = {x.id: x for x in attribute.label_mass_v2(r, tags, aliases, mentions).collect()}
+    v2 = {x.id: x for x in attribute.label_mass_v2(r, tags, aliases, mentions, [0, 1]).collect()}
     assert (v2[2].tag_exclusivity, v2[2].nation_coherence, v2[2].uncertainty) == (0.0, 1.0, 1.0)
     assert v2[4].nation_coherence == 0 and v2[1].belief_named_actor == 1.0
     for m in (v1, v2):

@@ -13,6 +13,10 @@ from tracegraph.operators.lineage import small
 FULL_EVIDENCE, NO_HINT = 51, 0.5
 
 
+#: Nations that sponsor actors. Fixed values.
+STATES = ("Russia", "North Korea", "China", "Vietnam")
+
+
 def softmax(scores: DataFrame, keys: list[str], value: str = "logit") -> DataFrame:
     """Adds ``score``: the softmax of ``value`` over each key's rows."""
     w = Window.partitionBy(*keys)
@@ -56,7 +60,7 @@ def label_mass_v1(reports: DataFrame, tags: DataFrame, aliases: DataFrame, keywo
     return _beliefs(rows.select("id", exclusivity.alias("exclusivity"), _evidence(F.col("n_iocs")).alias("weight"), coherence.alias("coherence"), cluster.alias("activity_cluster")))
 
 
-def label_mass_v2(reports: DataFrame, tags: DataFrame, aliases: DataFrame, mentions: DataFrame, states: list, criminal: str = "Cybercrime") -> DataFrame:
+def label_mass_v2(reports: DataFrame, tags: DataFrame, aliases: DataFrame, mentions: DataFrame, states=STATES, criminal: str = "Cybercrime") -> DataFrame:
     """The same as it is scored anew: aliases count once each, only network indicators are evidence, and a group of another nation among the tags
     refutes the label (of the same nation: a half). Without network indicators all is uncertain.
 
