@@ -117,6 +117,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], idf: n
     return Model(langs, weights, bias, temperature)
 
 
+#: Bytes of texts whose grams are held at a time.
+TOGETHER = 1 << 19
+
+
 def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:
     """Fits on rows (text, lang): document frequencies over all of them, weights on a sample of about ``fit_rows``.
 
@@ -173,7 +177,7 @@ def vectors(col: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """For each text: its row, the number of its n-grams (1 at least), and its features by n-gram length."""
     data, offsets = buffers(col)
     lengths = np.asarray(pc.fill_null(pc.utf8_length(col), 0)).astype(np.int64)
-    for i, j in chunks(offsets):
+    for i, j in chunks(offsets, TOGETHER):
         n = lengths[i:j]
         by = list(grams(data[offsets[i] : offsets[j]], n))
         for k in range(j - i):
@@ -197,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 lengths = np.asarray(pc.fill_null(pc.utf8_length(col), 0)).astype(np.int64)
                 letter = np.asarray(pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False))
                 pred, score = np.full(len(lengths), UNKNOWN, object), np.zeros(len(lengths))
-                for i, j in chunks(offsets) if m.langs else ():
+                for i, j in chunks(offsets, TOGETHER) if m.langs else ():
                     p = m.scores(data[offsets[i] : offsets[j]], lengths[i:j])
                     best = p.argmax(1)
                     yes = letter[i:j]
