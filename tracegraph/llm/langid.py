@@ -118,7 +118,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], idf: n
 
 
 #: Bytes of texts whose grams are held at a time.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 
 
 def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:

@@ -95,7 +95,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                         given += 1
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
-        word_ids.cache_clear()  # the worker lives on for other steps; loading the tokenizer anew takes a part of a second a task
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), PIECES)
 
