@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -135,6 +136,19 @@ def test_languages_on_held_out_documents(spark):
     assert none[0].lang_pred == "und" and langid.language_of(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_the_language_sample_is_held_once_and_packed(spark):
+    rng = random.Random(6)
+    rows = [("".join(chr(rng.randrange(0x4E00 + 3000 * (i % 2), 0x4E00 + 3000 * (i % 2) + 3000)) for _ in range(2500)), "ab"[i % 2]) for i in range(400)]
+    table = spark.createDataFrame(rows, "text string, lang string").cache()
+    grams = sum(len({t[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)}) for t, _ in rows)
+    tracemalloc.start()
+    model = langid.train(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * grams + (16 << 20), (peak, grams)
+    assert {r.lang: r.lang_pred for r in langid.identify(table, model).collect()} == {"a": "a", "b": "b"}
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rng = random.Random(4)
     rows, labels = [], []

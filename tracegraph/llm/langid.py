@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracegraph.llm.shared import buffers, carried, chunks, restored, tidy
+from tracegraph.llm.shared import buffers, carried, chunks, restored, tidy, trim_heap
 
 #: Hashed n-gram features; n-grams of these lengths.
 FEATURES, ORDERS = 1 << 16, (1, 2, 3)
@@ -20,6 +20,9 @@ FEATURES, ORDERS = 1 << 16, (1, 2, 3)
 #: Factor on the relative frequencies, so that typical gradients are near one.
 SCALE = 20.0
 
+#: How the features of a sampled text (below ``FEATURES``) and their counts are packed on their way to the driver.
+IDS, COUNTS = "<u2", "<u4"
+
 UNKNOWN = "und"
 
 
@@ -76,10 +79,10 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], idf: np.ndarray, *, l1: float = 0.02, l2: float = 0.05, alpha: float = 0.3, beta: float = 1.0, epochs: int = 3) -> Model:
-    """Follow-the-regularised-leader (proximal, per coordinate) with an elastic net on (class, features, relative frequencies).
+def fit(rows: list[tuple[int, int, bytes, bytes]], langs: list[str], idf: np.ndarray, *, l1: float = 0.02, l2: float = 0.05, alpha: float = 0.3, beta: float = 1.0, epochs: int = 3) -> Model:
+    """Follow-the-regularised-leader (proximal, per coordinate) with an elastic net on (class, n-grams of the text, features, counts).
 
-    Every fifth row is kept out of the fit and calibrates the temperature by the least negative log-likelihood.
+    Features are packed as ``IDS`` and counts as ``COUNTS``; a row is unpacked when its turn comes, so that the rows are held once and packed. Every fifth row is kept out of the fit and calibrates the temperature by the least negative log-likelihood.
     """
     classes = len(langs)
     z, n = np.zeros((FEATURES + 1, classes)), np.zeros((FEATURES + 1, classes))
@@ -88,10 +91,14 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], idf: n
         zi, ni = z[ids], n[ids]
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
 
-    data = [(y, np.append(ids, FEATURES), np.append(SCALE * tf * idf[ids], 1.0)) for y, ids, tf in rows]
-    learn, held = [r for i, r in enumerate(data) if i % 5], [r for i, r in enumerate(data) if not i % 5]
+    def unpacked(total: int, features: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(features, IDS).astype(np.int64)
+        return np.append(ids, FEATURES), np.append(SCALE * (np.frombuffer(counts, COUNTS) / total) * idf[ids], 1.0)
+
+    learn, held = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
     for _ in range(epochs):
-        for y, ids, x in learn:
+        for y, *row in learn:
+            ids, x = unpacked(*row)
             w = of(ids)
             s = x @ w
             p = np.exp(s - s.max())
@@ -104,7 +111,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], idf: n
             n[ids] = new
     w = of(np.arange(FEATURES + 1))
     best, temperature = np.inf, 1.0
-    logits, truth = np.array([x @ w[ids] for _, ids, x in held]).reshape(-1, classes), np.array([y for y, _, _ in held], int)
+    logits, truth = np.array([x @ w[ids] for ids, x in (unpacked(*row) for _, *row in held)]).reshape(-1, classes), np.array([y for y, *_ in held], int)
     for t in np.geomspace(0.05, 20, 61) if len(truth) else []:
         s = logits / t
         s = s - s.max(1, keepdims=True)
@@ -125,7 +132,7 @@ def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:
     """Fits on rows (text, lang): document frequencies over all of them, weights on a sample of about ``fit_rows``.
 
     The sample takes up to ``fit_rows`` / languages rows of each language (20 at least), chosen by a hash of the text, copies once; its
-    rows are hashed sparse vectors of at most ``FEATURES`` numbers, which come to the driver. Null texts and null languages are
+    rows are hashed sparse vectors of at most ``FEATURES`` numbers, six bytes each, which come to the driver. Null texts and null languages are
     left out; without any other row the model knows no language.
     """
     known = labelled.where("text is not null and lang is not null")
@@ -148,9 +155,9 @@ def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:
         keep = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(found[keep])], ["id", "n"])
 
-    table = known.select("text").mapInArrow(tidy(frequencies), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    table = known.select("text").mapInArrow(tidy(frequencies), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     found = np.zeros(FEATURES + 1)
-    found[table.id.to_numpy()] = table.n.to_numpy()
+    found[table["id"].to_numpy()] = table["n"].to_numpy()
     idf = np.log((1 + found[FEATURES]) / (1 + found[:FEATURES])) + 1.0
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,19 +165,24 @@ def train(labelled: DataFrame, fit_rows: int = 3000) -> Model:
             out = []
             for i, n, ids in vectors(batch.column(1)):
                 u, c = np.unique(np.concatenate(ids), return_counts=True)
-                c = c[u < FEATURES] / n
-                out.append((batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), u[u < FEATURES].astype(np.int32), c))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64())))], ["lang", "h", "ids", "tf"])
+                at = u < FEATURES
+                out.append((batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), n, u[at].astype(IDS).tobytes(), c[at].astype(COUNTS).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "h", "n", "ids", "counts"])
 
     rate = F.lit(0.0)
     for k, n in counts.items():
         rate = F.when(F.col("lang") == k, F.lit(min(1.0, quota / n))).otherwise(rate)
     order = F.xxhash64("text", "lang")
     picked = known.select("lang", "text", order.alias("h")).where((F.shiftrightunsigned("h", 11) + 0.5) / float(1 << 53) < rate).dropDuplicates(["h"])
-    rows = picked.select("lang", "text", "h").mapInArrow(tidy(sparse), "lang string, h long, ids array<int>, tf array<double>").toPandas()
-    rows = rows.sort_values(["h", "lang"], kind="stable")
+    sample = picked.select("lang", "text", "h").mapInArrow(tidy(sparse), "lang string, h long, n long, ids binary, counts binary").toArrow()
     at = {k: i for i, k in enumerate(langs)}
-    return fit([(at[k], np.asarray(i, np.int64), np.asarray(t, np.float64)) for k, i, t in zip(rows.lang, rows.ids, rows.tf, strict=True)], langs, idf)
+    rows = sorted(zip(*(sample[c].to_pylist() for c in ("h", "lang", "n", "ids", "counts")), strict=True), key=lambda r: r[:2])
+    del sample
+    model = fit([(at[lang], *row) for _, lang, *row in rows], langs, idf)
+    del rows
+    pa.default_memory_pool().release_unused()
+    trim_heap()
+    return model
 
 
 def vectors(col: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
