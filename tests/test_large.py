@@ -1,12 +1,16 @@
 """What differed or did not fit on larger tables: queries against their SQL on tables with odd rows, and operators against plain forms."""
 
 import os
+import re
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import SF
 from test_oracle import canon
 
+from tracegraph.operators import stats
+from tracegraph.operators.pooling import pooled
 from tracegraph.plans import registry
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
@@ -37,3 +41,35 @@ def test_url_seen_twice_by_one_report(spark, tmp_path):
     """The later of two sights of a url by one report ends its span."""
     later = "SELECT l_orderkey, l_partkey, l_suppkey, 1 AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate + INTERVAL 9999 DAY AS l_shipdate FROM lineitem WHERE l_orderkey % 50 = 1"
     same(spark, tables(tmp_path, lineitem=f"SELECT * FROM lineitem UNION ALL {later}"), "vec_url")
+
+
+def moved(df):
+    """Joins of the plan by an indicator's type, which move the vectors to the edges."""
+    return re.findall(r"Join \[(?:ioc_type|rel)#.*", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pool_moves_no_vectors(spark):
+    """More vectors than are sent to every executor: neither they nor a row per edge and vector are shuffled."""
+    vecs = spark.range(60_000).selectExpr("'d' AS ioc_type", "id AS ioc", "array(double(id), double(-id)) AS vec")
+    edges = spark.range(3_000).selectExpr("id % 100 AS id", "'d' AS ioc_type", "id * 21 AS ioc")
+    got = stats.event_mean_pool(edges, vecs, spark.range(101), 2)
+    assert not moved(got)
+    want = {i: [np.mean([21.0 * k for k in range(i, 3_000, 100) if 21 * k < 60_000])] for i in range(100)} | {100: [0.0]}
+    assert {r.id: r.vec for r in got.collect()} == {i: [pytest.approx(x), pytest.approx(-x)] for i, (x,) in want.items()}
+
+
+def test_pooled_as_plain(spark):
+    """Means by relation with repeated and missing keys, keys of other types, nulls, and vectors that stand twice or are short."""
+    rng = np.random.default_rng(1)
+    edges = [(int(rng.integers(40)), "abc"[rng.integers(3)], int(rng.integers(60))) for _ in range(500)] + [(41, "a", None), (42, None, 3)]
+    vecs = [("abc"[rng.integers(3)], int(k), None if k % 11 == 0 else [float(x) for x in rng.normal(size=3)][: 2 if k % 7 == 0 else 3]) for k in rng.integers(50, size=120)]
+    of = {}
+    for r, k, v in vecs:
+        if v is not None:
+            of.setdefault((r, k), []).append(v + [0.0] * (3 - len(v)))
+    e, v = spark.createDataFrame(edges, "id int, rel string, src long").repartition(3), spark.createDataFrame(vecs, "rel string, src int, vec array<double>").repartition(2)
+    got = {total: {r.id: r.vec for r in pooled(spark.range(50), e, v, ["id"], ["rel", "src"], 3, relation="rel", total=total).collect()} for total in (False, True)}
+    for i in range(50):
+        means = [np.mean(x, axis=0) for r in "abc" if (x := [v for d, q, k in edges if d == i and q == r for v in of.get((r, k), [])])]
+        assert got[False][i] == (pytest.approx(np.mean(means, axis=0)) if means else None)
+        assert got[True][i] == (pytest.approx(np.sum(means, axis=0)) if means else None)
