@@ -9,7 +9,7 @@ import pytest
 from conftest import SF
 from test_oracle import canon
 
-from tracegraph.operators import stats
+from tracegraph.operators import propagate, stats
 from tracegraph.operators.pooling import pooled
 from tracegraph.plans import registry
 
@@ -45,7 +45,7 @@ def test_url_seen_twice_by_one_report(spark, tmp_path):
 
 def moved(df):
     """Joins of the plan by an indicator's type, which move the vectors to the edges."""
-    return re.findall(r"Join \[(?:ioc_type|rel)#.*", df._jdf.queryExecution().executedPlan().toString())
+    return re.findall(r"Join \[(?:ioc_type|rel|src_kind)#.*", df._jdf.queryExecution().executedPlan().toString())
 
 
 def test_pool_moves_no_vectors(spark):
@@ -73,3 +73,10 @@ def test_pooled_as_plain(spark):
         means = [np.mean(x, axis=0) for r in "abc" if (x := [v for d, q, k in edges if d == i and q == r for v in of.get((r, k), [])])]
         assert got[False][i] == (pytest.approx(np.mean(means, axis=0)) if means else None)
         assert got[True][i] == (pytest.approx(np.sum(means, axis=0)) if means else None)
+
+
+def test_neighbour_means_move_no_vectors(spark):
+    vecs = spark.range(60_000).selectExpr("'d' AS rel", "id AS src", "array(double(id), double(-id)) AS vec")
+    got = propagate.neighbor_mean(spark.range(200).selectExpr("id % 10 AS dst", "'d' AS rel", "id * 7 AS src"), vecs, 2)
+    assert not moved(got)
+    assert {r.dst: r.vec for r in got.collect()} == {i: [pytest.approx(7 * (i + 95.0)), pytest.approx(-7 * (i + 95.0))] for i in range(10)}
