@@ -80,3 +80,12 @@ def test_neighbour_means_move_no_vectors(spark):
     got = propagate.neighbor_mean(spark.range(200).selectExpr("id % 10 AS dst", "'d' AS rel", "id * 7 AS src"), vecs, 2)
     assert not moved(got)
     assert {r.dst: r.vec for r in got.collect()} == {i: [pytest.approx(7 * (i + 95.0)), pytest.approx(-7 * (i + 95.0))] for i in range(10)}
+
+
+def test_relation_layer_moves_no_neighbours(spark):
+    nodes = spark.range(100).selectExpr("'d' AS kind", "id", "array(double(id), 1D) AS vec").unionByName(spark.range(5).selectExpr("'e' AS kind", "id", "array(double(id), 2D) AS vec"))
+    edges = spark.range(40).selectExpr("'d>e' AS rel", "'d' AS src_kind", "id AS src", "id % 4 AS dst")
+    layer = propagate.Layer({"d>e": (2 * np.eye(2), np.array([0.5, 0.0]))}, {"d>e": np.eye(2)})
+    got = propagate.relation_layer(nodes, edges, layer, {"d>e": "e"})
+    assert not moved(got)
+    assert {r.id: r.vec for r in got.collect()} == {i: [pytest.approx(i + 0.5 + 2 * (i + 18)), pytest.approx(4.0)] for i in range(4)} | {4: [4.5, 2.0]}
