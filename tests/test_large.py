@@ -9,7 +9,7 @@ import pytest
 from conftest import SF
 from test_oracle import canon
 
-from tracegraph.operators import propagate, stats
+from tracegraph.operators import link, propagate, stats
 from tracegraph.operators.pooling import pooled
 from tracegraph.plans import registry
 
@@ -89,3 +89,8 @@ def test_relation_layer_moves_no_neighbours(spark):
     got = propagate.relation_layer(nodes, edges, layer, {"d>e": "e"})
     assert not moved(got)
     assert {r.id: r.vec for r in got.collect()} == {i: [pytest.approx(i + 0.5 + 2 * (i + 18)), pytest.approx(4.0)] for i in range(4)} | {4: [4.5, 2.0]}
+
+
+def test_domain_propagation_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(link, "event_adjacency", None)
+    same(spark, SF, "label_prop_domains")
