@@ -9,7 +9,7 @@ import pytest
 from conftest import SF
 from test_oracle import canon
 
-from tracegraph.operators import link, propagate, stats
+from tracegraph.operators import implicit, link, propagate, stats
 from tracegraph.operators.pooling import pooled
 from tracegraph.plans import registry
 
@@ -94,3 +94,24 @@ def test_relation_layer_moves_no_neighbours(spark):
 def test_domain_propagation_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(link, "event_adjacency", None)
     same(spark, SF, "label_prop_domains")
+
+
+def test_requests_of_a_hub_make_no_pairs(spark, monkeypatch):
+    """Requests that ask for what very many events have, one of them for nothing else, and one for more than can be dealt with by keys of two."""
+    n, tables = 300, []
+    kept = implicit.settled
+    monkeypatch.setattr(implicit, "settled", lambda df: tables.append(kept(df)) or tables[-1])
+    heads = spark.range(n).selectExpr("id AS node", "'d' AS ioc_type", "explode(array(-1L, id, (id + 1) % 300)) AS ioc")
+    nodes = spark.range(n).selectExpr("id AS node", "1 + id % 3 AS size")
+    sent = spark.range(n).selectExpr("id AS node", "'x' AS label", "0 AS step", "double(id + 1) AS value")
+    asks = {i: [-1, i] for i in range(n)} | {400: [-1], 401: [*range(60), -5], 402: [-5]}
+    requests = spark.createDataFrame([(i, "d", k) for i, ks in asks.items() for k in ks], "id long, ioc_type string, ioc long")
+    labels = spark.createDataFrame([("x",), ("y",)], "label string")
+    got = {(r.id, r.label): r.score for r in implicit.score_requests(requests, implicit.Standing(heads, nodes, sent, 2), labels).collect()}
+    assert max(d.count() for d in tables) < 3 * n + 100
+    of = {v: {-1, v, (v + 1) % n} for v in range(n)}
+    for i, ks in asks.items():
+        near = [v for v in range(n) if of[v] & set(ks)]
+        degree = 1 + sum(1 + v % 3 for v in near)
+        x = np.exp(sum(v + 1 for v in near) / np.sqrt(degree) / degree)
+        assert (got[i, "x"], got[i, "y"]) == (pytest.approx(x / (x + 1)), pytest.approx(1 / (x + 1)))
