@@ -115,3 +115,13 @@ def test_requests_of_a_hub_make_no_pairs(spark, monkeypatch):
         degree = 1 + sum(1 + v % 3 for v in near)
         x = np.exp(sum(v + 1 for v in near) / np.sqrt(degree) / degree)
         assert (got[i, "x"], got[i, "y"]) == (pytest.approx(x / (x + 1)), pytest.approx(1 / (x + 1)))
+
+
+def test_standing_graph_takes_no_round_too_many(spark, monkeypatch):
+    """Four rounds of sending need the degrees and three rounds of scores."""
+    products, kept = [], implicit.product
+    monkeypatch.setattr(implicit, "product", lambda *a: products.append(a) or kept(*a))
+    edges = spark.range(6).selectExpr("id", "'d' AS ioc_type", "explode(array(id, id + 1)) AS ioc")
+    graph = implicit.standing(implicit.shared(edges, spark.range(6)), spark.createDataFrame([(0, "x")], "id long, label string"), 4)
+    assert sorted(r.step for r in graph.sent.select("step").distinct().collect()) == [0, 1, 2, 3]
+    assert len(products) == 4
